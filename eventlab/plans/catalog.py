@@ -1,108 +1,6 @@
-"""Registered queries over the driver tables, each with its DuckDB oracle.
+"""All registered queries: importing the query modules fills the registry."""
 
-``QUERIES[name](spark, sf_dir) -> DataFrame`` and ``ORACLES[name] -> SQL``.
-Every query reads the whole driver tables (no id subsets, no row caps).
-Integer outputs are BIGINT on both sides, computed columns are aliased to
-the same names on both sides.
-"""
+from eventlab.plans import event_queries  # noqa: F401
+from eventlab.plans.registry import ORACLES, QUERIES
 
-from __future__ import annotations
-
-from collections.abc import Callable
-from datetime import datetime
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from eventlab.functions.columns import M_TO_MM, rate
-from eventlab.functions.distributions import t_quantile_975_sql
-from eventlab.operators.events import number_events, segment_events, summarize_events
-from eventlab.operators.filters import above, exclude
-from eventlab.operators.summary import mean_ci
-from eventlab.plans.shapes import SQL_GRID, segment_sql, series_grid
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-    return deco
-
-
-# ----------------------------------------------------------------- parameters
-# Fixed study parameters, re-expressed for the 15-minute driver grid.
-SERIES_KEYS = ["SiteID", "Treatment", "Year"]
-RAIN_GAP_STEPS = 4          # dry steps that end a rain event (1 h at 15 min)
-FLOW_GAP_STEPS = 8          # dry steps that end a runoff event (2 h)
-RAIN_MIN_DEPTH = 0.00254    # events with less total rain are dropped
-DETECTION_LIMIT = 3.977139e-6
-# Exclusion list (SiteID, Year week); None is a wildcard.
-EXCLUSIONS = [("S7", None), ("S5", datetime(2024, 1, 8)), ("S6", datetime(2024, 1, 1))]
-EXCLUSIONS_SQL = ("NOT (SiteID = 'S7') AND NOT (SiteID = 'S5' AND Year = TIMESTAMP '2024-01-08')"
-                  " AND NOT (SiteID = 'S6' AND Year = TIMESTAMP '2024-01-01')")
-
-
-def ci_sql(src: str, by: str, value: str) -> str:
-    """DuckDB text of ``summary.mean_ci``."""
-    q = t_quantile_975_sql("(n - 1)")
-    return f"""
-ci0 AS (SELECT {by}, count({value}) AS n, avg({value}) AS mean, stddev_samp({value}) AS sd
-        FROM {src} GROUP BY {by}),
-ci1 AS (SELECT *, sd / sqrt(n) AS se, {q} AS _q FROM ci0)
-SELECT {by}, n, mean, sd, se, mean - _q * se AS lb, mean + _q * se AS ub FROM ci1"""
-
-
-# ------------------------------------------------------------ event pipeline
-
-def rain_events_df(spark: SparkSession, sf_dir: str, gap: int = RAIN_GAP_STEPS) -> DataFrame:
-    """Rain events per series: segmentation (E5), summary (E6), exclusion
-    list (C2, applied on partition keys before the windows), minimum depth
-    (C4), numbering per site-period (E7), units and rate (B6, B7)."""
-    grid = exclude(series_grid(spark, sf_dir).select(*SERIES_KEYS, "date_time", "rain"),
-                   EXCLUSIONS, ["SiteID", "Year"])
-    flags = segment_events(grid, SERIES_KEYS, ["date_time"], "rain", gap)
-    ev = summarize_events(flags, SERIES_KEYS, "rain", "date_time", "precipitation", "rain_time")
-    ev = above(ev, "precipitation", RAIN_MIN_DEPTH)
-    ev = number_events(ev, ["SiteID", "Year"], ["eventStart", "eventEnd", "Treatment"], "rf_event")
-    return ev.select(
-        "Year", "SiteID", "Treatment", F.col("rf_event").cast("long").alias("rf_event"),
-        (F.col("precipitation") * M_TO_MM).alias("rain_mm"),
-        (F.col("rain_time") / 60).alias("rain_hr"),
-        rate(F.col("precipitation") * M_TO_MM, F.col("rain_time") / 60).alias("rf_rate"),
-        "eventStart", "eventEnd")
-
-
-def rain_events_sql(gap: int = RAIN_GAP_STEPS) -> str:
-    return f"""WITH {SQL_GRID},
-src AS (SELECT SiteID, Treatment, Year, date_time, rain FROM grid WHERE {EXCLUSIONS_SQL}),
-{segment_sql('src', 'SiteID, Treatment, Year', 'date_time', 'rain', gap)},
-rev AS (SELECT SiteID, Treatment, Year, eventid, sum(rain) AS precipitation,
-              min(date_time) AS eventStart, max(date_time) AS eventEnd
-       FROM g6 WHERE eventflag = 1 GROUP BY ALL),
-kept AS (SELECT *, date_diff('microsecond', eventStart, eventEnd) / 60000000.0 + 1.0 AS rain_time
-         FROM rev WHERE precipitation > {RAIN_MIN_DEPTH}),
-rain_events AS (
-  SELECT Year, SiteID, Treatment,
-         row_number() OVER (PARTITION BY SiteID, Year ORDER BY eventStart, eventEnd, Treatment)
-           AS rf_event,
-         precipitation * 1000.0 AS rain_mm, rain_time / 60 AS rain_hr,
-         (precipitation * 1000.0) / (rain_time / 60) AS rf_rate, eventStart, eventEnd
-  FROM kept)"""
-
-
-@register("rain_events", rain_events_sql() + "\nSELECT * FROM rain_events")
-def q_rain_events(spark, sf_dir):
-    return rain_events_df(spark, sf_dir)
-
-
-@register("events_flagship",
-          rain_events_sql() + "," + ci_sql("rain_events", "Treatment", "rf_rate"))
-def q_events_flagship(spark, sf_dir):
-    """Flagship: grid (E15) -> segmentation (E5) -> event summary (E6) ->
-    rate (B7) -> t-interval of the rain rate per treatment (F4)."""
-    return mean_ci(rain_events_df(spark, sf_dir), ["Treatment"], "rf_rate")
+__all__ = ["ORACLES", "QUERIES"]

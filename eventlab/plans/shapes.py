@@ -41,7 +41,7 @@ def period_col(ts: str = "ts"):
 def keyed_events(spark: SparkSession, sf_dir: str, types) -> DataFrame:
     ev = read_table(spark, sf_dir, "events").where(F.col("event_type").isin(*types))
     return ev.select(site_col().alias("SiteID"), treatment_col().alias("Treatment"),
-                     period_col().alias("Year"), "ts", "event_type", "value", "event_id")
+                     period_col().alias("Year"), "ts", "event_type", "value", "event_id", "user_id")
 
 
 def series_grid(spark: SparkSession, sf_dir: str, step: int = GRID_SECONDS) -> DataFrame:
@@ -77,7 +77,7 @@ def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
               .select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
               .join(cust, F.col("o_custkey") == F.col("c_custkey"))
               .select("o_orderkey", "SiteID", F.col("o_orderpriority").alias("crop"),
-                      F.year("o_orderdate").alias("Year")))
+                      F.year("o_orderdate").cast("long").alias("Year")))
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
         "l_extendedprice", "l_discount", "l_returnflag")
@@ -92,7 +92,7 @@ def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_KEYED = """
   SELECT 'S' || CAST(user_id % 8 AS VARCHAR) AS SiteID,
          CASE WHEN (user_id // 8) % 2 = 0 THEN 'strips' ELSE 'control' END AS Treatment,
-         date_trunc('week', ts) AS Year, ts, event_type, value, event_id
+         date_trunc('week', ts) AS Year, ts, event_type, value, event_id, user_id
   FROM events"""
 
 SQL_GRID = f"""
@@ -135,11 +135,12 @@ def segment_sql(src: str, keys: str, order: str, value: str, k: int, prefix: str
 {prefix}1 AS (SELECT *, CAST({value} > 0 AS INTEGER) AS _wet,
                  row_number() OVER ({w}) AS _rn FROM {src}),
 {prefix}2 AS (SELECT *, lag(_wet) OVER ({w}) AS _pw FROM {prefix}1),
-{prefix}3 AS (SELECT *, sum(CASE WHEN _wet IS NULL OR _pw IS NULL OR _wet <> _pw THEN 1 ELSE 0 END)
-                 OVER ({w} ROWS UNBOUNDED PRECEDING) AS _run FROM {prefix}2),
+{prefix}3 AS (SELECT *, CAST(sum(CASE WHEN _wet IS NULL OR _pw IS NULL OR _wet <> _pw THEN 1 ELSE 0
+                 END) OVER ({w} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS _run FROM {prefix}2),
 {prefix}4 AS (SELECT *, CASE WHEN _wet IS NULL THEN NULL WHEN _rn < {k} AND _wet = 0 THEN 0
                  WHEN _wet = 1 THEN 1 WHEN count(*) OVER (PARTITION BY {keys}, _run) < {k} THEN 1
                  ELSE 0 END AS eventflag FROM {prefix}3),
 {prefix}5 AS (SELECT *, lag(eventflag) OVER ({w}) AS _pf FROM {prefix}4),
-{prefix}6 AS (SELECT *, sum(CASE WHEN eventflag IS NULL OR _pf IS NULL OR eventflag <> _pf
-                 THEN 1 ELSE 0 END) OVER ({w} ROWS UNBOUNDED PRECEDING) AS eventid FROM {prefix}5)"""
+{prefix}6 AS (SELECT *, CAST(sum(CASE WHEN eventflag IS NULL OR _pf IS NULL OR eventflag <> _pf
+                 THEN 1 ELSE 0 END) OVER ({w} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS eventid
+              FROM {prefix}5)"""
