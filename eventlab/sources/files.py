@@ -60,15 +60,14 @@ def read_quarantined(spark: SparkSession, path: str, schema: StructType, sep: st
            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
            .csv(path))
     first = schema.fields[0].name
-    parsed = raw.withColumns({c: parse_timestamp(c, timestamp_formats) for c in ts_cols})
-    ts_failed = [F.col(c).isNull() & raw[c].isNotNull() for c in ts_cols]
+    parsed = raw.withColumns({f"_raw_{c}": F.col(c) for c in ts_cols})
+    parsed = parsed.withColumns({c: parse_timestamp(f"_raw_{c}", timestamp_formats) for c in ts_cols})
     bad_flag = (F.col(CORRUPT).isNotNull()
                 | F.coalesce(F.col(first).cast("string").rlike(MERGE_MARKER), F.lit(False))
                 | F.coalesce(F.col(first).cast("string") == F.lit(first), F.lit(False)))
-    for cond in ts_failed:
-        bad_flag = bad_flag | cond
-    parsed = parsed.withColumn("_bad", bad_flag).withColumns(
-        {f"_raw_{c}": raw[c] for c in ts_cols})
+    for c in ts_cols:
+        bad_flag = bad_flag | (F.col(c).isNull() & F.col(f"_raw_{c}").isNotNull())
+    parsed = parsed.withColumn("_bad", bad_flag)
     good = parsed.where(~F.col("_bad")).select(*schema.names)
     bad = parsed.where(F.col("_bad")).select(F.coalesce(F.col(CORRUPT), F.concat_ws(
         sep, *[F.coalesce(F.col(f"_raw_{c}") if c in ts_cols else F.col(c).cast("string"),
