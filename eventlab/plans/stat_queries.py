@@ -78,9 +78,9 @@ def design_sql(d: Design) -> list[str]:
     for name, sname in zip(d.columns, d.spark_columns):
         parts = []
         for v, lvl in d.column_parts[name]:
-            parts.append(f"(CASE WHEN {v} = '{lvl}' THEN 1.0 ELSE 0.0 END)" if lvl is not None
-                         else f"CAST({v} AS DOUBLE)")
-        out.append(f"1.0 * {' * '.join(parts)} AS {sname}")
+            parts.append(f"CAST(CASE WHEN {v} = '{lvl}' THEN 1 ELSE 0 END AS DOUBLE)"
+                         if lvl is not None else f"CAST({v} AS DOUBLE)")
+        out.append(f"CAST(1 AS DOUBLE) * {' * '.join(parts)} AS {sname}")
     return out
 
 
