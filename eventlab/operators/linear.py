@@ -1,12 +1,10 @@
 """Linear models from one Spark pass.
 
-``gram`` aggregates n, sum(y), sum(y^2), sum(x_i), sum(x_i*y), sum(x_i*x_j)
-in one hash aggregate (partial sums per task, so no row or group ever
-reaches the driver). Only the (p+1)^2 Gram is collected; every sub-model
-(sequential ANOVA, drop-one tests, backward elimination, covariate screens)
-is solved from index subsets of that same Gram, without another scan.
-
-Keep p to a few dozen columns (one aggregate column per pair).
+``gram`` builds X'X, X'y and y'y from one grouped aggregate of per-cell
+moments (cells = combinations of factor levels, a bounded set); only those
+cell sums reach the driver. Every sub-model (sequential ANOVA, drop-one
+tests, backward elimination, covariate screens) is solved from index subsets
+of that same Gram, without another scan.
 """
 
 from __future__ import annotations
@@ -20,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from eventlab.functions.distributions import Z975, f_sf, norm_sf, t_ppf, t_sf
-from eventlab.operators.design import Design, Term, row_vector, term_name
+from eventlab.operators.design import Design, Term, column_expr, row_vector, term_name
 
 INTERCEPT = "(Intercept)"
 
@@ -38,33 +36,84 @@ class Gram:
         return self.xtx[0] / self.n
 
 
-def gram_frame(df: DataFrame, y: str, xcols: Sequence[str]) -> DataFrame:
-    """One-row DataFrame of the Gram sums (the Spark pass)."""
+def _monomial(design: Design, col: str | None) -> tuple[str, ...]:
+    """Numeric part of a design column (sorted variable names; () for 1)."""
+    if col is None:
+        return ()
+    return tuple(sorted(v for v, lvl in design.column_parts[col] if lvl is None))
+
+
+def _indicator(design: Design, col: str | None) -> dict:
+    if col is None:
+        return {}
+    return {v: lvl for v, lvl in design.column_parts[col] if lvl is not None}
+
+
+def gram(df: DataFrame, y: str, design: Design) -> Gram:
+    """The Gram of ``y`` on the design, from ONE grouped aggregate.
+
+    Every design column is (factor indicators) x (a numeric monomial), so
+    X'X, X'y and y'y are fixed sums of per-cell moments: group the rows by
+    the factor levels they use (a bounded number of cells), aggregate the
+    products of the distinct numeric monomials (and y) per cell, and expand
+    on the driver. A hash aggregate with partial sums: each task pre-reduces
+    its rows, so a cell holding a third of the data costs no more than the
+    others, and the expressions are evaluated once per row, not per pair."""
+    cols = design.columns
+    monos = sorted({_monomial(design, c) for c in [None, *cols]})
+    factors = [v for v in design.variables if v in design.factors]
+    base = df.dropna(subset=[y, *design.variables])
     Y = F.col(y).cast("double")
-    X = [F.col(c).cast("double") for c in xcols]
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(Y).alias("sy"), F.sum(Y * Y).alias("syy")]
-    aggs += [F.sum(x).alias(f"s_{i}") for i, x in enumerate(X)]
-    aggs += [F.sum(x * Y).alias(f"sy_{i}") for i, x in enumerate(X)]
-    aggs += [F.sum(X[i] * X[j]).alias(f"s_{i}_{j}")
-             for i in range(len(X)) for j in range(i, len(X))]
-    return df.agg(*aggs)
-
-
-def gram(df: DataFrame, y: str, xcols: Sequence[str], names: Sequence[str] | None = None) -> Gram:
-    """Collect the one-row Gram and unpack it into matrices."""
-    row = gram_frame(df, y, xcols).first().asDict()
-    p = len(xcols)
-    n = int(row["n"])
-    xtx = np.zeros((p + 1, p + 1))
-    xty = np.zeros(p + 1)
-    xtx[0, 0] = n
-    xty[0] = row["sy"] or 0.0
-    for i in range(p):
-        xtx[0, i + 1] = xtx[i + 1, 0] = row[f"s_{i}"] or 0.0
-        xty[i + 1] = row[f"sy_{i}"] or 0.0
-        for j in range(i, p):
-            xtx[i + 1, j + 1] = xtx[j + 1, i + 1] = row[f"s_{i}_{j}"] or 0.0
-    return Gram([INTERCEPT, *(names or xcols)], xtx, xty, float(row["syy"] or 0.0), n)
+
+    def prod(vars_):
+        e = F.lit(1.0)
+        for v in vars_:
+            e = e * F.col(v).cast("double")
+        return e
+
+    aggs = [F.count(F.lit(1)).alias("n"), F.sum(Y * Y).alias("yy")]
+    for i, a in enumerate(monos):
+        aggs.append(F.sum(prod(a) * Y).alias(f"my_{i}"))
+        for j in range(i, len(monos)):
+            aggs.append(F.sum(prod(a + monos[j])).alias(f"m_{i}_{j}"))
+    cells = base.groupBy(*factors).agg(*aggs).collect()   # one row per factor cell
+
+    names = [INTERCEPT, *cols]
+    p = len(names)
+    mono_of = [monos.index(_monomial(design, c)) for c in [None, *cols]]
+    ind_of = [_indicator(design, c) for c in [None, *cols]]
+    xtx, xty = np.zeros((p, p)), np.zeros(p)
+    n, yty = 0, 0.0
+    for row in cells:
+        if row["n"] == 0:
+            continue
+        n += int(row["n"])
+        yty += float(row["yy"] or 0.0)
+        on = [all(row[v] == lvl for v, lvl in ind.items()) for ind in ind_of]
+        for i in range(p):
+            if not on[i]:
+                continue
+            xty[i] += float(row[f"my_{mono_of[i]}"] or 0.0)
+            for j in range(i, p):
+                if on[j]:
+                    a, b = sorted((mono_of[i], mono_of[j]))
+                    xtx[i, j] += float(row[f"m_{a}_{b}"] or 0.0)
+    xtx = np.triu(xtx) + np.triu(xtx, 1).T
+    return Gram(names, xtx, xty, yty, n)
+
+
+GRAM_LAYOUT = "n, sy, syy, s_i, sy_i, s_i_j (i <= j) over the design columns"
+
+
+def gram_frame(spark: SparkSession, g: Gram) -> DataFrame:
+    """The Gram as one row: n, sy, syy, s_i, sy_i, s_i_j (design columns)."""
+    p = len(g.names) - 1
+    vals = {"n": int(g.n), "sy": float(g.xty[0]), "syy": float(g.yty)}
+    vals.update({f"s_{i}": float(g.xtx[0, i + 1]) for i in range(p)})
+    vals.update({f"sy_{i}": float(g.xty[i + 1]) for i in range(p)})
+    vals.update({f"s_{i}_{j}": float(g.xtx[i + 1, j + 1]) for i in range(p) for j in range(i, p)})
+    fields = [StructField("n", LongType())] + [StructField(k, DoubleType()) for k in vals if k != "n"]
+    return spark.createDataFrame([tuple(vals[f.name] for f in fields)], StructType(fields))
 
 
 def solve(g: Gram, idx: Sequence[int], tol: float = 1e-9) -> dict:
@@ -129,19 +178,18 @@ def fit_from_gram(design: Design, g: Gram, terms: Sequence[Term] | None = None)
     return OLSFit(design, g, beta, cov, sigma2, s["rss"], s["df_resid"], terms)
 
 
-def fit_ols(design_df: DataFrame, y: str, design: Design) -> OLSFit:
-    """H4: OLS of ``y`` on the design (``with_design`` output): one pass."""
-    g = gram(design_df, y, design.spark_columns, design.columns)
-    return fit_from_gram(design, g)
+def fit_ols(df: DataFrame, y: str, design: Design) -> OLSFit:
+    """H4: OLS of ``y`` on the design over the raw variables: one pass."""
+    return fit_from_gram(design, gram(df, y, design))
 
 
 def predict_expr(fit: OLSFit, design: Design):
-    """Xb as a Catalyst expression over the ``with_design`` columns."""
+    """Xb as a Catalyst expression over the raw model variables."""
     b = fit.beta0()
     expr = F.lit(float(b[0]))
-    for i, c in enumerate(design.spark_columns):
+    for i, c in enumerate(design.columns):
         if b[i + 1] != 0.0:
-            expr = expr + F.lit(float(b[i + 1])) * F.col(c)
+            expr = expr + F.lit(float(b[i + 1])) * column_expr(design, c)
     return expr
 
 
@@ -288,14 +336,14 @@ SCREEN_SCHEMA = StructType([StructField("variable", StringType()), StructField("
                             StructField("lb", DoubleType()), StructField("ub", DoubleType())])
 
 
-def screen_covariates(spark: SparkSession, design_df: DataFrame, y: str, design: Design,
+def screen_covariates(spark: SparkSession, df: DataFrame, y: str, design: Design,
                       base_terms: Sequence[Term], candidates: Sequence[str], factor: str,
                       levels: tuple[str, str]) -> DataFrame:
     """Added-variable screen. ``design`` must contain ``base_terms`` and a
     main-effect term for every candidate. ONE Spark pass builds the Gram of
     all columns; per candidate, the F test of adding it to the base model
     and the ``levels[0] - levels[1]`` contrast of ``factor`` at the means."""
-    g = gram(design_df, y, design.spark_columns, design.columns)
+    g = gram(df, y, design)
     rows = []
     base = solve(g, _columns_of(design, base_terms))
     for c in candidates:

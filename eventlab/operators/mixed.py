@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from eventlab.functions.distributions import norm_ppf
-from eventlab.operators.design import Design, with_design
+from eventlab.operators.design import Design
 from eventlab.operators.linear import OLSFit, fit_from_gram, gram, predict_expr
 from eventlab.sources.files import stage
 
@@ -46,7 +46,7 @@ class MixedFit:
     groups: list[str]
     variances: dict[str, float]        # per group factor, plus "Residual"
     effects: dict[str, DataFrame]      # group factor -> (group value, n, effect, se)
-    base: DataFrame                    # staged design rows (y, _x*, group columns)
+    base: DataFrame                    # staged rows (y, model variables, group columns)
     y: str
 
     def fitted_expr(self, df_with_effects: DataFrame):
@@ -72,54 +72,70 @@ def _solve_clipped(A: np.ndarray, u: np.ndarray) -> np.ndarray:
 
 
 def moment_equations(base: DataFrame, r: str, groups: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The (K+1) x (K+1) moment system from Spark aggregates of residuals."""
+    """The (K+1) x (K+1) moment system from ONE pass over the residuals.
+
+    Each row is tagged once per grouping set -- the grand total, every factor
+    and every pair of factors -- and a single hash aggregate returns
+    (count, sum r, sum r^2) per set and group (what GROUPING SETS does). That
+    result is sized by the number of groups, not rows; it is staged and the
+    remaining sums run on it."""
     K = len(groups)
-    tot = base.agg(F.count(F.lit(1)).alias("n"), F.sum(r).alias("s"),
-                   F.sum(F.col(r) * F.col(r)).alias("ss")).first()
+    sets = [()] + [(g,) for g in groups] + [(groups[k], groups[j])
+                                             for k in range(K) for j in range(k + 1, K)]
+    none = F.lit(None).cast("string")
+    tags = [F.struct(F.lit(i).alias("set"),
+                     (F.col(s_[0]).cast("string") if len(s_) > 0 else none).alias("k1"),
+                     (F.col(s_[1]).cast("string") if len(s_) > 1 else none).alias("k2"))
+            for i, s_ in enumerate(sets)]
+    tagged = base.select(F.col(r).alias("_r"), F.explode(F.array(*tags)).alias("_t"))
+    stats = stage(tagged.groupBy("_t.set", "_t.k1", "_t.k2")
+                  .agg(F.count(F.lit(1)).alias("n"), F.sum("_r").alias("s"),
+                       F.sum(F.col("_r") * F.col("_r")).alias("ss")), "moment-stats")
+
+    tot = stats.where(F.col("set") == 0).first()
     N, S, SS = float(tot["n"]), float(tot["s"]), float(tot["ss"])
+    single = {row["set"]: row for row in stats.where((F.col("set") >= 1) & (F.col("set") <= K))
+              .groupBy("set").agg(F.count(F.lit(1)).alias("G"),
+                                  F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q"),
+                                  F.sum(F.col("n") * F.col("n")).alias("n2")).collect()}
+    pairs = stats.where(F.col("set") > K)
+    side1 = {row["set"]: row["v"] for row in pairs.groupBy("set", "k1")
+             .agg(F.sum(F.col("n") * F.col("n")).alias("s2"), F.sum("n").alias("ng"))
+             .groupBy("set").agg(F.sum(F.col("s2") / F.col("ng")).alias("v")).collect()}
+    side2 = {row["set"]: row["v"] for row in pairs.groupBy("set", "k2")
+             .agg(F.sum(F.col("n") * F.col("n")).alias("s2"), F.sum("n").alias("ng"))
+             .groupBy("set").agg(F.sum(F.col("s2") / F.col("ng")).alias("v")).collect()}
+
     u = np.zeros(K + 1)
     A = np.zeros((K + 1, K + 1))
     u[0] = SS - S * S / N
     A[0, K] = N - 1
-    G = {}
-    for k, g in enumerate(groups):
-        per = base.groupBy(g).agg(F.count(F.lit(1)).alias("n"), F.sum(r).alias("s"))
-        agg = per.agg(F.count(F.lit(1)).alias("G"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q"),
-                      F.sum(F.col("n") * F.col("n")).alias("n2")).first()
-        G[g] = float(agg["G"])
-        u[k + 1] = SS - float(agg["q"])
-        A[k + 1, K] = N - G[g]
-        A[0, k] = N - float(agg["n2"]) / N
+    for k in range(K):
+        row = single[k + 1]
+        u[k + 1] = SS - float(row["q"])
+        A[k + 1, K] = N - float(row["G"])
+        A[0, k] = N - float(row["n2"]) / N
+    idx = K + 1
     for k in range(K):
         for j in range(k + 1, K):
-            gk, gj = groups[k], groups[j]
-            cell = base.groupBy(gk, gj).agg(F.count(F.lit(1)).alias("n"))
-            for a, b, row in ((gk, gj, k), (gj, gk, j)):
-                col = j if row == k else k
-                v = (cell.groupBy(a).agg(F.sum(F.col("n") * F.col("n")).alias("s2"),
-                                         F.sum("n").alias("ng"))
-                     .agg(F.sum(F.col("s2") / F.col("ng")).alias("v")).first()["v"])
-                A[row + 1, col] = N - float(v)
+            A[k + 1, j] = N - float(side1[idx])   # equation k, groups of k split by j
+            A[j + 1, k] = N - float(side2[idx])   # equation j, groups of j split by k
+            idx += 1
     return A, u
 
 
-def _xty(base: DataFrame, adj: str, design: Design) -> np.ndarray:
-    aggs = [F.sum(F.col(adj)).alias("s")] + [F.sum(F.col(c) * F.col(adj)).alias(f"s{i}")
-                                             for i, c in enumerate(design.spark_columns)]
-    row = base.agg(*aggs).first()
-    return np.array([row["s"]] + [row[f"s{i}"] for i in range(len(design.spark_columns))], float)
-
-
 def fit_random_intercepts(df: DataFrame, y: str, design: Design, groups: Sequence[str],
                           sweeps: int = 2) -> MixedFit:
     """H6: fixed effects from ``design`` plus random intercepts for each
     column in ``groups`` (composite groups are plain concatenated columns).
 
-    Passes over the data: 1 stage write, 1 Gram, 1 + K + K(K-1)/2 moment
-    aggregates, then per sweep K group means and one X'y pass."""
+    Passes over the data: 1 stage write, 1 Gram, 1 moment pass (all
+    grouping sets at once), then per sweep K group means and one Gram of y
+    minus the group effects."""
     groups = list(groups)
-    base = stage(with_design(df, design, keep=[y, *groups]), "mixed-base")
-    g = gram(base, y, design.spark_columns, design.columns)
+    base = stage(df.select(y, *design.variables, *groups)
+                 .dropna(subset=[y, *design.variables]), "mixed-base")
+    g = gram(base, y, design)
     ols = fit_from_gram(design, g)
     resid = base.withColumn("_r", F.col(y) - predict_expr(ols, design))
     A, u = moment_equations(resid, "_r", groups)
@@ -149,9 +165,7 @@ def fit_random_intercepts(df: DataFrame, y: str, design: Design, groups: Sequenc
         for other, eff in effects.items():
             cur = cur.join(eff.select(other, F.col("effect").alias(f"_b_{other}")), other, "left")
         adj = F.col(y) - sum((F.coalesce(F.col(f"_b_{o}"), F.lit(0.0)) for o in effects), F.lit(0.0))
-        xty = _xty(cur.withColumn("_adj", adj), "_adj", design)
-        g2 = type(g)(g.names, g.xtx, xty, g.yty, g.n)
-        fixed = fit_from_gram(design, g2)
+        fixed = fit_from_gram(design, gram(cur.withColumn("_adj", adj), "_adj", design))
         fixed.sigma2 = ols.sigma2
         fixed.cov = ols.cov
     return MixedFit(design, fixed, groups, var, effects, base, y)

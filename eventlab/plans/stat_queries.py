@@ -21,6 +21,7 @@ from eventlab.operators.linear import (
     covariate_grid,
     effect_curve,
     fit_ols,
+    gram,
     gram_frame,
     screen_covariates,
 )
@@ -85,9 +86,7 @@ def design_sql(d: Design) -> list[str]:
 
 
 def _fit(spark, sf_dir):
-    d = design()
-    rows = with_design(model_df(spark, sf_dir), d, keep=["y"])
-    return fit_ols(rows, "y", d)
+    return fit_ols(model_df(spark, sf_dir), "y", design())
 
 
 # ------------------------------------------------------------- summaries
@@ -286,8 +285,7 @@ def _gram_sql() -> str:
 @register("gram_matrix", _gram_sql())
 def q_gram_matrix(spark, sf_dir):
     """H4 data pass: the Gram sums of the model in one aggregate."""
-    d = design()
-    return gram_frame(with_design(model_df(spark, sf_dir), d, keep=["y"]), "y", d.spark_columns)
+    return gram_frame(spark, gram(model_df(spark, sf_dir), "y", design()))
 
 
 @register("ols_coefficients")
@@ -320,8 +318,8 @@ def q_covariate_screen(spark, sf_dir):
     base_terms = [("Treatment",), ("crop",)]
     cands = ["qty", "discount", "ln_qty"]
     d = build_design(base_terms + [(c,) for c in cands], FACTORS)
-    rows = with_design(model_df(spark, sf_dir), d, keep=["y"])
-    return screen_covariates(spark, rows, "y", d, base_terms, cands, "Treatment", ("R", "A"))
+    return screen_covariates(spark, model_df(spark, sf_dir), "y", d, base_terms, cands,
+                             "Treatment", ("R", "A"))
 
 
 @register("effect_curve")

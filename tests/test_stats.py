@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventlab.functions.distributions import T975, norm_ppf, t_ppf, t_quantile_975, t_sf
-from eventlab.operators.design import build_design, with_design
+from eventlab.operators.design import build_design
 from eventlab.operators.linear import (
     anova,
     backward_eliminate,
@@ -72,7 +72,7 @@ def test_ols_matches_numpy(spark):
     rows = _model_rows()
     df = spark.createDataFrame(rows, "T string, B string, q double, y double")
     d = build_design([("T",), ("q",), ("T", "q"), ("B",)], {"T": ["c", "s"], "B": ["x", "y", "z"]})
-    fit = fit_ols(with_design(df, d, keep=["y"]), "y", d)
+    fit = fit_ols(df, "y", d)
     X = np.array([[1, t == "s", q, (t == "s") * q, b == "y", b == "z"] for t, b, q, _ in rows], float)
     Y = np.array([r[3] for r in rows])
     beta, *_ = np.linalg.lstsq(X, Y, rcond=None)
@@ -89,7 +89,7 @@ def test_anova_one_way_and_aliasing(spark):
     rows = [(g, float(v)) for g, vals in {"a": [1, 2, 3], "b": [4, 5, 6], "c": [7, 8, 9]}.items() for v in vals]
     df = spark.createDataFrame(rows, "g string, y double").withColumn("g2", F.col("g"))
     d = build_design([("g",), ("g2",)], {"g": ["a", "b", "c"], "g2": ["a", "b", "c"]})
-    fit = fit_ols(with_design(df, d, keep=["y"]), "y", d)
+    fit = fit_ols(df, "y", d)
     tab = {r["term"]: r for r in anova(spark, fit).collect()}
     assert tab["g"]["sum_sq"] == pytest.approx(54.0) and tab["g"]["df"] == 2
     assert tab["g2"]["df"] == 0                       # fully aliased term
@@ -102,7 +102,7 @@ def test_backward_elimination_respects_hierarchy(spark):
     rows = _model_rows(seed=8, n=600)
     df = spark.createDataFrame(rows, "T string, B string, q double, y double")
     d = build_design([("T",), ("q",), ("T", "q"), ("B",), ("T", "B")], {"T": ["c", "s"], "B": ["x", "y", "z"]})
-    fit = fit_ols(with_design(df, d, keep=["y"]), "y", d)
+    fit = fit_ols(df, "y", d)
     final, steps = backward_eliminate(spark, fit, alpha=0.1)
     dropped = [r["term"] for r in steps.collect() if r["action"] == "drop"]
     assert "T:B" in dropped and "T" not in dropped and ("T", "q") in final.terms
@@ -112,7 +112,7 @@ def test_marginal_means_one_way(spark):
     rows = [(g, float(v)) for g, vals in {"a": [1, 2, 3, 6], "b": [4, 5, 9]}.items() for v in vals]
     df = spark.createDataFrame(rows, "g string, y double")
     d = build_design([("g",)], {"g": ["a", "b"]})
-    fit = fit_ols(with_design(df, d, keep=["y"]), "y", d)
+    fit = fit_ols(df, "y", d)
     means, contr = marginal_means(spark, fit, "g")
     m = {r["level"]: r["emmean"] for r in means.collect()}
     assert m == pytest.approx({"a": 3.0, "b": 6.0})
@@ -155,6 +155,6 @@ def test_effect_curve_line(spark):
     df = spark.createDataFrame([(float(x), 1.0 + 2.0 * x + (0.1 if x % 2 else -0.1)) for x in range(20)],
                                "q double, y double")
     d = build_design([("q",)], {})
-    fit = fit_ols(with_design(df, d, keep=["y"]), "y", d)
+    fit = fit_ols(df, "y", d)
     cur = {r["x"]: r["fit"] for r in effect_curve(spark, fit, "q", [0.0, 10.0]).collect()}
     assert cur[10.0] - cur[0.0] == pytest.approx(10 * fit.beta[1])
