@@ -193,18 +193,26 @@ def regular_grid(df: DataFrame, keys: Sequence[str], time_col: str,
                  out_time: str = "date_time") -> DataFrame:
     """Make an irregular series regular, zero-filling empty steps.
 
-    1. floor times to the step and sum each value per (keys, step) -- a hash
+    1. floor times to the step and sum each value per (keys, step): a hash
        aggregate with map-side partial sums, so hot keys are pre-reduced;
-    2. per series, a spine from the first to the last step (``sequence``);
-    3. left join spine to sums on (keys, step), ``coalesce(v, 0)``.
+    2. per series, ``lead`` gives the next occupied step, and each occupied
+       step emits itself plus zero rows up to the next one (``sequence``).
+    One scan, no join and no spine table: the only shuffles are the
+    aggregate's and one of the (compact) step sums by series key -- the same
+    partitioning the segmentation windows need afterwards.
     ``values`` maps output names to per-row value expressions (e.g. a
     ``when(type in ..., value)``); the sum of an all-NULL step is 0.
     """
+    step = F.make_dt_interval(secs=F.lit(step_seconds))
     binned = (df.withColumn(out_time, floor_time(time_col, step_seconds))
               .groupBy(*keys, out_time)
               .agg(*[F.sum(expr).alias(name) for name, expr in values.items()]))
-    bounds = binned.groupBy(*keys).agg(F.min(out_time).alias("_t0"), F.max(out_time).alias("_t1"))
-    spine = bounds.select(*keys, F.explode(F.sequence(
-        "_t0", "_t1", F.make_dt_interval(secs=F.lit(step_seconds)))).alias(out_time))
-    filled = spine.join(binned, [*keys, out_time], "left")
-    return filled.withColumns({n: F.coalesce(F.col(n), F.lit(0.0)) for n in values})
+    w = Window.partitionBy(*keys).orderBy(out_time)
+    nxt = binned.withColumn("_next", F.lead(out_time).over(w))
+    last = F.coalesce(F.timestamp_add("SECOND", F.lit(-step_seconds), F.col("_next")),
+                      F.col(out_time))
+    spread = nxt.withColumn("_t", F.explode(F.sequence(F.col(out_time), last, step)))
+    first = F.col("_t") == F.col(out_time)
+    return spread.select(*keys, F.col("_t").alias(out_time),
+                         *[F.when(first, F.coalesce(F.col(n), F.lit(0.0))).otherwise(F.lit(0.0)).alias(n)
+                           for n in values])

@@ -98,3 +98,19 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
 def attach(df: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Lookup join of dimension attributes on ``keys``."""
     return df.join(dim, list(keys), how)
+
+
+def apply_overrides(df: DataFrame, rows: Sequence[tuple], keys: Sequence[str],
+                    cols: Sequence[str]) -> DataFrame:
+    """Hand edits as data: ``rows`` are (keys..., new values for ``cols``...);
+    a matching row takes the new non-NULL values, other rows are unchanged.
+    The edit list is a literal (size-checked broadcast), joined on equi keys."""
+    if not rows:
+        return df
+    schema = StructType([df.schema[k] for k in keys] +
+                        [df.schema[c].__class__(f"_new_{c}", df.schema[c].dataType, True)
+                         for c in cols])
+    edits = literal_table(df.sparkSession, list(rows), schema)
+    joined = df.join(edits, list(keys), "left")
+    return joined.select(*[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in cols
+                           else F.col(c) for c in df.columns])

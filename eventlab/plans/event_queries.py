@@ -25,7 +25,7 @@ from eventlab.operators.events import (
     total_on_rows,
     window_per_key,
 )
-from eventlab.operators.filters import above, exclude, keep_first
+from eventlab.operators.filters import above, apply_overrides, keep_first
 from eventlab.operators.joins import interval_join, overlap_summary
 from eventlab.operators.summary import mean_ci
 from eventlab.plans.registry import register, with_ctes
@@ -50,6 +50,8 @@ SWEEP_STEPS = (2, 4, 8, 12)  # sensitivity sweep of the rain gap
 RAIN_MIN_DEPTH = 0.00254    # events with less total rain are dropped
 DETECTION_LIMIT = 3.977139e-6
 GAP_MINUTES = 60            # gap-based events: a new event after > 60 min
+# Hand edits of runoff events: (SiteID, Year, ro_event) -> new flow_time.
+RUNOFF_OVERRIDES = [("S1", datetime(2024, 1, 8), 3, 240.0), ("S2", datetime(2024, 1, 15), 1, 60.0)]
 # Exclusion list (SiteID, Year week); None is a wildcard.
 EXCLUSIONS = [("S7", None), ("S5", datetime(2024, 1, 8)), ("S6", datetime(2024, 1, 1))]
 EXCLUSIONS_SQL = ("NOT (SiteID = 'S7') AND NOT (SiteID = 'S5' AND Year = TIMESTAMP '2024-01-08')"
@@ -71,13 +73,11 @@ CI_SELECT = "SELECT {by}, n, mean, sd, se, mean - _q * se AS lb, mean + _q * se
 # ------------------------------------------------------------------ builders
 
 def rain_grid(spark, sf_dir) -> DataFrame:
-    return exclude(series_grid(spark, sf_dir).select(*SERIES_KEYS, "date_time", "rain"),
-                   EXCLUSIONS, ["SiteID", "Year"])
+    return series_grid(spark, sf_dir, exclusions=EXCLUSIONS).select(*SERIES_KEYS, "date_time", "rain")
 
 
 def flow_grid(spark, sf_dir) -> DataFrame:
-    return exclude(series_grid(spark, sf_dir).select(*SERIES_KEYS, "date_time", "flow"),
-                   EXCLUSIONS, ["SiteID", "Year"])
+    return series_grid(spark, sf_dir, exclusions=EXCLUSIONS).select(*SERIES_KEYS, "date_time", "flow")
 
 
 def rain_events_df(spark: SparkSession, sf_dir: str, gap: int = RAIN_GAP_STEPS) -> DataFrame:
@@ -403,3 +403,15 @@ def q_sample_rain_overlap(spark, sf_dir):
                           [F.count("rf_event").alias("num_rf"), F.sum("rain_mm").alias("rf_sum"),
                            F.sum("rain_hr").alias("rf_time")])
     return out.fillna(0, subset=["num_rf"])
+
+
+@register("runoff_overrides", with_ctes(runoff_ctes(), """SELECT r.Year, r.SiteID, r.Treatment,
+  r.ro_event, r.flow, coalesce(o.ft, r.flow_time) AS flow_time, r.eventStart, r.eventEnd
+  FROM runoff_events r LEFT JOIN (VALUES ('S1', TIMESTAMP '2024-01-08', 3, 240.0),
+    ('S2', TIMESTAMP '2024-01-15', 1, 60.0)) o(SiteID, Year, ro_event, ft)
+  ON r.SiteID = o.SiteID AND r.Year = o.Year AND r.ro_event = o.ro_event"""))
+def q_runoff_overrides(spark, sf_dir):
+    """Hand edits between steps, re-aimed as an override table joined in
+    (new flow_time for listed runoff events; every other row unchanged)."""
+    return apply_overrides(runoff_events_df(spark, sf_dir), RUNOFF_OVERRIDES,
+                           ["SiteID", "Year", "ro_event"], ["flow_time"])

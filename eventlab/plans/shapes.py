@@ -44,9 +44,15 @@ def keyed_events(spark: SparkSession, sf_dir: str, types) -> DataFrame:
                      period_col().alias("Year"), "ts", "event_type", "value", "event_id", "user_id")
 
 
-def series_grid(spark: SparkSession, sf_dir: str, step: int = GRID_SECONDS) -> DataFrame:
-    """Regular rain/flow series per (SiteID, Treatment, Year), zero-filled."""
+def series_grid(spark: SparkSession, sf_dir: str, step: int = GRID_SECONDS,
+                exclusions=None) -> DataFrame:
+    """Regular rain/flow series per (SiteID, Treatment, Year), zero-filled.
+    ``exclusions`` (SiteID, Year) rows are removed from the raw rows first
+    (map-side broadcast anti join, before any shuffle)."""
     ev = keyed_events(spark, sf_dir, RAIN_TYPES + FLOW_TYPES)
+    if exclusions:
+        from eventlab.operators.filters import exclude
+        ev = exclude(ev, exclusions, ["SiteID", "Year"])
     values = {
         "rain": F.when(F.col("event_type").isin(*RAIN_TYPES), F.col("value")),
         "flow": F.when(F.col("event_type").isin(*FLOW_TYPES), F.col("value")),
