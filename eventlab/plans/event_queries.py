@@ -29,6 +29,7 @@ from eventlab.operators.filters import above, apply_overrides, keep_first
 from eventlab.operators.joins import interval_join, overlap_summary
 from eventlab.operators.summary import mean_ci
 from eventlab.plans.registry import register, with_ctes
+from eventlab.sources.files import stage
 from eventlab.plans.shapes import (
     GRID_SECONDS,
     RAIN_TYPES,
@@ -72,19 +73,32 @@ CI_SELECT = "SELECT {by}, n, mean, sd, se, mean - _q * se AS lb, mean + _q * se
 
 # ------------------------------------------------------------------ builders
 
-def rain_grid(spark, sf_dir) -> DataFrame:
-    return series_grid(spark, sf_dir, exclusions=EXCLUSIONS).select(*SERIES_KEYS, "date_time", "rain")
+def rain_grid(spark, sf_dir, grid: DataFrame | None = None) -> DataFrame:
+    g = grid if grid is not None else series_grid(spark, sf_dir, exclusions=EXCLUSIONS)
+    return g.select(*SERIES_KEYS, "date_time", "rain")
 
 
-def flow_grid(spark, sf_dir) -> DataFrame:
-    return series_grid(spark, sf_dir, exclusions=EXCLUSIONS).select(*SERIES_KEYS, "date_time", "flow")
+def flow_grid(spark, sf_dir, grid: DataFrame | None = None) -> DataFrame:
+    g = grid if grid is not None else series_grid(spark, sf_dir, exclusions=EXCLUSIONS)
+    return g.select(*SERIES_KEYS, "date_time", "flow")
 
 
-def rain_events_df(spark: SparkSession, sf_dir: str, gap: int = RAIN_GAP_STEPS) -> DataFrame:
+def shared_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Grid and samples staged once in the shared folder for queries that
+    use both the rain and the runoff branch: the raw table is scanned once
+    per input instead of once per branch (column pruning makes the branches
+    differ, so Spark could not reuse their exchanges)."""
+    grid = stage(series_grid(spark, sf_dir, exclusions=EXCLUSIONS), "grid")
+    smp = stage(samples(spark, sf_dir), "samples")
+    return grid, smp
+
+
+def rain_events_df(spark: SparkSession, sf_dir: str, gap: int = RAIN_GAP_STEPS,
+                   grid: DataFrame | None = None) -> DataFrame:
     """Rain events: segmentation (E5), summary (E6), exclusion list (C2, on
     partition keys, so applied before the windows), minimum depth (C4),
     numbering per site-period (E7), units and rate (B6, B7)."""
-    flags = segment_events(rain_grid(spark, sf_dir), SERIES_KEYS, ["date_time"], "rain", gap)
+    flags = segment_events(rain_grid(spark, sf_dir, grid), SERIES_KEYS, ["date_time"], "rain", gap)
     ev = summarize_events(flags, SERIES_KEYS, "rain", "date_time", "precipitation", "rain_time")
     ev = above(ev, "precipitation", RAIN_MIN_DEPTH)
     ev = number_events(ev, ["SiteID", "Year"], ["eventStart", "eventEnd", "Treatment"], "rf_event")
@@ -114,9 +128,10 @@ def rain_ctes(gap: int = RAIN_GAP_STEPS) -> list[str]:
   FROM kept)"""]
 
 
-def runoff_events_df(spark: SparkSession, sf_dir: str, gap: int = FLOW_GAP_STEPS) -> DataFrame:
+def runoff_events_df(spark: SparkSession, sf_dir: str, gap: int = FLOW_GAP_STEPS,
+                     grid: DataFrame | None = None) -> DataFrame:
     """Runoff events per series (E5 on flow, K = 8 steps), with duration."""
-    flags = segment_events(flow_grid(spark, sf_dir), SERIES_KEYS, ["date_time"], "flow", gap)
+    flags = segment_events(flow_grid(spark, sf_dir, grid), SERIES_KEYS, ["date_time"], "flow", gap)
     ev = summarize_events(flags, SERIES_KEYS, "flow", "date_time", "flow", "flow_time")
     return ev.select("Year", "SiteID", "Treatment", F.col("eventid").alias("ro_event"),
                      "flow", "flow_time", "eventStart", "eventEnd")
@@ -134,12 +149,14 @@ def runoff_ctes(gap: int = FLOW_GAP_STEPS) -> list[str]:
             f"FROM fev)"]
 
 
-def rain_samples_df(spark, sf_dir) -> DataFrame:
+def rain_samples_df(spark, sf_dir, grid: DataFrame | None = None,
+                    smp: DataFrame | None = None) -> DataFrame:
     """D4 + D2: samples inside rain events (same site and treatment, sample
     step within [start, end]). Each (event, sample) pair is emitted once by
     the interval join, so the reference's ``distinct`` is not needed."""
-    smp = samples(spark, sf_dir).select("SiteID", "Treatment", "sampleID", "step_time")
-    j = interval_join(smp, rain_events_df(spark, sf_dir), ["SiteID", "Treatment"],
+    smp = (smp if smp is not None else samples(spark, sf_dir)).select(
+        "SiteID", "Treatment", "sampleID", "step_time")
+    j = interval_join(smp, rain_events_df(spark, sf_dir, grid=grid), ["SiteID", "Treatment"],
                       "step_time", "eventStart", "eventEnd")
     return j.select("Year", "SiteID", "Treatment", "rf_event", "sampleID",
                     "rain_mm", "rain_hr", "rf_rate")
@@ -151,12 +168,14 @@ RAIN_SAMPLES_CTE = """rain_samples AS (
    AND s.step_time BETWEEN r.eventStart AND r.eventEnd)"""
 
 
-def runoff_samples_df(spark, sf_dir) -> DataFrame:
+def runoff_samples_df(spark, sf_dir, grid: DataFrame | None = None,
+                      smp: DataFrame | None = None) -> DataFrame:
     """D4 + F7 + C5: load per (runoff event, sample), then per sample the
     roll-up over its events (tss_sum, flow_sum, flow_min, ro_count), above
     the detection limit."""
-    smp = samples(spark, sf_dir).select("SiteID", "Treatment", "sampleID", "step_time", "tss_kg_ha")
-    j = interval_join(smp, runoff_events_df(spark, sf_dir), ["SiteID", "Treatment"],
+    smp = (smp if smp is not None else samples(spark, sf_dir)).select(
+        "SiteID", "Treatment", "sampleID", "step_time", "tss_kg_ha")
+    j = interval_join(smp, runoff_events_df(spark, sf_dir, grid=grid), ["SiteID", "Treatment"],
                       "step_time", "eventStart", "eventEnd")
     per_event = (j.groupBy("Year", "SiteID", "Treatment", "sampleID", "ro_event", "flow", "flow_time")
                  .agg(F.sum("tss_kg_ha").alias("tss_sum")))
@@ -181,9 +200,10 @@ RUNOFF_SAMPLES_CTES = [
 def rain_runoff_samples_df(spark, sf_dir) -> DataFrame:
     """Runoff totals per sample joined to every rain event of the sample
     (1:n), on (SiteID, sampleID); Year and Treatment from the runoff side."""
-    ro = runoff_samples_df(spark, sf_dir)
-    rf = rain_samples_df(spark, sf_dir).select("SiteID", "sampleID", "rf_event", "rain_mm",
-                                               "rain_hr", "rf_rate")
+    grid, smp = shared_inputs(spark, sf_dir)
+    ro = runoff_samples_df(spark, sf_dir, grid, smp)
+    rf = rain_samples_df(spark, sf_dir, grid, smp).select("SiteID", "sampleID", "rf_event",
+                                                          "rain_mm", "rain_hr", "rf_rate")
     return (ro.join(rf, ["SiteID", "sampleID"], "inner")
             .select("SiteID", "Year", "Treatment", "sampleID", "tss_sum", "ro_count", "flow_sum",
                     "flow_min", "rf_event", "rain_mm", "rain_hr", "rf_rate"))
