@@ -6,7 +6,7 @@ local[$BENCH_CPUS] and prints ONE JSON line:
 
 Each query is executed in full with the ``noop`` sink (no rows collected);
 the time per query is the best of ``$BENCH_REPEAT`` runs (default 2) after
-one untimed warm-up of the flagship.
+one untimed warm-up run of the flagship on the same data.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def main() -> None:
     from eventlab.plans.catalog import QUERIES
 
     spark = build_session("eventlab-bench", cpus, shuffle_partitions=int(cpus) * 2)
-    QUERIES["events_flagship"](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+    QUERIES["events_flagship"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for name in HEADLINE:
         best = None

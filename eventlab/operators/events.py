@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlab.functions.columns import duration_minutes, floor_time
+from eventlab.functions.columns import duration_minutes, floor_time, time_bucket_index
 
 
 def _w(keys: Sequence[str], order: Sequence[str]):
@@ -107,16 +107,45 @@ def number_events(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return df.withColumn(out, F.row_number().over(_w(keys, order)))
 
 
+def _gap_buckets(df: DataFrame, keys: Sequence[str], time_col: str, gap_minutes: float,
+                 aggs: Sequence[Column] = ()) -> DataFrame:
+    """Rows reduced to (keys, bucket of width ``gap``) with first/last time
+    (map-side partial aggregate), then numbered into gap events by a window
+    over the buckets. Rows inside one bucket are closer than the gap, so
+    they always share an event; only bucket edges need the gap test."""
+    width = max(1, int(gap_minutes * 60))
+    b = (df.withColumn("_gb", time_bucket_index(time_col, width))
+         .groupBy(*keys, "_gb")
+         .agg(F.min(time_col).alias("_t0"), F.max(time_col).alias("_t1"), *aggs))
+    w = Window.partitionBy(*keys).orderBy("_gb")
+    gap = F.timestamp_diff("MICROSECOND", F.lag("_t1").over(w), F.col("_t0")) / F.lit(60_000_000.0)
+    new = F.when(gap > gap_minutes, 1).otherwise(0)
+    return b.withColumn("_ev", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding,
+                                                             Window.currentRow)))
+
+
 def gap_events(df: DataFrame, keys: Sequence[str], time_col: str, gap_minutes: float,
                out: str = "event", tiebreak: Sequence[str] = ()) -> DataFrame:
-    """``c(0, cumsum(diff(t) > gap))`` -- a new event when the time since
-    the previous row exceeds ``gap_minutes`` (a gap of exactly ``gap`` stays)."""
-    w = _w(keys, [time_col, *tiebreak])
-    prev = F.lag(time_col).over(w)
-    gap = F.timestamp_diff("MICROSECOND", prev, F.col(time_col)) / F.lit(60_000_000.0)
-    new = F.when(gap > gap_minutes, 1).otherwise(0)
-    return df.withColumn(out, F.sum(new).over(w.rowsBetween(Window.unboundedPreceding,
-                                                            Window.currentRow)))
+    """``c(0, cumsum(diff(t) > gap))`` on every row -- a new event when
+    the time since the previous row exceeds ``gap_minutes`` (a gap of
+    exactly ``gap`` stays). The window runs over gap-width buckets, not raw
+    rows (bounded per series however hot the key); rows get their event
+    from their bucket by an equi join on (keys, bucket)."""
+    width = max(1, int(gap_minutes * 60))
+    ev = _gap_buckets(df, keys, time_col, gap_minutes).select(*keys, "_gb", F.col("_ev").alias(out))
+    return (df.withColumn("_gb", time_bucket_index(time_col, width))
+            .join(ev, [*keys, "_gb"]).drop("_gb"))
+
+
+def gap_event_summary(df: DataFrame, keys: Sequence[str], time_col: str, gap_minutes: float,
+                      value: str, out: str = "event") -> DataFrame:
+    """E8 summary: per gap event, row count, total, first and last time --
+    computed from bucket statistics only (no row-level window or join)."""
+    b = _gap_buckets(df, keys, time_col, gap_minutes,
+                     [F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s")])
+    return (b.groupBy(*keys, F.col("_ev").alias(out))
+            .agg(F.sum("_n").alias("n"), F.sum("_s").alias("total"),
+                 F.min("_t0").alias("eventStart"), F.max("_t1").alias("eventEnd")))
 
 
 def session_events(df: DataFrame, keys: Sequence[str], time_col: str, gap_minutes: int,

@@ -16,7 +16,7 @@ from eventlab.functions.distributions import t_quantile_975_sql
 from eventlab.operators.events import (
     daily_totals,
     expand_grid,
-    gap_events,
+    gap_event_summary,
     number_events,
     run_lengths,
     segment_events,
@@ -346,12 +346,10 @@ def q_rain_threshold_sweep(spark, sf_dir):
   min(ts) AS eventStart, max(ts) AS eventEnd FROM ge2 GROUP BY ALL"""))
 def q_gap_events(spark, sf_dir):
     """E8 + G6: events by time gap (> 60 min starts a new one) on raw rain
-    rows, numbered from 0 per series, with count, total, start and end."""
+    rows, numbered from 0 per series, with count, total, start and end
+    (windows over 60-minute buckets, not raw rows)."""
     ev = keyed_events(spark, sf_dir, RAIN_TYPES)
-    ge = gap_events(ev, SERIES_KEYS, "ts", GAP_MINUTES, "event", tiebreak=["event_id"])
-    return ge.groupBy(*SERIES_KEYS, "event").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"),
-        F.min("ts").alias("eventStart"), F.max("ts").alias("eventEnd"))
+    return gap_event_summary(ev, SERIES_KEYS, "ts", GAP_MINUTES, "value", "event")
 
 
 @register("rain_event_steps", with_ctes(rain_ctes(), """SELECT Year, SiteID, Treatment, rf_event,

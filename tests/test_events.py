@@ -143,3 +143,29 @@ def test_regular_grid_zero_fill(spark):
     g = regular_grid(df, ["k"], "ts", {"v": F.col("v")}, 900).orderBy("k", "date_time").collect()
     assert [(r["k"], r["date_time"].minute, r["v"]) for r in g] == [
         ("a", 0, 3.0), ("a", 15, 0.0), ("a", 30, 0.0), ("a", 45, 4.0), ("b", 15, 3.0)]
+
+
+def test_gap_events_random_against_python(spark):
+    from eventlab.operators.events import gap_event_summary
+    rng = random.Random(21)
+    t0 = datetime(2024, 1, 1)
+    rows = []
+    for key in ("a", "b", "c"):
+        t = 0.0
+        for i in range(120):
+            t += rng.choice([0.5, 10, 59.9, 60, 60.01, 61, 200, 0.01])
+            rows.append((key, t0 + timedelta(minutes=t), float(i)))
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, v double")
+    got = {(r["k"], r["ts"]): r["event"] for r in gap_events(df, ["k"], "ts", 60).collect()}
+    want = {}
+    for key in ("a", "b", "c"):
+        ts = sorted(t for k, t, _ in rows if k == key)
+        ev = 0
+        for i, t in enumerate(ts):
+            if i and (t - ts[i - 1]).total_seconds() / 60 > 60:
+                ev += 1
+            want[(key, t)] = ev
+    assert got == want
+    summ = gap_event_summary(df, ["k"], "ts", 60, "v").collect()
+    assert sum(r["n"] for r in summ) == len(rows)
+    assert len(summ) == len(set(want.items()) and {(k, e) for (k, _), e in want.items()})
