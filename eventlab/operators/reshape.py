@@ -57,26 +57,67 @@ def complete_cells(df: DataFrame, factors: Mapping[str, Sequence | None],
     return out.fillna(dict(fill)) if fill else out
 
 
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
+                    accuracy: int = 1_000_000, prefix: str = "q") -> DataFrame:
+    """Exact quantiles per group (linear interpolation between order
+    statistics, R's default type 7), without holding a group in one task.
+
+    A ``percentile_approx`` sketch (bounded memory, rank error <= n/accuracy)
+    brackets each target rank; one more pass counts the rows below each
+    bracket and gathers only the rows inside it (about 8 n / accuracy per
+    probability; a group of at most ``accuracy`` rows is its own band). The
+    exact order statistics are read from that band. A
+    bracket that misses its rank (cannot happen within the sketch's
+    guarantee) raises instead of returning a wrong value."""
+    x = F.col(value).cast("double")
+    base = df.select(*by, x.alias("_x")).where(F.col("_x").isNotNull())
+    m = 4.0 / accuracy
+    qs = [q for p in probs for q in (max(0.0, p - m), min(1.0, p + m))]
+    bounds = base.groupBy(*by).agg(F.count("_x").alias("_n"),
+                                   F.percentile_approx("_x", qs, accuracy).alias("_b"))
+    j = base.join(bounds, list(by))
+    aggs = []
+    small = F.col("_n") <= accuracy          # band = whole group, at most ``accuracy`` rows
+    for i, _ in enumerate(probs):
+        lo = F.when(small, F.lit(float("-inf"))).otherwise(F.col("_b")[2 * i])
+        hi = F.when(small, F.lit(float("inf"))).otherwise(F.col("_b")[2 * i + 1])
+        aggs.append(F.count_if(F.col("_x") < lo).alias(f"_below{i}"))
+        aggs.append(F.array_sort(F.collect_list(F.when(F.col("_x").between(lo, hi), F.col("_x"))))
+                    .alias(f"_band{i}"))
+    per = j.groupBy(*by, "_n").agg(*aggs)
+    outs = []
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1) * F.lit(float(p)) + 1
+        r_lo, r_hi = F.floor(h), F.ceil(h)
+        band, below = F.col(f"_band{i}"), F.col(f"_below{i}")
+        v_lo = F.element_at(band, (r_lo - below).cast("int"))
+        v_hi = F.element_at(band, (r_hi - below).cast("int"))
+        ok = (r_lo - below >= 1) & (r_hi - below <= F.size(band))
+        val = v_lo + (h - r_lo) * (v_hi - v_lo)
+        outs.append(F.when(ok, val).otherwise(F.raise_error(
+            F.lit(f"quantile bracket missed for p={p}"))).alias(f"{prefix}{i}"))
+    return per.select(*by, F.col("_n").alias("n"), *outs)
+
+
 def box_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Boxplot summary per group: quartiles (linear interpolation, as R's
     default quantile), IQR, whiskers (most extreme values within 1.5 IQR of
     the box) and the number of outliers.
 
-    Quartiles use the exact ``percentile`` aggregate (partial aggregation;
-    its buffer is a value->count map). The whisker pass joins the per-group
-    quartiles back -- one row per group, sized by the number of groups."""
+    Quartiles come from ``exact_quantiles`` (sketch bracket + band, so no
+    group is gathered whole in one task); the whisker pass joins the
+    per-group quartiles back -- one row per group."""
     x = F.col(value)
-    q = (df.groupBy(*by)
-         .agg(F.count(x).alias("n"), F.percentile(x, [0.25, 0.5, 0.75]).alias("_q"),
-              F.min(x).alias("min"), F.max(x).alias("max"))
-         .select(*by, "n", "min", "max", F.col("_q")[0].alias("q1"),
-                 F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    q = (exact_quantiles(df, by, value, [0.25, 0.5, 0.75])
+         .select(*by, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"),
+                 F.col("q2").alias("q3"))
          .withColumn("iqr", F.col("q3") - F.col("q1")))
     lo = F.col("q1") - 1.5 * F.col("iqr")
     hi = F.col("q3") + 1.5 * F.col("iqr")
     w = (df.select(*by, value).join(q.select(*by, "q1", "q3", "iqr"), list(by))
          .groupBy(*by)
-         .agg(F.min(F.when(x >= lo, x)).alias("lower_whisker"),
+         .agg(F.min(x).alias("min"), F.max(x).alias("max"),
+              F.min(F.when(x >= lo, x)).alias("lower_whisker"),
               F.max(F.when(x <= hi, x)).alias("upper_whisker"),
               F.count(F.when((x < lo) | (x > hi), x)).alias("n_outliers")))
     return q.join(w, list(by))

@@ -149,3 +149,18 @@ def test_box_stats_quartiles(spark):
     r = box_stats(df, ["g"], "x").first()
     assert (r["q1"], r["median"], r["q3"]) == (3.0, 5.0, 7.0)
     assert r["upper_whisker"] == 8.0 and r["n_outliers"] == 1
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import numpy as np
+    from eventlab.operators.reshape import exact_quantiles
+    rng = random.Random(13)
+    rows = [(g, float(rng.choice([rng.gauss(0, 1), 1.0, 2.5]))) for g in "abc" for _ in range(rng.randint(1, 3000))]
+    df = spark.createDataFrame(rows, "g string, x double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
+    # a tiny sketch accuracy forces wide brackets and real band selection
+    out = {r["g"]: r for r in exact_quantiles(df, ["g"], "x", probs, accuracy=50).collect()}
+    for g in "abc":
+        xs = np.array([v for h, v in rows if h == g])
+        for i, p in enumerate(probs):
+            assert out[g][f"q{i}"] == pytest.approx(float(np.quantile(xs, p)), abs=1e-12)
