@@ -92,19 +92,30 @@ def moment_equations(base: DataFrame, r: str, groups: Sequence[str]) -> tuple[np
                   .agg(F.count(F.lit(1)).alias("n"), F.sum("_r").alias("s"),
                        F.sum(F.col("_r") * F.col("_r")).alias("ss")), "moment-stats")
 
-    tot = stats.where(F.col("set") == 0).first()
-    N, S, SS = float(tot["n"]), float(tot["s"]), float(tot["ss"])
-    single = {row["set"]: row for row in stats.where((F.col("set") >= 1) & (F.col("set") <= K))
-              .groupBy("set").agg(F.count(F.lit(1)).alias("G"),
-                                  F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q"),
-                                  F.sum(F.col("n") * F.col("n")).alias("n2")).collect()}
+    # all driver-side scalars in one job: totals, per-factor and per-pair sums
+    lit0 = F.lit(0.0)
+    tot = stats.where(F.col("set") == 0).select(
+        F.lit("tot").alias("kind"), "set", F.col("n").cast("double").alias("a"),
+        F.col("s").alias("b"), F.col("ss").alias("c"))
+    single = (stats.where((F.col("set") >= 1) & (F.col("set") <= K)).groupBy("set")
+              .agg(F.count(F.lit(1)).cast("double").alias("a"),
+                   F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"),
+                   F.sum(F.col("n") * F.col("n")).cast("double").alias("c"))
+              .select(F.lit("single").alias("kind"), "set", "a", "b", "c"))
     pairs = stats.where(F.col("set") > K)
-    side1 = {row["set"]: row["v"] for row in pairs.groupBy("set", "k1")
-             .agg(F.sum(F.col("n") * F.col("n")).alias("s2"), F.sum("n").alias("ng"))
-             .groupBy("set").agg(F.sum(F.col("s2") / F.col("ng")).alias("v")).collect()}
-    side2 = {row["set"]: row["v"] for row in pairs.groupBy("set", "k2")
-             .agg(F.sum(F.col("n") * F.col("n")).alias("s2"), F.sum("n").alias("ng"))
-             .groupBy("set").agg(F.sum(F.col("s2") / F.col("ng")).alias("v")).collect()}
+    sides = []
+    for side, key in (("side1", "k1"), ("side2", "k2")):
+        sides.append(pairs.groupBy("set", key)
+                     .agg(F.sum(F.col("n") * F.col("n")).alias("s2"), F.sum("n").alias("ng"))
+                     .groupBy("set").agg(F.sum(F.col("s2") / F.col("ng")).alias("a"))
+                     .select(F.lit(side).alias("kind"), "set", "a", lit0.alias("b"), lit0.alias("c")))
+    got = {(r["kind"], r["set"]): r for r in tot.unionByName(single).unionByName(sides[0])
+           .unionByName(sides[1]).collect()}
+    t = got[("tot", 0)]
+    N, S, SS = float(t["a"]), float(t["b"]), float(t["c"])
+    single = {k[1]: {"G": r["a"], "q": r["b"], "n2": r["c"]} for k, r in got.items() if k[0] == "single"}
+    side1 = {k[1]: r["a"] for k, r in got.items() if k[0] == "side1"}
+    side2 = {k[1]: r["a"] for k, r in got.items() if k[0] == "side2"}
 
     u = np.zeros(K + 1)
     A = np.zeros((K + 1, K + 1))
