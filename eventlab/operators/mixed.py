@@ -227,22 +227,25 @@ def normal_scores(df: DataFrame, col: str, out: str = "theoretical",
     probs = [i / nb for i in range(1, nb)]
     bounds = sorted(set(df.approxQuantile(col, probs, 1.0 / (4 * nb)))) if probs else []
     base = df.withColumn(col, F.col(col).cast("double"))
+    a = 0.375 if n <= 10 else 0.5
     if bounds:
         bk = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol=col, outputCol="_bucket",
                         handleInvalid="keep")
         tagged = bk.transform(base)
+        counts = tagged.groupBy("_bucket").count().collect()          # nb rows (bounded)
+        offsets, acc = [], 0
+        for r in sorted(counts, key=lambda r: r["_bucket"]):
+            offsets.append((float(r["_bucket"]), acc))
+            acc += int(r["count"])
+        off = df.sparkSession.createDataFrame(offsets, "_bucket double, _offset long")
+        w = Window.partitionBy("_bucket").orderBy(col, *tiebreak)
+        ranked = (tagged.join(F.broadcast(off), "_bucket")
+                  .withColumn("_rank", F.col("_offset") + F.row_number().over(w)))
     else:
-        tagged = base.withColumn("_bucket", F.lit(0.0))
-    counts = tagged.groupBy("_bucket").count().collect()          # nb rows (bounded)
-    offsets, acc = [], 0
-    for r in sorted(counts, key=lambda r: r["_bucket"]):
-        offsets.append((float(r["_bucket"]), acc))
-        acc += int(r["count"])
-    off = df.sparkSession.createDataFrame(offsets, "_bucket double, _offset long")
-    w = Window.partitionBy("_bucket").orderBy(col, *tiebreak)
-    a = 0.375 if n <= 10 else 0.5
-    ranked = (tagged.join(F.broadcast(off), "_bucket")
-              .withColumn("_rank", F.col("_offset") + F.row_number().over(w)))
+        # n <= rows_per_bucket: one bucket, ranked directly (bounded size)
+        w = Window.orderBy(col, *tiebreak)
+        ranked = base.withColumn("_bucket", F.lit(0.0)).withColumn("_offset", F.lit(0)).withColumn(
+            "_rank", F.row_number().over(w))
     p = (F.col("_rank") - F.lit(a)) / F.lit(n + 1 - 2 * a)
     return ranked.withColumn(out, _norm_ppf_udf(p)).drop("_bucket", "_offset", "_rank")
 
