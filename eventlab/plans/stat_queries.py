@@ -376,3 +376,38 @@ def q_residual_diagnostics(spark, sf_dir):
         "y", "Treatment", "qty", "crop", *RANDOM, "l_orderkey", "l_linenumber", "l_partkey"),
         "y", d, RANDOM, sweeps=1)
     return diagnostics(fit)
+
+
+ONE_WAY_SQL = [SQL_MODEL, f"""ow0 AS (SELECT SiteID || ':' || Treatment AS g, {MODEL_SQL_Y} AS y0 FROM model)""",
+    """ow AS (SELECT g, y0 - (SELECT avg(y0) FROM ow0) AS y FROM ow0)""",
+    """ow_g AS (SELECT g, count(*) AS n, sum(y) AS s FROM ow GROUP BY g)""",
+    """ow_t AS (SELECT CAST(count(*) AS DOUBLE) AS N, sum(y) AS S, sum(y * y) AS SS FROM ow)""",
+    """ow_m AS (SELECT N, SS - S * S / N AS U0, SS - (SELECT sum(s * s / n) FROM ow_g) AS U1,
+         CAST((SELECT count(*) FROM ow_g) AS DOUBLE) AS G,
+         (SELECT sum(CAST(n AS DOUBLE) * n) FROM ow_g) AS N2 FROM ow_t)""",
+    """ow_s AS (SELECT *, U1 / (N - G) AS se0,
+         (U0 - U1 / (N - G) * (N - 1)) / (N - N2 / N) AS sa0 FROM ow_m)""",
+    """ow_v AS (SELECT CASE WHEN sa0 >= 0 THEN sa0 ELSE 0.0 END AS sa,
+         CASE WHEN sa0 >= 0 THEN se0 ELSE (U0 * (N - 1) + U1 * (N - G))
+              / ((N - 1) * (N - 1) + (N - G) * (N - G)) END AS se FROM ow_s)"""]
+
+
+def _one_way(spark, sf_dir):
+    m = model_df(spark, sf_dir).select("y", F.concat_ws(":", "SiteID", "Treatment").alias("g"))
+    return fit_random_intercepts(m, "y", build_design([], {}), ["g"], sweeps=1)
+
+
+@register("one_way_variance", with_ctes(ONE_WAY_SQL, """SELECT 'g' AS component, sa AS variance,
+  sqrt(sa) AS sd FROM ow_v UNION ALL SELECT 'Residual', se, sqrt(se) FROM ow_v"""))
+def q_one_way_variance(spark, sf_dir):
+    """H6 with one random factor (site:flag) and an intercept: the moment
+    estimates have a closed form, so this one has an exact SQL oracle."""
+    return variance_table(spark, _one_way(spark, sf_dir))
+
+
+@register("one_way_icc", with_ctes(ONE_WAY_SQL, """SELECT CAST(0 AS DOUBLE) AS var_fixed,
+  sa AS var_random, se AS var_residual, sa / (sa + se) AS icc, CAST(0 AS DOUBLE) AS r2_marginal,
+  sa / (sa + se) AS r2_conditional FROM ow_v"""))
+def q_one_way_icc(spark, sf_dir):
+    """H7 for the one-factor model: ICC = R^2 conditional, R^2 marginal = 0."""
+    return icc_r2(spark, _one_way(spark, sf_dir))
