@@ -21,6 +21,7 @@ from eventlab.functions.distributions import Z975, f_sf, norm_sf, t_ppf, t_sf
 from eventlab.operators.design import Design, Term, column_expr, row_vector, term_name
 
 INTERCEPT = "(Intercept)"
+MAX_CELLS = 200_000        # factor cells collected by ``gram`` (bounded by the design)
 
 
 @dataclass
@@ -62,6 +63,12 @@ def gram(df: DataFrame, y: str, design: Design) -> Gram:
     cols = design.columns
     monos = sorted({_monomial(design, c) for c in [None, *cols]})
     factors = [v for v in design.variables if v in design.factors]
+    n_cells = 1
+    for v in factors:
+        n_cells *= len(design.factors[v]) + 1      # + unexpected / other values
+    if n_cells > MAX_CELLS:
+        raise ValueError(f"design has up to {n_cells} factor cells (> {MAX_CELLS}); "
+                         "reduce factor levels or model them as random effects")
     base = df.dropna(subset=[y, *design.variables])
     Y = F.col(y).cast("double")
 

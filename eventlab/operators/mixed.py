@@ -209,6 +209,9 @@ def icc_r2(spark: SparkSession, fit: MixedFit) -> DataFrame:
                                    (vf + vr) / tot if tot else None)], R2_SCHEMA)
 
 
+MAX_BUCKETS = 100_000      # bounds the broadcast offset table (<= 100k rows)
+
+
 @F.pandas_udf(DoubleType())
 def _norm_ppf_udf(p: pd.Series) -> pd.Series:
     return pd.Series(norm_ppf(p.to_numpy(float)))
@@ -223,7 +226,7 @@ def normal_scores(df: DataFrame, col: str, out: str = "theoretical",
     search in the JVM), bucket counts give offsets, and a window inside each
     bucket gives the local rank. No global single-partition window."""
     n = df.count()
-    nb = max(1, math.ceil(n / rows_per_bucket))
+    nb = min(MAX_BUCKETS, max(1, math.ceil(n / rows_per_bucket)))
     probs = [i / nb for i in range(1, nb)]
     bounds = sorted(set(df.approxQuantile(col, probs, 1.0 / (4 * nb)))) if probs else []
     base = df.withColumn(col, F.col(col).cast("double"))

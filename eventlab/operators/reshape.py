@@ -99,14 +99,21 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
     return per.select(*by, F.col("_n").alias("n"), *outs)
 
 
-def box_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+def box_stats(df: DataFrame, by: Sequence[str], value: str, materialize: bool = True) -> DataFrame:
     """Boxplot summary per group: quartiles (linear interpolation, as R's
     default quantile), IQR, whiskers (most extreme values within 1.5 IQR of
     the box) and the number of outliers.
 
     Quartiles come from ``exact_quantiles`` (sketch bracket + band, so no
     group is gathered whole in one task); the whisker pass joins the
-    per-group quartiles back -- one row per group."""
+    per-group quartiles back -- one row per group. With ``materialize`` the
+    (by, value) projection is staged once in the shared folder and the three
+    passes read it."""
+    if materialize:
+        # three passes follow (bracket, band, whiskers): stage the slim
+        # projection once instead of recomputing an expensive input three times
+        from eventlab.sources.files import stage
+        df = stage(df.select(*by, value), "box-input")
     x = F.col(value)
     q = (exact_quantiles(df, by, value, [0.25, 0.5, 0.75])
          .select(*by, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"),
