@@ -164,3 +164,18 @@ def test_exact_quantiles_match_numpy(spark):
         xs = np.array([v for h, v in rows if h == g])
         for i, p in enumerate(probs):
             assert out[g][f"q{i}"] == pytest.approx(float(np.quantile(xs, p)), abs=1e-12)
+
+
+def test_blank_header_cells_with_declared_schema(spark):
+    from pyspark.sql.types import StructType
+    text = ('"sampleID","","","date_time","rain"\n'
+            '"1001",,"x",4/30/2016 8:15,0.5\n'
+            '"NS",1,,2016-04-30 08:20:00,NA\n')
+    path = os.path.join(stage_path(spark, "blank-header"), "data.csv")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w") as fh:
+        fh.write(text)
+    st = StructType.fromDDL("sampleID string, c1 string, c2 string, date_time timestamp_ntz, rain double")
+    rows = sorted(tuple(r) for r in read_delimited(spark, path, st).collect())
+    assert rows == [("1001", None, "x", datetime(2016, 4, 30, 8, 15), 0.5),
+                    ("NS", "1", None, datetime(2016, 4, 30, 8, 20), None)]
