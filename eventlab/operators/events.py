@@ -219,7 +219,7 @@ def total_on_rows(df: DataFrame, keys: Sequence[str], value: str, out: str) -> D
 
 def regular_grid(df: DataFrame, keys: Sequence[str], time_col: str,
                  values: dict[str, Column], step_seconds: int,
-                 out_time: str = "date_time") -> DataFrame:
+                 out_time: str = "date_time", chunk_seconds: int | None = None) -> DataFrame:
     """Make an irregular series regular, zero-filling empty steps.
 
     1. floor times to the step and sum each value per (keys, step): a hash
@@ -231,13 +231,28 @@ def regular_grid(df: DataFrame, keys: Sequence[str], time_col: str,
     partitioning the segmentation windows need afterwards.
     ``values`` maps output names to per-row value expressions (e.g. a
     ``when(type in ..., value)``); the sum of an all-NULL step is 0.
+    With ``chunk_seconds`` the gap-filling window runs per (keys, chunk),
+    for series without a period reset.
     """
     step = F.make_dt_interval(secs=F.lit(step_seconds))
     binned = (df.withColumn(out_time, floor_time(time_col, step_seconds))
               .groupBy(*keys, out_time)
               .agg(*[F.sum(expr).alias(name) for name, expr in values.items()]))
-    w = Window.partitionBy(*keys).orderBy(out_time)
-    nxt = binned.withColumn("_next", F.lead(out_time).over(w))
+    if chunk_seconds is None:
+        w = Window.partitionBy(*keys).orderBy(out_time)
+        nxt = binned.withColumn("_next", F.lead(out_time).over(w))
+    else:
+        # long series: next occupied step inside the chunk, else the first
+        # step of the next non-empty chunk (from a one-row-per-chunk table)
+        binned = binned.withColumn("_chunk", time_bucket_index(out_time, chunk_seconds))
+        w = Window.partitionBy(*keys, "_chunk").orderBy(out_time)
+        firsts = binned.groupBy(*keys, "_chunk").agg(F.min(out_time).alias("_first"))
+        firsts = firsts.withColumn("_next_chunk", F.lead("_first").over(
+            Window.partitionBy(*keys).orderBy("_chunk"))).drop("_first")
+        nxt = (binned.withColumn("_next", F.lead(out_time).over(w))
+               .join(firsts, [*keys, "_chunk"])
+               .withColumn("_next", F.coalesce("_next", "_next_chunk"))
+               .drop("_chunk", "_next_chunk"))
     last = F.coalesce(F.timestamp_add("SECOND", F.lit(-step_seconds), F.col("_next")),
                       F.col(out_time))
     spread = nxt.withColumn("_t", F.explode(F.sequence(F.col(out_time), last, step)))
@@ -245,3 +260,82 @@ def regular_grid(df: DataFrame, keys: Sequence[str], time_col: str,
     return spread.select(*keys, F.col("_t").alias(out_time),
                          *[F.when(first, F.coalesce(F.col(n), F.lit(0.0))).otherwise(F.lit(0.0)).alias(n)
                            for n in values])
+
+
+def _chunk_runs(rows: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str,
+                prefix: str) -> tuple[DataFrame, DataFrame]:
+    """Local runs of ``flag`` inside each (keys, _chunk) and the per-chunk
+    summary: row count, run count, first/last flag and run lengths."""
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    f = F.col(flag)
+    loc = (rows.withColumn(f"{prefix}rn", F.row_number().over(w))
+           .withColumn(f"{prefix}run", F.sum(change_start(f, w)).over(running)))
+    loc = loc.withColumn(f"{prefix}len", F.count(F.lit(1)).over(
+        Window.partitionBy(*keys, "_chunk", f"{prefix}run")))
+    rn, run, ln = F.col(f"{prefix}rn"), F.col(f"{prefix}run"), F.col(f"{prefix}len")
+    summary = loc.groupBy(*keys, "_chunk").agg(
+        F.count(F.lit(1)).alias(f"{prefix}cnt"), F.max(run).alias(f"{prefix}nruns"),
+        F.min_by(f, rn).alias(f"{prefix}first"), F.max_by(f, rn).alias(f"{prefix}last"),
+        F.min_by(ln, rn).alias(f"{prefix}first_len"), F.max_by(ln, rn).alias(f"{prefix}last_len"))
+    return loc, summary
+
+
+def _stitch(summary: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
+    """Per chunk (a small table): rows before it, whether its first run
+    continues the previous chunk's last run, and the number of global runs
+    that start before it."""
+    w = Window.partitionBy(*keys).orderBy("_chunk")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    first, prev_last = F.col(f"{prefix}first"), F.lag(f"{prefix}last").over(w)
+    cont = F.when(first.isNotNull() & prev_last.isNotNull() & (first == prev_last), 1).otherwise(0)
+    s = summary.withColumn(f"{prefix}cont", cont)
+    return (s.withColumn(f"{prefix}offset", F.coalesce(F.sum(f"{prefix}cnt").over(before), F.lit(0)))
+            .withColumn(f"{prefix}runs_before", F.coalesce(
+                F.sum(F.col(f"{prefix}nruns") - F.col(f"{prefix}cont")).over(before), F.lit(0))))
+
+
+def segment_events_chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
+                           min_gap: int, chunk: Column, flag_out: str = "eventflag",
+                           id_out: str = "eventid") -> DataFrame:
+    """E3-E5 exactly as ``segment_events``, for series too long for one task.
+
+    ``chunk`` is a non-decreasing function of the order (e.g. the day of the
+    timestamp). Windows run per (keys, chunk) only; runs that cross chunk
+    edges are stitched through per-chunk summaries (one row per chunk:
+    counts, first/last flag, continuation), so a series holding a third of
+    all rows is spread over its chunks. Global row numbers, run lengths and
+    event ids equal the unchunked ones (tested against it)."""
+    base = df.withColumn("_chunk", chunk).withColumn("_wet", (F.col(value) > 0).cast("int"))
+    loc, summ = _chunk_runs(base, keys, order, "_wet", "w_")
+    st = _stitch(summ, keys, "w_")
+    # global ids of the first and last local run of each chunk, and the
+    # pieces of runs that touch chunk edges (head / tail), summed per run
+    head = F.col("w_runs_before") + 1 - F.col("w_cont")
+    tail = F.col("w_runs_before") + F.col("w_nruns") - F.col("w_cont")
+    pieces = st.select(*keys, "_chunk", head.alias("_gid"), F.col("w_first_len").alias("_len")).unionByName(
+        st.where(F.col("w_nruns") > 1).select(*keys, "_chunk", tail.alias("_gid"),
+                                              F.col("w_last_len").alias("_len")))
+    totals = pieces.groupBy(*keys, "_gid").agg(F.sum("_len").alias("_total"))
+    st = (st.withColumn("_hg", head).withColumn("_tg", tail)
+          .join(totals.select(*keys, F.col("_gid").alias("_hg"), F.col("_total").alias("_head_total")),
+                [*keys, "_hg"], "left")
+          .join(totals.select(*keys, F.col("_gid").alias("_tg"), F.col("_total").alias("_tail_total")),
+                [*keys, "_tg"], "left")
+          .select(*keys, "_chunk", "w_offset", "w_nruns", "_head_total", "_tail_total"))
+    rows = loc.join(st, [*keys, "_chunk"])
+    runlen = (F.when(F.col("w_run") == 1, F.col("_head_total"))
+              .when(F.col("w_run") == F.col("w_nruns"), F.col("_tail_total"))
+              .otherwise(F.col("w_len")))
+    grn = F.col("w_offset") + F.col("w_rn")
+    flag = (F.when(F.col("_wet").isNull(), F.lit(None).cast("int"))
+            .when((grn < min_gap) & (F.col("_wet") == 0), F.lit(0))
+            .when(F.col("_wet") == 1, F.lit(1))
+            .when(runlen < min_gap, F.lit(1))
+            .otherwise(F.lit(0)))
+    rows = rows.withColumn(flag_out, flag).select(*df.columns, "_chunk", flag_out)
+    floc, fsumm = _chunk_runs(rows, keys, order, flag_out, "f_")
+    fst = _stitch(fsumm, keys, "f_").select(*keys, "_chunk", "f_runs_before", "f_cont")
+    out = floc.join(fst, [*keys, "_chunk"]).withColumn(
+        id_out, (F.col("f_runs_before") + F.col("f_run") - F.col("f_cont")).cast("long"))
+    return out.select(*df.columns, flag_out, id_out)

@@ -20,6 +20,7 @@ from eventlab.operators.events import (
     number_events,
     run_lengths,
     segment_events,
+    segment_events_chunked,
     summarize_events,
     threshold_sweep,
     total_on_rows,
@@ -40,7 +41,9 @@ from eventlab.plans.shapes import (
     samples,
     segment_sql,
     series_grid,
+    sql_grid,
 )
+from eventlab.functions.columns import time_bucket_index
 
 # Fixed study parameters, re-expressed for the 15-minute driver grid.
 SERIES_KEYS = ["SiteID", "Treatment", "Year"]
@@ -433,3 +436,26 @@ def q_runoff_overrides(spark, sf_dir):
     (new flow_time for listed runoff events; every other row unchanged)."""
     return apply_overrides(runoff_events_df(spark, sf_dir), RUNOFF_OVERRIDES,
                            ["SiteID", "Year", "ro_event"], ["flow_time"])
+
+
+DAY_SECONDS = 86_400
+
+
+@register("rain_events_long", with_ctes(
+    [sql_grid("SiteID, Treatment", "lgrid", "l_"),
+     "lsrc AS (SELECT SiteID, Treatment, date_time, rain FROM lgrid WHERE NOT (SiteID = 'S7'))",
+     segment_sql("lsrc", "SiteID, Treatment", "date_time", "rain", RAIN_GAP_STEPS, "m")],
+    f"""SELECT SiteID, Treatment, eventid, sum(rain) AS precipitation, min(date_time) AS eventStart,
+  max(date_time) AS eventEnd, {DURATION_SQL.format(a='min(date_time)', b='max(date_time)')} AS rain_time
+  FROM m6 WHERE eventflag = 1 GROUP BY ALL"""))
+def q_rain_events_long(spark, sf_dir):
+    """E5 + E6 + E15 on series WITHOUT a period reset (the whole span per
+    site and treatment): grid and segmentation both run per (series, day)
+    chunk and are stitched exactly, so no task holds a whole series."""
+    grid = series_grid(spark, sf_dir, exclusions=[("S7", None)], keys=("SiteID", "Treatment"),
+                       chunk_seconds=DAY_SECONDS)
+    flags = segment_events_chunked(grid.select("SiteID", "Treatment", "date_time", "rain"),
+                                   ["SiteID", "Treatment"], ["date_time"], "rain", RAIN_GAP_STEPS,
+                                   time_bucket_index("date_time", DAY_SECONDS))
+    return summarize_events(flags, ["SiteID", "Treatment"], "rain", "date_time", "precipitation",
+                            "rain_time")

@@ -45,7 +45,8 @@ def keyed_events(spark: SparkSession, sf_dir: str, types) -> DataFrame:
 
 
 def series_grid(spark: SparkSession, sf_dir: str, step: int = GRID_SECONDS,
-                exclusions=None) -> DataFrame:
+                exclusions=None, keys=("SiteID", "Treatment", "Year"),
+                chunk_seconds: int | None = None) -> DataFrame:
     """Regular rain/flow series per (SiteID, Treatment, Year), zero-filled.
     ``exclusions`` (SiteID, Year) rows are removed from the raw rows first
     (map-side broadcast anti join, before any shuffle)."""
@@ -57,7 +58,7 @@ def series_grid(spark: SparkSession, sf_dir: str, step: int = GRID_SECONDS,
         "rain": F.when(F.col("event_type").isin(*RAIN_TYPES), F.col("value")),
         "flow": F.when(F.col("event_type").isin(*FLOW_TYPES), F.col("value")),
     }
-    return regular_grid(ev, ["SiteID", "Treatment", "Year"], "ts", values, step)
+    return regular_grid(ev, list(keys), "ts", values, step, chunk_seconds=chunk_seconds)
 
 
 def samples(spark: SparkSession, sf_dir: str, step: int = GRID_SECONDS) -> DataFrame:
@@ -150,3 +151,21 @@ def segment_sql(src: str, keys: str, order: str, value: str, k: int, prefix: str
 {prefix}6 AS (SELECT *, CAST(sum(CASE WHEN eventflag IS NULL OR _pf IS NULL OR eventflag <> _pf
                  THEN 1 ELSE 0 END) OVER ({w} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS eventid
               FROM {prefix}5)"""
+
+
+def sql_grid(keys: str = "SiteID, Treatment, Year", name: str = "grid", prefix: str = "") -> str:
+    """DuckDB grid CTEs for any series keys (the default equals SQL_GRID)."""
+    return f"""
+{prefix}ev AS ({SQL_KEYED} WHERE event_type IN ('click','view','purchase','signup')),
+{prefix}binned AS (
+  SELECT {keys}, time_bucket(INTERVAL '15 minutes', ts) AS date_time,
+         sum(CASE WHEN event_type IN ('click','view') THEN value END) AS rain,
+         sum(CASE WHEN event_type IN ('purchase','signup') THEN value END) AS flow
+  FROM {prefix}ev GROUP BY ALL),
+{prefix}bounds AS (SELECT {keys}, min(date_time) AS t0, max(date_time) AS t1
+           FROM {prefix}binned GROUP BY ALL),
+{prefix}spine AS (SELECT {keys},
+                 unnest(generate_series(t0, t1, INTERVAL '15 minutes')) AS date_time FROM {prefix}bounds),
+{name} AS (
+  SELECT s.*, coalesce(b.rain, 0.0) AS rain, coalesce(b.flow, 0.0) AS flow
+  FROM {prefix}spine s LEFT JOIN {prefix}binned b USING ({keys}, date_time))"""

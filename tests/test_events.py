@@ -169,3 +169,38 @@ def test_gap_events_random_against_python(spark):
     summ = gap_event_summary(df, ["k"], "ts", 60, "v").collect()
     assert sum(r["n"] for r in summ) == len(rows)
     assert len(summ) == len({(k, e) for (k, _), e in want.items()})
+
+
+def test_chunked_segmentation_equals_whole_series(spark):
+    from eventlab.operators.events import segment_events_chunked
+    rng = random.Random(17)
+    rows = []
+    for s in range(25):
+        n = rng.randint(1, 60)
+        # long dry and wet stretches so runs cross several chunks
+        vals, cur = [], rng.choice([0, 1.0])
+        for _ in range(n):
+            if rng.random() < 0.15:
+                cur = rng.choice([0, 0, 1.0, None])
+            vals.append(cur)
+        rows += [(f"s{s}", t, None if v is None else float(v)) for t, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "key string, t int, value double")
+    for k in (1, 3, 5):
+        whole = {(r["key"], r["t"]): (r["eventflag"], r["eventid"])
+                 for r in segment_events(df, ["key"], ["t"], "value", k).collect()}
+        for width in (1, 2, 7):
+            got = {(r["key"], r["t"]): (r["eventflag"], r["eventid"]) for r in segment_events_chunked(
+                df, ["key"], ["t"], "value", k, F.floor(F.col("t") / width)).collect()}
+            assert got == whole, (k, width)
+
+
+def test_chunked_grid_equals_plain(spark):
+    rng = random.Random(4)
+    t0 = datetime(2024, 1, 1)
+    rows = [(rng.choice("ab"), t0 + timedelta(minutes=rng.randint(0, 6000)), rng.random())
+            for _ in range(200)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, v double")
+    plain = sorted(tuple(r) for r in regular_grid(df, ["k"], "ts", {"v": F.col("v")}, 900).collect())
+    chunked = sorted(tuple(r) for r in regular_grid(df, ["k"], "ts", {"v": F.col("v")}, 900,
+                                                    chunk_seconds=3600 * 5).collect())
+    assert plain == chunked
