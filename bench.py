@@ -24,6 +24,7 @@ HEADLINE = [
     "rain_runoff_samples",    # two segmentations + two interval joins + roll-ups + join
     "sample_rain_overlap",    # interval overlap join + aggregate
     "rain_threshold_sweep",   # segmentation for four thresholds in one plan
+    "rain_events_long",       # chunked grid + chunked segmentation, no period reset
     "gap_events",             # time-gap events on raw rows
     "first_line_per_order",   # keep-first per key (partial min aggregate)
     "price_ci",               # four-table join + grouped t-intervals

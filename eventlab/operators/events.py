@@ -232,7 +232,8 @@ def regular_grid(df: DataFrame, keys: Sequence[str], time_col: str,
     ``values`` maps output names to per-row value expressions (e.g. a
     ``when(type in ..., value)``); the sum of an all-NULL step is 0.
     With ``chunk_seconds`` the gap-filling window runs per (keys, chunk),
-    for series without a period reset.
+    for series without a period reset; the step sums are then staged once in
+    the shared folder (they feed two branches).
     """
     step = F.make_dt_interval(secs=F.lit(step_seconds))
     binned = (df.withColumn(out_time, floor_time(time_col, step_seconds))
@@ -244,7 +245,11 @@ def regular_grid(df: DataFrame, keys: Sequence[str], time_col: str,
     else:
         # long series: next occupied step inside the chunk, else the first
         # step of the next non-empty chunk (from a one-row-per-chunk table)
-        binned = binned.withColumn("_chunk", time_bucket_index(out_time, chunk_seconds))
+        # the step sums feed two branches (rows and the chunk table); stage
+        # them once (compact) so the raw table is scanned once
+        from eventlab.sources.files import stage
+        binned = stage(binned, "grid-steps").withColumn(
+            "_chunk", time_bucket_index(out_time, chunk_seconds))
         w = Window.partitionBy(*keys, "_chunk").orderBy(out_time)
         firsts = binned.groupBy(*keys, "_chunk").agg(F.min(out_time).alias("_first"))
         firsts = firsts.withColumn("_next_chunk", F.lead("_first").over(
