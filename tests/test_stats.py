@@ -158,3 +158,25 @@ def test_effect_curve_line(spark):
     fit = fit_ols(df, "y", d)
     cur = {r["x"]: r["fit"] for r in effect_curve(spark, fit, "q", [0.0, 10.0]).collect()}
     assert cur[10.0] - cur[0.0] == pytest.approx(10 * fit.beta[1])
+
+
+def test_moments_recover_crossed_components(spark):
+    # crossed A x B with an A:B interaction, unbalanced cells; known variances
+    rng = np.random.default_rng(11)
+    na, nb, n = 40, 30, 24000
+    a_eff, b_eff = rng.normal(0, 1.0, na), rng.normal(0, math.sqrt(0.5), nb)
+    ab_eff = rng.normal(0, math.sqrt(0.7), (na, nb))
+    ia, ib = rng.integers(0, na, n), rng.integers(0, nb, n)
+    x = rng.normal(0, 1, n)
+    y = 2.0 + 0.5 * x + a_eff[ia] + b_eff[ib] + ab_eff[ia, ib] + rng.normal(0, 1.2, n)
+    rows = [(f"a{i}", f"b{j}", f"a{i}:b{j}", float(u), float(v)) for i, j, u, v in zip(ia, ib, x, y)]
+    df = spark.createDataFrame(rows, "A string, B string, AB string, x double, y double")
+    d = build_design([("x",)], {})
+    fit = fit_random_intercepts(df, "y", d, ["A", "B", "AB"], sweeps=2)
+    v = fit.variances
+    # sample variances of the drawn effects (what the data can identify)
+    assert v["A"] == pytest.approx(np.var(a_eff, ddof=1), rel=0.3)
+    assert v["B"] == pytest.approx(np.var(b_eff, ddof=1), rel=0.35)
+    assert v["AB"] == pytest.approx(np.var(ab_eff, ddof=1), rel=0.2)
+    assert v["Residual"] == pytest.approx(1.44, rel=0.05)
+    assert fit.fixed.beta[1] == pytest.approx(0.5, abs=0.03)
