@@ -51,7 +51,7 @@ def run_lengths(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag:
 
 def segment_events(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
                    min_gap: int, flag_out: str = "eventflag", id_out: str = "eventid",
-                   keep_helpers: bool = False) -> DataFrame:
+                   keep_helpers: bool = False, trim: bool = False) -> DataFrame:
     """wet/dry event segmentation with a minimum dry gap of ``min_gap`` rows.
 
     * wet flag: value > 0 (NULL stays NULL, and is its own run);
@@ -60,7 +60,8 @@ def segment_events(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
       (E4, no event starts from the leading rows);
     * ``eventid`` numbers the runs of the event flag (wet and dry runs share
       one numbering, from 1 per series).
-    A trailing dry run shorter than ``min_gap`` stays inside the last event.
+    A trailing dry run shorter than ``min_gap`` stays inside the last event,
+    as in the study; ``trim=True`` leaves it out (flag 0).
     """
     w = _w(keys, order)
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -74,6 +75,9 @@ def segment_events(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
             .when(F.col("_wet") == 1, F.lit(1))
             .when(F.col("_runlen") < min_gap, F.lit(1))
             .otherwise(F.lit(0)))
+    if trim:
+        last_run = F.max("_run").over(Window.partitionBy(*keys))
+        flag = F.when((F.col("_wet") == 0) & (F.col("_run") == last_run), F.lit(0)).otherwise(flag)
     step3 = step2.withColumn(flag_out, flag)
     out = step3.withColumn(id_out, F.sum(change_start(F.col(flag_out), w)).over(running))
     if not keep_helpers:
@@ -344,3 +348,19 @@ def segment_events_chunked(df: DataFrame, keys: Sequence[str], order: Sequence[s
     out = floc.join(fst, [*keys, "_chunk"]).withColumn(
         id_out, (F.col("f_runs_before") + F.col("f_run") - F.col("f_cont")).cast("long"))
     return out.select(*df.columns, flag_out, id_out)
+
+
+def window_primitives(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+                      value: str) -> DataFrame:
+    """Row number, difference to the previous row, running sum, and the
+    first / last value of the series, on one shared window sort."""
+    w = _w(keys, order)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = F.col(value)
+    return df.withColumns({
+        "rn": F.row_number().over(w).cast("long"),
+        "diff": x - F.lag(x).over(w),
+        "cumsum": F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        "first": F.first(x).over(whole),
+        "last": F.last(x).over(whole),
+    })

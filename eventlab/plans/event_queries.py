@@ -24,6 +24,7 @@ from eventlab.operators.events import (
     summarize_events,
     threshold_sweep,
     total_on_rows,
+    window_primitives,
     window_per_key,
 )
 from eventlab.operators.filters import above, apply_overrides, keep_first
@@ -459,3 +460,16 @@ def q_rain_events_long(spark, sf_dir):
                                    time_bucket_index("date_time", DAY_SECONDS))
     return summarize_events(flags, ["SiteID", "Treatment"], "rain", "date_time", "precipitation",
                             "rain_time")
+
+
+@register("grid_window_primitives", with_ctes([SQL_GRID], """SELECT SiteID, Treatment, Year, date_time, rain,
+  row_number() OVER w AS rn, rain - lag(rain) OVER w AS diff,
+  sum(rain) OVER (w ROWS UNBOUNDED PRECEDING) AS cumsum,
+  first_value(rain) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS first,
+  last_value(rain) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last
+  FROM grid WINDOW w AS (PARTITION BY SiteID, Treatment, Year ORDER BY date_time)"""))
+def q_grid_window_primitives(spark, sf_dir):
+    """row_number, diff, cumsum, first, last per series on the grid
+    (bounded series periods, one sort)."""
+    g = series_grid(spark, sf_dir).select(*SERIES_KEYS, "date_time", "rain")
+    return window_primitives(g, SERIES_KEYS, ["date_time"], "rain")

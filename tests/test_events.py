@@ -204,3 +204,12 @@ def test_chunked_grid_equals_plain(spark):
     chunked = sorted(tuple(r) for r in regular_grid(df, ["k"], "ts", {"v": F.col("v")}, 900,
                                                     chunk_seconds=3600 * 5).collect())
     assert plain == chunked
+
+
+def test_trim_trailing_dry_run(spark):
+    df = spark.createDataFrame([("a", t, v) for t, v in enumerate([1.0, 1.0, 0.0, 0.0])],
+                               "key string, t int, value double")
+    keep = [r["eventflag"] for r in segment_events(df, ["key"], ["t"], "value", 3).orderBy("t").collect()]
+    trim = [r["eventflag"] for r in segment_events(df, ["key"], ["t"], "value", 3, trim=True)
+            .orderBy("t").collect()]
+    assert keep == [1, 1, 1, 1] and trim == [1, 1, 0, 0]
