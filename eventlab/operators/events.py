@@ -364,3 +364,11 @@ def window_primitives(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         "first": F.first(x).over(whole),
         "last": F.last(x).over(whole),
     })
+
+
+def assert_total_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> None:
+    """Raise if ``order`` is not a total order inside each series (ties would
+    make run numbering depend on the physical order). One aggregate pass."""
+    dup = (df.groupBy(*keys, *order).count().where(F.col("count") > 1).limit(1).collect())
+    if dup:
+        raise ValueError(f"order {list(order)} has ties within {list(keys)}: {dup[0].asDict()}")

@@ -59,3 +59,27 @@ def checkpoint_root(spark: SparkSession) -> str:
 def stage_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path for one stage table under the shared folder."""
     return os.path.join(checkpoint_root(spark), "stage", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def size_for_input(spark: SparkSession, input_bytes: int, partition_bytes: int = 256 << 20,
+                   min_partitions: int = 200) -> dict:
+    """Spill-aware sizing for a run over ``input_bytes`` of input:
+    ~``partition_bytes`` per scan split and per shuffle partition (AQE
+    coalesces small ones and splits skewed ones at run time). Settings the
+    session already carries explicitly are left alone; returns what was set."""
+    n_parts = max(min_partitions, -(-input_bytes // partition_bytes))
+    wanted = {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(n_parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes * 2),
+    }
+    applied = {}
+    explicit = dict(spark.sparkContext.getConf().getAll())
+    for k, v in wanted.items():
+        if k not in explicit:
+            spark.conf.set(k, v)
+            applied[k] = v
+    return applied

@@ -213,3 +213,27 @@ def test_trim_trailing_dry_run(spark):
     trim = [r["eventflag"] for r in segment_events(df, ["key"], ["t"], "value", 3, trim=True)
             .orderBy("t").collect()]
     assert keep == [1, 1, 1, 1] and trim == [1, 1, 0, 0]
+
+
+def test_total_order_guard(spark):
+    from eventlab.operators.events import assert_total_order
+    from eventlab.plans.shapes import series_grid
+    assert_total_order(series_grid(spark, "/root/testdata/sf0.001"),
+                       ["SiteID", "Treatment", "Year"], ["date_time"])
+    tied = spark.createDataFrame([("a", 1, 1.0), ("a", 1, 2.0)], "k string, t int, v double")
+    with pytest.raises(ValueError):
+        assert_total_order(tied, ["k"], ["t"])
+
+
+def test_size_for_input(spark):
+    from eventlab.session import size_for_input
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    applied = size_for_input(spark, 100 << 40)          # 100 TiB of input
+    try:
+        if "spark.sql.shuffle.partitions" in applied:
+            assert int(applied["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        for k in applied:
+            if k != "spark.sql.shuffle.partitions":
+                spark.conf.unset(k)
