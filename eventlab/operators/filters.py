@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 MAX_BROADCAST_ROWS = 100_000
 
@@ -108,8 +108,7 @@ def apply_overrides(df: DataFrame, rows: Sequence[tuple], keys: Sequence[str],
     if not rows:
         return df
     schema = StructType([df.schema[k] for k in keys] +
-                        [df.schema[c].__class__(f"_new_{c}", df.schema[c].dataType, True)
-                         for c in cols])
+                        [StructField(f"_new_{c}", df.schema[c].dataType, True) for c in cols])
     edits = literal_table(df.sparkSession, list(rows), schema)
     joined = df.join(edits, list(keys), "left")
     return joined.select(*[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in cols
