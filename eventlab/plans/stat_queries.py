@@ -411,3 +411,19 @@ def q_one_way_variance(spark, sf_dir):
 def q_one_way_icc(spark, sf_dir):
     """H7 for the one-factor model: ICC = R^2 conditional, R^2 marginal = 0."""
     return icc_r2(spark, _one_way(spark, sf_dir))
+
+
+AT_QTY = (10.0, 25.0, 40.0)     # covariate values of the reference grid (``at=``)
+
+
+@register("marginal_means_at")
+def q_marginal_means_at(spark, sf_dir):
+    """H8 with ``at=``: flag means (back-transformed) at given qty values,
+    averaged over priorities; one fit, a small grid per value."""
+    fit = _fit(spark, sf_dir)
+    parts = [marginal_means(spark, fit, "Treatment", at={"qty": q}, back_offset=Y_OFFSET)[0]
+             .withColumn("qty", F.lit(q)) for q in AT_QTY]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.drop("by")
