@@ -63,10 +63,16 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: Sequence[str], a_start: str,
 
 def overlap_summary(a: DataFrame, b: DataFrame, keys: Sequence[str], a_id: Sequence[str],
                     a_start: str, a_end: str, b_start: str, b_end: str,
-                    aggs: Sequence, bucket_seconds: int = DAY) -> DataFrame:
+                    aggs: Sequence, bucket_seconds: int = DAY,
+                    materialize: bool = False) -> DataFrame:
     """For each interval of ``a``, aggregates over the overlapping
     intervals of ``b`` (count/sum ...). Intervals without partners keep
-    count 0 / NULL sums through a left join of the aggregate back to ``a``."""
+    count 0 / NULL sums through a left join of the aggregate back to ``a``.
+    ``a`` is used twice; with ``materialize`` it is staged once in the
+    shared folder (for an ``a`` that is expensive to recompute)."""
+    if materialize:
+        from eventlab.sources.files import stage
+        a = stage(a, "overlap-left")
     pairs = overlap_join(a.select(*keys, *a_id, a_start, a_end), b, keys,
                          a_start, a_end, b_start, b_end, bucket_seconds)
     per = pairs.groupBy(*keys, *a_id).agg(*aggs)

@@ -423,7 +423,7 @@ def q_sample_rain_overlap(spark, sf_dir):
     out = overlap_summary(win, rain, ["SiteID", "Treatment"], ["sYear", "sampleID"],
                           "sampStart", "sampEnd", "eventStart", "eventEnd",
                           [F.count("rf_event").alias("num_rf"), F.sum("rain_mm").alias("rf_sum"),
-                           F.sum("rain_hr").alias("rf_time")])
+                           F.sum("rain_hr").alias("rf_time")], materialize=True)
     return out.fillna(0, subset=["num_rf"])
 
 
