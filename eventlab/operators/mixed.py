@@ -48,6 +48,7 @@ class MixedFit:
     effects: dict[str, DataFrame]      # group factor -> (group value, n, effect, se)
     base: DataFrame                    # staged rows (y, model variables, group columns)
     y: str
+    sweeps_done: int = 0
 
     def fitted_expr(self, df_with_effects: DataFrame):
         expr = predict_expr(self.fixed, self.design)
@@ -136,13 +137,15 @@ def moment_equations(base: DataFrame, r: str, groups: Sequence[str]) -> tuple[np
 
 
 def fit_random_intercepts(df: DataFrame, y: str, design: Design, groups: Sequence[str],
-                          sweeps: int = 2) -> MixedFit:
+                          sweeps: int = 2, tol: float | None = None) -> MixedFit:
     """H6: fixed effects from ``design`` plus random intercepts for each
     column in ``groups`` (composite groups are plain concatenated columns).
 
     Passes over the data: 1 stage write, 1 Gram, 1 moment pass (all
     grouping sets at once), then per sweep K group means and one Gram of y
-    minus the group effects."""
+    minus the group effects. With ``tol``, sweeps stop early (at most
+    ``sweeps``) once no group effect moves by more than ``tol`` (a join of
+    the small effect tables per factor)."""
     groups = list(groups)
     base = stage(df.select(y, *design.variables, *groups)
                  .dropna(subset=[y, *design.variables]), "mixed-base")
@@ -156,7 +159,10 @@ def fit_random_intercepts(df: DataFrame, y: str, design: Design, groups: Sequenc
 
     fixed = ols
     effects: dict[str, DataFrame] = {}
+    done = 0
     for _ in range(max(1, sweeps)):
+        done += 1
+        previous = dict(effects)
         for gname in groups:
             cur = base
             for other, eff in effects.items():
@@ -179,7 +185,19 @@ def fit_random_intercepts(df: DataFrame, y: str, design: Design, groups: Sequenc
         fixed = fit_from_gram(design, gram(cur.withColumn("_adj", adj), "_adj", design))
         fixed.sigma2 = ols.sigma2
         fixed.cov = ols.cov
-    return MixedFit(design, fixed, groups, var, effects, base, y)
+        if tol is not None and previous:
+            moved = max(_max_change(previous[g], effects[g], g) for g in groups)
+            if moved < tol:
+                break
+    return MixedFit(design, fixed, groups, var, effects, base, y, done)
+
+
+def _max_change(old: DataFrame, new: DataFrame, g: str) -> float:
+    """Largest absolute change of a group effect between two sweeps."""
+    j = new.select(g, F.col("effect").alias("_n")).join(
+        old.select(g, F.col("effect").alias("_o")), g, "full")
+    v = j.agg(F.max(F.abs(F.coalesce("_n", F.lit(0.0)) - F.coalesce("_o", F.lit(0.0))))).first()[0]
+    return float(v or 0.0)
 
 
 VC_SCHEMA = StructType([StructField("component", StringType()), StructField("variance", DoubleType()),

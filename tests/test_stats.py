@@ -180,3 +180,23 @@ def test_moments_recover_crossed_components(spark):
     assert v["AB"] == pytest.approx(np.var(ab_eff, ddof=1), rel=0.2)
     assert v["Residual"] == pytest.approx(1.44, rel=0.05)
     assert fit.fixed.beta[1] == pytest.approx(0.5, abs=0.03)
+
+
+def test_backfitting_converges_with_tolerance(spark):
+    from eventlab.operators.mixed import _max_change
+    rng = np.random.default_rng(3)
+    na, nb, n = 15, 12, 3000
+    a, b = rng.normal(0, 1.0, na), rng.normal(0, 0.8, nb)
+    ia, ib = rng.integers(0, na, n), rng.integers(0, nb, n)
+    y = 1.0 + a[ia] + b[ib] + rng.normal(0, 1.0, n)
+    df = spark.createDataFrame([(f"a{i}", f"b{j}", float(v)) for i, j, v in zip(ia, ib, y)],
+                               "A string, B string, y double")
+    d = build_design([], {})
+    fit = fit_random_intercepts(df, "y", d, ["A", "B"], sweeps=30, tol=1e-3)
+    assert fit.sweeps_done < 30
+    # one more sweep from the stopped fit moves the effects by less than tol
+    more = fit_random_intercepts(df, "y", d, ["A", "B"], sweeps=fit.sweeps_done + 1, tol=None)
+    assert _max_change(fit.effects["A"], more.effects["A"], "A") < 1e-3
+    est = {r["A"]: r["effect"] for r in fit.effects["A"].collect()}
+    true = a - a.mean()
+    assert np.corrcoef([est[f"a{i}"] for i in range(na)], true)[0, 1] > 0.9
