@@ -1,0 +1 @@
+"""Structured Streaming forms of gap events and daily totals (``sessions``)."""
