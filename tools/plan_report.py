@@ -77,6 +77,21 @@ def main() -> int:
                 table = "stage:" + table.rsplit("-", 1)[0]
             scans.append(f"| {name} | {table} | {pf.group(1) if pf else ''} | "
                          f"{rs.group(1) if rs else ''} |")
+    rows = [l for l in lines if l.startswith("| ") and not l.startswith("| query")]
+    cells = [[c.strip() for c in r.strip("|").split("|")] for r in rows]
+    ok = [c for c in cells if len(c) == 13]
+    cross = [c[0] for c in ok if c[8] != "0"]
+    single = [c[0] for c in ok if c[4] != "0"]
+    summary = ["## Summary", "",
+               f"* queries with a scan plan: {len(ok)}",
+               f"* with a cross join (nested loop / cartesian): {len(cross)} {cross if cross else ''}",
+               f"* with a single-partition exchange: {len(single)} {single}",
+               f"* explicit broadcasts (bounded literal lists, fixed-size dimensions): "
+               f"{sum(int(c[5]) for c in ok)} over {sum(1 for c in ok if c[5] != '0')} queries",
+               f"* sort-merge joins: {sum(int(c[6]) for c in ok)}; Python UDF operators: "
+               f"{sum(int(c[12]) for c in ok)} (all on aggregated rows or QQ scores)", ""]
+    head_end = lines.index("| query | scans | hash exch. | range exch. | single-part. | bcast | SMJ | BHJ | NLJ/cartesian | window | agg | generate | python |")
+    lines = lines[:head_end] + summary + ["## Per query", ""] + lines[head_end:]
     lines += ["", "## Parquet scans", "", "| query | table | pushed filters | read schema |",
               "|---|---|---|---|", *scans, ""]
     with open(args.out, "w") as fh:
