@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlab.llm import fingerprints, mixing, topk
+from eventlab.llm import bpe, fingerprints, language, mixing, topk, toxicity
 from eventlab.sources.files import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def _on(table: str, op: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": lambda spark, sf_dir: toxicity.op1_toxicity(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")),
+    "op6_bpe": _on("documents", bpe.op6_bpe),
+    "op7_language": _on("documents", language.op7_language),
     "op8_source_mixing": _on("documents", mixing.op8_source_mixing),
     "op9_topk_search": _on("embeddings", topk.op9_topk_search),
     "op10_fingerprints": _on("documents", fingerprints.op10_fingerprints),
