@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlab.llm import bpe, fingerprints, language, language_model, mixing, topk, toxicity
+from eventlab.llm import bpe, fingerprints, language, language_model, line_dedup, mixing, topk, toxicity
 from eventlab.sources.files import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ def _on(table: str, op: Callable[[DataFrame], DataFrame]) -> Query:
 QUERIES: dict[str, Query] = {
     "op1_toxicity": lambda spark, sf_dir: toxicity.op1_toxicity(
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")),
+    "op2_line_dedup": _on("documents", line_dedup.op2_line_dedup),
     "op4_lm_score": _on("documents", language_model.op4_lm_score),
     "op6_bpe": _on("documents", bpe.op6_bpe),
     "op7_language": _on("documents", language.op7_language),
@@ -27,4 +28,4 @@ QUERIES: dict[str, Query] = {
     "op10_fingerprints": _on("documents", fingerprints.op10_fingerprints),
 }
 
-ORACLES: dict[str, str] = {"op9_topk_search": topk.OP9_SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.OP2_SQL, "op9_topk_search": topk.OP9_SQL}
