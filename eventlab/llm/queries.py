@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlab.llm import bpe, fingerprints, language, language_model, line_dedup, mixing, near_dedup, topk, toxicity
+from eventlab.llm import bpe, fingerprints, language, language_model, line_dedup, mixing, near_dedup, suffix_dedup, topk, toxicity
 from eventlab.sources.files import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ QUERIES: dict[str, Query] = {
     "op2_line_dedup": _on("documents", line_dedup.op2_line_dedup),
     "op3_near_dedup": _on("documents", near_dedup.op3_near_dedup),
     "op4_lm_score": _on("documents", language_model.op4_lm_score),
+    "op5_suffix_dedup": _on("documents", suffix_dedup.op5_suffix_dedup),
     "op6_bpe": _on("documents", bpe.op6_bpe),
     "op7_language": _on("documents", language.op7_language),
     "op8_source_mixing": _on("documents", mixing.op8_source_mixing),
