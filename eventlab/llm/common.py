@@ -22,6 +22,9 @@ SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Texts are hashed in runs of about this many bytes, which bounds a task's memory.
 SLICE_BYTES = 1 << 20
 
+#: Rows of a join side that are sent to every task at most.
+MAX_BROADCAST_ROWS = 1_000_000
+
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACE_BYTES)] = True
 _BYTE_VALUE = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -53,6 +56,12 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(renamed, cond, how).drop(*[f"_right_{k}" for k in keys])
 
 
+def small_side(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most`` rows (of a few
+    numbers each); larger ones are joined by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalising mix of unsigned 64-bit values (wraps)."""
     x = x ^ (x >> np.uint64(30))

@@ -27,13 +27,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlab.llm.common import null_safe, text_key
+from eventlab.llm.common import null_safe, small_side, text_key
 from eventlab.sources.files import stage
 
 #: Shorter lines are only compared exactly.
 MIN_WORDS = 6
-#: Sets of at most this many keys are broadcast; larger ones are joined by a shuffle.
-MAX_BROADCAST_KEYS = 1_000_000
 GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -69,10 +67,6 @@ def _lines(docs: DataFrame) -> DataFrame:
         {"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(2), "words")})
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST_KEYS else df
-
-
 def within_one_edit(a: Column, b: Column) -> Column:
     """Whether two arrays of words differ by at most one word."""
 
@@ -92,10 +86,10 @@ def near_lines(lines: DataFrame, first: DataFrame) -> DataFrame:
     shared = (keyed.groupBy("end").agg(F.min("h1").alias("a"), F.max("h1").alias("b"))
               .where("a <> b").select("end"))
     shared = stage(shared, "line-shared-ends")
-    wanted = keyed.join(_small(shared), "end", "left_semi").select("h1").distinct()
+    wanted = keyed.join(small_side(shared), "end", "left_semi").select("h1").distinct()
     wanted = stage(wanted, "line-candidates")
     # the place orders lines, and so does the id that a global sort gives them
-    found = (lines.join(_small(wanted), "h1", "left_semi")
+    found = (lines.join(small_side(wanted), "h1", "left_semi")
              .select("h1", "h2", "words", F.struct("doc_id", "tkey", "line_no").alias("place")))
     found = (found.groupBy("h1", "h2").agg(F.min(F.struct("place", "words")).alias("m"))
              .select("h1", "h2", "m.place", "m.words").sort("place")
@@ -118,7 +112,7 @@ def near_lines(lines: DataFrame, first: DataFrame) -> DataFrame:
         .where("members > 1"), "line-keys")
     lead = F.when(F.col("gone") == 0, F.col("shortened")).otherwise(
         F.least(F.col("whole"), F.try_element_at("leads", F.col("gone"))))
-    links = (variants.join(_small(by_key), "key").select("lid", lead.alias("lead")).where("lead < lid")
+    links = (variants.join(by_key, "key").select("lid", lead.alias("lead")).where("lead < lid")
              .groupBy("lid").agg(F.min("lead").alias("lead")))
     one = found.select("lid", "h1", "h2", "words")
     other = found.select(F.col("lid").alias("lead"), F.col("words").alias("lead_words"))
@@ -135,7 +129,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
              .select("h1", "h2", "m.place.*", "m.ends"))
     first = stage(first, "line-first")
     near = stage(near_lines(lines, first), "line-near")
-    kept = (first.drop("ends").join(_small(near), ["h1", "h2"], "left_anti")
+    kept = (first.drop("ends").join(small_side(near), ["h1", "h2"], "left_anti")
             .groupBy("doc_id", "tkey").agg(F.collect_list("line_no").alias("_kept"))
             .withColumnRenamed("tkey", "_tkey"))
     keyed = docs.withColumn("_tkey", F.when(F.col("text").isNotNull(), text_key("text")))
@@ -157,12 +151,18 @@ def op2_line_dedup(docs: DataFrame) -> DataFrame:
 
 
 def unrepeated_documents(docs: DataFrame) -> DataFrame:
-    """Documents with their repeated lines cut, columns as given; documents all
-    of whose words were in repeated lines go."""
+    """Documents with their repeated lines cut, columns as given (n_chars, if
+    there, is that of the cut text); documents all of whose words were in
+    repeated lines go."""
     names = docs.columns
     left = F.size(_words(F.coalesce("text", F.lit("")))) > 0
     had = docs.select("*", (F.size(_words(F.coalesce("text", F.lit("")))) > 0).alias("_had"))
-    return dedup_lines(had).where(left | ~F.col("_had")).select(*names)
+    cut = dedup_lines(had).where(left | ~F.col("_had"))
+    if "n_chars" in names:
+        kind = docs.schema["n_chars"].dataType
+        cut = cut.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(
+            F.char_length("text").cast(kind)))
+    return cut.select(*names)
 
 
 OP2_SQL = f"""

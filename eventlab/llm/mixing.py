@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlab.llm.common import WORD, null_safe, text_key
+from eventlab.llm.common import WORD, null_safe, small_side, text_key
 from eventlab.sources.files import stage
 
 #: Documents folded by one group of the reduction tree.
@@ -32,11 +32,6 @@ MAX_BROADCAST_SOURCES = 10_000
 MAX_COPIES = 3
 
 
-def _broadcast_if_small(df: DataFrame) -> DataFrame:
-    few = df.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES
-    return F.broadcast(df) if few else df
-
-
 def source_targets(totals: DataFrame) -> DataFrame:
     """Targets per source from (source, source_size): weights 1, 2, 3, repeating
     in code point order (null last) share all words; no target exceeds
@@ -118,7 +113,7 @@ def pivotal_round(units: DataFrame, seed: int = 8, fan_in: int = FAN_IN) -> Data
     sizes = units.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     chunks = F.ceil(F.col("n") / fan_in).cast("long")
     most = sizes.agg(F.max(chunks)).first()[0]
-    level = null_safe(units, _broadcast_if_small(sizes), ["source"]).select(
+    level = null_safe(units, small_side(sizes, MAX_BROADCAST_SOURCES), ["source"]).select(
         "source", F.pmod(mark, chunks).alias("chunk"),
         F.struct(F.col("words").cast("double").alias("words"), mark.alias("mark"),
                  F.col("doc_id").cast("string").alias("doc_id"), "tkey", "p").alias("unit"))
@@ -160,7 +155,7 @@ def mix_sources(docs: DataFrame, seed: int = 8, fan_in: int = FAN_IN) -> DataFra
     targets = stage(source_targets(totals), "mixing-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     base = F.least(F.floor("rate"), F.lit(MAX_COPIES)).cast("long")
-    rated = (null_safe(slim, _broadcast_if_small(targets), ["source"])
+    rated = (null_safe(slim, small_side(targets, MAX_BROADCAST_SOURCES), ["source"])
              .withColumn("rate", rate).withColumn("base", base)
              .withColumn("p", F.when(F.col("base") >= MAX_COPIES, 0.0).otherwise(F.col("rate") - F.col("base"))))
     rounded = (F.col("size") > 0) & (F.col("p") > 0.0)

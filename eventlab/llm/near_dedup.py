@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlab.llm.common import mix64, null_safe, shingle_hashes, text_slices, word_hashes
+from eventlab.llm.common import mix64, null_safe, shingle_hashes, small_side, text_slices, word_hashes
 from eventlab.llm.components import components
 from eventlab.sources.files import stage
 
@@ -51,8 +51,6 @@ BYTES = 128
 VOTERS = 24
 #: Bytes of a shingle's hash in a full set.
 WIDTH = 6
-#: Sets of ids up to this size are broadcast; larger ones are joined by a shuffle.
-MAX_BROADCAST_IDS = 1_000_000
 
 _RNG = np.random.default_rng(3)
 _XOR = _RNG.integers(0, 2**63, TOKENS + BYTES, dtype=np.uint64)
@@ -123,10 +121,6 @@ def sketch_documents(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, sid long, tokens binary, sig binary")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST_IDS else df
-
-
 @contextmanager
 def _short_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Rows that hold whole sets go to Python few at a time."""
@@ -233,10 +227,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 sid = mix64(np.array(total, np.uint64) + np.diff(at).astype(np.uint64)).view(np.int64)
                 yield pa.record_batch([pa.array(sid), pa.array(sets, pa.binary())], names=["sid", "set"])
 
-    texts = docs.select("doc_id", "text").join(_small(wanted.select("doc_id")), "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").join(small_side(wanted.select("doc_id")), "doc_id", "left_semi")
     found = texts.select("doc_id", "text").mapInArrow(run, "sid long, set binary")
     # equal ids with other texts don't count
-    return found.join(_small(wanted.select("sid")), "sid", "left_semi").dropDuplicates(["sid"])
+    return found.join(small_side(wanted.select("sid")), "sid", "left_semi").dropDuplicates(["sid"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
