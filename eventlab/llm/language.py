@@ -174,9 +174,8 @@ def infer(texts: list[str], langs: list[str], table: np.ndarray) -> tuple[list[s
     return out, score
 
 
-def predict(docs: DataFrame, training: Column, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of every row, ``lang_pred`` and ``score``; learned from
-    the rows where ``training`` holds."""
+def _predicted(docs: DataFrame, training: Column, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` of every row as k0, k1 ..., ``lang_pred`` and ``score``."""
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(learn(docs, training)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,21 +198,25 @@ def predict(docs: DataFrame, training: Column, keep: list[str]) -> DataFrame:
                         pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())])
     ddl = ", ".join([*(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)),
                      "lang_pred string", "score double"])
-    out = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), "text").mapInArrow(run, ddl)
-    return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    return docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col("text").alias("_text")).mapInArrow(run, ddl)
+
+
+def predict(docs: DataFrame, training: Column) -> DataFrame:
+    """doc_id, ``lang_pred`` and ``score`` of every row; learned from the rows
+    where ``training`` holds."""
+    return _predicted(docs, training, ["doc_id"]).withColumnRenamed("k0", "doc_id")
 
 
 def op7_language(docs: DataFrame) -> DataFrame:
     """Contract columns."""
     held_out = fold_remainder("doc_id", 3) == 1
-    found = predict(docs, ~held_out, ["doc_id"])
+    found = predict(docs, ~held_out)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.2) -> DataFrame:
     """Documents with an identified language, columns as given: those without a
     letter and those of which no language explains the share ``least`` go."""
-    names = docs.columns
-    found = predict(docs, ~(fold_remainder("doc_id", 3) == 1), [*names])
-    pred, score = found.columns[len(names)], found.columns[len(names) + 1]
-    return found.where((F.col(pred) != UNKNOWN) & (F.col(score) >= least)).select(*names)
+    found = _predicted(docs, ~(fold_remainder("doc_id", 3) == 1), docs.columns)
+    stays = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return stays.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)))
