@@ -120,9 +120,9 @@ def near_lines(lines: DataFrame, first: DataFrame) -> DataFrame:
     return pairs.where(within_one_edit(F.col("words"), F.col("lead_words"))).select("h1", "h2")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The documents with ``text`` cut to its kept lines, and n_lines, n_kept."""
-    lines = _lines(docs)
+def _cut(docs: DataFrame) -> DataFrame:
+    """The documents' columns, and ``_all_lines`` and ``_stays`` (arrays of lines)."""
+    lines = _lines(docs.select("doc_id", "text"))
     first = (lines.select("h1", "h2", F.struct("doc_id", "tkey", "line_no").alias("place"),
                           _end_keys(F.col("words"), F.col("n")).alias("ends"))
              .groupBy("h1", "h2").agg(F.min(F.struct("place", "ends")).alias("m"))
@@ -132,37 +132,39 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     kept = (first.drop("ends").join(small_side(near), ["h1", "h2"], "left_anti")
             .groupBy("doc_id", "tkey").agg(F.collect_list("line_no").alias("_kept"))
             .withColumnRenamed("tkey", "_tkey"))
-    keyed = docs.withColumn("_tkey", F.when(F.col("text").isNotNull(), text_key("text")))
+    keyed = docs.withColumns({"_tkey": F.when(F.col("text").isNotNull(), text_key("text")),
+                              "_all_lines": F.split("text", "\n")})
     joined = null_safe(keyed, kept, ["doc_id", "_tkey"], "left")
-    all_lines = F.split("text", "\n")
-    stays = F.filter(all_lines, lambda x, i: F.array_contains(F.coalesce("_kept", F.array().cast("array<int>")), i)
+    stays = F.filter("_all_lines", lambda x, i: F.array_contains(F.coalesce("_kept", F.array().cast("array<int>")), i)
                      | (F.size(_words(x)) == 0))
-    out = joined.withColumn("_stays", stays)
-    return out.select(*[c for c in docs.columns if c != "text"], F.array_join("_stays", "\n").alias("text"),
-                      F.coalesce(F.size(all_lines), F.lit(0)).alias("n_lines"),
-                      F.coalesce(F.size("_stays"), F.lit(0)).alias("n_kept"))
+    return joined.withColumn("_stays", stays).drop("_kept", "_tkey")
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """The documents with ``text`` cut to its kept lines, and n_lines and n_kept
+    (columns of those names are replaced)."""
+    own = [c for c in docs.columns if c not in ("text", "n_lines", "n_kept")]
+    count = [F.when(F.col("text").isNull(), 0).otherwise(F.size(c)).alias(name)
+             for c, name in (("_all_lines", "n_lines"), ("_stays", "n_kept"))]
+    return _cut(docs).select(*own, *count, F.array_join("_stays", "\n").alias("text"))
 
 
 def op2_line_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_kept and the remaining text of every document."""
-    lean = dedup_lines(docs.select("doc_id", "text"))
-    n = [F.when(F.col("text").isNull(), 0).otherwise(F.col(c)).alias(c) for c in ("n_lines", "n_kept")]
-    return lean.select("doc_id", *n, "text")
+    return dedup_lines(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_kept", "text")
 
 
 def unrepeated_documents(docs: DataFrame) -> DataFrame:
     """Documents with their repeated lines cut, columns as given (n_chars, if
     there, is that of the cut text); documents all of whose words were in
     repeated lines go."""
-    names = docs.columns
-    left = F.size(_words(F.coalesce("text", F.lit("")))) > 0
-    had = docs.select("*", (F.size(_words(F.coalesce("text", F.lit("")))) > 0).alias("_had"))
-    cut = dedup_lines(had).where(left | ~F.col("_had"))
-    if "n_chars" in names:
-        kind = docs.schema["n_chars"].dataType
-        cut = cut.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(
-            F.char_length("text").cast(kind)))
-    return cut.select(*names)
+    cut = _cut(docs)
+    words = lambda lines: F.exists(lines, lambda x: F.size(_words(x)) > 0)
+    left = cut.where(F.col("text").isNull() | words("_stays") | ~words("_all_lines"))
+    new = F.array_join("_stays", "\n")
+    kind = dict(docs.dtypes).get("n_chars")
+    changed = {"text": new, "n_chars": F.coalesce(F.char_length(new).cast(kind), F.col("n_chars")) if kind else None}
+    return left.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 
 
 OP2_SQL = f"""

@@ -178,8 +178,8 @@ def op8_source_mixing(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, columns as given."""
-    keyed = docs.withColumn("_tkey", text_key("text"))
+    keyed = docs.withColumn("_mix_tkey", text_key("text"))
     copies = mix_sources(docs).where(F.col("copies") > 0).select(
-        "doc_id", "source", F.col("tkey").alias("_tkey"), F.col("copies").alias("_copies"))
-    joined = null_safe(keyed, copies, ["doc_id", "source", "_tkey"])
-    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+        "doc_id", "source", F.col("tkey").alias("_mix_tkey"), F.col("copies").alias("_mix_copies"))
+    joined = null_safe(keyed, copies, ["doc_id", "source", "_mix_tkey"])
+    return joined.withColumn("_mix_turn", F.explode(F.sequence(F.lit(1), "_mix_copies"))).select(*docs.columns)

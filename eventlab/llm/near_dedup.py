@@ -32,10 +32,10 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventlab.llm.common import mix64, null_safe, shingle_hashes, small_side, text_slices, word_hashes
+from eventlab.llm.common import mix64, null_safe, shingle_hashes, small_side, text_key, text_slices, word_hashes
 from eventlab.llm.components import components
 from eventlab.sources.files import stage
 
@@ -332,7 +332,14 @@ def op3_near_dedup(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group stays, columns as given; a null id stays."""
-    gone = near_duplicates(docs, width, percent).where("not kept and doc_id is not null").select("doc_id").distinct()
-    ids = stage(gone, "near-gone")
-    return null_safe(docs, ids.withColumn("_gone", F.lit(True)), ["doc_id"], "left").where("_gone is null").select(*docs.columns)
+    """One document of each group stays, columns as given; rows with a null id
+    stay. Of rows that repeat an id that stays, one of smallest text stays."""
+    rows = near_duplicates(docs, width, percent).where("doc_id is not null")
+    seen = rows.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("times"))
+    marked = stage(seen.where("not kept or times > 1"), "near-gone").select("doc_id", F.col("kept").alias("_near_kept"))
+    joined = null_safe(docs, marked, ["doc_id"], "left").where("_near_kept is null or _near_kept")
+    alone = joined.where("_near_kept is null").select(*docs.columns)
+    one = Window.partitionBy("doc_id").orderBy(text_key("text"))
+    repeated = (joined.where("_near_kept").withColumn("_near_turn", F.row_number().over(one))
+                .where("_near_turn = 1").select(*docs.columns))
+    return alone.unionByName(repeated)
