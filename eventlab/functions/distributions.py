@@ -165,6 +165,63 @@ def norm_ppf(p):
     return np.where((p > 0) & (p < 1), x, np.where(p == 0, -np.inf, np.where(p == 1, np.inf, np.nan)))
 
 
+# Rational approximations of the normal quantile (Wichura, AS 241, 16 digits);
+# numerator and denominator, lowest power first, for the centre, the tails and the far tails.
+NORMAL_QUANTILE = {
+    "centre": ((3.3871328727963666080e0, 1.3314166789178437745e+2, 1.9715909503065514427e+3, 1.3731693765509461125e+4,
+                4.5921953931549871457e+4, 6.7265770927008700853e+4, 3.3430575583588128105e+4, 2.5090809287301226727e+3),
+               (1.0, 4.2313330701600911252e+1, 6.8718700749205790830e+2, 5.3941960214247511077e+3,
+                2.1213794301586595867e+4, 3.9307895800092710610e+4, 2.8729085735721942674e+4, 5.2264952788528545610e+3)),
+    "tail": ((1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0, 3.64784832476320460504e0,
+              1.27045825245236838258e0, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4),
+             (1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1,
+              1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9)),
+    "far": ((6.65790464350110377720e0, 5.46378491116411436990e0, 1.78482653991729133580e0, 2.96560571828504891230e-1,
+             2.65321895265761230930e-2, 1.24266094738807843860e-3, 2.71155556874348757815e-5, 2.01033439929228813265e-7),
+            (1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612908506148525e-2,
+             7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15)),
+}
+
+
+def _horner(coefs, x):
+    out = coefs[-1] + 0.0 * x
+    for c in reversed(coefs[:-1]):
+        out = out * x + c
+    return out
+
+
+def normal_quantile(p):
+    """Normal quantile of a probability column, as a Catalyst expression."""
+    q = p - F.lit(0.5)
+    near = F.lit(0.180625) - q * q
+    r = F.sqrt(-F.ln(F.least(p, F.lit(1.0) - p)))
+
+    def ratio(part, x):
+        top, bottom = NORMAL_QUANTILE[part]
+        return _horner([F.lit(c) for c in top], x) / _horner([F.lit(c) for c in bottom], x)
+
+    tail = F.when(r <= 5.0, ratio("tail", r - F.lit(1.6))).otherwise(ratio("far", r - F.lit(5.0)))
+    return F.when(F.abs(q) <= 0.425, q * ratio("centre", near)).otherwise(F.signum(q) * tail)
+
+
+def normal_quantile_sql(p: str) -> str:
+    """DuckDB text of the same expression."""
+    def poly(coefs, x):
+        out = repr(coefs[-1])
+        for c in reversed(coefs[:-1]):
+            out = f"({out} * {x} + {c!r})"
+        return out
+
+    def ratio(part, x):
+        top, bottom = NORMAL_QUANTILE[part]
+        return f"{poly([float(c) for c in top], x)} / {poly([float(c) for c in bottom], x)}"
+
+    q, r = f"({p} - 0.5)", f"sqrt(-ln(least({p}, 1.0 - {p})))"
+    near, t, f_ = f"(0.180625 - {q} * {q})", f"({r} - 1.6)", f"({r} - 5.0)"
+    return (f"CASE WHEN abs({q}) <= 0.425 THEN {q} * {ratio('centre', near)} "
+            f"ELSE sign({q}) * CASE WHEN {r} <= 5.0 THEN {ratio('tail', t)} ELSE {ratio('far', f_)} END END")
+
+
 def t_ppf(p, df):
     """Student t quantile by bracketing bisection then Newton polish."""
     p = np.asarray(p, dtype=float)

@@ -86,12 +86,20 @@ def column_expr(design: Design, name: str) -> Column:
     return expr
 
 
+def model_rows(df: DataFrame, design: Design, present: Sequence[str] = ()) -> DataFrame:
+    """Rows with every model variable (and ``present``) there and every factor
+    at one of its declared levels; R drops the others the same way."""
+    rows = df.dropna(subset=[*present, *design.variables])
+    for v in design.variables:
+        if v in design.factors:
+            rows = rows.where(F.col(v).isin(design.factors[v]))
+    return rows
+
+
 def with_design(df: DataFrame, design: Design, keep: Sequence[str] = ()) -> DataFrame:
-    """Rows with every model variable present, projected to ``keep`` plus the
-    design columns under ``design.spark_columns`` (R drops incomplete rows the
-    same way)."""
-    base = df.dropna(subset=design.variables)
-    return base.select(*keep, *[column_expr(design, c).alias(s)
+    """``model_rows`` projected to ``keep`` plus the design columns under
+    ``design.spark_columns``."""
+    return model_rows(df, design).select(*keep, *[column_expr(design, c).alias(s)
                                 for c, s in zip(design.columns, design.spark_columns)])
 
 

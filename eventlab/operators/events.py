@@ -217,13 +217,18 @@ def daily_totals(df: DataFrame, keys: Sequence[str], time_col: str, value: str,
 
 
 def total_on_rows(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Group total repeated on every row (no collapse)."""
-    return df.withColumn(out, F.sum(value).over(Window.partitionBy(*keys)))
+    """Group total repeated on every row (no collapse). The total is a
+    partial aggregate joined back, so a hot group is not one task's window; AQE
+    splits its rows in the join. NULL keys form a group, as in a window."""
+    total = df.groupBy(*keys).agg(F.sum(value).alias(out)).withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = [df[k].eqNullSafe(total[f"_k_{k}"]) for k in keys]
+    return df.join(total, same).drop(*[f"_k_{k}" for k in keys])
 
 
 def regular_grid(df: DataFrame, keys: Sequence[str], time_col: str,
                  values: dict[str, Column], step_seconds: int,
-                 out_time: str = "date_time", chunk_seconds: int | None = None) -> DataFrame:
+                 out_time: str = "date_time", chunk_seconds: int | None = None,
+                 missing: dict[str, Column] | None = None) -> DataFrame:
     """Make an irregular series regular, zero-filling empty steps.
 
     1. floor times to the step and sum each value per (keys, step): a hash
@@ -234,7 +239,10 @@ def regular_grid(df: DataFrame, keys: Sequence[str], time_col: str,
     aggregate's and one of the (compact) step sums by series key -- the same
     partitioning the segmentation windows need afterwards.
     ``values`` maps output names to per-row value expressions (e.g. a
-    ``when(type in ..., value)``); the sum of an all-NULL step is 0.
+    ``when(type in ..., value)``); a step without readings of it is 0.
+    ``missing`` maps output names to a per-row condition that marks a missing
+    reading; a step with such a row keeps NULL (a run of its own, which splits
+    events), whatever else it holds.
     With ``chunk_seconds`` the gap-filling window runs per (keys, chunk),
     for series without a period reset; the step sums are then staged once in
     the shared folder (they feed two branches).
@@ -242,7 +250,9 @@ def regular_grid(df: DataFrame, keys: Sequence[str], time_col: str,
     step = F.make_dt_interval(secs=F.lit(step_seconds))
     binned = (df.withColumn(out_time, floor_time(time_col, step_seconds))
               .groupBy(*keys, out_time)
-              .agg(*[F.sum(expr).alias(name) for name, expr in values.items()]))
+              .agg(*[F.sum(expr).alias(name) for name, expr in values.items()],
+                   *[F.max(F.coalesce(cond, F.lit(False))).alias(f"_missing_{name}")
+                     for name, cond in (missing or {}).items()]))
     if chunk_seconds is None:
         w = Window.partitionBy(*keys).orderBy(out_time)
         nxt = binned.withColumn("_next", F.lead(out_time).over(w))
@@ -266,9 +276,14 @@ def regular_grid(df: DataFrame, keys: Sequence[str], time_col: str,
                       F.col(out_time))
     spread = nxt.withColumn("_t", F.explode(F.sequence(F.col(out_time), last, step)))
     first = F.col("_t") == F.col(out_time)
-    return spread.select(*keys, F.col("_t").alias(out_time),
-                         *[F.when(first, F.coalesce(F.col(n), F.lit(0.0))).otherwise(F.lit(0.0)).alias(n)
-                           for n in values])
+
+    def at_step(name: str) -> Column:
+        known = F.when(first, F.coalesce(F.col(name), F.lit(0.0))).otherwise(F.lit(0.0))
+        if name not in (missing or {}):
+            return known.alias(name)
+        return F.when(first & F.col(f"_missing_{name}"), F.lit(None)).otherwise(known).alias(name)
+
+    return spread.select(*keys, F.col("_t").alias(out_time), *[at_step(n) for n in values])
 
 
 def _chunk_runs(rows: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str,

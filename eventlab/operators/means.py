@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from eventlab.functions.distributions import Z975
-from eventlab.operators.linear import OLSFit, averaged_vector, estimate, two_sided_normal_p
+from eventlab.operators.linear import averaged_vector, estimate, linear_part, two_sided_normal_p
 
 MEANS_SCHEMA = StructType([StructField("by", StringType()), StructField("level", StringType()),
                            StructField("emmean", DoubleType()), StructField("se", DoubleType()),
@@ -33,11 +33,13 @@ CONTRAST_SCHEMA = StructType([StructField("by", StringType()), StructField("cont
                               StructField("lower", DoubleType()), StructField("upper", DoubleType())])
 
 
-def marginal_means(spark: SparkSession, fit: OLSFit, factor: str, by: str | None = None,
+def marginal_means(spark: SparkSession, fit, factor: str, by: str | None = None,
                    at: Mapping[str, object] | None = None, back_offset: float | None = None,
                    pairs: Sequence[tuple[str, str]] | None = None
                    ) -> tuple[DataFrame, DataFrame]:
-    """Means of ``factor`` (within each level of ``by``), and contrasts."""
+    """Means of ``factor`` (within each level of ``by``), and contrasts, of an
+    OLS or mixed fit."""
+    fit = linear_part(fit)
     d = fit.design
     at = dict(at or {})
     by_levels = d.factors[by] if by else [None]

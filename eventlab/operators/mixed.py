@@ -1,10 +1,10 @@
 """Random-intercept models by the method of moments.
 
-The reference fits REML on one machine. Here the data work is O(N) Spark
-aggregation and only a (K+1)-square system is solved on the driver
-(K = number of random-intercept factors). Methods: Henderson-type moment
-equations for crossed/nested random intercepts (see Gao & Owen 2017;
-Ghosh, Hastie & Owen 2022).
+The reference fits REML on one machine. Here ONE aggregate over the rows gives
+the moments of every (factor cell, group combination); the Gram, the sums per
+group and the counts per pair of groups are sums of those, and everything after
+runs on them. Variances are Henderson-type moment estimates for crossed/nested
+random intercepts (see Gao & Owen 2017; Ghosh, Hastie & Owen 2022).
 
 With residuals r from the OLS fixed part, for factor k with groups g:
 
@@ -14,9 +14,11 @@ With residuals r from the OLS fixed part, for factor k with groups g:
     E[U_0] = sum_j s_j^2 (N - sum_h n_jh^2 / N) + s_e^2 (N - 1)
 
 Negative solutions are clipped at 0 (the reference's "singular fit").
-Group effects are shrunken group means, refined together with the fixed
-effects by a fixed number of backfitting sweeps; each sweep stages its small
-effect tables in the shared checkpoint folder (lineage cut, restartable).
+Given the variances, the fixed effects are generalised least squares and the
+group effects their best linear predictors, both from Henderson's mixed-model
+equations: with W = Z'Z + diag(s_e^2 / s_k^2), the weighted Gram is
+X'X - X'Z W^-1 Z'X, and the effects are W^-1 (Z'y - Z'X b). So standard errors,
+tests and means of a mixed fit are those of the random-intercept model.
 Numbers differ from REML on unbalanced data; they agree on balanced data.
 """
 
@@ -24,33 +26,58 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from eventlab.functions.distributions import norm_ppf
-from eventlab.operators.design import Design
-from eventlab.operators.linear import OLSFit, fit_from_gram, gram, predict_expr
+from eventlab.functions.distributions import normal_quantile
+from eventlab.operators.design import Design, model_rows
+from eventlab.operators.linear import (
+    Gram,
+    OLSFit,
+    columns_on,
+    factors_of,
+    fit_from_gram,
+    gram_from_cells,
+    merge_cells,
+    moment_aggs,
+    monomial_of,
+    monomials,
+    predict_expr,
+)
 from eventlab.sources.files import stage
 
+#: Levels of all group factors together: the mixed-model equations have one row for each.
+MAX_GROUP_LEVELS = 4_000
+
+
+@dataclass
+class GroupSums:
+    """What the mixed-model equations need of the data."""
+    gram: Gram
+    levels: dict[str, list]               # group factor -> its values
+    n: dict[str, np.ndarray]              # rows per level
+    zx: dict[str, np.ndarray]             # sums of the Gram's (centred) columns per level
+    zy: dict[str, np.ndarray]             # sums of y less its mean per level
+    pairs: dict[tuple[str, str], np.ndarray]   # rows per pair of levels
+
 
 @dataclass
 class MixedFit:
     design: Design
-    fixed: OLSFit
+    fixed: OLSFit                         # generalised least squares, on the weighted Gram
     groups: list[str]
-    variances: dict[str, float]        # per group factor, plus "Residual"
-    effects: dict[str, DataFrame]      # group factor -> (group value, n, effect, se)
-    base: DataFrame                    # staged rows (y, model variables, group columns)
+    variances: dict[str, float]           # per group factor, plus "Residual"
+    effects: dict[str, DataFrame]         # group factor -> (group value, n, effect, se)
+    rows: DataFrame                       # the model's rows, all columns of the input
     y: str
-    sweeps_done: int = 0
+    sums: GroupSums
 
-    def fitted_expr(self, df_with_effects: DataFrame):
+    def fitted_expr(self):
+        """Fixed part plus the effects joined as ``_b_<group>``."""
         expr = predict_expr(self.fixed, self.design)
         for g in self.groups:
             expr = expr + F.coalesce(F.col(f"_b_{g}"), F.lit(0.0))
@@ -72,132 +99,127 @@ def _solve_clipped(A: np.ndarray, u: np.ndarray) -> np.ndarray:
     return s
 
 
-def moment_equations(base: DataFrame, r: str, groups: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The (K+1) x (K+1) moment system from ONE pass over the residuals.
-
-    Each row is tagged once per grouping set -- the grand total, every factor
-    and every pair of factors -- and a single hash aggregate returns
-    (count, sum r, sum r^2) per set and group (what GROUPING SETS does). That
-    result is sized by the number of groups, not rows; it is staged and the
-    remaining sums run on it."""
-    K = len(groups)
-    sets = [()] + [(g,) for g in groups] + [(groups[k], groups[j])
-                                             for k in range(K) for j in range(k + 1, K)]
-    none = F.lit(None).cast("string")
-    tags = [F.struct(F.lit(i).alias("set"),
-                     (F.col(s_[0]).cast("string") if len(s_) > 0 else none).alias("k1"),
-                     (F.col(s_[1]).cast("string") if len(s_) > 1 else none).alias("k2"))
-            for i, s_ in enumerate(sets)]
-    tagged = base.select(F.col(r).alias("_r"), F.explode(F.array(*tags)).alias("_t"))
-    stats = stage(tagged.groupBy("_t.set", "_t.k1", "_t.k2")
-                  .agg(F.count(F.lit(1)).alias("n"), F.sum("_r").alias("s"),
-                       F.sum(F.col("_r") * F.col("_r")).alias("ss")), "moment-stats")
-
-    # all driver-side scalars in one job: totals, per-factor and per-pair sums
-    lit0 = F.lit(0.0)
-    tot = stats.where(F.col("set") == 0).select(
-        F.lit("tot").alias("kind"), "set", F.col("n").cast("double").alias("a"),
-        F.col("s").alias("b"), F.col("ss").alias("c"))
-    single = (stats.where((F.col("set") >= 1) & (F.col("set") <= K)).groupBy("set")
-              .agg(F.count(F.lit(1)).cast("double").alias("a"),
-                   F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"),
-                   F.sum(F.col("n") * F.col("n")).cast("double").alias("c"))
-              .select(F.lit("single").alias("kind"), "set", "a", "b", "c"))
-    pairs = stats.where(F.col("set") > K)
-    sides = []
-    for side, key in (("side1", "k1"), ("side2", "k2")):
-        sides.append(pairs.groupBy("set", key)
-                     .agg(F.sum(F.col("n") * F.col("n")).alias("s2"), F.sum("n").alias("ng"))
-                     .groupBy("set").agg(F.sum(F.col("s2") / F.col("ng")).alias("a"))
-                     .select(F.lit(side).alias("kind"), "set", "a", lit0.alias("b"), lit0.alias("c")))
-    got = {(r["kind"], r["set"]): r for r in tot.unionByName(single).unionByName(sides[0])
-           .unionByName(sides[1]).collect()}
-    t = got[("tot", 0)]
-    N, S, SS = float(t["a"]), float(t["b"]), float(t["c"])
-    single = {k[1]: {"G": r["a"], "q": r["b"], "n2": r["c"]} for k, r in got.items() if k[0] == "single"}
-    side1 = {k[1]: r["a"] for k, r in got.items() if k[0] == "side1"}
-    side2 = {k[1]: r["a"] for k, r in got.items() if k[0] == "side2"}
-
-    u = np.zeros(K + 1)
-    A = np.zeros((K + 1, K + 1))
-    u[0] = SS - S * S / N
+def group_sums(rows: DataFrame, y: str, design: Design, groups: Sequence[str]) -> GroupSums:
+    """ONE aggregate over the rows; the rest are sums of its cells, which are
+    staged. Only sums per factor cell, per (level, factor cell) and per pair of
+    levels reach the driver; the number of levels is checked first."""
+    factors = factors_of(design)
+    keys = list(dict.fromkeys([*factors, *groups]))
+    cells = stage(rows.groupBy(*keys).agg(*moment_aggs(y, design)), "mixed-cells")
+    if groups:
+        found = cells.agg(*[F.count_distinct(g).alias(g) for g in groups]).first()
+        if sum(found) > MAX_GROUP_LEVELS:
+            raise ValueError(f"{sum(found)} group levels (> {MAX_GROUP_LEVELS}): too many for random intercepts here")
+    by_factors = merge_cells(cells, factors, design) if len(keys) > len(factors) and factors else None
+    if by_factors is None:
+        by_factors = cells if not groups else merge_cells(cells.withColumn("_all", F.lit(1)), ["_all"], design)
+    g = gram_from_cells(design, by_factors.collect())
+    monos = monomials(design)
+    mono_of = [monos.index(monomial_of(design, c)) for c in [None, *design.columns]]
+    wanted = sorted(set(mono_of))
+    total = [F.sum("_n").alias("_n"), F.sum(F.col("_n") * F.col("_b")).alias("_sy"),
+             *[F.sum(F.col("_n") * F.col(f"_a_{m}")).alias(f"_s_{m}") for m in wanted]]
+    out = GroupSums(g, {}, {}, {}, {}, {})
+    for k in groups:
+        per = cells.groupBy(*dict.fromkeys([k, *factors])).agg(*total).collect()
+        levels = sorted({r[k] for r in per})
+        at = {v: i for i, v in enumerate(levels)}
+        n, zy, zx = np.zeros(len(levels)), np.zeros(len(levels)), np.zeros((len(levels), len(g.names)))
+        for r in per:
+            i = at[r[k]]
+            n[i] += r["_n"]
+            zy[i] += r["_sy"]
+            zx[i] += [r[f"_s_{m}"] if on else 0.0 for m, on in zip(mono_of, columns_on(design, r))]
+        zx[:, 1:] -= np.outer(n, g.xbar[1:])
+        out.levels[k], out.n[k], out.zy[k], out.zx[k] = levels, n, zy - n * g.ybar, zx
+    for i, a in enumerate(groups):
+        for b in groups[i + 1:]:
+            count = np.zeros((len(out.levels[a]), len(out.levels[b])))
+            at_a, at_b = ({v: i for i, v in enumerate(out.levels[x])} for x in (a, b))
+            for r in cells.groupBy(a, b).agg(F.sum("_n").alias("_n")).collect():
+                count[at_a[r[a]], at_b[r[b]]] = r["_n"]
+            out.pairs[a, b] = count
+    return out
+
+
+def centred_beta(fit: OLSFit) -> np.ndarray:
+    """Coefficients for the centred columns and response."""
+    b, g = fit.beta0(), fit.gram
+    return np.concatenate([[b[0] - g.ybar + g.xbar[1:] @ b[1:]], b[1:]])
+
+
+def moment_equations(sums: GroupSums, ols: OLSFit) -> tuple[np.ndarray, np.ndarray]:
+    """The (K+1) x (K+1) moment system of the OLS residuals."""
+    groups, g, beta = list(sums.levels), sums.gram, centred_beta(ols)
+    K, N = len(groups), float(g.n)
+    SS = ols.rss
+    u, A = np.zeros(K + 1), np.zeros((K + 1, K + 1))
+    u[0] = SS        # the residuals sum to 0
     A[0, K] = N - 1
-    for k in range(K):
-        row = single[k + 1]
-        u[k + 1] = SS - float(row["q"])
-        A[k + 1, K] = N - float(row["G"])
-        A[0, k] = N - float(row["n2"]) / N
-    idx = K + 1
-    for k in range(K):
-        for j in range(k + 1, K):
-            A[k + 1, j] = N - float(side1[idx])   # equation k, groups of k split by j
-            A[j + 1, k] = N - float(side2[idx])   # equation j, groups of j split by k
-            idx += 1
+    for k, a in enumerate(groups):
+        s = sums.zy[a] - sums.zx[a] @ beta
+        u[k + 1] = SS - float((s * s / sums.n[a]).sum())
+        A[k + 1, K] = N - len(sums.n[a])
+        A[0, k] = N - float((sums.n[a] ** 2).sum()) / N
+        for j, b in enumerate(groups):
+            if j != k:
+                count = sums.pairs[a, b] if k < j else sums.pairs[b, a].T
+                A[k + 1, j] = N - float(((count ** 2).sum(1) / sums.n[a]).sum())
     return A, u
 
 
-def fit_random_intercepts(df: DataFrame, y: str, design: Design, groups: Sequence[str],
-                          sweeps: int = 2, tol: float | None = None) -> MixedFit:
+def estimate_variances(sums: GroupSums, ols: OLSFit) -> dict[str, float]:
+    """H6: moment estimates, no further pass over the data."""
+    s = _solve_clipped(*moment_equations(sums, ols))
+    out = {g: float(s[k]) for k, g in enumerate(sums.levels)}
+    return out | {"Residual": float(s[-1])}
+
+
+def weighted_fit(design: Design, sums: GroupSums, var: dict[str, float]
+                 ) -> tuple[OLSFit, dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """Generalised least squares and, per group factor, the predicted effects
+    with their conditional standard errors, from the mixed-model equations."""
+    g, se2 = sums.gram, var["Residual"]
+    active = [k for k in sums.levels if var[k] > 0 and se2 > 0]
+    effects = {k: (np.zeros(len(v)), np.zeros(len(v))) for k, v in sums.levels.items()}
+    if not active:
+        fit = fit_from_gram(design, replace(g, scale=se2 or None))
+        return fit, effects
+    W = np.block([[np.diag(sums.n[a] + se2 / var[a]) if a == b else
+                   sums.pairs[a, b] if (a, b) in sums.pairs else sums.pairs[b, a].T
+                   for b in active] for a in active])
+    zx, zy = np.vstack([sums.zx[a] for a in active]), np.concatenate([sums.zy[a] for a in active])
+    inv = np.linalg.inv(W)
+    weighted = replace(g, xtx=g.xtx - zx.T @ inv @ zx, xty=g.xty - zx.T @ inv @ zy,
+                       yty=float(g.yty - zy @ inv @ zy), scale=se2)
+    fit = fit_from_gram(design, weighted)
+    b = inv @ (zy - zx @ centred_beta(fit))
+    sd = np.sqrt(se2 * np.diag(inv))
+    at = 0
+    for a in active:
+        m = len(sums.levels[a])
+        effects[a] = (b[at:at + m], sd[at:at + m])
+        at += m
+    return fit, effects
+
+
+def fit_random_intercepts(df: DataFrame, y: str, design: Design, groups: Sequence[str]) -> MixedFit:
     """H6: fixed effects from ``design`` plus random intercepts for each
     column in ``groups`` (composite groups are plain concatenated columns).
-
-    Passes over the data: 1 stage write, 1 Gram, 1 moment pass (all
-    grouping sets at once), then per sweep K group means and one Gram of y
-    minus the group effects. With ``tol``, sweeps stop early (at most
-    ``sweeps``) once no group effect moves by more than ``tol`` (a join of
-    the small effect tables per factor)."""
+    Rows with a NULL among them, or a factor at an undeclared level, are
+    dropped."""
     groups = list(groups)
-    base = stage(df.select(y, *design.variables, *groups)
-                 .dropna(subset=[y, *design.variables]), "mixed-base")
-    g = gram(base, y, design)
-    ols = fit_from_gram(design, g)
-    resid = base.withColumn("_r", F.col(y) - predict_expr(ols, design))
-    A, u = moment_equations(resid, "_r", groups)
-    s = _solve_clipped(A, u)
-    var = {gname: float(s[k]) for k, gname in enumerate(groups)}
-    var["Residual"] = float(s[-1])
-
-    fixed = ols
-    effects: dict[str, DataFrame] = {}
-    done = 0
-    for _ in range(max(1, sweeps)):
-        done += 1
-        previous = dict(effects)
-        for gname in groups:
-            cur = base
-            for other, eff in effects.items():
-                if other != gname:
-                    cur = cur.join(eff.select(other, F.col("effect").alias(f"_b_{other}")), other, "left")
-            others = sum((F.coalesce(F.col(f"_b_{o}"), F.lit(0.0)) for o in effects if o != gname),
-                         F.lit(0.0))
-            part = F.col(y) - predict_expr(fixed, design) - others
-            sk, se2 = var[gname], var["Residual"]
-            per = cur.groupBy(gname).agg(F.count(F.lit(1)).alias("n"), F.avg(part).alias("mean"))
-            lam = (F.col("n") * F.lit(sk)) / (F.col("n") * F.lit(sk) + F.lit(se2)) if sk > 0 else F.lit(0.0)
-            cond_sd = (F.sqrt(F.lit(sk * se2) / (F.col("n") * F.lit(sk) + F.lit(se2)))
-                       if sk > 0 else F.lit(0.0))
-            eff = per.select(gname, "n", (lam * F.col("mean")).alias("effect"), cond_sd.alias("se"))
-            effects[gname] = stage(eff, f"ranef-{gname}")
-        cur = base
-        for other, eff in effects.items():
-            cur = cur.join(eff.select(other, F.col("effect").alias(f"_b_{other}")), other, "left")
-        adj = F.col(y) - sum((F.coalesce(F.col(f"_b_{o}"), F.lit(0.0)) for o in effects), F.lit(0.0))
-        fixed = fit_from_gram(design, gram(cur.withColumn("_adj", adj), "_adj", design))
-        fixed.sigma2 = ols.sigma2
-        fixed.cov = ols.cov
-        if tol is not None and previous:
-            moved = max(_max_change(previous[g], effects[g], g) for g in groups)
-            if moved < tol:
-                break
-    return MixedFit(design, fixed, groups, var, effects, base, y, done)
-
-
-def _max_change(old: DataFrame, new: DataFrame, g: str) -> float:
-    """Largest absolute change of a group effect between two sweeps."""
-    j = new.select(g, F.col("effect").alias("_n")).join(
-        old.select(g, F.col("effect").alias("_o")), g, "full")
-    v = j.agg(F.max(F.abs(F.coalesce("_n", F.lit(0.0)) - F.coalesce("_o", F.lit(0.0))))).first()[0]
-    return float(v or 0.0)
+    rows = model_rows(df, design, [y, *groups])
+    sums = group_sums(rows, y, design, groups)
+    var = estimate_variances(sums, fit_from_gram(design, sums.gram))
+    fixed, found = weighted_fit(design, sums, var)
+    effects = {}
+    for g in groups:
+        schema = StructType([StructField(g, df.schema[g].dataType), StructField("n", LongType()),
+                             StructField("effect", DoubleType()), StructField("se", DoubleType())])
+        data = [(v, int(n), float(e), float(s)) for v, n, e, s in zip(sums.levels[g], sums.n[g], *found[g])]
+        effects[g] = df.sparkSession.createDataFrame(data, schema)
+    return MixedFit(design, fixed, groups, var, effects, rows, y, sums)
 
 
 VC_SCHEMA = StructType([StructField("component", StringType()), StructField("variance", DoubleType()),
@@ -216,9 +238,10 @@ R2_SCHEMA = StructType([StructField("var_fixed", DoubleType()), StructField("var
 
 
 def icc_r2(spark: SparkSession, fit: MixedFit) -> DataFrame:
-    """H7: adjusted ICC and Nakagawa marginal / conditional R^2; the fixed
-    variance is ``var_pop`` of the fixed-part predictions (one aggregate)."""
-    vf = fit.base.agg(F.var_pop(predict_expr(fit.fixed, fit.design)).alias("v")).first()["v"] or 0.0
+    """H7: adjusted ICC and Nakagawa marginal / conditional R^2; the variance
+    of the fixed part's predictions comes from the Gram."""
+    g, b = fit.sums.gram, fit.fixed.beta0()[1:]
+    vf = float(b @ g.xtx[1:, 1:] @ b / g.n)
     vr = sum(v for k, v in fit.variances.items() if k != "Residual")
     ve = fit.variances["Residual"]
     tot = vf + vr + ve
@@ -227,63 +250,46 @@ def icc_r2(spark: SparkSession, fit: MixedFit) -> DataFrame:
                                    (vf + vr) / tot if tot else None)], R2_SCHEMA)
 
 
-MAX_BUCKETS = 100_000      # bounds the broadcast offset table (<= 100k rows)
-
-
-@F.pandas_udf(DoubleType())
-def _norm_ppf_udf(p: pd.Series) -> pd.Series:
-    return pd.Series(norm_ppf(p.to_numpy(float)))
-
-
-def normal_scores(df: DataFrame, col: str, out: str = "theoretical",
-                  rows_per_bucket: int = 1_000_000, tiebreak: Sequence[str] = ()) -> DataFrame:
-    """QQ scores: z = qnorm(ppoints(n))[rank(x)], with an exact global rank.
-
-    The rank is distributed: quantile boundaries (bounded list) cut x into
-    buckets of about ``rows_per_bucket`` rows (``Bucketizer``: a binary
-    search in the JVM), bucket counts give offsets, and a window inside each
-    bucket gives the local rank. No global single-partition window."""
-    n = df.count()
-    nb = min(MAX_BUCKETS, max(1, math.ceil(n / rows_per_bucket)))
-    probs = [i / nb for i in range(1, nb)]
-    bounds = sorted(set(df.approxQuantile(col, probs, 1.0 / (4 * nb)))) if probs else []
-    base = df.withColumn(col, F.col(col).cast("double"))
-    a = 0.375 if n <= 10 else 0.5
-    if bounds:
-        bk = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol=col, outputCol="_bucket",
-                        handleInvalid="keep")
-        tagged = bk.transform(base)
-        counts = tagged.groupBy("_bucket").count().collect()          # nb rows (bounded)
-        offsets, acc = [], 0
-        for r in sorted(counts, key=lambda r: r["_bucket"]):
-            offsets.append((float(r["_bucket"]), acc))
-            acc += int(r["count"])
-        off = df.sparkSession.createDataFrame(offsets, "_bucket double, _offset long")
-        w = Window.partitionBy("_bucket").orderBy(col, *tiebreak)
-        ranked = (tagged.join(F.broadcast(off), "_bucket")
-                  .withColumn("_rank", F.col("_offset") + F.row_number().over(w)))
-    else:
-        # n <= rows_per_bucket: one bucket, ranked directly (bounded size)
-        w = Window.orderBy(col, *tiebreak)
-        ranked = base.withColumn("_bucket", F.lit(0.0)).withColumn("_offset", F.lit(0)).withColumn(
-            "_rank", F.row_number().over(w))
-    p = (F.col("_rank") - F.lit(a)) / F.lit(n + 1 - 2 * a)
-    return ranked.withColumn(out, _norm_ppf_udf(p)).drop("_bucket", "_offset", "_rank")
+def global_rank(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """Rank 1..n by ``order`` without a global window: rows are range
+    partitioned (rows that tie in the first column are split by the others) and
+    written, the partitions' counts give offsets, and a window inside each
+    partition gives the local rank."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stage(df.repartitionByRange(max(2, parts), *order).withColumn("_part", F.spark_partition_id()), "ranked")
+    offsets, before = [], 0
+    for r in sorted(ranged.groupBy("_part").count().collect()):      # one row per partition
+        offsets.append((r["_part"], before))
+        before += r["count"]
+    off = df.sparkSession.createDataFrame(offsets, "_part int, _offset long")
+    w = Window.partitionBy("_part").orderBy(*order)
+    return (ranged.join(F.broadcast(off), "_part")
+            .withColumn(out, F.col("_offset") + F.row_number().over(w)).drop("_part", "_offset"))
+
+
+def normal_scores(df: DataFrame, col: str, out: str = "theoretical", tiebreak: Sequence[str] = ()) -> DataFrame:
+    """QQ scores: z = qnorm(ppoints(n))[rank(x)], with an exact global rank;
+    equal values are ranked by ``tiebreak``."""
+    ranked = global_rank(df.withColumn(col, F.col(col).cast("double")), [col, *tiebreak], "_rank")
+    n = F.lit(ranked.count())
+    a = F.when(n <= 10, 0.375).otherwise(0.5)
+    p = (F.col("_rank") - a) / (n + 1 - 2 * a)
+    return ranked.withColumn(out, normal_quantile(p)).drop("_rank")
 
 
 def diagnostics(fit: MixedFit, ids: Sequence[str] = ()) -> DataFrame:
-    """Fitted (fixed + group effects), residual, standardised residual
-    and normal QQ score per row."""
-    cur = fit.base
-    for g, eff in fit.effects.items():
-        cur = cur.join(eff.select(g, F.col("effect").alias(f"_b_{g}")), g, "left")
-    fitted = fit.fitted_expr(cur)
+    """Fitted (fixed + group effects), residual, standardised residual,
+    normal QQ score and, with ``ids``, the row's index in their order."""
+    cur = fit.rows.select(*dict.fromkeys([*ids, fit.y, *fit.design.variables, *fit.groups]))
+    for g, eff in fit.effects.items():      # at most MAX_GROUP_LEVELS rows
+        cur = cur.join(F.broadcast(eff.select(g, F.col("effect").alias(f"_b_{g}"))), g, "left")
     sd = math.sqrt(fit.variances["Residual"]) if fit.variances["Residual"] > 0 else float("nan")
-    out = (cur.withColumn("fitted", fitted)
+    out = (cur.withColumn("fitted", fit.fitted_expr())
            .withColumn("resid", F.col(fit.y) - F.col("fitted"))
            .withColumn("std_resid", F.col("resid") / F.lit(sd)))
-    return normal_scores(out.select(*ids, *fit.groups, "fitted", "resid", "std_resid"),
-                         "resid", tiebreak=list(ids))
+    scored = normal_scores(out.select(*dict.fromkeys([*ids, *fit.groups]), "fitted", "resid", "std_resid"), "resid",
+                           tiebreak=list(ids))
+    return global_rank(scored, list(ids), "index") if ids else scored
 
 
 RANEF_SCHEMA = StructType([StructField("factor", StringType()), StructField("group", StringType()),

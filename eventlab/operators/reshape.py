@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_LEVELS = 10_000
@@ -57,74 +57,84 @@ def complete_cells(df: DataFrame, factors: Mapping[str, Sequence | None],
     return out.fillna(dict(fill)) if fill else out
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
-                    accuracy: int = 1_000_000, prefix: str = "q") -> DataFrame:
-    """Exact quantiles per group (linear interpolation between order
-    statistics, R's default type 7), without holding a group in one task.
-
-    A ``percentile_approx`` sketch (bounded memory, rank error <= n/accuracy)
-    brackets each target rank; one more pass counts the rows below each
-    bracket and gathers only the rows inside it (about 8 n / accuracy per
-    probability; a group of at most ``accuracy`` rows is its own band). The
-    exact order statistics are read from that band. A
-    bracket that misses its rank (cannot happen within the sketch's
-    guarantee) raises instead of returning a wrong value."""
-    x = F.col(value).cast("double")
-    base = df.select(*by, x.alias("_x")).where(F.col("_x").isNotNull())
-    m = 4.0 / accuracy
-    qs = [q for p in probs for q in (max(0.0, p - m), min(1.0, p + m))]
-    bounds = base.groupBy(*by).agg(F.count("_x").alias("_n"),
-                                   F.percentile_approx("_x", qs, accuracy).alias("_b"))
-    j = base.join(bounds, list(by))
-    aggs = []
-    small = F.col("_n") <= accuracy          # band = whole group, at most ``accuracy`` rows
-    for i, _ in enumerate(probs):
-        lo = F.when(small, F.lit(float("-inf"))).otherwise(F.col("_b")[2 * i])
-        hi = F.when(small, F.lit(float("inf"))).otherwise(F.col("_b")[2 * i + 1])
-        aggs.append(F.count_if(F.col("_x") < lo).alias(f"_below{i}"))
-        aggs.append(F.array_sort(F.collect_list(F.when(F.col("_x").between(lo, hi), F.col("_x"))))
-                    .alias(f"_band{i}"))
-    per = j.groupBy(*by, "_n").agg(*aggs)
+#: Distinct values that one task orders when an exact quantile is read.
+VALUES_PER_PIECE = 1_000_000
+#: Groups whose bounds are sent to every task; more are joined by a shuffle.
+MAX_BROADCAST_GROUPS = 10_000
+
+
+def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(by, _x, _c): how often each value occurs in each group, staged. The
+    count is pre-added in every task, so a value that most rows share is one
+    row; everything below works on this table."""
+    from eventlab.sources.files import stage
+    rows = df.select(*by, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    return stage(rows.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c")), "value-counts")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS else df
+
+
+def quantiles_of_counts(counts: DataFrame, by: Sequence[str], probs: Sequence[float],
+                        pieces: int | None = None, prefix: str = "q") -> DataFrame:
+    """Exact quantiles (linear interpolation between order statistics, R's
+    default type 7) per group of a ``value_counts`` table.
+
+    A sketch of the distinct values cuts each group into ``pieces`` value ranges
+    (by default of about ``VALUES_PER_PIECE`` values). The ranges' row counts
+    tell which range holds each wanted rank; only those ranges are ordered, each
+    by itself. The sketch only sizes the ranges; the result is exact."""
+    if pieces is None:
+        pieces = max(16, -(-counts.count() // VALUES_PER_PIECE))
+    cuts = [k / pieces for k in range(1, pieces)]
+    per = counts.groupBy(*by).agg(F.sum("_c").alias("n"),
+                                  F.percentile_approx("_x", cuts, max(10_000, 10 * pieces)).alias("_b"))
+    tagged = counts.join(_few(per), list(by)).withColumn(
+        "_piece", F.size(F.filter("_b", lambda b: b < F.col("_x"))))
+    in_order = Window.partitionBy(*by).orderBy("_piece")
+    sizes = tagged.groupBy(*by, "n", "_piece").agg(F.sum("_c").alias("_rows"))
+    sizes = sizes.withColumn("_before", F.sum("_rows").over(in_order) - F.col("_rows"))
+    position = [(F.col("n") - 1) * F.lit(float(p)) + 1 for p in probs]
+    ranks = F.array_distinct(F.array(*[f(h).cast("long") for h in position for f in (F.floor, F.ceil)]))
+    wanted = sizes.withColumn("_rank", F.explode(F.filter(
+        ranks, lambda r: (r > F.col("_before")) & (r <= F.col("_before") + F.col("_rows")))))
+    held = wanted.groupBy(*by, "_piece", "_before").agg(F.collect_list("_rank").alias("_ranks"))
+    inside = Window.partitionBy(*by, "_piece").orderBy("_x")
+    found = (tagged.select(*by, "n", "_piece", "_x", "_c").join(_few(held), [*by, "_piece"])
+             .withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))
+             .withColumn("_rank", F.explode(F.filter(
+                 "_ranks", lambda r: (r <= F.col("_upto")) & (r > F.col("_upto") - F.col("_c")))))
+             .groupBy(*by, "n").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_x"))).alias("_at")))
     outs = []
-    for i, p in enumerate(probs):
-        h = (F.col("_n") - 1) * F.lit(float(p)) + 1
-        r_lo, r_hi = F.floor(h), F.ceil(h)
-        band, below = F.col(f"_band{i}"), F.col(f"_below{i}")
-        v_lo = F.element_at(band, (r_lo - below).cast("int"))
-        v_hi = F.element_at(band, (r_hi - below).cast("int"))
-        ok = (r_lo - below >= 1) & (r_hi - below <= F.size(band))
-        val = v_lo + (h - r_lo) * (v_hi - v_lo)
-        outs.append(F.when(ok, val).otherwise(F.raise_error(
-            F.lit(f"quantile bracket missed for p={p}"))).alias(f"{prefix}{i}"))
-    return per.select(*by, F.col("_n").alias("n"), *outs)
-
-
-def box_stats(df: DataFrame, by: Sequence[str], value: str, materialize: bool = True) -> DataFrame:
+    for i, h in enumerate(position):
+        lo, hi = (F.element_at("_at", f(h).cast("long")) for f in (F.floor, F.ceil))
+        outs.append((lo + (h - F.floor(h)) * (hi - lo)).alias(f"{prefix}{i}"))
+    return found.select(*by, "n", *outs)
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
+                    pieces: int | None = None, prefix: str = "q") -> DataFrame:
+    """Exact quantiles per group; NULL values don't count."""
+    return quantiles_of_counts(value_counts(df, by, value), by, probs, pieces, prefix)
+
+
+def box_stats(df: DataFrame, by: Sequence[str], value: str, pieces: int | None = None) -> DataFrame:
     """Boxplot summary per group: quartiles (linear interpolation, as R's
     default quantile), IQR, whiskers (most extreme values within 1.5 IQR of
-    the box) and the number of outliers.
-
-    Quartiles come from ``exact_quantiles`` (sketch bracket + band, so no
-    group is gathered whole in one task); the whisker pass joins the
-    per-group quartiles back -- one row per group. With ``materialize`` the
-    (by, value) projection is staged once in the shared folder and the three
-    passes read it."""
-    if materialize:
-        # three passes follow (bracket, band, whiskers): stage the slim
-        # projection once instead of recomputing an expensive input three times
-        from eventlab.sources.files import stage
-        df = stage(df.select(*by, value), "box-input")
-    x = F.col(value)
-    q = (exact_quantiles(df, by, value, [0.25, 0.5, 0.75])
+    the box) and the number of outliers. One pass over the rows counts the
+    values; quartiles and whiskers both come from the counts."""
+    counts = value_counts(df, by, value)
+    x, c = F.col("_x"), F.col("_c")
+    q = (quantiles_of_counts(counts, by, [0.25, 0.5, 0.75], pieces)
          .select(*by, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"),
                  F.col("q2").alias("q3"))
          .withColumn("iqr", F.col("q3") - F.col("q1")))
     lo = F.col("q1") - 1.5 * F.col("iqr")
     hi = F.col("q3") + 1.5 * F.col("iqr")
-    w = (df.select(*by, value).join(q.select(*by, "q1", "q3", "iqr"), list(by))
-         .groupBy(*by)
-         .agg(F.min(x).alias("min"), F.max(x).alias("max"),
-              F.min(F.when(x >= lo, x)).alias("lower_whisker"),
-              F.max(F.when(x <= hi, x)).alias("upper_whisker"),
-              F.count(F.when((x < lo) | (x > hi), x)).alias("n_outliers")))
-    return q.join(w, list(by))
+    stats = [*q.columns[len(by):]]
+    return (counts.join(_few(q), list(by)).groupBy(*by, *stats)
+            .agg(F.min(x).alias("min"), F.max(x).alias("max"),
+                 F.min(F.when(x >= lo, x)).alias("lower_whisker"),
+                 F.max(F.when(x <= hi, x)).alias("upper_whisker"),
+                 F.sum(F.when((x < lo) | (x > hi), c).otherwise(0)).alias("n_outliers")))

@@ -17,7 +17,9 @@ from eventlab.operators.events import (
     daily_totals,
     expand_grid,
     gap_event_summary,
+    gap_events,
     number_events,
+    regular_grid,
     run_lengths,
     segment_events,
     segment_events_chunked,
@@ -356,6 +358,51 @@ def q_gap_events(spark, sf_dir):
     return gap_event_summary(ev, SERIES_KEYS, "ts", GAP_MINUTES, "value", "event")
 
 
+@register("gap_event_rows", with_ctes([f"""ge0 AS ({SQL_KEYED} WHERE event_type IN ('click','view'))""",
+    """ge1 AS (SELECT *, lag(ts) OVER (PARTITION BY SiteID, Treatment, Year ORDER BY ts, event_id)
+        AS prev FROM ge0)""",
+    f"""ge2 AS (SELECT *, CAST(sum(CASE WHEN date_diff('microsecond', prev, ts) / 60000000.0 >
+        {GAP_MINUTES} THEN 1 ELSE 0 END) OVER (PARTITION BY SiteID, Treatment, Year
+        ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS event FROM ge1)"""],
+    "SELECT SiteID, Treatment, Year, event_id, ts, event FROM ge2"))
+def q_gap_event_rows(spark, sf_dir):
+    """E8, row form: the number of its time-gap event on every raw rain row."""
+    ev = keyed_events(spark, sf_dir, RAIN_TYPES).select(*SERIES_KEYS, "event_id", "ts")
+    return gap_events(ev, SERIES_KEYS, "ts", GAP_MINUTES, "event").select(*SERIES_KEYS, "event_id", "ts", "event")
+
+
+MISSING_SQL = f"""
+mv AS (SELECT SiteID, Treatment, Year, ts, CASE WHEN event_id % 40 <> 0 THEN value END AS value
+  FROM ({SQL_KEYED}) k WHERE event_type IN ('click','view')),
+mb AS (SELECT SiteID, Treatment, Year, time_bucket(INTERVAL '15 minutes', ts) AS date_time,
+  CASE WHEN bool_or(value IS NULL) THEN NULL ELSE sum(value) END AS rain FROM mv GROUP BY ALL),
+mr AS (SELECT SiteID, Treatment, Year, min(date_time) AS t0, max(date_time) AS t1 FROM mb GROUP BY ALL),
+ms AS (SELECT SiteID, Treatment, Year, unnest(generate_series(t0, t1, INTERVAL '15 minutes')) AS date_time FROM mr),
+mg AS (SELECT ms.*, CASE WHEN mb.date_time IS NULL THEN 0.0 ELSE mb.rain END AS rain
+  FROM ms LEFT JOIN mb USING (SiteID, Treatment, Year, date_time))"""
+
+
+def _grid_with_missing(spark, sf_dir):
+    """The rain grid when every fortieth reading is missing (NULL)."""
+    ev = keyed_events(spark, sf_dir, RAIN_TYPES)
+    reading = F.when(F.col("event_id") % 40 != 0, F.col("value"))
+    return regular_grid(ev, SERIES_KEYS, "ts", {"rain": reading}, GRID_SECONDS, missing={"rain": reading.isNull()})
+
+
+@register("grid_missing_readings", with_ctes([MISSING_SQL], "SELECT * FROM mg"))
+def q_grid_missing_readings(spark, sf_dir):
+    """E15 with missing readings: NULL at their steps, 0 at empty steps."""
+    return _grid_with_missing(spark, sf_dir)
+
+
+@register("missing_rain_flags", with_ctes([MISSING_SQL, segment_sql("mg", "SiteID, Treatment, Year", "date_time", "rain", 4)],
+    "SELECT SiteID, Treatment, Year, date_time, rain, CAST(eventflag AS VARCHAR) AS eventflag, eventid FROM g6"))
+def q_missing_rain_flags(spark, sf_dir):
+    """E3-E5 over missing readings: each is a run of its own and splits events."""
+    flags = segment_events(_grid_with_missing(spark, sf_dir), SERIES_KEYS, ["date_time"], "rain", 4)
+    return flags.select(*SERIES_KEYS, "date_time", "rain", F.col("eventflag").cast("string").alias("eventflag"), "eventid")
+
+
 @register("rain_event_steps", with_ctes(rain_ctes(), """SELECT Year, SiteID, Treatment, rf_event,
   unnest(generate_series(eventStart, eventEnd, INTERVAL '15 minutes')) AS date_time
   FROM rain_events"""))

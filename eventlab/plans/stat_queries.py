@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventlab.functions.columns import ln_offset
-from eventlab.functions.distributions import t_quantile_975, t_quantile_975_sql, t_quantile_udf
+from eventlab.functions.distributions import normal_quantile_sql, t_quantile_975, t_quantile_975_sql, t_quantile_udf
 from eventlab.operators.design import Design, build_design, with_design
 from eventlab.operators.filters import keep_first
 from eventlab.operators.linear import (
@@ -20,6 +20,7 @@ from eventlab.operators.linear import (
     coef_table,
     covariate_grid,
     effect_curve,
+    fit_from_gram,
     fit_ols,
     gram,
     gram_frame,
@@ -302,10 +303,16 @@ def q_anova_sequential(spark, sf_dir):
 
 @register("anova_marginal")
 def q_anova_marginal(spark, sf_dir):
-    """H5: drop-one-term (marginal) ANOVA from the Gram."""
+    """H5: drop-one ANOVA of the terms that no other term contains."""
     return anova(spark, _fit(spark, sf_dir), "marginal")
 
 
+@register("anova_type3")
+def q_anova_type3(spark, sf_dir):
+    """H5: type III ANOVA (sum-to-zero coding), from the Gram."""
+    return anova(spark, _fit(spark, sf_dir), "type3")
+
+
 @register("backward_steps")
 def q_backward_steps(spark, sf_dir):
     """H9: backward elimination at alpha = 0.1, hierarchy respected."""
@@ -343,11 +350,13 @@ def q_marginal_contrasts(spark, sf_dir):
     return marginal_means(spark, _fit(spark, sf_dir), "Treatment", by="crop")[1]
 
 
+ROW_IDS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
 def _mixed(spark, sf_dir):
     d = design()
     return fit_random_intercepts(model_df(spark, sf_dir).select(
-        "y", "Treatment", "qty", "crop", *RANDOM, "l_orderkey", "l_linenumber", "l_partkey"),
-        "y", d, RANDOM, sweeps=2)
+        "y", "Treatment", "qty", "crop", *RANDOM, *ROW_IDS), "y", d, RANDOM)
 
 
 @register("variance_components")
@@ -370,12 +379,39 @@ def q_random_effects(spark, sf_dir):
 
 @register("residual_diagnostics")
 def q_residual_diagnostics(spark, sf_dir):
-    """Fitted, residual, standardised residual and QQ score per row."""
-    d = design()
-    fit = fit_random_intercepts(model_df(spark, sf_dir).select(
-        "y", "Treatment", "qty", "crop", *RANDOM, "l_orderkey", "l_linenumber", "l_partkey"),
-        "y", d, RANDOM, sweeps=1)
-    return diagnostics(fit)
+    """Fitted, residual, standardised residual, QQ score and index per row."""
+    return diagnostics(_mixed(spark, sf_dir), ROW_IDS)
+
+
+@register("mixed_coefficients")
+def q_mixed_coefficients(spark, sf_dir):
+    """H6: fixed effects of the mixed model with its standard errors."""
+    return coef_table(spark, _mixed(spark, sf_dir))
+
+
+@register("mixed_anova_type3")
+def q_mixed_anova_type3(spark, sf_dir):
+    """H5 on the mixed model: type III Wald tests."""
+    return anova(spark, _mixed(spark, sf_dir), "type3")
+
+
+@register("mixed_marginal_means")
+def q_mixed_marginal_means(spark, sf_dir):
+    """H8 on the mixed model: flag means per priority."""
+    return marginal_means(spark, _mixed(spark, sf_dir), "Treatment", by="crop", back_offset=Y_OFFSET)[0]
+
+
+@register("mixed_backward_steps")
+def q_mixed_backward_steps(spark, sf_dir):
+    """H9 on the mixed model."""
+    return backward_eliminate(spark, _mixed(spark, sf_dir), alpha=0.1)[1]
+
+
+@register("mixed_effect_curve")
+def q_mixed_effect_curve(spark, sf_dir):
+    """H13 on the mixed model."""
+    fit = _mixed(spark, sf_dir)
+    return effect_curve(spark, fit, "qty", covariate_grid(model_table(spark, sf_dir), "qty", 11))
 
 
 ONE_WAY_SQL = [SQL_MODEL, f"""ow0 AS (SELECT SiteID || ':' || Treatment AS g, {MODEL_SQL_Y} AS y0 FROM model)""",
@@ -394,7 +430,7 @@ ONE_WAY_SQL = [SQL_MODEL, f"""ow0 AS (SELECT SiteID || ':' || Treatment AS g, {M
 
 def _one_way(spark, sf_dir):
     m = model_df(spark, sf_dir).select("y", F.concat_ws(":", "SiteID", "Treatment").alias("g"))
-    return fit_random_intercepts(m, "y", build_design([], {}), ["g"], sweeps=1)
+    return fit_random_intercepts(m, "y", build_design([], {}), ["g"])
 
 
 @register("one_way_variance", with_ctes(ONE_WAY_SQL, """SELECT 'g' AS component, sa AS variance,
@@ -427,3 +463,162 @@ def q_marginal_means_at(spark, sf_dir):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.drop("by")
+
+
+# ------------------------------------------------- closed forms, exact in SQL
+
+ONE_FACTOR_SQL = [SQL_MODEL, f"m0 AS (SELECT *, {MODEL_SQL_Y} AS y FROM model)",
+    "lv AS (SELECT Treatment, count(*) AS n, avg(y) AS m, var_pop(y) * count(*) AS ss FROM m0 GROUP BY Treatment)",
+    """tt AS (SELECT sum(n) AS n, sum(ss) AS within, sum(ss) / (sum(n) - count(*)) AS mse, count(*) AS k,
+         sum(n * m) / sum(n) AS gm FROM lv)"""]
+
+
+def _one_factor(spark, sf_dir):
+    return fit_ols(model_df(spark, sf_dir), "y", build_design([("Treatment",)], FACTORS))
+
+
+@register("one_factor_ols", with_ctes(ONE_FACTOR_SQL, """
+  SELECT '(Intercept)' AS term, a.m AS estimate, sqrt(mse / a.n) AS se, a.m / sqrt(mse / a.n) AS t
+  FROM lv a, tt WHERE a.Treatment = 'A'
+  UNION ALL SELECT 'Treatment[' || b.Treatment || ']', b.m - a.m, sqrt(mse * (1.0 / a.n + 1.0 / b.n)),
+    (b.m - a.m) / sqrt(mse * (1.0 / a.n + 1.0 / b.n)) FROM lv a, lv b, tt
+  WHERE a.Treatment = 'A' AND b.Treatment <> 'A'"""))
+def q_one_factor_ols(spark, sf_dir):
+    """H4, one factor: coefficients are differences of means."""
+    return coef_table(spark, _one_factor(spark, sf_dir)).drop("p_value")
+
+
+@register("one_way_anova", with_ctes(ONE_FACTOR_SQL, """
+  SELECT 'Treatment' AS term, CAST(k - 1 AS BIGINT) AS df, bs AS sum_sq, bs / (k - 1) AS mean_sq,
+    bs / (k - 1) / mse AS F FROM tt, (SELECT sum(lv.n * (m - gm) * (m - gm)) AS bs FROM lv, tt)
+  UNION ALL SELECT 'Residuals', CAST(n - k AS BIGINT), within, mse, NULL FROM tt"""))
+def q_one_way_anova(spark, sf_dir):
+    """H5, one factor: between and within sums of squares."""
+    return anova(spark, _one_factor(spark, sf_dir)).drop("p_value")
+
+
+TWO_LEVEL = {"Treatment": ["A", "R"], "crop": PRIORITIES}
+
+
+def _saturated(spark, sf_dir):
+    d = build_design([("Treatment",), ("crop",), ("Treatment", "crop")], TWO_LEVEL)
+    return fit_ols(model_df(spark, sf_dir), "y", d)
+
+
+SATURATED_SQL = [SQL_MODEL, f"s0 AS (SELECT *, {MODEL_SQL_Y} AS y FROM model WHERE Treatment IN ('A', 'R'))",
+    "sc AS (SELECT Treatment, crop, count(*) AS n, avg(y) AS m, var_pop(y) * count(*) AS ss FROM s0 GROUP BY ALL)",
+    "sm AS (SELECT sum(ss) / (sum(n) - count(*)) AS mse FROM sc)"]
+
+
+@register("anova_type3_two_level", with_ctes([*SATURATED_SQL,
+    """l AS (SELECT avg(a.m - r.m) AS d, sum(1.0 / a.n + 1.0 / r.n) / (count(*) * count(*)) AS v
+      FROM sc a JOIN sc r USING (crop) WHERE a.Treatment = 'A' AND r.Treatment = 'R')"""],
+    "SELECT 'Treatment' AS term, CAST(1 AS BIGINT) AS df, d * d / v AS sum_sq, d * d / v / mse AS F FROM l, sm"))
+def q_anova_type3_two_level(spark, sf_dir):
+    """H5, type III of a two-level factor in a saturated two-way table: the
+    squared difference of unweighted means over its variance. Rows at the third
+    flag are an undeclared level and drop out."""
+    t = anova(spark, _saturated(spark, sf_dir), "type3")
+    return t.where(F.col("term") == "Treatment").select("term", "df", "sum_sq", "F")
+
+
+@register("saturated_means", with_ctes(SATURATED_SQL, f"""
+  SELECT Treatment AS level, avg(m) AS emmean, sqrt(mse * sum(1.0 / n)) / count(*) AS se,
+    exp(avg(m)) - {Y_OFFSET} AS response FROM sc, sm GROUP BY Treatment, mse"""))
+def q_saturated_means(spark, sf_dir):
+    """H8, saturated two-way table: means of cell means."""
+    means, _ = marginal_means(spark, _saturated(spark, sf_dir), "Treatment", back_offset=Y_OFFSET)
+    return means.select("level", "emmean", "se", "response")
+
+
+@register("saturated_contrasts", with_ctes(SATURATED_SQL, """
+  SELECT crop AS by, 'A - R' AS contrast, a.m - r.m AS estimate, sqrt(mse * (1.0 / a.n + 1.0 / r.n)) AS se
+  FROM sc a JOIN sc r USING (crop), sm WHERE a.Treatment = 'A' AND r.Treatment = 'R'"""))
+def q_saturated_contrasts(spark, sf_dir):
+    """H8, contrasts within each priority: differences of cell means."""
+    _, contrasts = marginal_means(spark, _saturated(spark, sf_dir), "Treatment", by="crop")
+    return contrasts.select("by", "contrast", "estimate", "se")
+
+
+LINE_SQL = [SQL_MODEL, f"l0 AS (SELECT {MODEL_SQL_Y} AS y, qty, discount, ln(qty) AS ln_qty FROM model)",
+    """line AS (SELECT regr_slope(y, qty) AS b, avg(y) AS my, avg(qty) AS mx, regr_sxx(y, qty) AS sxx,
+      CAST(count(*) AS DOUBLE) AS n, min(qty) AS lo, max(qty) AS hi,
+      (regr_syy(y, qty) - regr_slope(y, qty) * regr_sxy(y, qty)) / (count(*) - 2) AS mse FROM l0)"""]
+
+
+@register("line_effect_curve", with_ctes([*LINE_SQL,
+    "g AS (SELECT lo + (hi - lo) * i / 10.0 AS x, line.* FROM line, generate_series(0, 10) t(i))"],
+    """SELECT x, my + b * (x - mx) AS fit, sqrt(mse * (1.0 / n + (x - mx) * (x - mx) / sxx)) AS se FROM g"""))
+def q_line_effect_curve(spark, sf_dir):
+    """H13, one covariate: the regression line and its standard error."""
+    m = model_df(spark, sf_dir)
+    fit = fit_ols(m, "y", build_design([("qty",)], {}))
+    return effect_curve(spark, fit, "qty", covariate_grid(m, "qty", 11)).select("x", "fit", "se")
+
+
+@register("line_screen", with_ctes(LINE_SQL, " UNION ALL ".join(
+    f"SELECT '{c}' AS variable, CAST(1 AS BIGINT) AS df, pow(corr(y, {c}), 2) * (count(*) - 2) / (1 - pow(corr(y, {c}), 2)) AS F FROM l0"
+    for c in ("qty", "discount", "ln_qty"))))
+def q_line_screen(spark, sf_dir):
+    """H10 and H9's test without other terms: F of each covariate alone."""
+    d = build_design([("qty",), ("discount",), ("ln_qty",)], {})
+    fit = fit_ols(model_df(spark, sf_dir), "y", d)
+    parts = [anova(spark, _only(fit, (c,))).where(F.col("term") == c) for c in ("qty", "discount", "ln_qty")]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.select(F.col("term").alias("variable"), "df", "F")
+
+
+def _only(fit, term):
+    """The fit's Gram with one term."""
+    return fit_from_gram(fit.design, fit.gram, [term])
+
+
+@register("one_way_effects", with_ctes(ONE_WAY_SQL, """SELECT 'g' AS factor, g AS "group", n,
+  n * sa / (n * sa + se) * (s / n - mu) AS effect, sqrt(sa * se / (n * sa + se)) AS se
+  FROM ow_g, ow_v, (SELECT sum(s / n * w) / sum(w) AS mu FROM (
+    SELECT s, n, 1.0 / (sa + se / n) AS w FROM ow_g, ow_v))"""))
+def q_one_way_effects(spark, sf_dir):
+    """H11 with one random factor: means shrunken to the weighted mean."""
+    return random_effects(_one_way(spark, sf_dir)).drop("lower", "upper")
+
+
+@register("one_way_mean", with_ctes([*ONE_WAY_SQL, f"sh AS (SELECT avg(y0) AS m0 FROM ow0)",
+    "w AS (SELECT s / n AS m, 1.0 / (sa + se / n) AS w FROM ow_g, ow_v)"],
+    "SELECT '(Intercept)' AS term, m0 + sum(m * w) / sum(w) AS estimate, sqrt(1.0 / sum(w)) AS se FROM w, sh GROUP BY m0"))
+def q_one_way_mean(spark, sf_dir):
+    """H6: the fixed intercept with one random factor is the mean of group
+    means weighted by their variances; its error is that of the weights."""
+    return coef_table(spark, _one_way(spark, sf_dir)).select("term", "estimate", "se")
+
+
+@register("plain_diagnostics", with_ctes([SQL_MODEL,
+    f"r0 AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {MODEL_SQL_Y} AS y FROM model)",
+    """r1 AS (SELECT *, y - avg(y) OVER () AS resid, count(*) OVER () AS n, var_samp(y) OVER () AS v,
+      row_number() OVER (ORDER BY y, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k,
+      row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS index FROM r0)"""],
+    f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, index, resid, resid / sqrt(v) AS std_resid,
+  {normal_quantile_sql('((k - 0.5) / n)')} AS theoretical FROM r1"""))
+def q_plain_diagnostics(spark, sf_dir):
+    """H11 for a mean only: residual, its standardised form, QQ score, index."""
+    m = model_df(spark, sf_dir).select("y", *ROW_IDS)
+    out = diagnostics(fit_random_intercepts(m, "y", build_design([], {}), []), ROW_IDS)
+    return out.select(*ROW_IDS, "index", "resid", "std_resid", "theoretical")
+
+
+@register("pooled_regression", with_ctes([SQL_MODEL], """SELECT CAST(regr_count(price, qty) AS BIGINT) AS n,
+  regr_slope(price, qty) AS slope, regr_intercept(price, qty) AS intercept, regr_r2(price, qty) AS r2,
+  sqrt((regr_syy(price, qty) - regr_slope(price, qty) * regr_sxy(price, qty))
+       / ((regr_count(price, qty) - 2) * regr_sxx(price, qty))) AS slope_se FROM model"""))
+def q_pooled_regression(spark, sf_dir):
+    """H2 over all rows, next to the per-flag one."""
+    return simple_regression(model_table(spark, sf_dir), [], "price", "qty").select(
+        "n", "slope", "intercept", "r2", "slope_se")
+
+
+@register("pooled_regression_pvalue")
+def q_pooled_regression_pvalue(spark, sf_dir):
+    """H2 + H12: the pooled and the per-flag slopes with their p-values."""
+    m = model_table(spark, sf_dir)
+    each = simple_regression(m, ["Treatment"], "price", "qty", p_values=True)
+    pooled = simple_regression(m, [], "price", "qty", p_values=True).withColumn("Treatment", F.lit("all"))
+    return each.unionByName(pooled)

@@ -237,3 +237,15 @@ def test_size_for_input(spark):
         for k in applied:
             if k != "spark.sql.shuffle.partitions":
                 spark.conf.unset(k)
+
+
+def test_missing_readings_stay_null_on_the_grid(spark):
+    from eventlab.operators.events import regular_grid
+    t0 = datetime(2024, 1, 1)
+    rows = [("a", t0, 1.0), ("a", t0 + timedelta(minutes=5), None), ("a", t0 + timedelta(minutes=6), 3.0),
+            ("a", t0 + timedelta(minutes=15), 2.0)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, v double")
+    kept = regular_grid(df, ["k"], "ts", {"v": F.col("v")}, 300, missing={"v": F.col("v").isNull()})
+    assert [r["v"] for r in kept.orderBy("date_time").collect()] == [1.0, None, 0.0, 2.0]
+    plain = regular_grid(df, ["k"], "ts", {"v": F.col("v")}, 300)
+    assert [r["v"] for r in plain.orderBy("date_time").collect()] == [1.0, 3.0, 0.0, 2.0]

@@ -5,14 +5,18 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from eventlab.plans.catalog import QUERIES
 from tools.plan_report import plan_text
 
 SF = "/root/testdata/sf0.001"
 # driver-solved outputs (local relations) and staged round trips carry no scan plan
 SKIP = {"ols_coefficients", "anova_sequential", "anova_marginal", "backward_steps",
         "covariate_screen", "effect_curve", "marginal_means", "marginal_contrasts",
-        "variance_components", "icc_r2", "one_way_variance", "one_way_icc", "gram_matrix"}
+        "variance_components", "icc_r2", "one_way_variance", "one_way_icc", "gram_matrix", "random_effects",
+        "mixed_coefficients", "mixed_anova_type3", "mixed_marginal_means", "mixed_backward_steps",
+        "mixed_effect_curve", "anova_type3", "anova_type3_two_level", "one_factor_ols", "one_way_anova",
+        "saturated_means", "saturated_contrasts", "line_effect_curve", "line_screen", "one_way_effects",
+        "one_way_mean", "marginal_means_at"}
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +24,7 @@ def plans(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        yield {name: plan_text(fn(spark, SF)) for name, fn in entry.queries().items()
+        yield {name: plan_text(fn(spark, SF)) for name, fn in QUERIES.items()
                if name not in SKIP}
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
@@ -34,8 +38,7 @@ def test_no_cross_joins(plans):
 
 def test_single_partition_only_for_global_results(plans):
     # a SinglePartition exchange is allowed for global aggregates / one-row results
-    # and for the bounded one-bucket QQ window (n <= rows_per_bucket)
-    allowed = {"quarantine_bad", "residual_diagnostics", "sorted_totals", "append_totals"}
+    allowed = {"quarantine_bad", "sorted_totals", "append_totals", "pooled_regression", "pooled_regression_pvalue"}
     bad = [n for n, t in plans.items() if "Exchange SinglePartition" in t and n not in allowed]
     assert bad == []
 

@@ -128,7 +128,7 @@ def test_moments_balanced_one_way(spark):
     rows = [(f"g{g}", float(5 + eff[g] + rng.normal(0, 1))) for g in range(G) for _ in range(n)]
     df = spark.createDataFrame(rows, "grp string, y double")
     d = build_design([], {})
-    fit = fit_random_intercepts(df, "y", d, ["grp"], sweeps=1)
+    fit = fit_random_intercepts(df, "y", d, ["grp"])
     y = np.array([r[1] for r in rows]).reshape(G, n)
     msw = ((y - y.mean(1, keepdims=True)) ** 2).sum() / (G * n - G)
     msb = n * ((y.mean(1) - y.mean()) ** 2).sum() / (G - 1)
@@ -143,7 +143,7 @@ def test_normal_scores_exact_ranks(spark):
     rng = random.Random(5)
     vals = [rng.gauss(0, 1) for _ in range(500)]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, r double")
-    out = {r["i"]: r["theoretical"] for r in normal_scores(df, "r", rows_per_bucket=60).collect()}
+    out = {r["i"]: r["theoretical"] for r in normal_scores(df, "r", tiebreak=["i"]).collect()}
     order = np.argsort(vals)
     p = (np.arange(1, 501) - 0.5) / 500
     z = norm_ppf(p)
@@ -172,7 +172,7 @@ def test_moments_recover_crossed_components(spark):
     rows = [(f"a{i}", f"b{j}", f"a{i}:b{j}", float(u), float(v)) for i, j, u, v in zip(ia, ib, x, y)]
     df = spark.createDataFrame(rows, "A string, B string, AB string, x double, y double")
     d = build_design([("x",)], {})
-    fit = fit_random_intercepts(df, "y", d, ["A", "B", "AB"], sweeps=2)
+    fit = fit_random_intercepts(df, "y", d, ["A", "B", "AB"])
     v = fit.variances
     # sample variances of the drawn effects (what the data can identify)
     assert v["A"] == pytest.approx(np.var(a_eff, ddof=1), rel=0.3)
@@ -182,21 +182,97 @@ def test_moments_recover_crossed_components(spark):
     assert fit.fixed.beta[1] == pytest.approx(0.5, abs=0.03)
 
 
-def test_backfitting_converges_with_tolerance(spark):
-    from eventlab.operators.mixed import _max_change
-    rng = np.random.default_rng(3)
-    na, nb, n = 15, 12, 3000
+def _crossed(seed=3, na=15, nb=12, n=900):
+    rng = np.random.default_rng(seed)
     a, b = rng.normal(0, 1.0, na), rng.normal(0, 0.8, nb)
     ia, ib = rng.integers(0, na, n), rng.integers(0, nb, n)
-    y = 1.0 + a[ia] + b[ib] + rng.normal(0, 1.0, n)
-    df = spark.createDataFrame([(f"a{i}", f"b{j}", float(v)) for i, j, v in zip(ia, ib, y)],
-                               "A string, B string, y double")
-    d = build_design([], {})
-    fit = fit_random_intercepts(df, "y", d, ["A", "B"], sweeps=30, tol=1e-3)
-    assert fit.sweeps_done < 30
-    # one more sweep from the stopped fit moves the effects by less than tol
-    more = fit_random_intercepts(df, "y", d, ["A", "B"], sweeps=fit.sweeps_done + 1, tol=None)
-    assert _max_change(fit.effects["A"], more.effects["A"], "A") < 1e-3
-    est = {r["A"]: r["effect"] for r in fit.effects["A"].collect()}
-    true = a - a.mean()
-    assert np.corrcoef([est[f"a{i}"] for i in range(na)], true)[0, 1] > 0.9
+    between = rng.normal(0, 1, na)[ia]          # a covariate that is constant within A
+    x = rng.normal(0, 1, n)
+    y = 1.0 + 0.5 * x + 0.3 * between + a[ia] + b[ib] + rng.normal(0, 1.0, n)
+    return ia, ib, x, between, y
+
+
+def test_mixed_fit_equals_a_dense_solve(spark):
+    ia, ib, x, w, y = _crossed()
+    rows = [(f"a{i}", f"b{j}", float(u), float(v), float(t)) for i, j, u, v, t in zip(ia, ib, x, w, y)]
+    df = spark.createDataFrame(rows, "A string, B string, x double, w double, y double")
+    fit = fit_random_intercepts(df, "y", build_design([("x",), ("w",)], {}), ["A", "B"])
+    v = fit.variances
+    X = np.column_stack([np.ones(len(y)), x, w])
+    ZA, ZB = np.eye(ia.max() + 1)[ia], np.eye(ib.max() + 1)[ib]
+    V = v["A"] * ZA @ ZA.T + v["B"] * ZB @ ZB.T + v["Residual"] * np.eye(len(y))
+    Vi = np.linalg.inv(V)
+    cov = np.linalg.inv(X.T @ Vi @ X)
+    beta = cov @ X.T @ Vi @ y
+    assert fit.fixed.beta == pytest.approx(beta, rel=1e-7)
+    assert fit.fixed.cov == pytest.approx(cov, rel=1e-6)
+    u = v["A"] * ZA.T @ Vi @ (y - X @ beta)
+    got = {r["A"]: r["effect"] for r in fit.effects["A"].collect()}
+    assert [got[f"a{i}"] for i in range(len(u))] == pytest.approx(u, rel=1e-6, abs=1e-9)
+    tab = {r["term"]: r for r in coef_table(spark, fit).collect()}
+    assert tab["w"]["se"] == pytest.approx(math.sqrt(cov[2, 2]), rel=1e-6)
+    ols = fit_ols(df, "y", fit.design)
+    assert tab["w"]["se"] > 3 * math.sqrt(ols.cov[2, 2])      # a between-group covariate
+    wald = beta[2] ** 2 / cov[2, 2]
+    a3 = {r["term"]: r["F"] for r in anova(spark, fit, "type3").collect()}
+    assert a3["w"] == pytest.approx(wald, rel=1e-6)
+
+
+def test_null_groups_and_undeclared_levels_drop_out(spark):
+    rows = [("a", "g1", 1.0), ("a", "g2", 3.0), ("b", "g1", 2.0), ("b", "g2", 5.0), ("b", "g2", 4.0)]
+    d = build_design([("t",)], {"t": ["a", "b"]})
+    clean = spark.createDataFrame(rows, "t string, grp string, y double")
+    dirty = spark.createDataFrame(rows + [("z", "g1", 101.0), (None, "g1", 9.0)], clean.schema)
+    assert fit_ols(dirty, "y", d).beta == pytest.approx(fit_ols(clean, "y", d).beta)
+    assert fit_ols(dirty, "y", d).gram.n == 5 and with_design(dirty, d).count() == 5
+    nulls = spark.createDataFrame(rows + [("a", None, 50.0)], clean.schema)
+    a, b = (fit_random_intercepts(x, "y", d, ["grp"]) for x in (clean, nulls))
+    assert a.variances == pytest.approx(b.variances) and a.fixed.beta == pytest.approx(b.fixed.beta)
+
+
+def test_type3_does_not_depend_on_the_reference_level(spark):
+    df = spark.createDataFrame(_model_rows(seed=8, n=300), "T string, B string, q double, y double")
+    terms = [("T",), ("q",), ("B",), ("T", "q"), ("T", "B")]
+    tables = []
+    for levels in (["x", "y", "z"], ["z", "x", "y"]):
+        d = build_design(terms, {"T": ["c", "s"], "B": levels})
+        tables.append({r["term"]: r["sum_sq"] for r in anova(spark, fit_ols(df, "y", d), "type3").collect()})
+    assert tables[0] == pytest.approx(tables[1], rel=1e-8)
+    marginal = {r["term"] for r in anova(spark, fit_ols(df, "y", d), "marginal").collect()}
+    assert marginal == {"T:q", "T:B", "Residuals"}
+
+
+def test_normal_quantile_expression(spark):
+    from pyspark.sql import functions as F
+    from eventlab.functions.distributions import normal_quantile
+    p = [1e-300, 1e-20, 1e-9, 0.001, 0.02, 0.075, 0.3, 0.5, 0.77, 0.925, 0.999, 1 - 1e-9]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(p)], "i int, p double")
+    got = [r["z"] for r in df.orderBy("i").select(normal_quantile(F.col("p")).alias("z")).collect()]
+    assert got[2:] == pytest.approx(norm_ppf(np.array(p[2:])), abs=1e-9)
+    assert got[1] == pytest.approx(-9.262340089798409, rel=1e-12)
+
+
+def test_diagnostics_rank_ties_by_ids(spark):
+    from eventlab.operators.mixed import diagnostics
+    rows = [(i, 1.0 if i % 10 else float(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, y double")
+    out = diagnostics(fit_random_intercepts(df, "y", build_design([], {}), []), ["id"]).orderBy("id").collect()
+    assert [r["index"] for r in out] == list(range(1, 201))
+    want = norm_ppf((np.arange(1, 201) - 0.5) / 200)
+    order = sorted(range(200), key=lambda i: (rows[i][1], i))
+    assert [out[i]["theoretical"] for i in order] == pytest.approx(want, abs=1e-9)
+
+
+def test_screen_of_a_mixed_fit(spark):
+    from eventlab.operators.linear import screen_covariates
+    ia, ib, x, w, y = _crossed(n=400)
+    df = spark.createDataFrame([(f"a{i}", "t" if j % 2 else "s", float(u), float(v), float(t))
+                                for i, j, u, v, t in zip(ia, ib, x, w, y)], "A string, T string, x double, w double, y double")
+    d = build_design([("T",), ("x",), ("w",)], {"T": ["s", "t"]})
+    plain = {r["variable"]: r for r in screen_covariates(spark, df, "y", d, [("T",)], ["x", "w"], "T", ("s", "t")).collect()}
+    mixed = {r["variable"]: r for r in screen_covariates(spark, df, "y", d, [("T",)], ["x", "w"], "T", ("s", "t"),
+                                                         fit=fit_random_intercepts(df, "y", d, ["A"])).collect()}
+    assert mixed["x"]["F"] > 30 and mixed["w"]["F"] < plain["w"]["F"]
+    one = fit_ols(df, "y", d.subset([("T",), ("x",)]))
+    t = {r["term"]: r["t"] for r in coef_table(spark, one).collect()}["x"]
+    assert plain["x"]["F"] == pytest.approx(t * t, rel=1e-6)

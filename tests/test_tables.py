@@ -158,12 +158,21 @@ def test_exact_quantiles_match_numpy(spark):
     rows = [(g, float(rng.choice([rng.gauss(0, 1), 1.0, 2.5]))) for g in "abc" for _ in range(rng.randint(1, 3000))]
     df = spark.createDataFrame(rows, "g string, x double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    # a tiny sketch accuracy forces wide brackets and real band selection
-    out = {r["g"]: r for r in exact_quantiles(df, ["g"], "x", probs, accuracy=50).collect()}
-    for g in "abc":
-        xs = np.array([v for h, v in rows if h == g])
-        for i, p in enumerate(probs):
-            assert out[g][f"q{i}"] == pytest.approx(float(np.quantile(xs, p)), abs=1e-12)
+    for pieces in (1, 7, None):
+        out = {r["g"]: r for r in exact_quantiles(df, ["g"], "x", probs, pieces).collect()}
+        for g in "abc":
+            xs = np.array([v for h, v in rows if h == g])
+            for i, p in enumerate(probs):
+                assert out[g][f"q{i}"] == pytest.approx(float(np.quantile(xs, p)), abs=1e-12)
+
+
+def test_box_stats_with_one_value_in_most_rows(spark):
+    import numpy as np
+    vals = [0.0] * 9000 + [float(k % 37) - 5 for k in range(1000)]
+    r = box_stats(spark.createDataFrame([("g", v) for v in vals], "g string, x double"), ["g"], "x").first()
+    q1, m, q3 = (float(np.quantile(vals, p)) for p in (0.25, 0.5, 0.75))
+    assert (r["q1"], r["median"], r["q3"], r["n"]) == (q1, m, q3, 10000)
+    assert r["n_outliers"] == sum(v != 0 for v in vals) and (r["min"], r["max"]) == (min(vals), max(vals))
 
 
 def test_blank_header_cells_with_declared_schema(spark):
