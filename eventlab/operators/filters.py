@@ -82,10 +82,10 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     ``!duplicated``). Ascending order; remaining columns break ties so the
     result is deterministic.
 
-    Planned as ``min(struct(order..., rest...))`` per key: a hash aggregate
-    with map-side partial minima, so a key with a third of all rows is
-    reduced before the shuffle (a row_number window would sort that key in
-    one task).
+    Planned as ``min(struct(order..., rest...))`` per key. A struct is no
+    mutable buffer, so this is a sort aggregate: each task sorts its rows by
+    key, but its partial minima still reduce a key with a third of all rows
+    before the shuffle (a row_number window would sort that key in one task).
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
     packed = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],

@@ -10,9 +10,9 @@ The bucket also spreads a hot key over time, which is the salt.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlab.functions.columns import time_bucket_index
@@ -23,7 +23,8 @@ DAY = 86_400
 def interval_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point_time: str,
                   start: str, end: str, bucket_seconds: int = DAY, how: str = "inner"
                   ) -> DataFrame:
-    """Rows of ``points`` whose ``point_time`` lies in [start, end] (both ends
+    """``bucket_seconds`` also spreads a hot key over time: size it so that one
+    key's rows of one bucket fit a task. Rows of ``points`` whose ``point_time`` lies in [start, end] (both ends
     inclusive) of an interval with equal ``keys``. ``how`` is inner or left
     (left keeps unmatched points with NULL interval columns). Each (point,
     interval) pair appears once. Non-key column names must not clash."""
@@ -77,3 +78,48 @@ def overlap_summary(a: DataFrame, b: DataFrame, keys: Sequence[str], a_id: Seque
                          a_start, a_end, b_start, b_end, bucket_seconds)
     per = pairs.groupBy(*keys, *a_id).agg(*aggs)
     return a.join(per, [*keys, *a_id], "left")
+
+
+def overlap_totals(a: DataFrame, b: DataFrame, keys: Sequence[str], a_start: str, a_end: str, b_start: str,
+                   b_end: str, sums: Mapping[str, str], count_out: str, bucket_seconds: int = DAY) -> DataFrame:
+    """D5 without pairs: for each interval of ``a`` (a_start <= a_end), how many
+    intervals of ``b`` with equal keys overlap it, and the sums (output name ->
+    column) over them; NULL sums where there are none.
+
+    An interval that doesn't overlap either starts after the end or ends before
+    the start, so every total is a difference of two running totals: those of
+    the starts up to ``a_end`` and of the ends before ``a_start``. Running totals
+    are taken per (keys, time bucket), plus the totals of the buckets before."""
+    names = list(sums)
+    zero = [F.lit(0).cast("long"), *[F.lit(0.0)] * len(names)]
+    one = [F.lit(1).cast("long"), *[F.coalesce(F.col(sums[n]).cast("double"), F.lit(0.0)) for n in names]]
+
+    def steps(t: str, order: int, into: str) -> DataFrame:
+        up = {"s": one if into == "s" else zero, "e": one if into == "e" else zero}
+        return b.select(*keys, F.col(t).alias("_t"), F.lit(order).alias("_o"), F.lit(None).cast("string").alias("_which"),
+                        *[c.alias(f"_{k}{i}") for k in "se" for i, c in enumerate(up[k])],
+                        *[F.lit(None).cast(a.schema[c].dataType).alias(f"_a_{c}") for c in a.columns])
+
+    def lookups(t: str) -> DataFrame:
+        return a.select(*keys, F.col(t).alias("_t"), F.lit(1).alias("_o"), F.lit(t).alias("_which"),
+                        *[c.alias(f"_{k}{i}") for k in "se" for i, c in enumerate(zero)],
+                        *[F.col(c).alias(f"_a_{c}") for c in a.columns])
+
+    # at equal times: starts count for an interval's end, ends don't for its start
+    rows = (steps(b_start, 0, "s").unionByName(lookups(a_end)).unionByName(lookups(a_start))
+            .unionByName(steps(b_end, 2, "e")).withColumn("_b", time_bucket_index("_t", bucket_seconds)))
+    cells = [f"_{k}{i}" for k in "se" for i in range(len(one))]
+    per = rows.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_p{c}") for c in cells])
+    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*keys, "_b", *[F.coalesce(F.sum(f"_p{c}").over(earlier), F.lit(0)).alias(f"_p{c}") for c in cells])
+    inside = Window.partitionBy(*keys, "_b").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    run = (rows.join(per, [*keys, "_b"]).withColumns({f"_r{c}": F.sum(c).over(inside) + F.col(f"_p{c}") for c in cells})
+           .where(F.col("_which").isNotNull()))
+
+    def total(i: int) -> Column:
+        at_end = F.max(F.when(F.col("_which") == a_end, F.col(f"_r_s{i}")))
+        return at_end - F.max(F.when(F.col("_which") == a_start, F.col(f"_r_e{i}")))
+
+    own = [F.col(f"_a_{c}").alias(c) for c in a.columns]
+    out = run.groupBy(*own).agg(total(0).alias(count_out), *[total(i + 1).alias(n) for i, n in enumerate(names)])
+    return out.withColumns({n: F.when(F.col(count_out) > 0, F.col(n)) for n in names})

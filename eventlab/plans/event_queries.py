@@ -30,7 +30,7 @@ from eventlab.operators.events import (
     window_per_key,
 )
 from eventlab.operators.filters import above, apply_overrides, keep_first
-from eventlab.operators.joins import interval_join, overlap_summary
+from eventlab.operators.joins import interval_join, overlap_totals
 from eventlab.operators.summary import mean_ci
 from eventlab.plans.registry import register, with_ctes
 from eventlab.sources.files import stage
@@ -255,12 +255,12 @@ def q_rain_runs(spark, sf_dir):
 
 
 @register("rain_event_flags", with_ctes(
-    [SQL_GRID, f"src AS (SELECT SiteID, Treatment, Year, date_time, rain FROM grid WHERE {EXCLUSIONS_SQL})",
+    [SQL_GRID, f"src AS (SELECT SiteID, Treatment, Year, date_time, rain FROM grid)",
      segment_sql("src", KEYS_SQL, "date_time", "rain", RAIN_GAP_STEPS, "g")],
     "SELECT SiteID, Treatment, Year, date_time, rain, eventflag, eventid FROM g6"))
 def q_rain_event_flags(spark, sf_dir):
     """E3 + E4 + E5: bridged event flag and event id on every grid row."""
-    return segment_events(rain_grid(spark, sf_dir), SERIES_KEYS, ["date_time"], "rain",
+    return segment_events(rain_grid(spark, sf_dir, series_grid(spark, sf_dir)), SERIES_KEYS, ["date_time"], "rain",
                           RAIN_GAP_STEPS)
 
 
@@ -323,7 +323,7 @@ def q_event_rates(spark, sf_dir):
 
 
 @register("rain_threshold_sweep", with_ctes(
-    [SQL_GRID, f"src AS (SELECT SiteID, Treatment, Year, date_time, rain FROM grid WHERE {EXCLUSIONS_SQL})"]
+    [SQL_GRID, f"src AS (SELECT SiteID, Treatment, Year, date_time, rain FROM grid)"]
     + [segment_sql(f"src, (SELECT CAST({k} AS BIGINT) AS K) kk", KEYS_SQL + ", K", "date_time", "rain", k,
                    f"s{k}_") for k in SWEEP_STEPS]
     + ["sweep AS (" + " UNION ALL ".join(
@@ -335,7 +335,7 @@ def q_event_rates(spark, sf_dir):
   FROM sweep GROUP BY ALL"""))
 def q_rain_threshold_sweep(spark, sf_dir):
     """Rain events for K = 2, 4, 8, 12 steps in one plan."""
-    flags = threshold_sweep(rain_grid(spark, sf_dir), SERIES_KEYS, ["date_time"], "rain",
+    flags = threshold_sweep(rain_grid(spark, sf_dir, series_grid(spark, sf_dir)), SERIES_KEYS, ["date_time"], "rain",
                             SWEEP_STEPS)
     flags = flags.withColumn("K", F.col("K").cast("long"))
     return summarize_events(flags, ["K", *SERIES_KEYS], "rain", "date_time", "precipitation",
@@ -436,14 +436,14 @@ def q_daily_rain(spark, sf_dir):
 
 
 @register("rain_event_rows", with_ctes(
-    [SQL_GRID, f"src AS (SELECT SiteID, Treatment, Year, date_time, rain FROM grid WHERE {EXCLUSIONS_SQL})",
+    [SQL_GRID, f"src AS (SELECT SiteID, Treatment, Year, date_time, rain FROM grid)",
      segment_sql("src", KEYS_SQL, "date_time", "rain", RAIN_GAP_STEPS, "g")],
     """SELECT SiteID, Treatment, Year, eventid, date_time, rain,
   sum(rain) OVER (PARTITION BY SiteID, Treatment, Year, eventid) AS event_rain
   FROM g6 WHERE eventflag = 1"""))
 def q_rain_event_rows(spark, sf_dir):
     """Event total repeated on every row of the event (no collapse)."""
-    flags = segment_events(rain_grid(spark, sf_dir), SERIES_KEYS, ["date_time"], "rain",
+    flags = segment_events(rain_grid(spark, sf_dir, series_grid(spark, sf_dir)), SERIES_KEYS, ["date_time"], "rain",
                            RAIN_GAP_STEPS).where(F.col("eventflag") == 1)
     return total_on_rows(flags, [*SERIES_KEYS, "eventid"], "rain", "event_rain").select(
         *SERIES_KEYS, "eventid", "date_time", "rain", "event_rain")
@@ -465,13 +465,10 @@ def q_sample_rain_overlap(spark, sf_dir):
     win = (ev.groupBy("SiteID", "Treatment", F.col("Year").alias("sYear"),
                       F.col("user_id").cast("string").alias("sampleID"))
            .agg(F.min("ts").alias("sampStart"), F.max("ts").alias("sampEnd")))
-    rain = rain_events_df(spark, sf_dir).select("SiteID", "Treatment", "rf_event", "rain_mm",
-                                                "rain_hr", "eventStart", "eventEnd")
-    out = overlap_summary(win, rain, ["SiteID", "Treatment"], ["sYear", "sampleID"],
-                          "sampStart", "sampEnd", "eventStart", "eventEnd",
-                          [F.count("rf_event").alias("num_rf"), F.sum("rain_mm").alias("rf_sum"),
-                           F.sum("rain_hr").alias("rf_time")], materialize=True)
-    return out.fillna(0, subset=["num_rf"])
+    rain = rain_events_df(spark, sf_dir).select("SiteID", "Treatment", "rain_mm", "rain_hr",
+                                                "eventStart", "eventEnd")
+    return overlap_totals(win, rain, ["SiteID", "Treatment"], "sampStart", "sampEnd", "eventStart", "eventEnd",
+                          {"rf_sum": "rain_mm", "rf_time": "rain_hr"}, "num_rf")
 
 
 @register("runoff_overrides", with_ctes(runoff_ctes(), """SELECT r.Year, r.SiteID, r.Treatment,
@@ -491,7 +488,7 @@ DAY_SECONDS = 86_400
 
 @register("rain_events_long", with_ctes(
     [sql_grid("SiteID, Treatment", "lgrid", "l_"),
-     "lsrc AS (SELECT SiteID, Treatment, date_time, rain FROM lgrid WHERE NOT (SiteID = 'S7'))",
+     "lsrc AS (SELECT SiteID, Treatment, date_time, rain FROM lgrid)",
      segment_sql("lsrc", "SiteID, Treatment", "date_time", "rain", RAIN_GAP_STEPS, "m")],
     f"""SELECT SiteID, Treatment, eventid, sum(rain) AS precipitation, min(date_time) AS eventStart,
   max(date_time) AS eventEnd, {DURATION_SQL.format(a='min(date_time)', b='max(date_time)')} AS rain_time
@@ -500,7 +497,7 @@ def q_rain_events_long(spark, sf_dir):
     """E5 + E6 + E15 on series WITHOUT a period reset (the whole span per
     site and treatment): grid and segmentation both run per (series, day)
     chunk and are stitched exactly, so no task holds a whole series."""
-    grid = series_grid(spark, sf_dir, exclusions=[("S7", None)], keys=("SiteID", "Treatment"),
+    grid = series_grid(spark, sf_dir, keys=("SiteID", "Treatment"),
                        chunk_seconds=DAY_SECONDS)
     flags = segment_events_chunked(grid.select("SiteID", "Treatment", "date_time", "rain"),
                                    ["SiteID", "Treatment"], ["date_time"], "rain", RAIN_GAP_STEPS,

@@ -49,6 +49,7 @@ from eventlab.operators.summary import (
 from eventlab.plans.event_queries import CI_SELECT, ci_sql
 from eventlab.plans.registry import register, with_ctes
 from eventlab.plans.shapes import SQL_MODEL, model_table
+from eventlab.sources.files import stage
 
 Y_OFFSET = 0.036                     # offset of ln(y + c), one of the study's values
 FLAGS = ["A", "N", "R"]
@@ -121,14 +122,14 @@ def q_price_ci(spark, sf_dir):
     return mean_ci(model_table(spark, sf_dir), ["crop", "Treatment"], "price")
 
 
-@register("small_cell_ci", with_ctes([SQL_MODEL,
-    "sm AS (SELECT * FROM model WHERE qty >= 45)",
-    *ci_sql("sm", "SiteID, Year, crop, Treatment", "price")],
-    CI_SELECT.format(by="SiteID, Year, crop, Treatment")))
+SMALL_CELL = "SiteID, Year, crop, Treatment, discount"
+
+
+@register("small_cell_ci", with_ctes([SQL_MODEL, *ci_sql("model", SMALL_CELL, "price")],
+                                     CI_SELECT.format(by=SMALL_CELL)))
 def q_small_cell_ci(spark, sf_dir):
-    """F4 with small cells (df inside the exact t table)."""
-    m = model_table(spark, sf_dir).where(F.col("qty") >= 45)
-    return mean_ci(m, ["SiteID", "Year", "crop", "Treatment"], "price")
+    """F4 with small cells (df inside the exact t table; one row: no interval)."""
+    return mean_ci(model_table(spark, sf_dir), SMALL_CELL.split(", "), "price")
 
 
 @register("log_summary", with_ctes([SQL_MODEL], f"""SELECT Treatment, crop, count(price) AS n,
@@ -232,17 +233,16 @@ def q_group_regression(spark, sf_dir):
 
 
 @register("t_quantiles", with_ctes([SQL_MODEL,
-    "c1 AS (SELECT SiteID || ':' || crop AS cell, count(*) AS n FROM model WHERE qty >= 48 GROUP BY ALL)",
+    "c1 AS (SELECT SiteID || ':' || crop || ':' || CAST(Year AS VARCHAR) AS cell, count(*) AS n FROM model GROUP BY ALL)",
     "c2 AS (SELECT SiteID || ':' || CAST(Year AS VARCHAR) AS cell, count(*) AS n FROM model GROUP BY ALL)",
     "cells AS (SELECT * FROM c1 UNION ALL SELECT * FROM c2)"],
     f"SELECT cell, n, {t_quantile_975_sql('(n - 1)')} AS q975 FROM cells"))
 def q_t_quantiles(spark, sf_dir):
     """t(0.975, n-1) for cells of all sizes (table and series regions)."""
-    m = model_table(spark, sf_dir)
-    c1 = (m.where(F.col("qty") >= 48).groupBy(F.concat_ws(":", "SiteID", "crop").alias("cell"))
-          .agg(F.count(F.lit(1)).alias("n")))
-    c2 = (m.groupBy(F.concat_ws(":", "SiteID", F.col("Year").cast("string")).alias("cell"))
-          .agg(F.count(F.lit(1)).alias("n")))
+    year = F.col("Year").cast("string")
+    fine = stage(model_table(spark, sf_dir).groupBy("SiteID", "crop", "Year").agg(F.count(F.lit(1)).alias("n")), "t-cells")
+    c1 = fine.select(F.concat_ws(":", "SiteID", "crop", year).alias("cell"), "n")
+    c2 = fine.groupBy(F.concat_ws(":", "SiteID", year).alias("cell")).agg(F.sum("n").alias("n"))
     cells = c1.unionByName(c2)
     return cells.withColumn("q975", t_quantile_975(F.col("n") - 1))
 

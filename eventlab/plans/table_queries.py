@@ -347,13 +347,12 @@ def q_first_line_per_order(spark, sf_dir):
     "b AS (SELECT SiteID, Year, crop, Treatment, count(*) AS n FROM model WHERE qty > 25 GROUP BY ALL)"],
     "SELECT * FROM a JOIN b USING (SiteID, Year, crop, Treatment)"))
 def q_inner_join_keys(spark, sf_dir):
-    """D3: inner join on four keys. Both sides aggregate on the same four
-    keys, so the join reuses their partitioning."""
-    m = model_table(spark, sf_dir)
+    """D3: inner join on four keys. Both sides come from one pass over the
+    model table (staged cells) and are partitioned by the same keys."""
     keys = ["SiteID", "Year", "crop", "Treatment"]
-    a = m.groupBy(*keys).agg(F.avg("price").alias("mean_price"))
-    b = m.where(F.col("qty") > 25).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return a.join(b, keys, "inner")
+    cells = stage(model_table(spark, sf_dir).groupBy(*keys).agg(
+        F.avg("price").alias("mean_price"), F.count_if(F.col("qty") > 25).alias("n")), "join-cells")
+    return cells.select(*keys, "mean_price").join(cells.where("n > 0").select(*keys, "n"), keys, "inner")
 
 
 @register("attach_region", """SELECT c.c_custkey, n.n_name, r.r_name FROM customer c
@@ -407,10 +406,10 @@ def q_sorted_totals(spark, sf_dir):
     """SELECT CAST(Year AS VARCHAR) AS label, sum(price) AS total FROM model GROUP BY Year
   UNION ALL SELECT 'all' AS label, sum(price) AS total FROM model"""))
 def q_append_totals(spark, sf_dir):
-    """Append rows (a grand-total row under the per-year rows)."""
-    m = model_table(spark, sf_dir)
-    per = m.groupBy(F.col("Year").cast("string").alias("label")).agg(F.sum("price").alias("total"))
-    allrow = m.agg(F.sum("price").alias("total")).withColumn("label", F.lit("all"))
+    """Append rows (a grand-total row under the per-year rows, from them)."""
+    per = stage(model_table(spark, sf_dir).groupBy(F.col("Year").cast("string").alias("label"))
+                .agg(F.sum("price").alias("total")), "year-totals")
+    allrow = per.agg(F.sum("total").alias("total")).withColumn("label", F.lit("all"))
     return append_rows(per, allrow)
 
 
@@ -420,13 +419,12 @@ def q_append_totals(spark, sf_dir):
     "cs AS (SELECT DISTINCT crop FROM model)"],
     "SELECT ys.Year, cs.crop, coalesce(big.n, 0) AS n FROM ys, cs LEFT JOIN big ON big.Year = ys.Year AND big.crop = cs.crop"))
 def q_complete_cells(spark, sf_dir):
-    """Every Year x crop cell present, 0 where no rows qualify. Levels
-    come from the data (bounded factor lists), cells from literal explodes."""
-    m = model_table(spark, sf_dir)
-    big = (m.where((F.col("qty") >= 49.5) & (F.col("discount") >= 0.09))
-           .groupBy("Year", "crop").agg(F.count(F.lit(1)).alias("n")))
+    """Every Year x crop cell present, 0 where no rows qualify. One
+    aggregate gives the levels (bounded factor lists) and the counts."""
+    cells = stage(model_table(spark, sf_dir).groupBy("Year", "crop").agg(
+        F.count_if((F.col("qty") >= 49.5) & (F.col("discount") >= 0.09)).alias("n")), "year-crop")
     from eventlab.operators.reshape import levels_of
-    return complete_cells(big, {"Year": levels_of(m, "Year"), "crop": levels_of(m, "crop")},
+    return complete_cells(cells.where("n > 0"), {"Year": levels_of(cells, "Year"), "crop": levels_of(cells, "crop")},
                           fill={"n": 0})
 
 

@@ -188,3 +188,18 @@ def test_blank_header_cells_with_declared_schema(spark):
     rows = sorted(tuple(r) for r in read_delimited(spark, path, st).collect())
     assert rows == [("1001", None, "x", datetime(2016, 4, 30, 8, 15), 0.5),
                     ("NS", "1", None, datetime(2016, 4, 30, 8, 20), None)]
+
+
+def test_overlap_totals_match_pairs(spark):
+    from eventlab.operators.joins import overlap_totals
+    rng = random.Random(6)
+    a = [("s", i, T0 + timedelta(minutes=x), T0 + timedelta(minutes=x + rng.choice([0, 30, 5000])))
+         for i, x in enumerate(rng.sample(range(0, 9000, 30), 60))]
+    b = [("s", float(k), T0 + timedelta(minutes=x), T0 + timedelta(minutes=x + rng.choice([0, 60, 4000])))
+         for k, x in enumerate(rng.sample(range(0, 9000, 30), 50))]
+    da = spark.createDataFrame(a, "site string, ia long, a0 timestamp_ntz, a1 timestamp_ntz")
+    db = spark.createDataFrame(b, "site string, v double, b0 timestamp_ntz, b1 timestamp_ntz")
+    got = {r["ia"]: (r["n"], r["v"]) for r in overlap_totals(da, db, ["site"], "a0", "a1", "b0", "b1", {"v": "v"}, "n").collect()}
+    for _, i, s0, s1 in a:
+        hit = [v for _, v, b0, b1 in b if b0 <= s1 and s0 <= b1]
+        assert got[i] == (len(hit), pytest.approx(sum(hit)) if hit else None)
