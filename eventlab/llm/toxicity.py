@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlab.llm.common import fold_remainder
+from eventlab.llm.common import fold_remainder, small_side
 from eventlab.sources.files import stage
 
 # Words of contempt and their weights, and phrases that are harmless.
@@ -94,7 +94,7 @@ def fold(text: str) -> str:
         text = text.translate(_LETTERS)
     if _HAS_SIGN.search(text):
         text = _SIGN.sub(_sign, text)
-    return " " + _GAP.sub(" ", text) + " "
+    return f" {_GAP.sub(' ', text).strip()} "
 
 
 def terms_of(folded: str) -> set[str]:
@@ -132,15 +132,15 @@ def _usable_labels(labels: DataFrame) -> DataFrame:
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, training: Column) -> dict[str, float]:
-    """Entry -> weight. What reaches the driver are terms of at least
+    """Entry -> weight, from one label row per doc_id. What reaches the driver are terms of at least
     ``MIN_SHARE`` of the toxic texts, a number that the corpus doesn't raise."""
     lexicon = {f" {w}": x for w, x in SEED_LEXICON.items()}
     lines = F.transform(F.filter(F.split("text", "\n"), lambda x: F.length(x) >= 60), lambda x: F.xxhash64(x))
     sketch = F.coalesce(F.array_min(lines), F.xxhash64("text"))
     marked = docs.where(training & F.col("text").isNotNull()).select("doc_id", "text", sketch.alias("sketch"))
-    texts = stage(marked.join(_usable_labels(labels), "doc_id"), "toxicity-training")
-    once = texts.groupBy("toxic", "sketch").agg(F.min(F.col("doc_id")).alias("doc_id"))
-    texts = texts.join(once, ["toxic", "sketch", "doc_id"])
+    texts = stage(marked.join(small_side(labels), "doc_id"), "toxicity-training")
+    once = stage(texts.groupBy("toxic", "sketch").agg(F.min(F.col("doc_id")).alias("doc_id")), "toxicity-once")
+    texts = texts.join(small_side(once), ["toxic", "sketch", "doc_id"])
     size = dict(once.groupBy(F.col("toxic") > 0).count().collect())
     n_toxic, n_clean = size.get(True, 0), size.get(False, 0)
     if not n_toxic or not n_clean:
@@ -219,11 +219,12 @@ DEFAULT_CURVE = np.array([-4.0, 3.6, 0.0])
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, training: Column) -> DataFrame:
     """(doc_id, total, density, score) of every row."""
+    labels = stage(_usable_labels(labels), "toxicity-labels")
     lexicon = learn_lexicon(docs, labels, training)
     weighed = stage(weigh_texts(docs, lexicon), "toxicity-weights")
     x1, x2 = F.log1p("total"), F.log1p("density")
     # a bounded grid of cells stands for the labelled rows in the fit
-    cells = (weighed.where(training).join(_usable_labels(labels), "doc_id")
+    cells = (weighed.where(training).join(small_side(labels), "doc_id")
              .groupBy(F.round(x1 * 8).alias("a"), F.round(x2 * 8).alias("b"), (F.col("toxic") > 0).alias("y"))
              .agg(F.avg(x1).alias("x1"), F.avg(x2).alias("x2"), F.count(F.lit(1)).alias("n")).collect())
     beta = DEFAULT_CURVE
