@@ -4,19 +4,23 @@ A document is its set of distinct word shingles; equal sets are one member. A
 member carries minwise tokens: for each of several hash functions the token of
 its set that hashes lowest. Every tree starts with one function and puts
 members with the same chosen token into a node. Nodes of at most ``SMALL``
-members are compared exhaustively; a larger node chooses ``BRANCHES`` pairs of
+members are compared exhaustively, those of at most ``MEDIUM`` after their true
+copies are joined (below); a larger node chooses ``BRANCHES`` pairs of
 functions by its own hash and branches its members by their tokens, level by
-level. ``TREES`` independent trees raise the recall: a pair of similarity 0.8
+level; members of similarity s meet in about ``BRANCHES`` * s^2 children, so
+nodes of less similar members die out. ``TREES`` independent trees raise the recall: a pair of similarity 0.8
 misses the first choice of all eight with probability 0.2^8 < 3e-6.
 
-Large nodes of true copies would not shrink, so each level also compares every
+Large nodes of true copies would not shrink, so each level first compares every
 member of a large node with ``LEADERS`` central members of it, which is linear,
 and joins what is linked into components. A node whose members are all in one
-component is done. If no branching makes a node smaller (``LEVELS``), its
-members of different components are compared in full.
+component is done; one with at most ``CROSS`` pairs of different components a
+member is compared in full over those pairs. Only the others branch. If no
+branching makes a node smaller (``LEVELS``), its members of different components
+are compared in full.
 
-Pairs are weighed by their signatures first (far below the threshold: five
-standard deviations) and confirmed on the full sets. Links only need to connect
+Pairs are weighed by their signatures first (cut at four standard deviations
+below the threshold) and confirmed on the full sets. Links only need to connect
 components, so a group of n copies costs about n comparisons, not n^2.
 
 Defined cases: null and empty texts have no set and are linked with nothing;
@@ -41,12 +45,14 @@ from eventlab.sources.files import stage
 
 TREES = 8
 SMALL = 64
-BRANCHES = 4
+MEDIUM = 4096
+BRANCHES = 2
 LEADERS = 4
+CROSS = 64
 LEVELS = 10
-#: Minwise tokens kept in full (for branching), and bytes of further ones (for weighing pairs).
-TOKENS = 16
-BYTES = 128
+#: Minwise tokens kept in full (one for each tree), and bytes of further ones (for branching and weighing pairs).
+TOKENS = TREES
+BYTES = 256
 #: Tokens that vote for the central members of a large node.
 VOTERS = 24
 #: Bytes of a shingle's hash in a full set.
@@ -134,9 +140,9 @@ def _short_batches(spark: SparkSession, rows: int) -> Iterator[None]:
 
 
 def _least_agreement(threshold: float) -> int:
-    """Signature bytes that a pair at the threshold shares but for five
+    """Signature bytes that a pair at the threshold shares but for four
     standard deviations."""
-    return int(np.floor(BYTES * threshold - 5 * np.sqrt(BYTES * threshold * (1 - threshold))))
+    return int(np.floor(BYTES * threshold - 4 * np.sqrt(BYTES * threshold * (1 - threshold))))
 
 
 def _pairs_of_nodes(members: DataFrame, threshold: float) -> DataFrame:
@@ -255,11 +261,27 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _exhaustive(large: DataFrame, threshold: float) -> DataFrame:
-    """All pairs of different components of nodes that no branching splits."""
-    a = large.select("node", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("label").alias("la"))
-    b = large.select("node", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("label").alias("lb"))
-    return _weighed(a.join(b, "node").where("a < b and la <> lb"), threshold)
+def _cross_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of different components: the members outside a node's largest
+    component meet every other member."""
+    a = nodes.where("label <> top").select("node", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"),
+                                           F.col("label").alias("la"))
+    b = nodes.select("node", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("label").alias("lb"))
+    return _weighed(a.join(b, "node").where("la <> lb"), threshold)
+
+
+def _open_nodes(rows: DataFrame, labels: DataFrame | None, members: DataFrame) -> DataFrame:
+    """(sid, node) of nodes with several components, with label, n, sig, the
+    node's size, pairs of different components and largest component."""
+    labelled = rows.withColumn("label", F.col("sid")) if labels is None else (
+        rows.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid")))
+    per = labelled.groupBy("node", "label").agg(F.count(F.lit(1)).alias("k"))
+    size = per.groupBy("node").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("sq"),
+                                   F.max(F.struct("k", "label"))["label"].alias("top"))
+    several = size.where("size * size > sq").select("node", "size", "top", ((F.col("size") * F.col("size") - F.col("sq")) / 2)
+                                                    .alias("cross"))
+    nodes = stage(labelled.join(several, "node"), "near-nodes")
+    return stage(nodes.join(members.select("sid", "n", "sig"), "sid"), "near-open")
 
 
 def link_components(docs: DataFrame, sketches: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -271,42 +293,52 @@ def link_components(docs: DataFrame, sketches: DataFrame, width: int, percent: i
     token = lambda k: F.substring("tokens", 4 * k + 1, 4)
     rows = members.select("sid", F.explode(F.array(*[F.xxhash64(F.lit(k), token(k)) for k in range(TREES)])).alias("node"))
     labels = links = sets = None
-    for level in range(LEVELS + 1):
-        labelled = rows.withColumn("label", F.col("sid")) if labels is None else (
-            rows.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid")))
-        size = labelled.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        nodes = labelled.join(size.where("size > 1 and lo <> hi").select("node", "size"), "node")
-        nodes = stage(nodes, "near-nodes")
-        full = stage(nodes.join(members.select("sid", "n", "sig"), "sid"), "near-full")
-        pairs = _pairs_of_nodes(full.where(F.col("size") <= SMALL), threshold)
-        large = full.where(F.col("size") > SMALL)
-        some_large = bool(large.limit(1).count())
-        if some_large and level == LEVELS:
-            pairs = pairs.unionByName(_exhaustive(large, threshold))
-        elif some_large:
-            star = large.select("node", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"),
-                                F.col("label").alias("lb")).join(_leaders(large), "node")
-            pairs = pairs.unionByName(_weighed(star.where("a <> b and la <> lb"), threshold))
+
+    def confirm(pairs: DataFrame, also: DataFrame | None = None) -> None:
+        """Confirm pairs on their full sets and join what is linked. The sets are
+        made once, for the first pairs and all members of large nodes (``also``):
+        later pairs are among those."""
+        nonlocal labels, links, sets
         pairs = stage(pairs.distinct(), "near-pairs")
         if sets is None:
             wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid")))
-            if some_large:
-                wanted = wanted.unionByName(large.select("sid"))
+            wanted = wanted.unionByName(also) if also is not None else wanted
             wanted = stage(wanted.distinct().join(members.select("sid", "doc_id"), "sid"), "near-wanted")
             sets = stage(_sets(docs, wanted, width), "near-sets")
         with _short_batches(spark, 256):
             new = stage(_confirmed(pairs, sets, percent), "near-links")
         links = new if links is None else links.unionByName(new)
-        if new.limit(1).count() or labels is None:
+        if labels is None or new.limit(1).count():
             labels = components(links).withColumnRenamed("id", "sid")
-        if not some_large:
+
+    for level in range(LEVELS + 1):
+        nodes = _open_nodes(rows, labels, members)
+        is_large = (F.col("size") > SMALL) & (F.col("cross") > CROSS * F.col("size"))
+        branches = (F.col("size") > MEDIUM) & (F.col("cross") > CROSS * F.col("size"))
+        large = nodes.where(is_large)
+        pairs = _pairs_of_nodes(nodes.where(F.col("size") <= SMALL), threshold).unionByName(
+            _cross_pairs(nodes.where(~is_large & (F.col("size") > SMALL)), threshold))
+        if not large.limit(1).count():
+            confirm(pairs)
+            break
+        star = large.select("node", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"),
+                            F.col("label").alias("lb")).join(_leaders(large), "node")
+        confirm(pairs.unionByName(_weighed(star.where("a <> b and la <> lb"), threshold)), large.select("sid"))
+        # the same nodes again, now that their true copies are joined
+        again = _open_nodes(large.select("sid", "node"), labels, members)
+        rest = again.where(branches)
+        last = level == LEVELS or not rest.limit(1).count()
+        done = again.where(F.col("size") > MEDIUM) if last else again.where((F.col("size") > MEDIUM) & ~branches)
+        confirm(_pairs_of_nodes(again.where(F.col("size") <= MEDIUM), threshold).unionByName(_cross_pairs(done, threshold)))
+        if last:
             break
-        two = [(F.pmod(F.xxhash64("node", F.lit(2 * j)), F.lit(TOKENS)), F.pmod(F.xxhash64("node", F.lit(2 * j + 1)), F.lit(TOKENS)))
-               for j in range(BRANCHES)]
-        pick = lambda k: F.substring(F.col("tokens"), (4 * k + 1).cast("int"), F.lit(4))
-        children = F.array(*[F.xxhash64("node", F.lit(j), pick(x), pick(y)) for j, (x, y) in enumerate(two)])
-        rows = (large.select("node", "sid").join(members.select("sid", "tokens"), "sid")
-                .select("sid", F.explode(children).alias("node")))
+        # every level has functions of its own, so no choice repeats on a path
+        half = BYTES // (2 * (LEVELS + 1))
+        chosen = [[F.pmod(F.xxhash64("node", F.lit(2 * j + h)), F.lit(half)) + (2 * level + h) * half + 1 for h in (0, 1)]
+                  for j in range(BRANCHES)]
+        pick = lambda k: F.substring(F.col("sig"), k.cast("int"), F.lit(1))
+        children = F.array(*[F.xxhash64("node", F.lit(j), pick(x), pick(y)) for j, (x, y) in enumerate(chosen)])
+        rows = rest.select("sid", F.explode(children).alias("node"))
     return labels, links
 
 
