@@ -1,10 +1,10 @@
 """Line de-duplication by a deletion-neighbourhood join, in DataFrame
 expressions only.
 
-Lines are compared as sequences of words. A line goes if an earlier line of the
-corpus, in order of (doc_id, line number), holds the same words or is within
-one edit: a word more, less or replaced. Lines of fewer than ``MIN_WORDS`` words
-only go as exact repeats; lines without words stay.
+Words of a line are what single spaces separate. A line goes if an earlier line
+of the corpus, in order of (doc_id, line number), is equal or within one edit: a
+word more, less or replaced. Lines of fewer than ``MIN_WORDS`` words only go as
+exact repeats; blank lines stay.
 
 1. Equal lines meet by hash in a partial aggregate that keeps the first place.
 2. A line within one edit of another shares its first or its last ``g`` words
@@ -32,11 +32,20 @@ from eventlab.sources.files import stage
 
 #: Shorter lines are only compared exactly.
 MIN_WORDS = 6
-GAP = r"[\x20\x09-\x0D]+"
+#: A character that makes a line more than blank.
+INK = r"[^\x20\x09-\x0D]"
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(line, GAP), lambda w: w != "")
+def _n_words(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
+def _first(line: Column, n: Column) -> Column:
+    return F.call_function("substring_index", line, F.lit(" "), n)
+
+
+def _last(line: Column, n: Column) -> Column:
+    return F.call_function("substring_index", line, F.lit(" "), -n)
 
 
 def _grid(n: Column) -> Column:
@@ -46,25 +55,22 @@ def _grid(n: Column) -> Column:
     return F.when(half * 2 >= power * 3, (power * 3 / 2).cast("int")).otherwise(power)
 
 
-def _end_keys(words: Column, n: Column) -> Column:
+def _end_keys(line: Column, own: Column, shorter: Column) -> Column:
     """Hashes of the first and last words that a line within one edit may share."""
 
     def ends(g: Column) -> list[Column]:
-        return [F.xxhash64(F.lit("first"), g, F.slice(words, F.lit(1), g)),
-                F.xxhash64(F.lit("last"), g, F.slice(words, n - g + 1, g))]
+        return [F.xxhash64(F.lit("first"), g, _first(line, g)), F.xxhash64(F.lit("last"), g, _last(line, g))]
 
-    own, shorter = _grid(n), _grid(n - 1)
-    return (F.when(n < MIN_WORDS, F.array().cast("array<bigint>"))
+    return (F.when(own.isNull(), F.array().cast("array<bigint>"))
             .when(own == shorter, F.array(*ends(own))).otherwise(F.array(*ends(own), *ends(shorter))))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, tkey, line_no, words, n, h1, h2) of every line with words."""
+    """(doc_id, tkey, line_no, line, h1, h2) of every line that isn't blank."""
     rows = docs.where(F.col("text").isNotNull()).select(
         "doc_id", text_key("text").alias("tkey"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = rows.select("doc_id", "tkey", "line_no", _words(F.col("line")).alias("words"))
-    return rows.withColumn("n", F.size("words")).where("n > 0").withColumns(
-        {"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(2), "words")})
+    return rows.where(F.col("line").rlike(INK)).withColumns(
+        {"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(2), "line")})
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -80,6 +86,12 @@ def within_one_edit(a: Column, b: Column) -> Column:
             .when(F.size(b) == F.size(a) + 1, drops_to(b, a)).otherwise(False))
 
 
+def _deleted(line: Column, n: Column, i: Column) -> Column:
+    """The line without its i-th word."""
+    return (F.when(i == 1, _last(line, n - 1)).when(i == n, _first(line, n - 1))
+            .otherwise(F.concat(_first(line, i - 1), F.lit(" "), _last(line, n - i))))
+
+
 def near_lines(lines: DataFrame, first: DataFrame) -> DataFrame:
     """(h1, h2) of the distinct lines that have an earlier line within one edit."""
     keyed = first.select("h1", F.explode("ends").alias("end"))
@@ -90,19 +102,16 @@ def near_lines(lines: DataFrame, first: DataFrame) -> DataFrame:
     wanted = stage(wanted, "line-candidates")
     # the place orders lines, and so does the id that a global sort gives them
     found = (lines.join(small_side(wanted), "h1", "left_semi")
-             .select("h1", "h2", "words", F.struct("doc_id", "tkey", "line_no").alias("place")))
-    found = (found.groupBy("h1", "h2").agg(F.min(F.struct("place", "words")).alias("m"))
-             .select("h1", "h2", "m.place", "m.words").sort("place")
-             .withColumn("lid", F.monotonically_increasing_id()))
+             .select("h1", "h2", "line", F.struct("doc_id", "tkey", "line_no").alias("place")))
+    found = (found.groupBy("h1", "h2").agg(F.min(F.struct("place", "line")).alias("m"))
+             .select("h1", "h2", "m.place", "m.line").sort("place")
+             .withColumn("lid", F.monotonically_increasing_id()).withColumn("n", _n_words(F.col("line"))))
     found = stage(found.drop("place"), "line-words")
 
-    hashed = F.transform("words", lambda w: F.xxhash64(w))
-    n = F.size("hashed")
-    deleted = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(
-        F.concat(F.slice("hashed", F.lit(1), i - 1), F.slice("hashed", i + 1, n))))
     # place 0 is the whole line
-    variants = (found.select("lid", hashed.alias("hashed"))
-                .select("lid", F.posexplode(F.concat(F.array(F.xxhash64("hashed")), deleted)).alias("gone", "key")))
+    keys = F.concat(F.array(F.xxhash64("line")), F.transform(
+        F.sequence(F.lit(1), F.col("n")), lambda i: F.xxhash64(_deleted(F.col("line"), F.col("n"), i))))
+    variants = stage(found.select("lid", F.posexplode(keys).alias("gone", "key")), "line-variants")
     by_place = variants.groupBy("key", "gone").agg(F.min("lid").alias("lead"), F.count(F.lit(1)).alias("members"))
     by_key = stage(by_place.groupBy("key").agg(
         F.min(F.when(F.col("gone") == 0, F.col("lead"))).alias("whole"),
@@ -114,8 +123,9 @@ def near_lines(lines: DataFrame, first: DataFrame) -> DataFrame:
         F.least(F.col("whole"), F.try_element_at("leads", F.col("gone"))))
     links = (variants.join(by_key, "key").select("lid", lead.alias("lead")).where("lead < lid")
              .groupBy("lid").agg(F.min("lead").alias("lead")))
-    one = found.select("lid", "h1", "h2", "words")
-    other = found.select(F.col("lid").alias("lead"), F.col("words").alias("lead_words"))
+    words = F.split("line", " ")
+    one = found.select("lid", "h1", "h2", words.alias("words"))
+    other = found.select(F.col("lid").alias("lead"), words.alias("lead_words"))
     pairs = links.join(one, "lid").join(other, "lead")
     return pairs.where(within_one_edit(F.col("words"), F.col("lead_words"))).select("h1", "h2")
 
@@ -123,8 +133,10 @@ def near_lines(lines: DataFrame, first: DataFrame) -> DataFrame:
 def _cut(docs: DataFrame) -> DataFrame:
     """The documents' columns, and ``_all_lines`` and ``_stays`` (arrays of lines)."""
     lines = _lines(docs.select("doc_id", "text"))
-    first = (lines.select("h1", "h2", F.struct("doc_id", "tkey", "line_no").alias("place"),
-                          _end_keys(F.col("words"), F.col("n")).alias("ends"))
+    n = _n_words(F.col("line"))
+    sized = lines.withColumns({"own": F.when(n >= MIN_WORDS, _grid(n)), "shorter": F.when(n >= MIN_WORDS, _grid(n - 1))})
+    first = (sized.select("h1", "h2", F.struct("doc_id", "tkey", "line_no").alias("place"),
+                          _end_keys(F.col("line"), F.col("own"), F.col("shorter")).alias("ends"))
              .groupBy("h1", "h2").agg(F.min(F.struct("place", "ends")).alias("m"))
              .select("h1", "h2", "m.place.*", "m.ends"))
     first = stage(first, "line-first")
@@ -136,7 +148,7 @@ def _cut(docs: DataFrame) -> DataFrame:
                               "_all_lines": F.split("text", "\n")})
     joined = null_safe(keyed, kept, ["doc_id", "_tkey"], "left")
     stays = F.filter("_all_lines", lambda x, i: F.array_contains(F.coalesce("_kept", F.array().cast("array<int>")), i)
-                     | (F.size(_words(x)) == 0))
+                     | ~x.rlike(INK))
     return joined.withColumn("_stays", stays).drop("_kept", "_tkey")
 
 
@@ -159,8 +171,8 @@ def unrepeated_documents(docs: DataFrame) -> DataFrame:
     there, is that of the cut text); documents all of whose words were in
     repeated lines go."""
     cut = _cut(docs)
-    words = lambda lines: F.exists(lines, lambda x: F.size(_words(x)) > 0)
-    left = cut.where(F.col("text").isNull() | words("_stays") | ~words("_all_lines"))
+    inked = lambda lines: F.exists(lines, lambda x: x.rlike(INK))
+    left = cut.where(F.col("text").isNull() | inked("_stays") | ~inked("_all_lines"))
     new = F.array_join("_stays", "\n")
     kind = dict(docs.dtypes).get("n_chars")
     changed = {"text": new, "n_chars": F.coalesce(F.char_length(new).cast(kind), F.col("n_chars")) if kind else None}
@@ -169,12 +181,11 @@ def unrepeated_documents(docs: DataFrame) -> DataFrame:
 
 OP2_SQL = f"""
 WITH l AS (
-  SELECT doc_id, i - 1 AS line_no, s[i] AS line,
-         list_filter(string_split_regex(s[i], '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words
+  SELECT doc_id, i - 1 AS line_no, s[i] AS line, regexp_matches(s[i], '[^\\x20\\x09-\\x0D]') AS ink
   FROM (SELECT doc_id, s, unnest(generate_series(1, len(s))) AS i
         FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL))
 ), d AS (
-  SELECT words, min((doc_id, line_no)) AS place FROM l WHERE len(words) > 0 GROUP BY words
+  SELECT line, string_split(line, ' ') AS words, min((doc_id, line_no)) AS place FROM l WHERE ink GROUP BY line
 ), o AS (
   SELECT words, len(words) AS n, row_number() OVER (ORDER BY place) AS lid FROM d
 ), v AS (
@@ -190,7 +201,7 @@ WITH l AS (
   FROM (SELECT place, row_number() OVER (ORDER BY place) AS lid FROM d) WHERE lid NOT IN (SELECT lid FROM near)
 ), stays AS (
   SELECT l.doc_id, l.line_no, l.line FROM l LEFT JOIN kept USING (doc_id, line_no)
-  WHERE len(l.words) = 0 OR kept.doc_id IS NOT NULL
+  WHERE NOT l.ink OR kept.doc_id IS NOT NULL
 ), t AS (
   SELECT doc_id, count(*) AS n_kept, string_agg(line, chr(10) ORDER BY line_no) AS text FROM stays GROUP BY doc_id
 )
