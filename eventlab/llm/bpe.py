@@ -22,7 +22,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Words kept by a worker; the cache is emptied beyond that.
-CACHE_WORDS = 300_000
-#: Words of one text handled at once.
-PIECES_AT_ONCE = 400_000
+CACHE_WORDS = 400_000
+#: Characters of texts that are split into words at once.
+PIECE_CHARS = 1 << 21
 #: Cells of the trees that are merged in step.
 TREE_CELLS = 1 << 20
 NONE = np.int64(2**62)
@@ -56,7 +56,7 @@ class SegmentTreeBpe:
         vocab = model["vocab"]
         self.tokens = dict((i, t) for t, i in vocab.items())
         self.tokens |= {t["id"]: t["content"] for t in spec["added_tokens"]}
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec["added_tokens"]}
         symbols = byte_symbols()
         self.inner = np.array([vocab[s] for s in symbols], np.int64)
         self.final = np.array([vocab[s + suffix] for s in symbols], np.int64)
@@ -69,7 +69,7 @@ class SegmentTreeBpe:
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(split)
         self.cut = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = dict(self.special)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merge rank of each pair, NONE where it doesn't merge."""
@@ -77,8 +77,8 @@ class SegmentTreeBpe:
         at = np.searchsorted(self.keys, pair)
         return np.where(self.keys[at] == pair, self.ranks[at], NONE)
 
-    def merge_rows(self, raw: list[bytes], width: int) -> list[tuple[int, ...]]:
-        """Ids of words of at most ``width`` bytes, a power of two."""
+    def merge_rows(self, raw: list[bytes], width: int) -> list[bytes]:
+        """Ids (little-endian, 32 bits) of words of at most ``width`` bytes, a power of two."""
         rows, n = len(raw), width
         size = np.fromiter(map(len, raw), np.int64, rows)
         data = np.frombuffer(b"".join(w.ljust(n, b"\0") for w in raw), np.uint8).reshape(rows, n)
@@ -125,9 +125,9 @@ class SegmentTreeBpe:
                 while node.size and node[0]:
                     tree[who, node] = np.minimum(tree[who, 2 * node], tree[who, 2 * node + 1])
                     node = node >> 1
-        flat = ids[:, :n][kept].tolist()
-        ends = np.cumsum(kept.sum(1)).tolist()
-        return [tuple(flat[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
+        flat = ids[:, :n][kept].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(kept.sum(1))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
     def learn(self, words: set[str]) -> None:
         """Put the ids of new words into the cache."""
@@ -140,14 +140,14 @@ class SegmentTreeBpe:
                 part = ws[lo:lo + step]
                 self.cache.update(zip(part, self.merge_rows([w.encode() for w in part], width)))
 
-    def ids_of_words(self, words: list[str]) -> list[int]:
-        new = set(words).difference(self.cache)
-        if new:
-            if len(self.cache) + len(new) > CACHE_WORDS:
-                self.cache.clear()
-                new = set(words)
-            self.learn(new)
-        return list(chain.from_iterable(map(self.cache.__getitem__, words)))
+    def ids_of(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Ids of lists of words; the new words of all of them are merged at once."""
+        new = set().union(*texts).difference(self.cache)
+        if len(self.cache) + len(new) > CACHE_WORDS:
+            self.cache = dict(self.special)
+            new = set().union(*texts).difference(self.cache)
+        self.learn(new)
+        return [np.frombuffer(b"".join(map(self.cache.__getitem__, words)), "<u4") for words in texts]
 
     def normal(self, text: str) -> str:
         if not text.isascii():
@@ -156,28 +156,29 @@ class SegmentTreeBpe:
                 text = text.replace("Σ", "σ")
         return text.lower()
 
-    def pieces(self, text: str) -> Iterator[list[int]]:
-        """Ids of a text, in runs of bounded length."""
+    def words_of(self, text: str) -> Iterator[str]:
+        """Words of a text; special tokens stand for themselves."""
         at = 0
         for m in self.cut.finditer(text) if "<|" in text else ():
-            yield from self._plain(text[at:m.start()])
-            yield [self.special[m.group()]]
+            yield from self.words.findall(self.normal(text[at:m.start()]))
+            yield m.group()
             at = m.end()
-        yield from self._plain(text[at:] if at else text)
-
-    def _plain(self, text: str) -> Iterator[list[int]]:
-        text = self.normal(text)
-        if len(text) <= PIECES_AT_ONCE:
-            yield self.ids_of_words(self.words.findall(text))
-            return
-        found = (m.group() for m in self.words.finditer(text))
-        while part := list(islice(found, PIECES_AT_ONCE)):
-            yield self.ids_of_words(part)
-
-    def encode(self, text: str | None) -> np.ndarray:
-        """Ids of a whole text; unsigned 32 bit, little-endian."""
-        parts = [np.array(p, "<u4") for p in self.pieces(text or "")]
-        return np.concatenate(parts) if len(parts) > 1 else parts[0]
+        yield from (m.group() for m in self.words.finditer(self.normal(text[at:])))
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of whole texts; unsigned 32 bit, little-endian."""
+        out, lists = [], []
+        for text in texts:
+            if not text or len(text) <= PIECE_CHARS:
+                plain = not text or "<|" not in text
+                lists.append(self.words.findall(self.normal(text or "")) if plain else list(self.words_of(text)))
+                continue
+            words, parts = self.words_of(text), []
+            while part := list(islice(words, PIECE_CHARS // 4)):
+                parts += self.ids_of([part])
+            out += [*self.ids_of(lists), np.concatenate(parts)] if parts else self.ids_of([*lists, []])
+            lists = []
+        return out + self.ids_of(lists)
 
     def decode(self, ids: np.ndarray) -> str:
         return " ".join(map(self.tokens.__getitem__, ids.tolist()))
@@ -220,15 +221,12 @@ def encode_texts(docs: DataFrame, keep: list[str], make: list[str], vocabulary:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(sent.value)
         for b in batches:
-            rows = max(1, min(b.num_rows, (16 << 20) * b.num_rows // max(b.nbytes, 1)))
+            rows = max(1, min(b.num_rows, PIECE_CHARS * b.num_rows // max(b.nbytes, 1)))
             for lo in range(0, b.num_rows, rows):
                 part = b.slice(lo, rows)
-                out: dict[str, list] = {m: [] for m in make}
-                for text in part.column(len(keep)).to_pylist():
-                    ids = bpe.encode(text)
-                    for m in make:
-                        out[m].append(_MAKES[m][2](bpe, ids))
-                yield pa.record_batch([*part.columns[:len(keep)], *(pa.array(out[m], _MAKES[m][1]) for m in make)],
+                found = bpe.encode(part.column(len(keep)).to_pylist())
+                made = [pa.array([_MAKES[m][2](bpe, ids) for ids in found], _MAKES[m][1]) for m in make]
+                yield pa.record_batch([*part.columns[:len(keep)], *made],
                                       schema=pa.schema([*kept, *(pa.field(m, _MAKES[m][1]) for m in make)]))
 
     kept = [pa.field(c, to_arrow_type(docs.schema[c].dataType)) for c in keep]
