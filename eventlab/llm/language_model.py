@@ -49,7 +49,7 @@ CLASSES = OWN_CLASSES + ENDING_CLASSES
 NEAR, FAR, BOTH = 512, 64, 4096
 #: Frequent words that are identities of their own among NEAR.
 OWN_NEAR = 192
-#: Words whose counts are broadcast; the others go through a join.
+#: At most so many words' counts are broadcast; the others go through a join.
 KNOWN_WORDS = 200_000
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 400_000
@@ -228,6 +228,21 @@ def class_totals(table: DataFrame, frequent: list[bytes]) -> np.ndarray:
     return out
 
 
+def frequent_words(counts: DataFrame) -> dict[bytes, int]:
+    """Words whose count is at least a cut, with their counts: the lowest cut
+    (in eighths of a power of two) that at most ``KNOWN_WORDS`` words pass."""
+    step = F.floor(F.log2("c") * 8)
+    passing, cut = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        if passing + r["count"] > KNOWN_WORDS:
+            break
+        passing, cut = passing + r["count"], r["step"]
+    if cut is None:
+        return {}
+    rows = counts.where(step >= cut).toArrow()
+    return dict(zip((w.encode() for w in rows["token"].to_pylist()), rows["c"].to_pylist()))
+
+
 def score_texts(docs: DataFrame, training: Column) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every
     row, learned from the rows where ``training`` holds."""
@@ -236,13 +251,12 @@ def score_texts(docs: DataFrame, training: Column) -> DataFrame:
     counts = stage(_count_words(learned), "lm-counts")
     n, v = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     n = n or 0
-    top = counts.orderBy(F.col("c").desc(), "token").limit(KNOWN_WORDS).collect()
-    frequent = [r["token"].encode() for r in top[:max(OWN_CLASSES, OWN_NEAR)]]
+    known = frequent_words(counts)
+    frequent = sorted(known, key=lambda w: (-known[w], w))[:OWN_NEAR]
     weights = train(stage(_context_counts(learned, frequent), "lm-statistics"))
     every = np.arange(CONTEXTS)
     table = np.concatenate([weights.log_p(part) for part in np.array_split(every, 16)]) / np.log(10)
     table = (table - class_totals(counts, frequent)).astype(np.float32)
-    known = {r["token"].encode(): r["c"] for r in top}
     sent = spark.sparkContext.broadcast(pickle.dumps((frequent, known, table)))
     base = float(np.log10(n + SMOOTH * (v + 1)))
 
