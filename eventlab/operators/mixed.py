@@ -185,16 +185,30 @@ def weighted_fit(design: Design, sums: GroupSums, var: dict[str, float]
     if not active:
         fit = fit_from_gram(design, replace(g, scale=se2 or None))
         return fit, effects
-    W = np.block([[np.diag(sums.n[a] + se2 / var[a]) if a == b else
-                   sums.pairs[a, b] if (a, b) in sums.pairs else sums.pairs[b, a].T
-                   for b in active] for a in active])
-    zx, zy = np.vstack([sums.zx[a] for a in active]), np.concatenate([sums.zy[a] for a in active])
-    inv = np.linalg.inv(W)
-    weighted = replace(g, xtx=g.xtx - zx.T @ inv @ zx, xty=g.xty - zx.T @ inv @ zy,
-                       yty=float(g.yty - zy @ inv @ zy), scale=se2)
+    # the factor with most levels has a diagonal block, which is eliminated first
+    active.sort(key=lambda k: -len(sums.levels[k]))
+    block = lambda a, b: (np.diag(sums.n[a] + se2 / var[a]) if a == b else
+                          sums.pairs[a, b] if (a, b) in sums.pairs else sums.pairs[b, a].T)
+    big, rest = active[0], active[1:]
+    d = sums.n[big] + se2 / var[big]
+    z_big, z_rest = (np.vstack([np.column_stack([sums.zx[a], sums.zy[a]]) for a in part] or [np.zeros((0, len(g.names) + 1))])
+                     for part in ([big], rest))
+    if rest:
+        c = np.hstack([block(big, b) for b in rest])
+        s_inv = np.linalg.inv(np.block([[block(a, b) for b in rest] for a in rest]) - c.T @ (c / d[:, None]))
+        top = s_inv @ (z_rest - c.T @ (z_big / d[:, None]))
+        half = c / d[:, None]
+        diag = np.concatenate([1 / d + ((half @ s_inv) * half).sum(1), np.diag(s_inv)])
+        solved = np.vstack([(z_big - c @ top) / d[:, None], top])
+    else:
+        diag, solved = 1 / d, z_big / d[:, None]
+    z = np.vstack([z_big, z_rest])
+    zx, zy, wx, wy = z[:, :-1], z[:, -1], solved[:, :-1], solved[:, -1]
+    weighted = replace(g, xtx=g.xtx - zx.T @ wx, xty=g.xty - zx.T @ wy,
+                       yty=float(g.yty - zy @ wy), scale=se2)
     fit = fit_from_gram(design, weighted)
-    b = inv @ (zy - zx @ centred_beta(fit))
-    sd = np.sqrt(se2 * np.diag(inv))
+    b = wy - wx @ centred_beta(fit)
+    sd = np.sqrt(se2 * diag)
     at = 0
     for a in active:
         m = len(sums.levels[a])
