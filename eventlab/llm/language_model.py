@@ -1,23 +1,28 @@
-"""Language-model scoring: a hashed maximum-entropy model with class-factored
-softmax.
+"""Language-model scoring: whole-word bigrams and skip pairs of the training
+texts, over a hashed maximum-entropy model with class-factored softmax.
 
-P(word | history) = P(class of word | history) * P(word | its class). Classes
+With v the word before w and u the word two back,
+
+    P(w | u, v) = near(w | v) + rest(v) * (far(w | u) + rest(u) * P0(w | u, v))
+
+near and far are the discounted shares (c - D) / c(v .) and (c - D) / c(u . .) of
+the pairs counted over every training text, and rest is what the discounts
+leave: D * (distinct words after it) / c, or 1 for a word never seen there. All
+pairs are kept under 64-bit hashes of the whole words, so the tables grow with
+the corpus; they are counted, joined and looked up by shuffles.
+
+P0(word | history) = P(class of word | history) * P(word | its class). Classes
 are the most frequent words (one each) and, for all others, hashed endings.
-P(class | history) is a softmax over hashed features of the history: the word
-before (n-gram feature), the word two back (skip feature) and both together.
-Words enter features through hashed identities: frequent words by themselves,
-others by their ending.
-
-Training runs over every training text: counts of (context, class) are its
-sufficient statistics, so each gradient step is a distributed sum over contexts
-of (observed - expected) counts, and the weights are updated from that sum.
+P(class | history) is a softmax over hashed features of the history (identities
+of the word before, of the word two back, and both). Its training runs over every
+training text: counts of (context, class) are its sufficient statistics, so each
+gradient step is a distributed sum over contexts of (observed - expected) counts.
 P(word | class) is the smoothed count (c + 0.1) / (N_class + 0.1 * (V_class + 1)).
 
-Scoring looks each word's class up in a table of log probabilities by context.
-Counts of frequent words are broadcast (``KNOWN_WORDS`` of them); the other
-words of a text are joined with the counts of the corpus by a shuffle, summed
-per text. Words are byte strings outside white space with A-Z in lower case,
-and every text ends with one end token.
+Scores are worked out once for every distinct (u, v, w) of the texts. Those of the
+most used ones are broadcast (``KNOWN_TRIPLES`` of them); the others of a text are
+joined by a shuffle and summed per text. Words are byte strings outside white
+space with A-Z in lower case, and every text ends with one end token.
 
 Defined cases: null and empty texts consist of the end token. Equal rows (id
 and text) get equal scores, one row each. With nothing to learn from, counts
@@ -36,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlab.llm.common import fold_remainder
+from eventlab.llm.common import fold_remainder, mix64, small_side, span_hashes, text_key, text_slices, word_spans
 from eventlab.sources.files import stage
 
 #: The end token; no word can hold a space.
@@ -49,8 +54,13 @@ CLASSES = OWN_CLASSES + ENDING_CLASSES
 NEAR, FAR, BOTH = 512, 64, 4096
 #: Frequent words that are identities of their own among NEAR.
 OWN_NEAR = 192
-#: At most so many words' counts are broadcast; the others go through a join.
-KNOWN_WORDS = 200_000
+#: At most so many triples' scores are broadcast; the others go through a join.
+KNOWN_TRIPLES = 400_000
+#: Taken off every pair's count for the lower model.
+DISCOUNT = 0.75
+#: Stand-ins for the end token and for places before a text; bytes handled at once.
+END_HASH, START_HASH = np.uint64(0xE17A1465F1A8D3B5), np.uint64(0x3C6EF372FE94F82B)
+SLICE = 4 << 20
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 400_000
 CACHE = 200_000
@@ -228,19 +238,91 @@ def class_totals(table: DataFrame, frequent: list[bytes]) -> np.ndarray:
     return out
 
 
-def frequent_words(counts: DataFrame) -> dict[bytes, int]:
-    """Words whose count is at least a cut, with their counts: the lowest cut
-    (in eighths of a power of two) that at most ``KNOWN_WORDS`` words pass."""
-    step = F.floor(F.log2("c") * 8)
+def most_used(rows: DataFrame, count: str, most: int) -> pa.Table:
+    """Rows whose count is at least a cut: the lowest cut (in eighths of a power
+    of two) that at most ``most`` rows pass."""
+    step = F.floor(F.log2(count) * 8)
     passing, cut = 0, None
-    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
-        if passing + r["count"] > KNOWN_WORDS:
+    for r in sorted(rows.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        if passing + r["count"] > most:
             break
         passing, cut = passing + r["count"], r["step"]
-    if cut is None:
-        return {}
-    rows = counts.where(step >= cut).toArrow()
-    return dict(zip((w.encode() for w in rows["token"].to_pylist()), rows["c"].to_pylist()))
+    return (rows.where(step >= cut) if cut is not None else rows.limit(0)).toArrow()
+
+
+def _triples(b: pa.RecordBatch, codes_of: Identities | None = None) -> Iterator[tuple]:
+    """Runs of the texts in column ``text``: (first row, words' offsets per row,
+    u, v, w, key, codes): each word w, the word v before and u two back as 64-bit
+    hashes of the whole words, a hash of all three and the words' identities."""
+    for lo, _, data, offsets in text_slices(b.column("text"), SLICE):
+        starts, ends, at = word_spans(data, offsets)
+        size = np.diff(at) + 1
+        rows = np.append(0, np.cumsum(size))
+        inner = np.ones(rows[-1], bool)
+        inner[rows[1:] - 1] = False
+        w = np.full(rows[-1], END_HASH, np.uint64)
+        w[inner] = span_hashes(data, starts, ends)
+        v = np.append(START_HASH, w[:-1])
+        v[rows[:-1]] = START_HASH
+        u = np.append(START_HASH, v[:-1])
+        u[rows[:-1]] = START_HASH
+        codes = None
+        if codes_of is not None:
+            _, first, place = np.unique(w[inner], return_index=True, return_inverse=True)
+            raw = data.tobytes()
+            own = [codes_of[raw[s:e].lower()] for s, e in zip(starts[first].tolist(), ends[first].tolist())]
+            codes = np.full(rows[-1], codes_of[END.encode()], np.int64)
+            codes[inner] = np.array(own, np.int64)[place]
+        key = mix64(mix64(mix64(u) + v) + w)
+        yield lo, rows, u.view(np.int64), v.view(np.int64), w.view(np.int64), key.view(np.int64), codes
+
+
+def count_triples(docs: DataFrame, training: Column, sent) -> DataFrame:
+    """(key, u, v, w, n, uses, lower): every distinct word with its two words
+    before, its count in the training texts and in all, and the log probability
+    of the word's class less that of the class total."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, table = _unpacked(sent)
+        codes_of = Identities(frequent)
+        for b in batches:
+            learned = b.column("learned").to_numpy(zero_copy_only=False)
+            for lo, rows, u, v, w, key, codes in _triples(b, codes_of):
+                _, first, place, uses = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                n = np.bincount(place, np.repeat(learned[lo:lo + len(rows) - 1], np.diff(rows)), len(first))
+                lower = np.concatenate([table[contexts(codes[s:e])] for s, e in zip(rows[:-1], rows[1:])])
+                yield pa.record_batch([pa.array(x) for x in (key[first], u[first], v[first], w[first], n.astype(np.int64), uses,
+                                                             lower[first].astype(np.float64))],
+                                      names=["key", "u", "v", "w", "n", "uses", "lower"])
+
+    rows = docs.select("text", F.coalesce(training, F.lit(False)).alias("learned")).mapInArrow(
+        run, "key long, u long, v long, w long, n long, uses long, lower double")
+    return rows.groupBy("key").agg(*(F.min(c).alias(c) for c in ("u", "v", "w")), F.sum("n").alias("n"),
+                                   F.sum("uses").alias("uses"), F.min("lower").alias("lower"))
+
+
+def pair_shares(triples: DataFrame, before: str, name: str) -> DataFrame:
+    """(before, w, <name>_share, <name>_rest) of every pair of a text: the
+    discounted share of w after ``before`` in the training texts, and the
+    probability that the discounts leave to the lower model."""
+    pairs = stage(triples.groupBy(before, "w").agg(F.sum("n").alias("c")), f"lm-{name}")
+    heads = stage(pairs.groupBy(before).agg(F.sum("c").alias("total"), F.count_if(F.col("c") > 0).alias("kinds")), f"lm-{name}-heads")
+    seen = F.col("total") > 0
+    return pairs.join(small_side(heads), before).select(
+        before, "w", F.when(seen, F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) / F.col("total")).otherwise(0.0).alias(f"{name}_share"),
+        F.when(seen, F.col("kinds") * DISCOUNT / F.col("total")).otherwise(1.0).alias(f"{name}_rest"))
+
+
+def score_triples(triples: DataFrame) -> DataFrame:
+    """(key, uses, log_c, known, log_p) of every distinct triple."""
+    words = stage(triples.groupBy("w").agg(F.sum("n").alias("c")), "lm-words")
+    near = pair_shares(triples, "v", "near").join(small_side(words), "w")
+    far = pair_shares(triples, "u", "far")
+    joined = triples.join(near, ["v", "w"]).join(far, ["u", "w"])
+    lower = F.pow(F.lit(10.0), F.col("lower")) * (F.col("c") + SMOOTH)
+    p = F.col("near_share") + F.col("near_rest") * (F.col("far_share") + F.col("far_rest") * lower)
+    return joined.select("key", "uses", F.log10(F.col("c") + SMOOTH).alias("log_c"), (F.col("c") > 0).cast("int").alias("known"),
+                         F.log10(p).alias("log_p"))
 
 
 def score_texts(docs: DataFrame, training: Column) -> DataFrame:
@@ -251,42 +333,40 @@ def score_texts(docs: DataFrame, training: Column) -> DataFrame:
     counts = stage(_count_words(learned), "lm-counts")
     n, v = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     n = n or 0
-    known = frequent_words(counts)
-    frequent = sorted(known, key=lambda w: (-known[w], w))[:OWN_NEAR]
+    top = most_used(counts, "c", OWN_NEAR * 8)
+    top = dict(zip((w.encode() for w in top["token"].to_pylist()), top["c"].to_pylist()))
+    frequent = sorted(top, key=lambda w: (-top[w], w))[:OWN_NEAR]
     weights = train(stage(_context_counts(learned, frequent), "lm-statistics"))
     every = np.arange(CONTEXTS)
     table = np.concatenate([weights.log_p(part) for part in np.array_split(every, 16)]) / np.log(10)
     table = (table - class_totals(counts, frequent)).astype(np.float32)
-    sent = spark.sparkContext.broadcast(pickle.dumps((frequent, known, table)))
+    triples = stage(count_triples(docs, training, spark.sparkContext.broadcast(pickle.dumps((frequent, table)))), "lm-triples")
+    scored = stage(score_triples(triples), "lm-scored")
+    known = most_used(scored, "uses", KNOWN_TRIPLES)
+    known = [known[c].to_numpy() for c in ("key", "log_c", "known", "log_p")]
+    order = np.argsort(known[0])
+    sent = spark.sparkContext.broadcast(pickle.dumps([x[order] for x in known]))
     base = float(np.log10(n + SMOOTH * (v + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, known, table = _unpacked(sent)
-        codes_of = Identities(frequent)
-        log_c = {w: float(np.log10(c + SMOOTH)) for w, c in known.items()}
+        known = _unpacked(sent)
         for b in batches:
-            step = max(1, min(b.num_rows, (4 << 20) * b.num_rows // max(b.nbytes, 1)))
-            for lo in range(0, b.num_rows, step):
-                yield from _score_rows(b.slice(lo, step), codes_of, log_c, table)
-
-    parts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey"),
-                        "text").mapInArrow(run, "token string, doc_id string, tkey long, times long, rows long, "
-                                                "n_tokens long, n_known long, known_sum double, class_sum double")
-    joined = parts.join(counts, "token", "left")
-    rare = F.when(F.col("rows") == 0, F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)).otherwise(0.0)
+            yield from _score_rows(b, known)
+
+    parts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_key("text").alias("tkey"), "text").mapInArrow(
+        run, "key long, doc_id string, tkey long, times long, rows long, n_tokens long, n_known long, log_c double, log_p double")
+    joined = parts.join(scored.select("key", "known", F.col("log_c").alias("each_c"), F.col("log_p").alias("each_p")), "key", "left")
+    rare = lambda c: F.when(F.col("rows") == 0, F.col("times") * F.col(c)).otherwise(F.lit(0))
     summed = joined.groupBy("doc_id", "tkey").agg(
-        F.sum("rows").alias("rows"), F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("rows") == 0, F.when(F.col("c") > 0, F.col("times")).otherwise(0)).otherwise(0))
-        .alias("n_known"),
-        F.sum(F.col("known_sum") + rare).alias("log_c"), F.sum("class_sum").alias("class_sum"))
+        F.sum("rows").alias("rows"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + rare("known")).alias("n_known"),
+        F.sum(F.col("log_c") + rare("each_c")).alias("log_c"), F.sum(F.col("log_p") + rare("each_p")).alias("log_p"))
     one = summed.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     kind = docs.schema["doc_id"].dataType
     n_tokens = (F.col("n_tokens") / F.col("rows")).cast("long")
-    log_c = F.col("log_c") / F.col("rows")
     return one.select(F.col("doc_id").cast(kind).alias("doc_id"), n_tokens.alias("n_tokens"),
                       (F.col("n_known") / F.col("rows")).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-                      (log_c - n_tokens * F.lit(base)).alias("base_score"),
-                      (log_c + F.col("class_sum") / F.col("rows")).alias("score"))
+                      (F.col("log_c") / F.col("rows") - n_tokens * F.lit(base)).alias("base_score"),
+                      (F.col("log_p") / F.col("rows")).alias("score"))
 
 
 _UNPACKED: dict[int, tuple] = {}
@@ -301,44 +381,32 @@ def _unpacked(sent) -> tuple:
     return _UNPACKED[key]
 
 
-def _score_rows(b: pa.RecordBatch, codes_of: Identities, log_c: dict[bytes, float], table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row per text with the sums over its broadcast words, and one row per
-    rare word of a text; a text's own row joins by a key that no word has."""
-    ids, keys = b.column(0).to_pylist(), b.column(1).to_pylist()
-    token, doc, key, times, rows, n_tokens, n_known, known_sum, class_sum = ([] for _ in range(9))
-    for i, text in enumerate(b.column(2)):
-        words = words_of(text.as_py())
-        context, klass = contexts(np.array([codes_of[w] for w in words], np.int64))
-        total, found = 0.0, 0
-        for w, k in Counter(words).items():
-            x = log_c.get(w)
-            if x is not None:
-                total += k * x
-                found += k
-            else:
-                token.append(w.decode())
-                doc.append(ids[i])
-                key.append(keys[i])
-                times.append(k)
-        m = len(token) - len(rows)
-        rows += [0] * m
-        n_tokens += [0] * m
-        n_known += [0] * m
-        known_sum += [0.0] * m
-        class_sum += [0.0] * m
-        token.append(f" {keys[i]}")
-        doc.append(ids[i])
-        key.append(keys[i])
-        times.append(0)
-        rows.append(1)
-        n_tokens.append(len(words))
-        n_known.append(found)
-        known_sum.append(total)
-        class_sum.append(float(table[context, klass].sum(dtype=np.float64)))
-    yield pa.record_batch([pa.array(token, pa.string()), pa.array(doc, pa.string()), pa.array(key, pa.int64()),
-                           pa.array(times, pa.int64()), pa.array(rows, pa.int64()), pa.array(n_tokens, pa.int64()),
-                           pa.array(n_known, pa.int64()), pa.array(known_sum, pa.float64()), pa.array(class_sum, pa.float64())],
-                          names=["token", "doc_id", "tkey", "times", "rows", "n_tokens", "n_known", "known_sum", "class_sum"])
+def _score_rows(b: pa.RecordBatch, known: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """One row per text with the sums over its broadcast triples, and one row per
+    other distinct triple of a text; a text's own row joins by a key of its own."""
+    ids = b.column("doc_id")
+    tkeys = b.column("tkey").to_numpy()
+    keys, log_c, is_known, log_p = known
+    for lo, rows, _, _, _, key, _ in _triples(b):
+        n = len(rows) - 1
+        row = np.repeat(np.arange(n), np.diff(rows))
+        at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+        found = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+        sums = [np.bincount(row[found], x[at[found]], n) for x in (is_known, log_c, log_p)]
+        rare = np.flatnonzero(~found)
+        order = rare[np.lexsort((key[rare], row[rare]))]
+        fresh = np.append(True, (key[order][1:] != key[order][:-1]) | (row[order][1:] != row[order][:-1]))[:len(order)]
+        first = np.flatnonzero(fresh)
+        times = np.diff(np.append(first, len(order)))
+        place = np.append(np.arange(n), row[order[first]])
+        own = mix64(tkeys[lo:lo + n].view(np.uint64) + np.uint64(1)).view(np.int64)
+        pad = np.zeros(len(first), np.int64)
+        yield pa.record_batch([
+            pa.array(np.append(own, key[order[first]])), ids.take(pa.array(place + lo)), pa.array(tkeys[place + lo]),
+            pa.array(np.append(np.zeros(n, np.int64), times)), pa.array(np.append(np.ones(n, np.int64), pad)),
+            pa.array(np.append(np.diff(rows), pad)), pa.array(np.append(sums[0].astype(np.int64), pad)),
+            pa.array(np.append(sums[1], pad.astype(float))), pa.array(np.append(sums[2], pad.astype(float)))],
+            names=["key", "doc_id", "tkey", "times", "rows", "n_tokens", "n_known", "log_c", "log_p"])
 
 
 def op4_lm_score(docs: DataFrame) -> DataFrame:

@@ -267,6 +267,40 @@ def test_lm_probabilities_sum_to_one():
     assert np.allclose(np.exp(w.log_p(np.arange(0, language_model.CONTEXTS, 97))).sum(1), 1, atol=1e-5)
 
 
+def test_lm_learns_pairs_of_ordinary_words(spark, monkeypatch):
+    """Words of one ending class: only the words before tell which one follows.
+    The rows of a history sum to one, broadcast or joined."""
+    rng = random.Random(8)
+    heads = [f"q{k}x" for k in range(400)]
+    tails = [f"{k}zz" for k in range(400)]
+    common = " ".join(f"c{k}" for k in range(200))
+    train = [f"{heads[k]} mid {tails[k]} {heads[k]}{tails[k]}" for k in range(400)] * 3 + [common] * 20
+    rng.shuffle(train)
+    ids = [k for k in range(20_000) if zlib.crc32(str(k).encode()) % 10]
+    held = [k for k in range(20_000) if not zlib.crc32(str(k).encode()) % 10]
+    right, wrong = f"{heads[5]} mid {tails[5]}", f"{heads[5]} mid {tails[6]}"
+    pair, other = f"{tails[5]} {heads[5]}{tails[5]}", f"{tails[5]} {heads[6]}{tails[6]}"
+    rows = list(zip(ids, train)) + list(zip(held, (right, wrong, pair, other)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    both = []
+    for most in (400_000, 5):
+        monkeypatch.setattr(language_model, "KNOWN_TRIPLES", most)
+        score = {r["doc_id"]: r["score"] for r in language_model.op4_lm_score(docs).collect()}
+        assert score[held[0]] > score[held[1]] + 1  # a skip pair
+        assert score[held[2]] > score[held[3]] + 1  # a bigram
+        both.append(score)
+    assert both[0] == pytest.approx(both[1])
+
+
+def test_lm_pair_shares_grow_and_sum_to_one(spark):
+    triples = spark.createDataFrame([(1, 10, 100, 3), (1, 10, 101, 1), (2, 10, 100, 2), (2, 11, 102, 0)], "u long, v long, w long, n long")
+    got = language_model.pair_shares(triples, "v", "near").collect()
+    assert len(got) == 3
+    ten = [r for r in got if r["v"] == 10]
+    assert sum(r["near_share"] for r in ten) + ten[0]["near_rest"] == pytest.approx(1)
+    assert {(r["near_share"], r["near_rest"]) for r in got if r["v"] == 11} == {(0.0, 1.0)}
+
+
 # ---- byte-pair encoding
 
 
