@@ -1,10 +1,11 @@
 """Line de-duplication by a deletion-neighbourhood join, in DataFrame
 expressions only.
 
-Words of a line are what single spaces separate. A line goes if an earlier line
-of the corpus, in order of (doc_id, line number), is equal or within one edit: a
-word more, less or replaced. Lines of fewer than ``MIN_WORDS`` words only go as
-exact repeats; blank lines stay.
+Lines are compared as sequences of words, whatever white space stands between,
+before and after them. A line goes if an earlier line of the corpus, in order of
+(doc_id, line number), holds the same words or is within one edit: a word more,
+less or replaced. Lines of fewer than ``MIN_WORDS`` words only go as exact
+repeats; lines without words stay.
 
 1. Equal lines meet by hash in a partial aggregate that keeps the first place.
 2. A line within one edit of another shares its first or its last ``g`` words
@@ -34,6 +35,14 @@ from eventlab.sources.files import stage
 MIN_WORDS = 6
 #: A character that makes a line more than blank.
 INK = r"[^\x20\x09-\x0D]"
+GAP = r"[\x20\x09-\x0D]+"
+#: White space other than single spaces between words.
+UNEVEN = r"[\x09-\x0D]|\x20\x20|^\x20|\x20$"
+
+
+def _even(line: Column) -> Column:
+    """The words of a line with one space between them."""
+    return F.when(line.rlike(UNEVEN), F.trim(F.regexp_replace(line, GAP, " "))).otherwise(line)
 
 
 def _n_words(line: Column) -> Column:
@@ -66,10 +75,12 @@ def _end_keys(line: Column, own: Column, shorter: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, tkey, line_no, line, h1, h2) of every line that isn't blank."""
+    """(doc_id, tkey, line_no, line, h1, h2) of every line with words; ``line`` has
+    one space between them."""
     rows = docs.where(F.col("text").isNotNull()).select(
         "doc_id", text_key("text").alias("tkey"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.where(F.col("line").rlike(INK)).withColumns(
+    rows = rows.withColumn("line", _even(F.col("line"))).where("line <> ''")
+    return rows.withColumns(
         {"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(2), "line")})
 
 

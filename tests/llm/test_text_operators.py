@@ -132,6 +132,32 @@ def test_line_dedup_is_brute_force(spark):
         assert got[k]["text"] == "\n".join(keep) and got[k]["n_kept"] == len(keep)
 
 
+def test_line_dedup_compares_words_in_any_white_space(spark):
+    rng = random.Random(11)
+    pool = [_prose(rng, n).split() for n in (1, 2, 3, 5, 6, 7, 9, 12)]
+    gaps = [" ", "  ", "\t", " \t ", "\x0b", "\x0c"]
+    docs = []
+    for k in range(60):
+        lines = []
+        for _ in range(rng.randint(1, 4)):
+            w = list(rng.choice(pool))
+            if rng.random() < 0.5:
+                w[rng.randrange(len(w))] = rng.choice("xyz")
+            line = "".join(x + rng.choice(gaps) for x in w[:-1]) + w[-1]
+            lines.append(rng.choice(["", "    ", "\t"]) + line + rng.choice(["", "\r", " "]))
+        docs.append((k, "\n".join(lines + [" \t\r"])))
+    got = {r["doc_id"]: r for r in line_dedup.op2_line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    seen = []
+    for k, text in docs:
+        keep = []
+        for line in text.split("\n"):
+            w = line.split()
+            if not w or not any(_near_line(w, s) for s in seen):
+                keep.append(line)
+            seen += [w] * bool(w)
+        assert got[k]["text"] == "\n".join(keep) and got[k]["n_kept"] == len(keep)
+
+
 def test_line_dedup_is_native(messy):
     plan = line_dedup.op2_line_dedup(messy)._jdf.queryExecution().toString() + \
         mixing.op8_source_mixing(messy)._jdf.queryExecution().toString()
