@@ -8,8 +8,9 @@ are sorted by their next L words over range partitions; each is compared with
 its neighbours of other texts, and the match is extended to the right and to the
 left. Matches of at least L words are spans; spans of a text that touch are one.
 
-A neighbour in the next partition is compared through the partitions' edge rows,
-so a passage that a third of all texts hold is split over many tasks.
+A neighbour is the nearest suffix of another text, however many of its own text lie
+between. Those in other partitions are found through the partitions' edge rows, so a
+passage that a third of all texts hold is split over many tasks.
 
 Repeats count across documents: texts that are equal are one text (all of it is
 a span if it has L words and two ids), repeats inside one text only are none.
@@ -132,69 +133,107 @@ class _Spans:
             for x in (p, q):
                 self.rows[x[2], x[3] - left, x[3] + right] = None
 
+    def meet(self, run: dict[tuple[bytes, bytes], list[int]], tkey: int, q: tuple) -> None:
+        """Compares the rows of one text with a row of another."""
+        for (right, left), positions in run.items():
+            r, l = _common(right, q[0]), _common(left, q[1])
+            if r and l + r >= self.length:
+                self.rows[q[2], q[3] - l, q[3] + r] = None
+                for p in positions:
+                    self.rows[tkey, p - l, p + r] = None
+
     def batch(self, edges: list[tuple] = (), piece: int = 0) -> pa.RecordBatch:
-        """Spans have no edge, edges are 0 (first row) or 1 (last row) of a piece."""
+        """Spans have no edge; edges are (kind, row) of a piece."""
         s = list(self.rows)
         self.rows = {}
         return pa.record_batch([
-            pa.array([x[0] for x in s] + [e[2] for e in edges], pa.int64()),
-            pa.array([x[1] for x in s] + [e[3] for e in edges], pa.int32()),
+            pa.array([x[0] for x in s] + [e[2] for _, e in edges], pa.int64()),
+            pa.array([x[1] for x in s] + [e[3] for _, e in edges], pa.int32()),
             pa.array([x[2] for x in s] + [None] * len(edges), pa.int32()),
-            pa.array([None] * len(s) + list(range(len(edges))), pa.int32()),
+            pa.array([None] * len(s) + [k for k, _ in edges], pa.int32()),
             pa.array([None] * len(s) + [piece] * len(edges), pa.int32()),
-            pa.array([None] * len(s) + [e[0] for e in edges], pa.binary()),
-            pa.array([None] * len(s) + [e[1] for e in edges], pa.binary())],
+            pa.array([None] * len(s) + [e[0] for _, e in edges], pa.binary()),
+            pa.array([None] * len(s) + [e[1] for _, e in edges], pa.binary())],
             names=["tkey", "start", "end", "edge", "piece", "right", "left"])
 
 
+#: Edge rows: of the first run of a partition, of its last run; its first row and
+#: the first of another text, its last row and the last of another text.
+LEADING, TRAILING, FIRST, FIRST_OTHER, LAST, LAST_OTHER = range(6)
 _SPAN_SCHEMA = "tkey long, start int, end int, edge int, piece int, right binary, left binary"
 
 
 def _neighbours(sorted_suffixes: DataFrame, length: int) -> DataFrame:
-    """Spans of neighbouring suffixes inside each partition, and its edge rows."""
+    """Spans of each suffix and the nearest ones of another text before and after
+    it inside its partition, and the partition's edge rows. A run (adjacent rows
+    of one text) is held as a whole, its equal rows as one with their positions."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         spans = _Spans(length)
-        first = before = None  # before: the last row of the text before the current run
-        run: list[tuple] = []  # the rows so far of one text that follow each other
+        first = first_other = before = last = None  # before: the last row of the text before the current run
+        run: dict[tuple[bytes, bytes], list[int]] = {}
+        open_rows = lambda kind: [(kind, (*k, last[2], p)) for k, at in run.items() for p in at]
+        edges: list[tuple] = []
         for b in batches:
             for row in zip(*(b.column(k).to_pylist() for k in range(4))):
                 first = first or row
-                if run and row[2] != run[0][2]:
-                    for p in run:  # every row of the run meets the next other text
-                        spans.compare(p, row)
-                    before, run = run[-1], []
+                if last is not None and row[2] != last[2]:
+                    spans.meet(run, last[2], row)
+                    if first_other is None:
+                        first_other = row
+                        edges = open_rows(LEADING)
+                    before, run = last, {}
                 elif before is not None:
                     spans.compare(before, row)
-                run.append(row)
-                if len(run) > 64:  # a text that repeats itself: nearer rows are better neighbours
-                    del run[0]
+                run.setdefault(row[:2], []).append(row[3])
+                last = row
             yield spans.batch()
         if first is not None:
-            yield spans.batch([first, run[-1]], TaskContext.get().partitionId())
+            edges += open_rows(TRAILING) + (open_rows(LEADING) if first_other is None else [])
+            edges += [(k, r) for k, r in ((FIRST, first), (FIRST_OTHER, first_other), (LAST, last), (LAST_OTHER, before)) if r]
+            piece = TaskContext.get().partitionId()
+            for lo in range(0, len(edges), 20_000):
+                yield spans.batch(edges[lo:lo + 20_000], piece)
 
     return sorted_suffixes.mapInArrow(go, _SPAN_SCHEMA)
 
 
+def _carried(rows: dict[int, dict[int, tuple]], pieces: list[int], kinds: tuple[int, int]) -> dict[int, list[tuple]]:
+    """For every piece the nearest row of the pieces gone through before it, and the
+    nearest of another text than that row."""
+    out: dict[int, list[tuple]] = {}
+    have: list[tuple] = []
+    for piece in pieces:
+        out[piece] = have
+        near = [rows[piece][k] for k in kinds if k in rows[piece]] + have
+        have = near[:1] + [r for r in near if r[2] != near[0][2]][:1]
+    return out
+
+
 def _across_edges(edges: DataFrame, length: int) -> DataFrame:
-    """Spans between the last suffix of a partition and the first of the next."""
+    """Spans between the first and last run of each partition and the nearest
+    suffixes of another text in the partitions before and after. At most four rows
+    a partition reach the driver."""
+    columns = ["right", "left", "tkey", "start"]
+    rows: dict[int, dict[int, tuple]] = {}
+    for r in edges.where(F.col("edge") >= FIRST).collect():
+        rows.setdefault(r["piece"], {})[r["edge"]] = tuple(bytes(r[c]) if c in ("right", "left") else r[c] for c in columns)
+    pieces = sorted(rows)
+    sent = edges.sparkSession.sparkContext.broadcast({
+        LEADING: _carried(rows, pieces, (LAST, LAST_OTHER)), TRAILING: _carried(rows, pieces[::-1], (FIRST, FIRST_OTHER))})
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = _Spans(length)
         for b in batches:
-            rows = list(zip(*(b.column(k).to_pylist() for k in range(8))))
-            for r in rows:
-                if r[2] != r[6]:
-                    spans.compare(r[:4], r[4:])
+            for edge, piece, *row in zip(*(b.column(k).to_pylist() for k in range(6))):
+                other = next((r for r in sent.value[edge][piece] if r[2] != row[2]), None)
+                if other is not None:
+                    spans.compare(tuple(row), other)
             yield spans.batch()
 
-    order = Window.orderBy("piece", "edge")
-    columns = ["right", "left", "tkey", "start"]
-    pairs = edges.select("edge", *columns, *(F.lag(c).over(order).alias(f"other_{c}") for c in columns))
-    pairs = pairs.where("edge = 0 and other_tkey is not null").select(*columns, *(f"other_{c}" for c in columns))
-    return pairs.mapInArrow(go, _SPAN_SCHEMA)
+    return edges.where(F.col("edge") < FIRST).select("edge", "piece", *columns).mapInArrow(go, _SPAN_SCHEMA)
 
 
 def repeated_spans(docs: DataFrame, length: int = MIN_WORDS, run: int = RUN) -> DataFrame:

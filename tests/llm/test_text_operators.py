@@ -260,6 +260,30 @@ def test_suffix_spans_are_brute_force(spark):
         assert len(got[k]) >= 0.95 * len(want) and bool(got[k]) == bool(want)
 
 
+def test_suffix_spans_of_long_runs(spark):
+    """Texts that repeat a passage hundreds of times, before or after its only
+    other holder, over few and many partitions."""
+    rng = random.Random(12)
+    docs, want = [], []
+    for k in range(6):
+        passage = _prose(rng, 75).split()
+        many = [passage + _prose(rng, 3).split() for _ in range(300)]
+        docs += [(2 * k, " ".join(sum(many, []))), (2 * k + 1, " ".join(_prose(rng, 20).split() + passage))]
+        want.append({78 * j + i for j in range(300) for i in range(75)})
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = defaultdict(set)
+            for r in suffix_dedup.op5_suffix_dedup(frame).collect():
+                got[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+            for k in range(6):
+                assert got[2 * k] == want[k] and got[2 * k + 1] == set(range(20, 95))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 # ---- language model
 
 
