@@ -9,11 +9,11 @@ counts with its weight; the sum is used as it is and per hundred words, and a
 logistic curve over both gives the score.
 
 Entries are a short fixed list and those learned from the training labels:
-beginnings of words (4 to 8 letters) and whole words found in at least
-``MIN_SHARE`` of the toxic texts and far more often there than in the others.
-Texts that share their longest lines' smallest hash count once, so that copies
-don't make words look toxic. At most 1/``MIN_SHARE`` entries per word of a
-text can pass, however large the corpus.
+beginnings of words (4 to 8 letters) and whole words in at least ``MIN_TEXTS``
+toxic texts, whose log-odds are high and hardly due to chance: the likelihood ratio
+of their counts in both labels against the labels' shares is at least ``EVIDENCE``.
+Only such entries reach the driver. Equal texts count once, so that copies don't
+make words look toxic.
 
 Defined cases: null and empty texts have no match and get the curve's lowest
 score. Null labels are not learned from; with no labelled text of either kind
@@ -23,7 +23,6 @@ document whose label rows disagree counts as toxic.
 
 from __future__ import annotations
 
-import math
 import pickle
 import re
 import unicodedata
@@ -53,9 +52,9 @@ SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
          "|": "l"}
 INVISIBLE = "­​‌‍⁠﻿"
 
-#: Share of the toxic training texts (at least ``MIN_TEXTS``) that an entry is in; its least log-odds weight.
-MIN_SHARE = 0.01
+#: Toxic training texts that an entry is in at least; its least log-likelihood ratio (twice the logarithm) and log-odds weight.
 MIN_TEXTS = 5
+EVIDENCE = 15.0
 MIN_WEIGHT = 2.5
 MAX_WEIGHT = 8.0
 PREFIXES = range(4, 9)
@@ -106,16 +105,14 @@ def terms_of(folded: str) -> set[str]:
     return found
 
 
-def _count_terms(texts: DataFrame, wanted: set[str] | None = None) -> DataFrame:
+def _count_terms(texts: DataFrame) -> DataFrame:
     """(term, n): texts that each term is in."""
-    sent = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter = Counter()
         for b in batches:
             for text in b.column(0):
-                found = terms_of(fold(text.as_py() or ""))
-                count.update(found if sent.value is None else found & sent.value)
+                count.update(terms_of(fold(text.as_py() or "")))
                 if len(count) > FLUSH:
                     yield pa.record_batch([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())],
                                           names=["term", "n"])
@@ -132,26 +129,30 @@ def _usable_labels(labels: DataFrame) -> DataFrame:
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, training: Column) -> dict[str, float]:
-    """Entry -> weight, from one label row per doc_id. What reaches the driver are terms of at least
-    ``MIN_SHARE`` of the toxic texts, a number that the corpus doesn't raise."""
+    """Entry -> weight, from one label row per doc_id. What reaches the driver are
+    the terms with enough evidence."""
     lexicon = {f" {w}": x for w, x in SEED_LEXICON.items()}
-    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: F.length(x) >= 60), lambda x: F.xxhash64(x))
-    sketch = F.coalesce(F.array_min(lines), F.xxhash64("text"))
-    marked = docs.where(training & F.col("text").isNotNull()).select("doc_id", "text", sketch.alias("sketch"))
+    marked = docs.where(training & F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("tkey"))
     texts = stage(marked.join(small_side(labels), "doc_id"), "toxicity-training")
-    once = stage(texts.groupBy("toxic", "sketch").agg(F.min(F.col("doc_id")).alias("doc_id")), "toxicity-once")
-    texts = texts.join(small_side(once), ["toxic", "sketch", "doc_id"])
+    once = stage(texts.groupBy("toxic", "tkey").agg(F.min(F.col("doc_id")).alias("doc_id")), "toxicity-once")
+    texts = texts.join(small_side(once), ["toxic", "tkey", "doc_id"]).dropDuplicates(["toxic", "tkey"])
     size = dict(once.groupBy(F.col("toxic") > 0).count().collect())
     n_toxic, n_clean = size.get(True, 0), size.get(False, 0)
     if not n_toxic or not n_clean:
         return lexicon
-    least = max(MIN_TEXTS, math.ceil(MIN_SHARE * n_toxic))
-    toxic = dict(_count_terms(texts.where("toxic > 0").select("text")).where(F.col("n") >= least).collect())
-    clean = dict(_count_terms(texts.where("toxic <= 0").select("text"), set(toxic)).collect())
+    toxic = _count_terms(texts.where("toxic > 0").select("text")).where(F.col("n") >= MIN_TEXTS)
+    clean = _count_terms(texts.where("toxic <= 0").select("text")).withColumnRenamed("n", "n_other")
+    found = toxic.join(clean, "term", "left").withColumn("n_other", F.coalesce("n_other", F.lit(0)))
+    share = n_toxic / (n_toxic + n_clean)
+    a, b, n = F.col("n"), F.col("n_other"), F.col("n") + F.col("n_other")
+    ratio = 2 * (a * F.log(a / (n * share)) + F.when(b > 0, b * F.log(b / (n * (1 - share)))).otherwise(0.0))
+    weight = F.log((a + 0.5) / (n_toxic + 1)) - F.log((b + 0.5) / (n_clean + 1))
+    rows = found.withColumn("weight", weight).where((F.col("weight") >= MIN_WEIGHT) & (ratio >= EVIDENCE)).select("term", "weight")
+    toxic = dict(rows.collect())
     for term in sorted(toxic, key=lambda t: (len(t), t)):
-        weight = math.log((toxic[term] + 0.5) / (n_toxic + 1)) - math.log((clean.get(term, 0) + 0.5) / (n_clean + 1))
+        weight = toxic[term]
         shorter = max((lexicon.get(term[:n], 0.0) for n in range(2, len(term))), default=0.0)
-        if weight >= MIN_WEIGHT and min(weight, MAX_WEIGHT) > shorter + 0.5:
+        if min(weight, MAX_WEIGHT) > shorter + 0.5:
             lexicon[term] = min(weight, MAX_WEIGHT)
     return lexicon
 

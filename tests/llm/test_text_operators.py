@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from eventlab.llm import (bpe, fingerprints, language, language_model, line_dedup, mixing, near_dedup, suffix_dedup,
                           topk, toxicity)
@@ -442,6 +443,19 @@ def test_toxicity_held_out(spark):
     assert sum(r["predicted"] for r in rows) >= 0.7 * (len(rows) - len(clean))
 
 
+def test_toxicity_learns_rare_terms_of_texts_with_shared_lines(spark):
+    """A word in 11 of 1,200 toxic texts and no clean one is an entry, and texts that
+    share a line are texts of their own."""
+    rng = random.Random(13)
+    shared = "this very long line stands in every one of the texts, as license lines do in many"
+    rows = [(k, f"{shared}\n{_prose(rng, 12)}" + (" zorblax" if k < 11 else "")) for k in range(3_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 1_200)) for k in range(3_000)], "doc_id long, toxic int")
+    lexicon = toxicity.learn_lexicon(docs, labels, F.lit(True))
+    assert any(" zorblax ".startswith(term) for term in lexicon)
+    assert not any(term.startswith(" license") for term in lexicon)
+
+
 # ---- mixing
 
 
