@@ -3,7 +3,7 @@
 Every paragraph (line) is hashed to a wide vector: four 64-bit lanes that
 identify it and ``LANES`` signed lanes that hold its runs of ``WORDS`` words.
 A document's fingerprint is the sum of its paragraphs' vectors, modulo 2^64 in
-the first four lanes and 2^16 in the others. Order doesn't matter, and adding
+the first four lanes and 2^32 in the others. Order doesn't matter, and adding
 or subtracting a paragraph's vector inserts or deletes it.
 
 The likeness of two fingerprints is 1 if they are equal, else the cosine of the
@@ -70,26 +70,26 @@ def paragraph_sums(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     lane = (runs % np.uint64(LANES)).astype(np.int64)
     sign = np.where((runs >> np.uint64(40)) & np.uint64(1), 1, -1)
     lanes = np.bincount(row[paragraph] * LANES + lane, weights=sign, minlength=n * LANES)
-    return identity, lanes.reshape(n, LANES).astype(np.int64).astype(np.uint16)
+    return identity, lanes.reshape(n, LANES).astype(np.int64).astype(np.uint32)
 
 
 def likeness(a_id: np.ndarray, a: np.ndarray, b_id: np.ndarray, b: np.ndarray) -> np.ndarray:
     """0 to 1 for rows of fingerprints a and b."""
     equal = (a_id == b_id).all(1) & (a == b).all(1)
-    x, y = a.view(np.int16).astype(float), b.view(np.int16).astype(float)
+    x, y = a.view(np.int32).astype(float), b.view(np.int32).astype(float)
     norm = np.sqrt((x * x).sum(1) * (y * y).sum(1))
     cos = np.divide((x * y).sum(1), norm, out=np.zeros(len(x)), where=norm > 0)
     return np.where(equal, 1.0, np.clip(cos, 0.0, 1.0))
 
 
 def encode(identity: np.ndarray, lanes: np.ndarray) -> list[str]:
-    return [base64.b64encode(i.astype("<u8").tobytes() + v.astype("<u2").tobytes()).decode()
+    return [base64.b64encode(i.astype("<u8").tobytes() + v.astype("<u4").tobytes()).decode()
             for i, v in zip(identity, lanes)]
 
 
 def decode(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     raw = base64.b64decode(fingerprint)
-    return np.frombuffer(raw[:8 * IDENTITY], "<u8"), np.frombuffer(raw[8 * IDENTITY:], "<u2")
+    return np.frombuffer(raw[:8 * IDENTITY], "<u8"), np.frombuffer(raw[8 * IDENTITY:], "<u4")
 
 
 def combine(fingerprint: str, added: str, sign: int = 1) -> str:
@@ -103,7 +103,7 @@ def combine(fingerprint: str, added: str, sign: int = 1) -> str:
 def fingerprint_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     parts = [paragraph_sums(data, offsets) for _, _, data, offsets in text_slices(column)]
     if not parts:
-        return np.zeros((0, IDENTITY), np.uint64), np.zeros((0, LANES), np.uint16)
+        return np.zeros((0, IDENTITY), np.uint64), np.zeros((0, LANES), np.uint32)
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
