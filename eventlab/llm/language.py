@@ -53,7 +53,7 @@ def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = [b" " + t.lower().encode().translate(_TABLE) + b" " for t in texts]
     size = np.fromiter(map(len, raw), np.int64, len(raw))
     data = np.frombuffer(b"".join(raw), np.uint8)
-    if len(data) < GRAM:
+    if not len(data):
         return (np.zeros(0, np.int64),) * 3
     space = data == 32
     row = np.repeat(np.arange(len(raw)), size)
@@ -61,6 +61,11 @@ def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keep = ~(space & np.append(False, space[:-1]))
     keep[np.cumsum(size)[:-1]] = True
     data, row = data[keep], row[keep]
+    # a single byte between spaces gets one more space, so that it has a run
+    short = np.bincount(row, minlength=len(raw)) == GRAM - 1
+    if short.any():
+        ends = np.searchsorted(row, np.flatnonzero(short), "right")
+        data, row = np.insert(data, ends, 32), np.insert(row, ends, np.flatnonzero(short))
     if len(data) < GRAM:
         return (np.zeros(0, np.int64),) * 3
     n = len(data) - GRAM + 1

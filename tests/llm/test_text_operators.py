@@ -408,6 +408,13 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+@pytest.mark.parametrize("texts", [["a"], ["7 x"], ["", "a", "longer text here", "7 x", "12 !", "é", "b"]])
+def test_language_of_single_letters(texts):
+    table = np.full((language.BUCKETS, 3), 1 / language.BUCKETS, np.float32)
+    names, _ = language.infer(texts, ["aa", "bb"], table)
+    assert [n == "und" for n in names] == [not any(c.isalpha() for c in t) for t in texts]
+
+
 def test_language_mixture_and_unknown(spark):
     docs = read_table(spark, SF, "documents")
     one = {x: docs.where(f"lang = '{x}'").orderBy("n_chars", ascending=False).first()["text"][:3000] for x in ("en", "fr")}
