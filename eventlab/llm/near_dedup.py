@@ -99,8 +99,8 @@ def _fixed(rows: np.ndarray) -> pa.Array:
 
 
 def sketch_documents(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, sid, tokens, sig): size and hash of the set, signatures; sid
-    and signatures are null without a set."""
+    """(doc_id, tkey, n, sid, tokens, sig): hash of the text, size and hash of the
+    set, signatures; sid and signatures are null without a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -108,23 +108,24 @@ def sketch_documents(docs: DataFrame, width: int) -> DataFrame:
                 hashes, at = shingle_sets(data, offsets, width)
                 n = np.diff(at)
                 some = np.flatnonzero(n)
-                ids = b.column(0).slice(lo, hi - lo)
+                ids, keys = b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo)
                 none = np.flatnonzero(n == 0)
                 if len(none):
                     k = len(none)
-                    yield pa.record_batch([ids.take(pa.array(none)), pa.array(np.zeros(k, np.int64)), pa.nulls(k, pa.int64()),
-                                           pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names=names)
+                    yield pa.record_batch([ids.take(pa.array(none)), keys.take(pa.array(none)), pa.array(np.zeros(k, np.int64)), 
+                                           pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names=names)
                 if len(some):
                     first = at[:-1][some]
                     tokens, small = signatures(hashes, np.append(first, len(hashes)))
                     total = np.add.reduceat(mix64(hashes ^ np.uint64(0x5851F42D4C957F2D)), first)
                     sid = mix64(total + n[some].astype(np.uint64)).view(np.int64)
-                    yield pa.record_batch([ids.take(pa.array(some)), pa.array(n[some].astype(np.int64)), pa.array(sid),
+                    yield pa.record_batch([ids.take(pa.array(some)), keys.take(pa.array(some)), pa.array(n[some].astype(np.int64)), pa.array(sid),
                                            _fixed(tokens), _fixed(small)], names=names)
 
-    names = ["doc_id", "n", "sid", "tokens", "sig"]
+    names = ["doc_id", "tkey", "n", "sid", "tokens", "sig"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, sid long, tokens binary, sig binary")
+    rows = docs.select("doc_id", "text", text_key("text").alias("tkey"))
+    return rows.mapInArrow(run, f"doc_id {kind}, tkey long, n long, sid long, tokens binary, sig binary")
 
 
 @contextmanager
@@ -342,12 +343,17 @@ def link_components(docs: DataFrame, sketches: DataFrame, width: int, percent: i
     return labels, links
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, tkey, n_shingles, group) of every row; no group without a set."""
     sketches = stage(sketch_documents(docs, width), "near-sketches")
     labels, _ = link_components(docs, sketches, width, percent)
-    slim = sketches.select("doc_id", F.col("n").alias("n_shingles"), "sid")
-    marked = slim.join(labels, "sid", "left").withColumn("group", F.coalesce("label", "sid"))
+    slim = sketches.select("doc_id", "tkey", F.col("n").alias("n_shingles"), "sid")
+    return slim.join(labels, "sid", "left").withColumn("group", F.coalesce("label", "sid"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
+    marked = _grouped(docs, width, percent)
     first = marked.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
     grouped = marked.where("group is not null").join(first, "group")
     alone = marked.where("group is null").withColumn("component_id", F.col("doc_id"))
@@ -365,13 +371,19 @@ def op3_near_dedup(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group stays, columns as given; rows with a null id
-    stay. Of rows that repeat an id that stays, one of smallest text stays."""
-    rows = near_duplicates(docs, width, percent).where("doc_id is not null")
-    seen = rows.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("times"))
-    marked = stage(seen.where("not kept or times > 1"), "near-gone").select("doc_id", F.col("kept").alias("_near_kept"))
-    joined = null_safe(docs, marked, ["doc_id"], "left").where("_near_kept is null or _near_kept")
+    stay. Texts that share an id are judged on their own; of rows that repeat an id
+    and text one stays."""
+    rows = _grouped(docs, width, percent).where("doc_id is not null").select("group", F.struct("doc_id", "tkey").alias("own"))
+    first = rows.where("group is not null").groupBy("group").agg(F.min("own").alias("first"))
+    rows = (rows.where("group is not null").join(first, "group").select("own", (F.col("own") == F.col("first")).alias("kept"))
+            .unionByName(rows.where("group is null").select("own", F.lit(True).alias("kept"))))
+    seen = rows.groupBy("own").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("times"))
+    marked = stage(seen.where("not kept or times > 1"), "near-gone").select(
+        "own.doc_id", F.col("own.tkey").alias("_near_tkey"), F.col("kept").alias("_near_kept"))
+    keyed = docs.withColumn("_near_tkey", text_key("text"))
+    joined = null_safe(keyed, marked, ["doc_id", "_near_tkey"], "left").where("_near_kept is null or _near_kept")
     alone = joined.where("_near_kept is null").select(*docs.columns)
-    one = Window.partitionBy("doc_id").orderBy(text_key("text"))
+    one = Window.partitionBy("doc_id", "_near_tkey").orderBy("_near_tkey")
     repeated = (joined.where("_near_kept").withColumn("_near_turn", F.row_number().over(one))
                 .where("_near_turn = 1").select(*docs.columns))
     return alone.unionByName(repeated)

@@ -234,6 +234,15 @@ def test_components_of_paths_and_stars(spark):
     assert got == {x: find(x) for x in parent if any(x in p and p[0] != p[1] for p in links)}
 
 
+def test_one_of_each_judges_texts_of_one_id_alone(spark):
+    rng = random.Random(14)
+    a, b, c, d = (_prose(rng, 60) for _ in range(4))
+    rows = [(1, a), (2, b), (2, a), (2, b), (3, c), (3, d), (4, "x"), (4, "y"), (4, "y"), (5, b), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in near_dedup.one_of_each(docs).collect())
+    assert got == Counter([(1, a), (2, b), (3, c), (3, d), (4, "x"), (4, "y"), (None, a)])
+
+
 # ---- repeated passages
 
 
