@@ -24,6 +24,8 @@ SLICE_BYTES = 1 << 20
 
 #: Rows of a join side that are sent to every task at most.
 MAX_BROADCAST_ROWS = 1_000_000
+#: Bytes of a join side of long rows that are sent to every task at most.
+MAX_BROADCAST_BYTES = 32 << 20
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACE_BYTES)] = True
@@ -62,6 +64,13 @@ def small_side(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def light_side(df: DataFrame, cost: Column | int, most: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, each of ``cost`` bytes, come to at
+    most ``most`` bytes together; larger ones are joined by a shuffle."""
+    total = df.agg(F.sum(cost if isinstance(cost, Column) else F.lit(cost)).alias("total")).first()["total"]
+    return F.broadcast(df) if (total or 0) <= most else df
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalising mix of unsigned 64-bit values (wraps)."""
     x = x ^ (x >> np.uint64(30))
@@ -97,9 +106,11 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         lo = hi
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and the words' offsets per row."""
-    space = IS_SPACE[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = IS_SPACE
+               ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and the words' offsets per row.
+    ``separators`` marks the byte values that part words (ASCII only)."""
+    space = separators[data]
     before = np.empty(len(data), bool)
     after = np.empty(len(data), bool)
     if len(data):
