@@ -92,8 +92,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet",
 
 def stage(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """A3: hand a table to the next step through parquet in the shared folder
-    (cuts lineage; survives executor loss)."""
+    (cuts lineage; survives executor loss). The schema is known, so reading it
+    back needs no file, also where a partitioned table has no rows."""
     spark = df.sparkSession
     path = stage_path(spark, name)
     write_table(df, path, "parquet", partition_by)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
