@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlab.llm import bpe, decontamination, fingerprints, language, language_model, line_dedup, mixing, near_dedup, suffix_dedup, topk, toxicity
+from eventlab.llm import (bpe, decontamination, fingerprints, language, language_model, lexical_search, line_dedup, mixing, near_dedup, prefix_trie,
+                          suffix_dedup, topk, toxicity)
 from eventlab.sources.files import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,9 +29,13 @@ QUERIES: dict[str, Query] = {
     "op8_source_mixing": _on("documents", mixing.op8_source_mixing),
     "op9_topk_search": _on("embeddings", topk.op9_topk_search),
     "op10_fingerprints": _on("documents", fingerprints.op10_fingerprints),
+    "op11_lexical_search": lambda spark, sf_dir: lexical_search.op11_lexical_search(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")),
+    "op12_prefix_trie": _on("conversations", prefix_trie.op12_prefix_trie),
     "op13_decontamination": lambda spark, sf_dir: decontamination.op13_decontamination(
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")),
 }
 
 ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.OP2_SQL, "op9_topk_search": topk.OP9_SQL,
-                           "op13_decontamination": decontamination.OP13_SQL}
+                           "op11_lexical_search": lexical_search.OP11_SQL,
+                           "op12_prefix_trie": prefix_trie.OP12_SQL, "op13_decontamination": decontamination.OP13_SQL}
