@@ -1,7 +1,7 @@
 """Ranked lexical search over bit-sliced Bloom signatures.
 
 Index: every document is a Bloom signature of its terms. A term that occurs tf
-times is entered once for each level l with tf >= 2^l, so a signature also bounds
+times is entered once for each of ``LEVELS`` up to tf, so a signature also bounds
 counts from above. ``ROWS`` documents of one signature width form a block; the
 block keeps, for each signature bit, one word whose bits are the documents
 (a slice). The width follows the number of entries, so short and long documents
@@ -14,8 +14,8 @@ Search, for a block of queries:
 2. The AND of a term's slices says which documents of a block may hold it, with
    false positives only. Sums of the slices weighted by the terms' weights, taken
    level by level, and a document's length give an upper bound of its score.
-3. The documents with the highest bounds are scored exactly; a query's k-th best
-   of these scores is a score that its results reach.
+3. The ``FIRST * k`` documents with the highest bounds are scored exactly; a
+   query's k-th best of these scores is a score that its results reach.
 4. Every document whose bound reaches that score is scored exactly on its whole
    text; the others are provably outside the k best.
 
@@ -49,18 +49,22 @@ from eventlab.sources.files import stage
 #: Documents of a block: the bits of one word.
 ROWS = 64
 #: Signature bits for each entry (at least; widths are powers of two), probes of an entry.
-BITS, PROBES = 10, 4
+BITS, PROBES = 16, 8
 #: Logarithms of the narrowest and widest signature.
-NARROW, WIDE = 7, 20
-#: Levels of counts: at least 1, 2, 4, ... times.
-LEVELS = 6
+NARROW, WIDE = 8, 20
+#: Counts from which a term is entered once more.
+LEVELS = (1, 2, 3, 4, 6, 8, 16, 32)
+#: Documents of the highest bounds that are scored first, for each result wanted.
+FIRST = 2
+#: Query terms of asked pairs that are looked up at once.
+LOOKUPS = 1 << 18
 #: Terms of one block of queries.
 BLOCK_TERMS = 200_000
 
 # Bytes that part terms; all non-ASCII bytes belong to terms.
 SEPARATORS = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 
-_LEVEL = np.random.default_rng(11).integers(1, 2**63, LEVELS, dtype=np.uint64)
+_LEVEL = np.random.default_rng(11).integers(1, 2**63, len(LEVELS), dtype=np.uint64)
 
 
 def term_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -112,7 +116,7 @@ def index_documents(docs: DataFrame) -> DataFrame:
             id_type[0] = b.column(0).type
             for lo, hi, data, offsets in text_slices(b.column(1)):
                 n, row, hashes, tf = term_counts(data, offsets)
-                each = [(row[tf >= 1 << lv], _entries(hashes[tf >= 1 << lv], lv)) for lv in range(LEVELS)]
+                each = [(row[tf >= least], _entries(hashes[tf >= least], lv)) for lv, least in enumerate(LEVELS)]
                 rows, entries = np.concatenate([r for r, _ in each]), np.concatenate([e for _, e in each])
                 order = np.argsort(rows, kind="stable")
                 entries, at = entries[order], np.searchsorted(rows[order], np.arange(hi - lo + 1))
@@ -162,13 +166,13 @@ class Queries:
         present = np.full(len(self.distinct), ~np.uint64(0))
         out = np.zeros((len(self.ids), len(sizes)))
         before = np.zeros(len(sizes))
-        for level in range(LEVELS):
+        for level in range(len(LEVELS)):
             some = np.flatnonzero(present)
             if not len(some):
                 break
             bits = _probes(_entries(self.distinct[some], level), width)
             present[some] &= np.bitwise_and.reduce(slices[bits], axis=1)
-            most = np.minimum(sizes, (1 << (level + 1)) - 1 if level + 1 < LEVELS else np.iinfo(np.int64).max).astype(float)
+            most = np.minimum(sizes, LEVELS[level + 1] - 1 if level + 1 < len(LEVELS) else np.iinfo(np.int64).max).astype(float)
             share = 1e9 * most / (1000 * most + 20 * m)
             use = np.flatnonzero(present[self.terms])
             if len(use):
@@ -188,12 +192,16 @@ class Queries:
         value = self.weights[term] * ((1_000_000_000 * tf) // (1000 * tf + 20 * self.length_norm(sizes)[row]))
         key, value = np.append(key, -1), np.append(value, 0)
         count = np.diff(self.starts)[query]
-        pair = np.repeat(np.arange(len(query)), count)
-        term = self.terms[self.starts[query][pair] + np.arange(len(pair)) - (np.cumsum(count) - count)[pair]]
-        asked = doc[pair] * len(self.distinct) + term
-        at = np.minimum(np.searchsorted(key[:-1], asked), len(key) - 1)
-        found = np.where(key[at] == asked, value[at], 0)
-        return np.add.reduceat(found, np.cumsum(count) - count) if len(query) else np.zeros(0, np.int64)
+        upto, out = np.append(0, np.cumsum(count)), np.zeros(len(query), np.int64)
+        lo = 0
+        while lo < len(query):  # so many pairs at once that their terms stay few
+            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + LOOKUPS, "right")) - 1)
+            pair = np.repeat(np.arange(lo, hi), count[lo:hi])
+            asked = doc[pair] * len(self.distinct) + self.terms[self.starts[query[pair]] + np.arange(len(pair)) - (upto[pair] - upto[lo])]
+            at = np.minimum(np.searchsorted(key[:-1], asked), len(key) - 1)
+            out[lo:hi] = np.add.reduceat(np.where(key[at] == asked, value[at], 0), upto[lo:hi] - upto[lo])
+            lo = hi
+        return out
 
 
 def query_terms(items: DataFrame) -> DataFrame:
@@ -317,7 +325,7 @@ def _not_excluded(index: DataFrame, queries: Queries, reached: np.ndarray) -> Da
 
     kind = index.schema["ids"].dataType.elementType.simpleString()
     found = index.mapInArrow(run, f"doc_id {kind}, tkey long, queries array<int>")
-    return found.dropDuplicates(["doc_id", "tkey"])  # repeated rows have equal bounds but for lengths of equal texts
+    return found.dropDuplicates(["doc_id", "tkey"])  # repeated rows have equal signatures and bounds
 
 
 def _exact(docs: DataFrame, asked: DataFrame, queries: Queries, k: int, reached: np.ndarray | None) -> DataFrame:
@@ -361,7 +369,7 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
             break
         queries.weigh(n_docs, n_terms, df)
         index = index_documents(docs) if index is None else index
-        first = stage(_exact(docs, stage(_highest_bounds(index, queries, k), "search-first"), queries, k, None), "search-scores")
+        first = stage(_exact(docs, stage(_highest_bounds(index, queries, FIRST * k), "search-first"), queries, k, None), "search-scores")
         kth = (first.withColumn("_rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc())))
                .where(F.col("_rank") == k).select("query", "score").collect())
         reached = np.zeros(len(queries.ids))

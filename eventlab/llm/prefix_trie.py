@@ -293,10 +293,10 @@ def op12_prefix_trie(conversations: DataFrame) -> DataFrame:
 OP12_SQL = """
 WITH t AS (
   SELECT CAST(conv_id AS BIGINT) AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS at
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
   FROM conversations WHERE conv_id IS NOT NULL
 ), own AS (
-  SELECT c, list({'role': role, 'text': text} ORDER BY at) AS l FROM t GROUP BY c
+  SELECT c, list({'role': role, 'text': text} ORDER BY place) AS l FROM t GROUP BY c
 ), h AS (
   SELECT c, l, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(CAST(c AS VARCHAR)) + 1),
                                  lambda i: CAST(ascii(substr(CAST(c AS VARCHAR), i, 1)) AS BIGINT))),

@@ -169,7 +169,7 @@ def test_bounds_are_never_below_scores():
     df = np.array([np.unique(row[hashes == h]).size for h in queries.distinct])
     queries.weigh(len(texts), int(n.sum()), df)
     for width in (7, 9, 12):  # overfull, full and sparse signatures
-        entries = [np.concatenate([lexical_search._entries(hashes[(row == r) & (tf >= 1 << lv)], lv) for lv in range(lexical_search.LEVELS)])
+        entries = [np.concatenate([lexical_search._entries(hashes[(row == r) & (tf >= least)], lv) for lv, least in enumerate(lexical_search.LEVELS)])
                    for r in range(len(texts))]
         bounds = queries.bounds(width, n, lexical_search.slices_of(entries, width))
         doc, query = (x.ravel() for x in np.meshgrid(np.arange(len(texts)), np.arange(3), indexing="ij"))
