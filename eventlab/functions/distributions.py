@@ -159,8 +159,8 @@ def norm_ppf(p):
     central = (((((a[0] * r + a[1]) * r + a[2]) * r + a[3]) * r + a[4]) * r + a[5]) * qc / \
               (((((b[0] * r + b[1]) * r + b[2]) * r + b[3]) * r + b[4]) * r + 1)
     x = np.where(q < plow, np.where(p < 0.5, tail, -tail), central)
-    for _ in range(2):
-        e = (1.0 - norm_sf(x)) - p
+    for _ in range(2):      # the smaller tail keeps its digits
+        e = np.where(p < 0.5, norm_sf(-x) - p, (1.0 - p) - norm_sf(x))
         x = x - e * math.sqrt(2 * math.pi) * np.exp(x * x / 2.0)
     return np.where((p > 0) & (p < 1), x, np.where(p == 0, -np.inf, np.where(p == 1, np.inf, np.nan)))
 
@@ -223,20 +223,24 @@ def normal_quantile_sql(p: str) -> str:
 
 
 def t_ppf(p, df):
-    """Student t quantile by bracketing bisection then Newton polish."""
+    """Student t quantile: the smaller tail is bracketed, then bisected."""
     p = np.asarray(p, dtype=float)
     df = np.asarray(df, dtype=float)
     p, df = np.broadcast_arrays(p, df)
-    lo = np.full(p.shape, -1e6)
-    hi = np.full(p.shape, 1e6)
+    tail = np.clip(np.minimum(p, 1.0 - p), 1e-300, 0.5)
+    lo, hi = np.zeros(p.shape), np.ones(p.shape)
+    for _ in range(1100):
+        short = t_sf(hi, df) > tail
+        if not short.any():
+            break
+        lo, hi = np.where(short, hi, lo), np.where(short, 2 * hi, hi)
     for _ in range(200):
         mid = 0.5 * (lo + hi)
-        cdf = 1.0 - t_sf(mid, df)
-        lo = np.where(cdf < p, mid, lo)
-        hi = np.where(cdf < p, hi, mid)
-        if np.all(hi - lo < 1e-13 * np.maximum(1.0, np.abs(mid))):
+        more = t_sf(mid, df) > tail
+        lo, hi = np.where(more, mid, lo), np.where(more, hi, mid)
+        if np.all(hi - lo <= 1e-15 * hi):
             break
-    out = 0.5 * (lo + hi)
+    out = np.where(p == 0.5, 0.0, np.sign(p - 0.5) * 0.5 * (lo + hi))
     return np.where((df > 0) & (p > 0) & (p < 1), out, np.nan)
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlab.functions.columns import duration_minutes, floor_time, time_bucket_index
+from eventlab.operators.keys import join_same
 
 
 def _w(keys: Sequence[str], order: Sequence[str]):
@@ -138,7 +139,7 @@ def gap_events(df: DataFrame, keys: Sequence[str], time_col: str, gap_minutes: f
     width = max(1, int(gap_minutes * 60))
     ev = _gap_buckets(df, keys, time_col, gap_minutes).select(*keys, "_gb", F.col("_ev").alias(out))
     return (df.withColumn("_gb", time_bucket_index(time_col, width))
-            .join(ev, [*keys, "_gb"]).drop("_gb"))
+            .transform(join_same, ev, [*keys, "_gb"]).drop("_gb"))
 
 
 def gap_event_summary(df: DataFrame, keys: Sequence[str], time_col: str, gap_minutes: float,
@@ -220,9 +221,7 @@ def total_on_rows(df: DataFrame, keys: Sequence[str], value: str, out: str) -> D
     """Group total repeated on every row (no collapse). The total is a
     partial aggregate joined back, so a hot group is not one task's window; AQE
     splits its rows in the join. NULL keys form a group, as in a window."""
-    total = df.groupBy(*keys).agg(F.sum(value).alias(out)).withColumnsRenamed({k: f"_k_{k}" for k in keys})
-    same = [df[k].eqNullSafe(total[f"_k_{k}"]) for k in keys]
-    return df.join(total, same).drop(*[f"_k_{k}" for k in keys])
+    return join_same(df, df.groupBy(*keys).agg(F.sum(value).alias(out)), keys)
 
 
 def regular_grid(df: DataFrame, keys: Sequence[str], time_col: str,
@@ -269,7 +268,7 @@ def regular_grid(df: DataFrame, keys: Sequence[str], time_col: str,
         firsts = firsts.withColumn("_next_chunk", F.lead("_first").over(
             Window.partitionBy(*keys).orderBy("_chunk"))).drop("_first")
         nxt = (binned.withColumn("_next", F.lead(out_time).over(w))
-               .join(firsts, [*keys, "_chunk"])
+               .transform(join_same, firsts, [*keys, "_chunk"])
                .withColumn("_next", F.coalesce("_next", "_next_chunk"))
                .drop("_chunk", "_next_chunk"))
     last = F.coalesce(F.timestamp_add("SECOND", F.lit(-step_seconds), F.col("_next")),
@@ -342,12 +341,12 @@ def segment_events_chunked(df: DataFrame, keys: Sequence[str], order: Sequence[s
                                               F.col("w_last_len").alias("_len")))
     totals = pieces.groupBy(*keys, "_gid").agg(F.sum("_len").alias("_total"))
     st = (st.withColumn("_hg", head).withColumn("_tg", tail)
-          .join(totals.select(*keys, F.col("_gid").alias("_hg"), F.col("_total").alias("_head_total")),
-                [*keys, "_hg"], "left")
-          .join(totals.select(*keys, F.col("_gid").alias("_tg"), F.col("_total").alias("_tail_total")),
-                [*keys, "_tg"], "left")
+          .transform(join_same, totals.select(*keys, F.col("_gid").alias("_hg"), F.col("_total").alias("_head_total")),
+                     [*keys, "_hg"], "left")
+          .transform(join_same, totals.select(*keys, F.col("_gid").alias("_tg"), F.col("_total").alias("_tail_total")),
+                     [*keys, "_tg"], "left")
           .select(*keys, "_chunk", "w_offset", "w_nruns", "_head_total", "_tail_total"))
-    rows = loc.join(st, [*keys, "_chunk"])
+    rows = join_same(loc, st, [*keys, "_chunk"])
     runlen = (F.when(F.col("w_run") == 1, F.col("_head_total"))
               .when(F.col("w_run") == F.col("w_nruns"), F.col("_tail_total"))
               .otherwise(F.col("w_len")))
@@ -360,7 +359,7 @@ def segment_events_chunked(df: DataFrame, keys: Sequence[str], order: Sequence[s
     rows = rows.withColumn(flag_out, flag).select(*df.columns, "_chunk", flag_out)
     floc, fsumm = _chunk_runs(rows, keys, order, flag_out, "f_")
     fst = _stitch(fsumm, keys, "f_").select(*keys, "_chunk", "f_runs_before", "f_cont")
-    out = floc.join(fst, [*keys, "_chunk"]).withColumn(
+    out = join_same(floc, fst, [*keys, "_chunk"]).withColumn(
         id_out, (F.col("f_runs_before") + F.col("f_run") - F.col("f_cont")).cast("long"))
     return out.select(*df.columns, flag_out, id_out)
 

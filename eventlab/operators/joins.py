@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlab.functions.columns import time_bucket_index
+from eventlab.operators.keys import join_same
+from eventlab.sources.files import stage
 
 DAY = 86_400
 
@@ -72,7 +74,6 @@ def overlap_summary(a: DataFrame, b: DataFrame, keys: Sequence[str], a_id: Seque
     ``a`` is used twice; with ``materialize`` it is staged once in the
     shared folder (for an ``a`` that is expensive to recompute)."""
     if materialize:
-        from eventlab.sources.files import stage
         a = stage(a, "overlap-left")
     pairs = overlap_join(a.select(*keys, *a_id, a_start, a_end), b, keys,
                          a_start, a_end, b_start, b_end, bucket_seconds)
@@ -89,37 +90,38 @@ def overlap_totals(a: DataFrame, b: DataFrame, keys: Sequence[str], a_start: str
     An interval that doesn't overlap either starts after the end or ends before
     the start, so every total is a difference of two running totals: those of
     the starts up to ``a_end`` and of the ends before ``a_start``. Running totals
-    are taken per (keys, time bucket), plus the totals of the buckets before."""
+    are taken per (keys, time bucket), plus the totals of the buckets before. Each
+    input is read once, an interval giving a row for each of its ends; these rows
+    are staged, as the buckets and the running totals both need them."""
     names = list(sums)
+    n = len(names) + 1
     zero = [F.lit(0).cast("long"), *[F.lit(0.0)] * len(names)]
-    one = [F.lit(1).cast("long"), *[F.coalesce(F.col(sums[n]).cast("double"), F.lit(0.0)) for n in names]]
+    one = [F.lit(1).cast("long"), *[F.coalesce(F.col(sums[c]).cast("double"), F.lit(0.0)) for c in names]]
 
-    def steps(t: str, order: int, into: str) -> DataFrame:
-        up = {"s": one if into == "s" else zero, "e": one if into == "e" else zero}
-        return b.select(*keys, F.col(t).alias("_t"), F.lit(order).alias("_o"), F.lit(None).cast("string").alias("_which"),
-                        *[c.alias(f"_{k}{i}") for k in "se" for i, c in enumerate(up[k])],
-                        *[F.lit(None).cast(a.schema[c].dataType).alias(f"_a_{c}") for c in a.columns])
-
-    def lookups(t: str) -> DataFrame:
-        return a.select(*keys, F.col(t).alias("_t"), F.lit(1).alias("_o"), F.lit(t).alias("_which"),
-                        *[c.alias(f"_{k}{i}") for k in "se" for i, c in enumerate(zero)],
-                        *[F.col(c).alias(f"_a_{c}") for c in a.columns])
+    def mark(t: str, order: int, which: str | None, starts: Sequence[Column], ends: Sequence[Column]) -> Column:
+        return F.struct(F.col(t).alias("_t"), F.lit(order).alias("_o"), F.lit(which).cast("string").alias("_which"),
+                        *[c.alias(f"_{k}{i}") for k, cells in (("s", starts), ("e", ends)) for i, c in enumerate(cells)])
 
     # at equal times: starts count for an interval's end, ends don't for its start
-    rows = (steps(b_start, 0, "s").unionByName(lookups(a_end)).unionByName(lookups(a_start))
-            .unionByName(steps(b_end, 2, "e")).withColumn("_b", time_bucket_index("_t", bucket_seconds)))
-    cells = [f"_{k}{i}" for k in "se" for i in range(len(one))]
+    steps = b.select(*keys, F.explode(F.array(mark(b_start, 0, None, one, zero), mark(b_end, 2, None, zero, one))).alias("_m"))
+    asked = a.withColumn("_id", F.monotonically_increasing_id()).select(
+        *keys, F.explode(F.array(mark(a_end, 1, "end", zero, zero), mark(a_start, 1, "start", zero, zero))).alias("_m"),
+        "_id", *[F.col(c).alias(f"_a_{c}") for c in a.columns])
+    rows = steps.unionByName(asked, allowMissingColumns=True)
+    rows = stage(rows.select(*keys, "_m.*", *asked.columns[len(keys) + 1:]).withColumn("_b", time_bucket_index("_t", bucket_seconds)),
+                 "overlap-marks")
+    cells = [f"_{k}{i}" for k in "se" for i in range(n)]
     per = rows.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_p{c}") for c in cells])
     earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(*keys, "_b", *[F.coalesce(F.sum(f"_p{c}").over(earlier), F.lit(0)).alias(f"_p{c}") for c in cells])
     inside = Window.partitionBy(*keys, "_b").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    run = (rows.join(per, [*keys, "_b"]).withColumns({f"_r{c}": F.sum(c).over(inside) + F.col(f"_p{c}") for c in cells})
+    run = (join_same(rows, per, [*keys, "_b"]).withColumns({f"_r{c}": F.sum(c).over(inside) + F.col(f"_p{c}") for c in cells})
            .where(F.col("_which").isNotNull()))
 
     def total(i: int) -> Column:
-        at_end = F.max(F.when(F.col("_which") == a_end, F.col(f"_r_s{i}")))
-        return at_end - F.max(F.when(F.col("_which") == a_start, F.col(f"_r_e{i}")))
+        at_end = F.max(F.when(F.col("_which") == "end", F.col(f"_r_s{i}")))
+        return at_end - F.max(F.when(F.col("_which") == "start", F.col(f"_r_e{i}")))
 
-    own = [F.col(f"_a_{c}").alias(c) for c in a.columns]
-    out = run.groupBy(*own).agg(total(0).alias(count_out), *[total(i + 1).alias(n) for i, n in enumerate(names)])
-    return out.withColumns({n: F.when(F.col(count_out) > 0, F.col(n)) for n in names})
+    own = [F.first(f"_a_{c}").alias(c) for c in a.columns]
+    out = run.groupBy("_id").agg(*own, total(0).alias(count_out), *[total(i + 1).alias(c) for i, c in enumerate(names)]).drop("_id")
+    return out.withColumns({c: F.when(F.col(count_out) > 0, F.col(c)) for c in names})

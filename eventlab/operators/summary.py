@@ -83,11 +83,19 @@ def cell_counts(df: DataFrame, by: Sequence[str], out: str = "n") -> DataFrame:
 def subset_summary(df: DataFrame, subsets: Mapping[str, Column], by: Sequence[str],
                    value: str, label: str = "subset") -> DataFrame:
     """the same summary for several (possibly overlapping) subsets in one
-    scan: each row carries the labels of the subsets it belongs to."""
-    labels = F.filter(F.array(*[F.when(cond, F.lit(name)) for name, cond in subsets.items()]),
-                      lambda x: x.isNotNull())
-    tagged = df.withColumn(label, F.explode(labels))
-    return mean_ci(tagged, [label, *by], value)
+    scan. Every subset has its own conditional aggregates, so a row is counted
+    where it stands, never copied; the cells are unpivoted to a row for each
+    subset that has rows."""
+    x = F.col(value)
+
+    def cell(cond: Column) -> Column:
+        mine = F.when(cond, x)
+        return F.struct(F.count_if(cond).alias("rows"), F.count(mine).alias("n"), F.avg(mine).alias("mean"),
+                        F.stddev_samp(mine).alias("sd"))
+
+    wide = df.groupBy(*by).agg(*[cell(cond).alias(name) for name, cond in subsets.items()])
+    tall = wide.unpivot(list(by), list(subsets), label, "_cell").where("_cell.rows > 0")
+    return with_t_interval(tall.select(label, *by, "_cell.n", "_cell.mean", "_cell.sd"))
 
 
 def paired_t_test(df: DataFrame, by: Sequence[str], a: str, b: str,

@@ -31,6 +31,7 @@ from eventlab.operators.events import (
 )
 from eventlab.operators.filters import above, apply_overrides, keep_first
 from eventlab.operators.joins import interval_join, overlap_totals
+from eventlab.operators.runs import occupied_steps, run_events, run_table
 from eventlab.operators.summary import mean_ci
 from eventlab.plans.registry import register, with_ctes
 from eventlab.sources.files import stage
@@ -44,6 +45,7 @@ from eventlab.plans.shapes import (
     samples,
     segment_sql,
     series_grid,
+    series_steps,
     sql_grid,
 )
 from eventlab.functions.columns import time_bucket_index
@@ -84,28 +86,25 @@ def rain_grid(spark, sf_dir, grid: DataFrame | None = None) -> DataFrame:
     return g.select(*SERIES_KEYS, "date_time", "rain")
 
 
-def flow_grid(spark, sf_dir, grid: DataFrame | None = None) -> DataFrame:
-    g = grid if grid is not None else series_grid(spark, sf_dir, exclusions=EXCLUSIONS)
-    return g.select(*SERIES_KEYS, "date_time", "flow")
+def event_steps(spark, sf_dir, steps: DataFrame | None = None, exclusions=EXCLUSIONS) -> DataFrame:
+    return steps if steps is not None else series_steps(spark, sf_dir, exclusions=exclusions)
 
 
 def shared_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Grid and samples staged once in the shared folder for queries that
-    use both the rain and the runoff branch: the raw table is scanned once
+    """Occupied steps and samples staged once in the shared folder for queries
+    that use both the rain and the runoff branch: the raw table is scanned once
     per input instead of once per branch (column pruning makes the branches
     differ, so Spark could not reuse their exchanges)."""
-    grid = stage(series_grid(spark, sf_dir, exclusions=EXCLUSIONS), "grid")
-    smp = stage(samples(spark, sf_dir), "samples")
-    return grid, smp
+    return stage(event_steps(spark, sf_dir), "steps"), stage(samples(spark, sf_dir), "samples")
 
 
 def rain_events_df(spark: SparkSession, sf_dir: str, gap: int = RAIN_GAP_STEPS,
-                   grid: DataFrame | None = None) -> DataFrame:
-    """Rain events: segmentation (E5), summary (E6), exclusion list (C2, on
+                   steps: DataFrame | None = None, exclusions=EXCLUSIONS) -> DataFrame:
+    """Rain events: run table (E5), summary (E6), exclusion list (C2, on
     partition keys, so applied before the windows), minimum depth (C4),
     numbering per site-period (E7), units and rate (B6, B7)."""
-    flags = segment_events(rain_grid(spark, sf_dir, grid), SERIES_KEYS, ["date_time"], "rain", gap)
-    ev = summarize_events(flags, SERIES_KEYS, "rain", "date_time", "precipitation", "rain_time")
+    runs = run_table(event_steps(spark, sf_dir, steps, exclusions), SERIES_KEYS, "rain", GRID_SECONDS, gap, events_only=True)
+    ev = run_events(runs, SERIES_KEYS, GRID_SECONDS, "precipitation", "rain_time")
     ev = above(ev, "precipitation", RAIN_MIN_DEPTH)
     ev = number_events(ev, ["SiteID", "Year"], ["eventStart", "eventEnd", "Treatment"], "rf_event")
     return ev.select(
@@ -116,9 +115,9 @@ def rain_events_df(spark: SparkSession, sf_dir: str, gap: int = RAIN_GAP_STEPS,
         "eventStart", "eventEnd")
 
 
-def rain_ctes(gap: int = RAIN_GAP_STEPS) -> list[str]:
+def rain_ctes(gap: int = RAIN_GAP_STEPS, exclusions: str = EXCLUSIONS_SQL) -> list[str]:
     return [SQL_GRID,
-            f"src AS (SELECT SiteID, Treatment, Year, date_time, rain FROM grid WHERE {EXCLUSIONS_SQL})",
+            f"src AS (SELECT SiteID, Treatment, Year, date_time, rain FROM grid WHERE {exclusions})",
             segment_sql("src", KEYS_SQL, "date_time", "rain", gap, "g"),
             "rev AS (SELECT SiteID, Treatment, Year, eventid, sum(rain) AS precipitation, "
             "min(date_time) AS eventStart, max(date_time) AS eventEnd "
@@ -135,10 +134,10 @@ def rain_ctes(gap: int = RAIN_GAP_STEPS) -> list[str]:
 
 
 def runoff_events_df(spark: SparkSession, sf_dir: str, gap: int = FLOW_GAP_STEPS,
-                     grid: DataFrame | None = None) -> DataFrame:
+                     steps: DataFrame | None = None) -> DataFrame:
     """Runoff events per series (E5 on flow, K = 8 steps), with duration."""
-    flags = segment_events(flow_grid(spark, sf_dir, grid), SERIES_KEYS, ["date_time"], "flow", gap)
-    ev = summarize_events(flags, SERIES_KEYS, "flow", "date_time", "flow", "flow_time")
+    runs = run_table(event_steps(spark, sf_dir, steps), SERIES_KEYS, "flow", GRID_SECONDS, gap, events_only=True)
+    ev = run_events(runs, SERIES_KEYS, GRID_SECONDS, "flow", "flow_time")
     return ev.select("Year", "SiteID", "Treatment", F.col("eventid").alias("ro_event"),
                      "flow", "flow_time", "eventStart", "eventEnd")
 
@@ -155,14 +154,14 @@ def runoff_ctes(gap: int = FLOW_GAP_STEPS) -> list[str]:
             f"FROM fev)"]
 
 
-def rain_samples_df(spark, sf_dir, grid: DataFrame | None = None,
+def rain_samples_df(spark, sf_dir, steps: DataFrame | None = None,
                     smp: DataFrame | None = None) -> DataFrame:
     """D4 + D2: samples inside rain events (same site and treatment, sample
     step within [start, end]). Each (event, sample) pair is emitted once by
     the interval join, so the reference's ``distinct`` is not needed."""
     smp = (smp if smp is not None else samples(spark, sf_dir)).select(
         "SiteID", "Treatment", "sampleID", "step_time")
-    j = interval_join(smp, rain_events_df(spark, sf_dir, grid=grid), ["SiteID", "Treatment"],
+    j = interval_join(smp, rain_events_df(spark, sf_dir, steps=steps), ["SiteID", "Treatment"],
                       "step_time", "eventStart", "eventEnd")
     return j.select("Year", "SiteID", "Treatment", "rf_event", "sampleID",
                     "rain_mm", "rain_hr", "rf_rate")
@@ -174,14 +173,14 @@ RAIN_SAMPLES_CTE = """rain_samples AS (
    AND s.step_time BETWEEN r.eventStart AND r.eventEnd)"""
 
 
-def runoff_samples_df(spark, sf_dir, grid: DataFrame | None = None,
+def runoff_samples_df(spark, sf_dir, steps: DataFrame | None = None,
                       smp: DataFrame | None = None) -> DataFrame:
     """D4 + F7 + C5: load per (runoff event, sample), then per sample the
     roll-up over its events (tss_sum, flow_sum, flow_min, ro_count), above
     the detection limit."""
     smp = (smp if smp is not None else samples(spark, sf_dir)).select(
         "SiteID", "Treatment", "sampleID", "step_time", "tss_kg_ha")
-    j = interval_join(smp, runoff_events_df(spark, sf_dir, grid=grid), ["SiteID", "Treatment"],
+    j = interval_join(smp, runoff_events_df(spark, sf_dir, steps=steps), ["SiteID", "Treatment"],
                       "step_time", "eventStart", "eventEnd")
     per_event = (j.groupBy("Year", "SiteID", "Treatment", "sampleID", "ro_event", "flow", "flow_time")
                  .agg(F.sum("tss_kg_ha").alias("tss_sum")))
@@ -206,9 +205,9 @@ RUNOFF_SAMPLES_CTES = [
 def rain_runoff_samples_df(spark, sf_dir) -> DataFrame:
     """Runoff totals per sample joined to every rain event of the sample
     (1:n), on (SiteID, sampleID); Year and Treatment from the runoff side."""
-    grid, smp = shared_inputs(spark, sf_dir)
-    ro = runoff_samples_df(spark, sf_dir, grid, smp)
-    rf = rain_samples_df(spark, sf_dir, grid, smp).select("SiteID", "sampleID", "rf_event",
+    steps, smp = shared_inputs(spark, sf_dir)
+    ro = runoff_samples_df(spark, sf_dir, steps, smp)
+    rf = rain_samples_df(spark, sf_dir, steps, smp).select("SiteID", "sampleID", "rf_event",
                                                           "rain_mm", "rain_hr", "rf_rate")
     return (ro.join(rf, ["SiteID", "sampleID"], "inner")
             .select("SiteID", "Year", "Treatment", "sampleID", "tss_sum", "ro_count", "flow_sum",
@@ -229,7 +228,7 @@ ALL_EVENT_CTES = rain_ctes() + runoff_ctes() + [SQL_SAMPLES, RAIN_SAMPLES_CTE,
 @register("events_flagship", with_ctes(rain_ctes() + ci_sql("rain_events", "Treatment", "rf_rate"),
                                        CI_SELECT.format(by="Treatment")))
 def q_events_flagship(spark, sf_dir):
-    """Flagship: grid (E15) -> segmentation (E5) -> event summary (E6) ->
+    """Flagship: occupied steps (E15) -> run table (E5) -> event summary (E6) ->
     rate (B7) -> t-interval of the rain rate per treatment (F4)."""
     return mean_ci(rain_events_df(spark, sf_dir), ["Treatment"], "rf_rate")
 
@@ -403,13 +402,13 @@ def q_missing_rain_flags(spark, sf_dir):
     return flags.select(*SERIES_KEYS, "date_time", "rain", F.col("eventflag").cast("string").alias("eventflag"), "eventid")
 
 
-@register("rain_event_steps", with_ctes(rain_ctes(), """SELECT Year, SiteID, Treatment, rf_event,
+@register("rain_event_steps", with_ctes(rain_ctes(exclusions="true"), """SELECT Year, SiteID, Treatment, rf_event,
   unnest(generate_series(eventStart, eventEnd, INTERVAL '15 minutes')) AS date_time
   FROM rain_events"""))
 def q_rain_event_steps(spark, sf_dir):
     """Every rain event expanded to its grid steps (``seq(by=...)``)."""
-    ev = rain_events_df(spark, sf_dir).select("Year", "SiteID", "Treatment", "rf_event",
-                                              "eventStart", "eventEnd")
+    ev = rain_events_df(spark, sf_dir, exclusions=None).select("Year", "SiteID", "Treatment", "rf_event",
+                                                               "eventStart", "eventEnd")
     return expand_grid(ev, "eventStart", "eventEnd", GRID_SECONDS).drop("eventStart", "eventEnd")
 
 
@@ -449,7 +448,7 @@ def q_rain_event_rows(spark, sf_dir):
         *SERIES_KEYS, "eventid", "date_time", "rain", "event_rain")
 
 
-@register("sample_rain_overlap", with_ctes(rain_ctes() + [
+@register("sample_rain_overlap", with_ctes(rain_ctes(exclusions="true") + [
     f"sw0 AS ({SQL_KEYED} WHERE event_type = 'error')",
     """sw AS (SELECT SiteID, Treatment, Year AS sYear, CAST(user_id AS VARCHAR) AS sampleID,
          min(ts) AS sampStart, max(ts) AS sampEnd FROM sw0 GROUP BY SiteID, Treatment, Year, user_id)"""],
@@ -465,8 +464,8 @@ def q_sample_rain_overlap(spark, sf_dir):
     win = (ev.groupBy("SiteID", "Treatment", F.col("Year").alias("sYear"),
                       F.col("user_id").cast("string").alias("sampleID"))
            .agg(F.min("ts").alias("sampStart"), F.max("ts").alias("sampEnd")))
-    rain = rain_events_df(spark, sf_dir).select("SiteID", "Treatment", "rain_mm", "rain_hr",
-                                                "eventStart", "eventEnd")
+    rain = rain_events_df(spark, sf_dir, exclusions=None).select("SiteID", "Treatment", "rain_mm", "rain_hr",
+                                                                 "eventStart", "eventEnd")
     return overlap_totals(win, rain, ["SiteID", "Treatment"], "sampStart", "sampEnd", "eventStart", "eventEnd",
                           {"rf_sum": "rain_mm", "rf_time": "rain_hr"}, "num_rf")
 
@@ -495,15 +494,58 @@ DAY_SECONDS = 86_400
   FROM m6 WHERE eventflag = 1 GROUP BY ALL"""))
 def q_rain_events_long(spark, sf_dir):
     """E5 + E6 + E15 on series WITHOUT a period reset (the whole span per
-    site and treatment): grid and segmentation both run per (series, day)
-    chunk and are stitched exactly, so no task holds a whole series."""
-    grid = series_grid(spark, sf_dir, keys=("SiteID", "Treatment"),
-                       chunk_seconds=DAY_SECONDS)
-    flags = segment_events_chunked(grid.select("SiteID", "Treatment", "date_time", "rain"),
-                                   ["SiteID", "Treatment"], ["date_time"], "rain", RAIN_GAP_STEPS,
-                                   time_bucket_index("date_time", DAY_SECONDS))
-    return summarize_events(flags, ["SiteID", "Treatment"], "rain", "date_time", "precipitation",
-                            "rain_time")
+    site and treatment): the run table's windows hold a day of a series, and
+    what crosses midnight is carried from day to day."""
+    keys = ["SiteID", "Treatment"]
+    steps = series_steps(spark, sf_dir, keys=keys)
+    runs = run_table(steps, keys, "rain", GRID_SECONDS, RAIN_GAP_STEPS, chunk_steps=DAY_SECONDS // GRID_SECONDS, events_only=True)
+    return run_events(runs, keys, GRID_SECONDS, "precipitation", "rain_time")
+
+
+@register("rain_flags_long", with_ctes(
+    [sql_grid("SiteID, Treatment", "lgrid", "l_"),
+     "lsrc AS (SELECT SiteID, Treatment, date_time, rain FROM lgrid)",
+     segment_sql("lsrc", "SiteID, Treatment", "date_time", "rain", RAIN_GAP_STEPS, "m")],
+    "SELECT SiteID, Treatment, date_time, rain, eventflag, eventid FROM m6"))
+def q_rain_flags_long(spark, sf_dir):
+    """E5, row form, on series without a period reset: grid and segmentation run
+    per (series, day) chunk and are stitched, so no task holds a whole series."""
+    keys = ["SiteID", "Treatment"]
+    grid = series_grid(spark, sf_dir, keys=keys, chunk_seconds=DAY_SECONDS).select(*keys, "date_time", "rain")
+    return segment_events_chunked(grid, keys, ["date_time"], "rain", RAIN_GAP_STEPS, time_bucket_index("date_time", DAY_SECONDS))
+
+
+@register("missing_rain_runs", with_ctes([MISSING_SQL, segment_sql("mg", "SiteID, Treatment, Year", "date_time", "rain", 4)],
+    """SELECT SiteID, Treatment, Year, eventid, CAST(eventflag AS VARCHAR) AS eventflag, min(date_time) AS run_start,
+  count(*) AS n_steps, sum(rain) AS total FROM g6 GROUP BY ALL"""))
+def q_missing_rain_runs(spark, sf_dir):
+    """E5 + E15 as a run table: every run of the event flag, dry, wet and missing."""
+    ev = keyed_events(spark, sf_dir, RAIN_TYPES)
+    reading = F.when(F.col("event_id") % 40 != 0, F.col("value"))
+    steps = occupied_steps(ev, SERIES_KEYS, "ts", {"rain": reading}, GRID_SECONDS, {"rain": reading.isNull()})
+    runs = run_table(steps, SERIES_KEYS, "rain", GRID_SECONDS, 4)
+    return runs.select(*SERIES_KEYS, "eventid", F.col("eventflag").cast("string").alias("eventflag"), "run_start", "n_steps", "total")
+
+
+KEYLESS = "SELECT * REPLACE (CASE WHEN SiteID <> 'S3' THEN SiteID END AS SiteID)"
+
+
+def keyless(ev: DataFrame) -> DataFrame:
+    """The same rows where one site is not known (NULL)."""
+    return ev.withColumn("SiteID", F.nullif("SiteID", F.lit("S3")))
+
+
+@register("unknown_site_gap_rows", with_ctes([f"ge0 AS ({KEYLESS} FROM ({SQL_KEYED}) k WHERE event_type IN ('click','view'))",
+    """ge1 AS (SELECT *, lag(ts) OVER (PARTITION BY SiteID, Treatment, Year ORDER BY ts, event_id)
+        AS prev FROM ge0)""",
+    f"""ge2 AS (SELECT *, CAST(sum(CASE WHEN date_diff('microsecond', prev, ts) / 60000000.0 >
+        {GAP_MINUTES} THEN 1 ELSE 0 END) OVER (PARTITION BY SiteID, Treatment, Year
+        ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS event FROM ge1)"""],
+    "SELECT SiteID, Treatment, Year, event_id, ts, event FROM ge2"))
+def q_unknown_site_gap_rows(spark, sf_dir):
+    """E8, row form, where a key is NULL: its rows are a series like any other."""
+    ev = keyless(keyed_events(spark, sf_dir, RAIN_TYPES)).select(*SERIES_KEYS, "event_id", "ts")
+    return gap_events(ev, SERIES_KEYS, "ts", GAP_MINUTES, "event").select(*SERIES_KEYS, "event_id", "ts", "event")
 
 
 @register("grid_window_primitives", with_ctes([SQL_GRID], """SELECT SiteID, Treatment, Year, date_time, rain,

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from eventlab.functions.columns import LB_AC_TO_KG_HA, floor_time
 from eventlab.operators.events import regular_grid
+from eventlab.operators.filters import exclude
+from eventlab.operators.runs import occupied_steps
 from eventlab.sources.files import read_table
 
 GRID_SECONDS = 900
@@ -52,7 +54,6 @@ def series_grid(spark: SparkSession, sf_dir: str, step: int = GRID_SECONDS,
     (map-side broadcast anti join, before any shuffle)."""
     ev = keyed_events(spark, sf_dir, RAIN_TYPES + FLOW_TYPES)
     if exclusions:
-        from eventlab.operators.filters import exclude
         ev = exclude(ev, exclusions, ["SiteID", "Year"])
     values = {
         "rain": F.when(F.col("event_type").isin(*RAIN_TYPES), F.col("value")),
@@ -61,6 +62,19 @@ def series_grid(spark: SparkSession, sf_dir: str, step: int = GRID_SECONDS,
     return regular_grid(ev, list(keys), "ts", values, step, chunk_seconds=chunk_seconds)
 
 
+def series_steps(spark: SparkSession, sf_dir: str, step: int = GRID_SECONDS, exclusions=None,
+                 keys=("SiteID", "Treatment", "Year")) -> DataFrame:
+    """Occupied steps of the rain/flow series: sums per step, no zero fill."""
+    ev = keyed_events(spark, sf_dir, RAIN_TYPES + FLOW_TYPES)
+    if exclusions:
+        ev = exclude(ev, exclusions, ["SiteID", "Year"])
+    values = {
+        "rain": F.when(F.col("event_type").isin(*RAIN_TYPES), F.col("value")),
+        "flow": F.when(F.col("event_type").isin(*FLOW_TYPES), F.col("value")),
+    }
+    return occupied_steps(ev, list(keys), "ts", values, step)
+
+
 def samples(spark: SparkSession, sf_dir: str, step: int = GRID_SECONDS) -> DataFrame:
     """Water samples: one row per error event, with its grid step."""
     ev = keyed_events(spark, sf_dir, (SAMPLE_TYPE,))

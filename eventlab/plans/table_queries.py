@@ -38,6 +38,7 @@ from eventlab.operators.reshape import (
     append_rows,
     box_stats,
     complete_cells,
+    levels_of,
     pivot_longer,
     pivot_wider,
     sort_by,
@@ -423,7 +424,6 @@ def q_complete_cells(spark, sf_dir):
     aggregate gives the levels (bounded factor lists) and the counts."""
     cells = stage(model_table(spark, sf_dir).groupBy("Year", "crop").agg(
         F.count_if((F.col("qty") >= 49.5) & (F.col("discount") >= 0.09)).alias("n")), "year-crop")
-    from eventlab.operators.reshape import levels_of
     return complete_cells(cells.where("n > 0"), {"Year": levels_of(cells, "Year"), "crop": levels_of(cells, "crop")},
                           fill={"n": 0})
 
@@ -441,3 +441,36 @@ def q_complete_cells(spark, sf_dir):
 def q_box_stats(spark, sf_dir):
     """Boxplot summary of price per return flag."""
     return box_stats(model_table(spark, sf_dir), ["Treatment"], "price")
+
+
+@register("unknown_flag_box_stats", with_ctes([SQL_MODEL,
+    "nm AS (SELECT nullif(Treatment, 'N') AS Treatment, -price AS price FROM model)",
+    """q AS (SELECT Treatment, count(price) AS n, min(price) AS min, max(price) AS max,
+        quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.5) AS median,
+        quantile_cont(price, 0.75) AS q3 FROM nm GROUP BY Treatment)""",
+    "q2 AS (SELECT *, q3 - q1 AS iqr FROM q)"],
+    """SELECT q2.Treatment, n, min, max, q1, median, q3, iqr,
+  min(price) FILTER (WHERE price >= q1 - 1.5 * iqr) AS lower_whisker,
+  max(price) FILTER (WHERE price <= q3 + 1.5 * iqr) AS upper_whisker,
+  count(price) FILTER (WHERE price < q1 - 1.5 * iqr OR price > q3 + 1.5 * iqr) AS n_outliers
+  FROM q2 JOIN nm ON nm.Treatment IS NOT DISTINCT FROM q2.Treatment GROUP BY ALL"""))
+def q_unknown_flag_box_stats(spark, sf_dir):
+    """G7 where a flag is not known: NULL is a group; values below zero."""
+    m = model_table(spark, sf_dir).select(F.nullif("Treatment", F.lit("N")).alias("Treatment"), (-F.col("price")).alias("price"))
+    return box_stats(m, ["Treatment"], "price")
+
+
+@register("unknown_crop_cells", with_ctes([SQL_MODEL,
+    "nm AS (SELECT Year, nullif(crop, '5-LOW') AS crop, qty, discount FROM model)",
+    "big AS (SELECT Year, crop, count(*) AS n FROM nm WHERE qty >= 49.5 AND discount >= 0.09 GROUP BY ALL)",
+    "ys AS (SELECT DISTINCT Year FROM nm)",
+    "cs AS (SELECT DISTINCT crop FROM nm)"],
+    """SELECT ys.Year, cs.crop, coalesce(big.n, 0) AS n FROM ys, cs
+  LEFT JOIN big ON big.Year = ys.Year AND big.crop IS NOT DISTINCT FROM cs.crop"""))
+def q_unknown_crop_cells(spark, sf_dir):
+    """G5 where a level is not known: NULL is a level and keeps its count."""
+    m = model_table(spark, sf_dir).withColumn("crop", F.nullif("crop", F.lit("5-LOW")))
+    cells = stage(m.groupBy("Year", "crop").agg(
+        F.count_if((F.col("qty") >= 49.5) & (F.col("discount") >= 0.09)).alias("n")), "year-crop")
+    return complete_cells(cells.where("n > 0"), {"Year": levels_of(cells, "Year"), "crop": levels_of(cells, "crop")},
+                          fill={"n": 0})
