@@ -273,3 +273,28 @@ def f_sf(f, d1, d2):
     f, d1, d2 = (np.asarray(v, dtype=float) for v in (f, d1, d2))
     x = d2 / (d2 + d1 * f)
     return np.where(f > 0, betainc_reg(d2 / 2.0, d1 / 2.0, x), 1.0)
+
+
+def studentized_range_sf(q, k: int, df: float = math.inf) -> np.ndarray:
+    """P(Q > q) for the studentized range of ``k`` means with ``df`` degrees of
+    freedom of the error (infinite: known variance), by Gauss-Legendre sums."""
+    q = np.atleast_1d(np.asarray(q, dtype=float))
+    x, w = np.polynomial.legendre.leggauss(200)
+    z, wz = 8.5 * x, 8.5 * w                       # the largest mean's place
+    density = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    cdf = 1.0 - norm_sf(z)
+
+    def known(width):
+        """P(range <= width) of k standard normal values."""
+        inside = np.clip(cdf - (1.0 - norm_sf(z - width[:, None])), 0.0, 1.0)
+        return (k * density * inside ** (k - 1) * wz).sum(1)
+
+    if math.isinf(df):
+        return np.clip(1.0 - known(q), 0.0, 1.0)
+    # the error's standard deviation relative to the true one: chi / sqrt(df)
+    x, w = np.polynomial.legendre.leggauss(120)
+    spread = 8.0 / math.sqrt(2 * df)
+    lo, hi = max(1e-8, 1 - spread), 1 + spread + 8.0 / df
+    s, ws = (hi - lo) / 2 * x + (hi + lo) / 2, (hi - lo) / 2 * w
+    log_f = df / 2 * math.log(df) - math.lgamma(df / 2) - (df / 2 - 1) * math.log(2) + (df - 1) * np.log(s) - df * s * s / 2
+    return np.clip(1.0 - np.array([(np.exp(log_f) * ws * known(v * s)).sum() for v in q]), 0.0, 1.0)

@@ -57,7 +57,8 @@ def monomial_of(design: Design, col: str | None) -> tuple[str, ...]:
     return tuple(sorted(v for v, lvl in design.column_parts[col] if lvl is None))
 
 
-def _indicator(design: Design, col: str | None) -> dict:
+def indicator_of(design: Design, col: str | None) -> dict:
+    """Factor levels at which a design column is on."""
     if col is None:
         return {}
     return {v: lvl for v, lvl in design.column_parts[col] if lvl is not None}
@@ -122,7 +123,7 @@ def factors_of(design: Design) -> list[str]:
 
 def columns_on(design: Design, row) -> list[bool]:
     """Which columns (intercept first) are on in the factor cell of ``row``."""
-    return [all(row[v] == lvl for v, lvl in _indicator(design, c).items()) for c in [None, *design.columns]]
+    return [all(row[v] == lvl for v, lvl in indicator_of(design, c).items()) for c in [None, *design.columns]]
 
 
 def gram_from_cells(design: Design, cells) -> Gram:
@@ -390,12 +391,15 @@ def backward_eliminate(spark: SparkSession, fit: OLSFit, alpha: float = 0.1
                        ) -> tuple[OLSFit, DataFrame]:
     """H9: drop the least significant removable term while its drop-F p-value
     exceeds ``alpha``; all sub-models come from the one Gram (no rescans). A
-    mixed fit keeps its variances while terms go."""
+    mixed fit is refitted at every step: its variances are estimated again for
+    the terms that are left."""
+    refit = getattr(fit, "refit", None)
     fit = linear_part(fit)
-    d, g = fit.design, fit.gram
+    d = fit.design
     terms = list(fit.terms)
     rows, step = [], 0
     while True:
+        g = refit(terms).gram if refit else fit.gram
         full = solve(g, _columns_of(d, terms))
         cands = []
         for t in removable(terms):
@@ -462,31 +466,33 @@ SCREEN_SCHEMA = StructType([StructField("variable", StringType()), StructField("
                             StructField("lb", DoubleType()), StructField("ub", DoubleType())])
 
 
-def screen_covariates(spark: SparkSession, df: DataFrame, y: str, design: Design,
-                      base_terms: Sequence[Term], candidates: Sequence[str], factor: str,
-                      levels: tuple[str, str], fit=None) -> DataFrame:
+def screen_covariates(spark: SparkSession, df: DataFrame | None, y: str, design: Design,
+                      base_terms: Sequence[Term], candidates: Sequence[str], factor: str | None = None,
+                      levels: tuple[str, str] | None = None, fit=None) -> DataFrame:
     """Added-variable screen. ``design`` must contain ``base_terms`` and a
     main-effect term for every candidate. ONE Spark pass builds the Gram of
     all columns; per candidate, the F test of adding it to the base model
-    and the ``levels[0] - levels[1]`` contrast of ``factor`` at the means. With
-    ``fit``, a fit of ``design``, its Gram is used (of a mixed fit the weighted
-    one) and no data are read."""
-    g = linear_part(fit).gram if fit is not None else gram(df, y, design)
+    and the ``levels[0] - levels[1]`` contrast of ``factor`` at the means (none
+    without a factor). With ``fit``, a fit of ``design``, no data are read: an OLS
+    fit gives its Gram; a mixed fit is refitted for every candidate, variances
+    included, from the sums it holds of all columns."""
+    refit = getattr(fit, "refit", None)
+    g = None if refit else linear_part(fit).gram if fit is not None else gram(df, y, design)
     rows = []
-    base = solve(g, _columns_of(design, base_terms))
     for c in candidates:
         terms = [*base_terms, (c,)]
-        fit = fit_from_gram(design, g, terms)
-        full = solve(g, _columns_of(design, terms))
-        r = _f_row(c, base["rss"] - full["rss"], full["rank"] - base["rank"], full, g)
-        means = numeric_means(fit)
-        fixed = {v: means.get(v, 0.0) for v in design.variables if v not in design.factors}
-        la = averaged_vector(fit, dict(fixed, **{factor: levels[0]}))
-        lb = averaged_vector(fit, dict(fixed, **{factor: levels[1]}))
-        est, se = estimate(fit, la - lb)
-        q = float(t_ppf(0.975, fit.df_resid))
-        rows.append((c, r[4], r[1], r[5], f"{levels[0]} - {levels[1]}", est, se,
-                     est - q * se, est + q * se))
+        own = refit(terms) if refit else fit_from_gram(design, g, terms)
+        base, full = solve(own.gram, _columns_of(design, base_terms)), solve(own.gram, _columns_of(design, terms))
+        r = _f_row(c, base["rss"] - full["rss"], full["rank"] - base["rank"], full, own.gram)
+        contrast = (None,) * 5
+        if factor is not None:
+            means = numeric_means(own)
+            fixed = {v: means.get(v, 0.0) for v in design.variables if v not in design.factors}
+            la, lb = (averaged_vector(own, dict(fixed, **{factor: lv})) for lv in levels)
+            est, se = estimate(own, la - lb)
+            q = float(t_ppf(0.975, own.df_resid))
+            contrast = (f"{levels[0]} - {levels[1]}", est, se, est - q * se, est + q * se)
+        rows.append((c, r[4], r[1], r[5], *contrast))
     return spark.createDataFrame(rows, SCREEN_SCHEMA)
 
 

@@ -19,22 +19,24 @@ group effects their best linear predictors, both from Henderson's mixed-model
 equations: with W = Z'Z + diag(s_e^2 / s_k^2), the weighted Gram is
 X'X - X'Z W^-1 Z'X, and the effects are W^-1 (Z'y - Z'X b). So standard errors,
 tests and means of a mixed fit are those of the random-intercept model.
+Up to ``MAX_GROUP_LEVELS`` levels W is factored on the driver; beyond, the levels
+stay in Spark and W is solved by conjugate gradients (``mixed_solver``).
 Numbers differ from REML on unbalanced data; they agree on balanced data.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from eventlab.functions.distributions import normal_quantile
-from eventlab.operators.design import Design, model_rows
+from eventlab.operators.design import Design, Term, model_rows
 from eventlab.operators.linear import (
     Gram,
     OLSFit,
@@ -48,9 +50,11 @@ from eventlab.operators.linear import (
     monomials,
     predict_expr,
 )
+from eventlab.operators.mixed_solver import LevelTables, level_effects, level_moments, level_tables, weighted_sums
 from eventlab.sources.files import stage
 
-#: Levels of all group factors together: the mixed-model equations have one row for each.
+#: Levels of all group factors together (the mixed-model equations have one row for
+#: each) up to which they are solved on the driver.
 MAX_GROUP_LEVELS = 4_000
 
 
@@ -74,7 +78,13 @@ class MixedFit:
     effects: dict[str, DataFrame]         # group factor -> (group value, n, effect, se)
     rows: DataFrame                       # the model's rows, all columns of the input
     y: str
-    sums: GroupSums
+    sums: GroupSums | LevelTables
+
+    def refit(self, terms: Sequence[Term]) -> OLSFit:
+        """The fixed part with only ``terms``, after the variances are estimated
+        again for them; from the sums, with no pass over the rows."""
+        var = estimate_variances(self.sums, fit_from_gram(self.design, self.sums.gram, terms))
+        return weighted_fit(self.design, self.sums, var, terms)[0]
 
     def fitted_expr(self):
         """Fixed part plus the effects joined as ``_b_<group>``."""
@@ -99,21 +109,20 @@ def _solve_clipped(A: np.ndarray, u: np.ndarray) -> np.ndarray:
     return s
 
 
-def group_sums(rows: DataFrame, y: str, design: Design, groups: Sequence[str]) -> GroupSums:
+def group_sums(rows: DataFrame, y: str, design: Design, groups: Sequence[str]) -> GroupSums | LevelTables:
     """ONE aggregate over the rows; the rest are sums of its cells, which are
-    staged. Only sums per factor cell, per (level, factor cell) and per pair of
-    levels reach the driver; the number of levels is checked first."""
+    staged. Only sums per factor cell, and with few levels per (level, factor
+    cell) and per pair of levels, reach the driver."""
     factors = factors_of(design)
     keys = list(dict.fromkeys([*factors, *groups]))
     cells = stage(rows.groupBy(*keys).agg(*moment_aggs(y, design)), "mixed-cells")
-    if groups:
-        found = cells.agg(*[F.count_distinct(g).alias(g) for g in groups]).first()
-        if sum(found) > MAX_GROUP_LEVELS:
-            raise ValueError(f"{sum(found)} group levels (> {MAX_GROUP_LEVELS}): too many for random intercepts here")
+    found = sum(cells.agg(*[F.count_distinct(g).alias(g) for g in groups]).first()) if groups else 0
     by_factors = merge_cells(cells, factors, design) if len(keys) > len(factors) and factors else None
     if by_factors is None:
         by_factors = cells if not groups else merge_cells(cells.withColumn("_all", F.lit(1)), ["_all"], design)
     g = gram_from_cells(design, by_factors.collect())
+    if found > MAX_GROUP_LEVELS:
+        return level_tables(cells, design, groups, g)
     monos = monomials(design)
     mono_of = [monos.index(monomial_of(design, c)) for c in [None, *design.columns]]
     wanted = sorted(set(mono_of))
@@ -148,42 +157,72 @@ def centred_beta(fit: OLSFit) -> np.ndarray:
     return np.concatenate([[b[0] - g.ybar + g.xbar[1:] @ b[1:]], b[1:]])
 
 
-def moment_equations(sums: GroupSums, ols: OLSFit) -> tuple[np.ndarray, np.ndarray]:
+def moment_equations(sums: GroupSums | LevelTables, ols: OLSFit) -> tuple[np.ndarray, np.ndarray]:
     """The (K+1) x (K+1) moment system of the OLS residuals."""
-    groups, g, beta = list(sums.levels), sums.gram, centred_beta(ols)
-    K, N = len(groups), float(g.n)
-    SS = ols.rss
+    groups, beta = list(sums.levels), centred_beta(ols)
+    if isinstance(sums, LevelTables):
+        own, cross = level_moments(sums, beta)
+    else:
+        own, cross = [], {}
+        for k, a in enumerate(groups):
+            s = sums.zy[a] - sums.zx[a] @ beta
+            own.append((float((s * s / sums.n[a]).sum()), len(sums.n[a]), float((sums.n[a] ** 2).sum())))
+            for j, b in enumerate(groups):
+                if j != k:
+                    count = sums.pairs[a, b] if k < j else sums.pairs[b, a].T
+                    cross[k, j] = float(((count ** 2).sum(1) / sums.n[a]).sum())
+    return moment_system(own, cross, float(sums.gram.n), ols.rss)
+
+
+def moment_system(own: Sequence[tuple], cross: Mapping[tuple[int, int], float], n: float, ss: float) -> tuple[np.ndarray, np.ndarray]:
+    """The moment equations from, per factor, (sum of s^2 / n, levels, sum of n^2)
+    and, per pair of factors, the sum of n_gh^2 / n_g; ``ss`` is the residuals' sum
+    of squares about their mean."""
+    K = len(own)
     u, A = np.zeros(K + 1), np.zeros((K + 1, K + 1))
-    u[0] = SS        # the residuals sum to 0
-    A[0, K] = N - 1
-    for k, a in enumerate(groups):
-        s = sums.zy[a] - sums.zx[a] @ beta
-        u[k + 1] = SS - float((s * s / sums.n[a]).sum())
-        A[k + 1, K] = N - len(sums.n[a])
-        A[0, k] = N - float((sums.n[a] ** 2).sum()) / N
-        for j, b in enumerate(groups):
+    u[0] = ss
+    A[0, K] = n - 1
+    for k, (between, levels, squares) in enumerate(own):
+        u[k + 1] = ss - between
+        A[k + 1, K] = n - levels
+        A[0, k] = n - squares / n
+        for j in range(K):
             if j != k:
-                count = sums.pairs[a, b] if k < j else sums.pairs[b, a].T
-                A[k + 1, j] = N - float(((count ** 2).sum(1) / sums.n[a]).sum())
+                A[k + 1, j] = n - cross[k, j]
     return A, u
 
 
-def estimate_variances(sums: GroupSums, ols: OLSFit) -> dict[str, float]:
+def estimate_variances(sums: GroupSums | LevelTables, ols: OLSFit) -> dict[str, float]:
     """H6: moment estimates, no further pass over the data."""
     s = _solve_clipped(*moment_equations(sums, ols))
     out = {g: float(s[k]) for k, g in enumerate(sums.levels)}
     return out | {"Residual": float(s[-1])}
 
 
-def weighted_fit(design: Design, sums: GroupSums, var: dict[str, float]
-                 ) -> tuple[OLSFit, dict[str, tuple[np.ndarray, np.ndarray]]]:
-    """Generalised least squares and, per group factor, the predicted effects
-    with their conditional standard errors, from the mixed-model equations."""
+def _weighted_levels(design: Design, sums: LevelTables, var: dict[str, float], terms: Sequence[Term] | None
+                     ) -> tuple[OLSFit, Callable[[str, str], DataFrame]]:
+    g, se2 = sums.gram, var["Residual"]
+    ridge = {i: se2 / var[k] for i, k in enumerate(sums.levels) if var[k] > 0 and se2 > 0}
+    solved, weighted = None, replace(g, scale=se2 or None)
+    if ridge:
+        solved, part = weighted_sums(sums, ridge)
+        part = (part + part.T) / 2
+        weighted = replace(g, xtx=g.xtx - part[:-1, :-1], xty=g.xty - part[:-1, -1], yty=float(g.yty - part[-1, -1]), scale=se2)
+    fit = fit_from_gram(design, weighted, terms)
+    return fit, lambda group, kind: level_effects(sums, solved, group, kind, centred_beta(fit), se2, ridge)
+
+
+def weighted_fit(design: Design, sums: GroupSums | LevelTables, var: dict[str, float], terms: Sequence[Term] | None = None):
+    """Generalised least squares (of ``terms``, all by default) from the mixed-model
+    equations, and the predicted effects with their conditional standard errors:
+    arrays per group factor, or with many levels a function that gives a table."""
+    if isinstance(sums, LevelTables):
+        return _weighted_levels(design, sums, var, terms)
     g, se2 = sums.gram, var["Residual"]
     active = [k for k in sums.levels if var[k] > 0 and se2 > 0]
     effects = {k: (np.zeros(len(v)), np.zeros(len(v))) for k, v in sums.levels.items()}
     if not active:
-        fit = fit_from_gram(design, replace(g, scale=se2 or None))
+        fit = fit_from_gram(design, replace(g, scale=se2 or None), terms)
         return fit, effects
     # the factor with most levels has a diagonal block, which is eliminated first
     active.sort(key=lambda k: -len(sums.levels[k]))
@@ -206,7 +245,7 @@ def weighted_fit(design: Design, sums: GroupSums, var: dict[str, float]
     zx, zy, wx, wy = z[:, :-1], z[:, -1], solved[:, :-1], solved[:, -1]
     weighted = replace(g, xtx=g.xtx - zx.T @ wx, xty=g.xty - zx.T @ wy,
                        yty=float(g.yty - zy @ wy), scale=se2)
-    fit = fit_from_gram(design, weighted)
+    fit = fit_from_gram(design, weighted, terms)
     b = wy - wx @ centred_beta(fit)
     sd = np.sqrt(se2 * diag)
     at = 0
@@ -229,6 +268,9 @@ def fit_random_intercepts(df: DataFrame, y: str, design: Design, groups: Sequenc
     fixed, found = weighted_fit(design, sums, var)
     effects = {}
     for g in groups:
+        if isinstance(sums, LevelTables):
+            effects[g] = found(g, df.schema[g].dataType.simpleString())
+            continue
         schema = StructType([StructField(g, df.schema[g].dataType), StructField("n", LongType()),
                              StructField("effect", DoubleType()), StructField("se", DoubleType())])
         data = [(v, int(n), float(e), float(s)) for v, n, e, s in zip(sums.levels[g], sums.n[g], *found[g])]
@@ -266,19 +308,22 @@ def icc_r2(spark: SparkSession, fit: MixedFit) -> DataFrame:
 
 def global_rank(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
     """Rank 1..n by ``order`` without a global window: rows are range
-    partitioned (rows that tie in the first column are split by the others) and
-    written, the partitions' counts give offsets, and a window inside each
-    partition gives the local rank."""
+    partitioned (rows that tie in the first column are split by the others),
+    sorted there and written with their place in the partition; the partitions'
+    counts then give each one's offset. One shuffle and one write in all."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stage(df.repartitionByRange(max(2, parts), *order).withColumn("_part", F.spark_partition_id()), "ranked")
+    ranged = df.repartitionByRange(max(2, parts), *order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id()
+    ranged = stage(ranged.withColumn("_id", place), "ranked")
+    part, local = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted((r["part"], r["n"]) for r in ranged.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
     offsets, before = [], 0
-    for r in sorted(ranged.groupBy("_part").count().collect()):      # one row per partition
-        offsets.append((r["_part"], before))
-        before += r["count"]
-    off = df.sparkSession.createDataFrame(offsets, "_part int, _offset long")
-    w = Window.partitionBy("_part").orderBy(*order)
-    return (ranged.join(F.broadcast(off), "_part")
-            .withColumn(out, F.col("_offset") + F.row_number().over(w)).drop("_part", "_offset"))
+    for p, n in counts:                                          # one row per partition
+        offsets.append((p, before))
+        before += n
+    off = df.sparkSession.createDataFrame(offsets, "_part long, _offset long")
+    return (ranged.withColumn("_part", part).join(F.broadcast(off), "_part")
+            .withColumn(out, F.col("_offset") + local + 1).drop("_part", "_offset", "_id"))
 
 
 def normal_scores(df: DataFrame, col: str, out: str = "theoretical", tiebreak: Sequence[str] = ()) -> DataFrame:
@@ -295,8 +340,10 @@ def diagnostics(fit: MixedFit, ids: Sequence[str] = ()) -> DataFrame:
     """Fitted (fixed + group effects), residual, standardised residual,
     normal QQ score and, with ``ids``, the row's index in their order."""
     cur = fit.rows.select(*dict.fromkeys([*ids, fit.y, *fit.design.variables, *fit.groups]))
-    for g, eff in fit.effects.items():      # at most MAX_GROUP_LEVELS rows
-        cur = cur.join(F.broadcast(eff.select(g, F.col("effect").alias(f"_b_{g}"))), g, "left")
+    few = not isinstance(fit.sums, LevelTables)      # at most MAX_GROUP_LEVELS rows
+    for g, eff in fit.effects.items():
+        part = eff.select(g, F.col("effect").alias(f"_b_{g}"))
+        cur = cur.join(F.broadcast(part) if few else part, g, "left")
     sd = math.sqrt(fit.variances["Residual"]) if fit.variances["Residual"] > 0 else float("nan")
     out = (cur.withColumn("fitted", fit.fitted_expr())
            .withColumn("resid", F.col(fit.y) - F.col("fitted"))

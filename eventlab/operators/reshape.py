@@ -114,7 +114,7 @@ def quantiles_of_counts(counts: DataFrame, by: Sequence[str], probs: Sequence[fl
         cells = cells.groupBy(*by, "_cell", "_next").agg(F.sum("_c").alias("_rows"), F.min("_x").alias("_x"))
         in_order = Window.partitionBy(*by, "_cell").orderBy("_next")
         cells = cells.withColumn("_run", F.sum("_rows").over(in_order) - F.col("_rows"))
-        cells = join_same(cells, wanted, [*by, "_cell"]).withColumn("_before", F.col("_before") + F.col("_run"))
+        cells = join_same(cells, wanted.drop("_x"), [*by, "_cell"]).withColumn("_before", F.col("_before") + F.col("_run"))
         here = F.filter("_ranks", lambda r: (r > F.col("_before")) & (r <= F.col("_before") + F.col("_rows")))
         wanted = cells.withColumn("_ranks", here).where(F.size("_ranks") > 0).select(
             *by, F.col("_next").alias("_cell"), "_before", "n", "_ranks", "_x")

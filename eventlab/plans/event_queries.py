@@ -33,6 +33,7 @@ from eventlab.operators.filters import above, apply_overrides, keep_first
 from eventlab.operators.joins import interval_join, overlap_totals
 from eventlab.operators.runs import occupied_steps, run_events, run_table
 from eventlab.operators.summary import mean_ci
+from eventlab.operators.sweep import sweep_join
 from eventlab.plans.registry import register, with_ctes
 from eventlab.sources.files import stage
 from eventlab.plans.shapes import (
@@ -470,6 +471,19 @@ def q_sample_rain_overlap(spark, sf_dir):
                           {"rf_sum": "rain_mm", "rf_time": "rain_hr"}, "num_rf")
 
 
+@register("span_samples", with_ctes([SQL_SAMPLES, f"sp0 AS ({SQL_KEYED} WHERE event_type IN ('click','view'))",
+    """sp AS (SELECT SiteID, Treatment, user_id, min(ts) AS spanStart, max(ts) AS spanEnd FROM sp0 GROUP BY ALL)"""],
+    """SELECT s.SiteID, s.Treatment, s.sampleID, s.date_time, p.user_id, p.spanStart, p.spanEnd
+  FROM samples s JOIN sp p ON s.SiteID = p.SiteID AND s.Treatment = p.Treatment AND s.date_time BETWEEN p.spanStart AND p.spanEnd"""))
+def q_span_samples(spark, sf_dir):
+    """D4 by a sweep: samples inside the spans of the site's gauges, which are
+    weeks long and nested, so no bucket of time suits them."""
+    spans = (keyed_events(spark, sf_dir, RAIN_TYPES).groupBy("SiteID", "Treatment", "user_id")
+             .agg(F.min("ts").alias("spanStart"), F.max("ts").alias("spanEnd")))
+    smp = samples(spark, sf_dir).select("SiteID", "Treatment", "sampleID", "date_time")
+    return sweep_join(smp, spans, ["SiteID", "Treatment"], "date_time", "spanStart", "spanEnd")
+
+
 @register("runoff_overrides", with_ctes(runoff_ctes(), """SELECT r.Year, r.SiteID, r.Treatment,
   r.ro_event, r.flow, coalesce(o.ft, r.flow_time) AS flow_time, r.eventStart, r.eventEnd
   FROM runoff_events r LEFT JOIN (VALUES ('S1', TIMESTAMP '2024-01-08', 3, 240.0),

@@ -20,7 +20,6 @@ from eventlab.operators.linear import (
     coef_table,
     covariate_grid,
     effect_curve,
-    fit_from_gram,
     fit_ols,
     gram,
     gram_frame,
@@ -560,17 +559,70 @@ def q_line_effect_curve(spark, sf_dir):
     f"SELECT '{c}' AS variable, CAST(1 AS BIGINT) AS df, pow(corr(y, {c}), 2) * (count(*) - 2) / (1 - pow(corr(y, {c}), 2)) AS F FROM l0"
     for c in ("qty", "discount", "ln_qty"))))
 def q_line_screen(spark, sf_dir):
-    """H10 and H9's test without other terms: F of each covariate alone."""
-    d = build_design([("qty",), ("discount",), ("ln_qty",)], {})
+    """H10 without a base model: F of each covariate alone, from the screen."""
+    covariates = ["qty", "discount", "ln_qty"]
+    d = build_design([(c,) for c in covariates], {})
+    return screen_covariates(spark, model_df(spark, sf_dir), "y", d, [], covariates).select("variable", "df", "F")
+
+
+TWO_BY_TWO = {"Treatment": ["A", "R"], "crop": ["1-URGENT", "5-LOW"]}
+STEPS_SQL = [SQL_MODEL,
+    f"w0 AS (SELECT *, {MODEL_SQL_Y} AS y FROM model WHERE Treatment IN ('A', 'R') AND crop IN ('1-URGENT', '5-LOW'))",
+    "wc AS (SELECT Treatment, crop, CAST(count(*) AS DOUBLE) AS n, avg(y) AS m, var_pop(y) * count(*) AS ss FROM w0 GROUP BY ALL)",
+    """w1 AS (SELECT sum(n) AS n, sum(ss) AS within, sum(1 / n) AS inv,
+      sum(CASE WHEN (Treatment = 'A') = (crop = '1-URGENT') THEN m ELSE -m END) AS twist FROM wc)""",
+    # interaction; then each factor adjusted for the other: weighted differences within the other's levels
+    """wt AS (SELECT sum(w * d) * sum(w * d) / sum(w) AS ss FROM (SELECT a.m - r.m AS d, 1 / (1 / a.n + 1 / r.n) AS w
+      FROM wc a JOIN wc r USING (crop) WHERE a.Treatment = 'A' AND r.Treatment = 'R'))""",
+    """wk AS (SELECT sum(w * d) * sum(w * d) / sum(w) AS ss FROM (SELECT u.m - l.m AS d, 1 / (1 / u.n + 1 / l.n) AS w
+      FROM wc u JOIN wc l USING (Treatment) WHERE u.crop = '1-URGENT' AND l.crop = '5-LOW'))""",
+    """w2 AS (SELECT n, twist * twist / inv AS ss_i, within, within + twist * twist / inv AS rss, wt.ss AS ss_t, wk.ss AS ss_k,
+      wt.ss / ((within + twist * twist / inv) / (n - 3)) AS f_t, wk.ss / ((within + twist * twist / inv) / (n - 3)) AS f_k FROM w1, wt, wk)""",
+    """wa AS (SELECT CASE WHEN f_t <= f_k THEN 'crop' ELSE 'Treatment' END AS left_term, ss_i / (within / (n - 4)) AS f1,
+      least(f_t, f_k) AS f2, rss + least(ss_t, ss_k) AS rss3, n FROM w2)""",
+    """ws AS (SELECT CASE WHEN left_term = 'crop' THEN
+        (SELECT pow(u.m - l.m, 2) / (1 / u.n + 1 / l.n) FROM
+          (SELECT sum(n) AS n, sum(n * m) / sum(n) AS m FROM wc WHERE crop = '1-URGENT') u,
+          (SELECT sum(n) AS n, sum(n * m) / sum(n) AS m FROM wc WHERE crop = '5-LOW') l)
+      ELSE (SELECT pow(a.m - r.m, 2) / (1 / a.n + 1 / r.n) FROM
+          (SELECT sum(n) AS n, sum(n * m) / sum(n) AS m FROM wc WHERE Treatment = 'A') a,
+          (SELECT sum(n) AS n, sum(n * m) / sum(n) AS m FROM wc WHERE Treatment = 'R') r) END AS ss3 FROM wa)""",
+    "wf AS (SELECT f1, f2, ss3 / (rss3 / (n - 2)) AS f3, left_term, n FROM wa, ws)"]
+# Fixed value: F(0.9; 1, infinity), the square of the normal quantile at 0.95; thousands of rows stand behind it.
+F_CUT = 2.705543454095404
+
+
+@register("two_by_two_steps", with_ctes(STEPS_SQL, f"""
+  SELECT CAST(1 AS BIGINT) AS step, 'Treatment:crop' AS term, CAST(1 AS BIGINT) AS df, f1 AS F,
+    CASE WHEN f1 < {F_CUT} THEN 'drop' ELSE 'keep all' END AS action FROM wf
+  UNION ALL SELECT 2, CASE WHEN left_term = 'crop' THEN 'Treatment' ELSE 'crop' END, 1, f2,
+    CASE WHEN f2 < {F_CUT} THEN 'drop' ELSE 'keep all' END FROM wf WHERE f1 < {F_CUT}
+  UNION ALL SELECT 3, left_term, 1, f3, CASE WHEN f3 < {F_CUT} THEN 'drop' ELSE 'keep all' END
+    FROM wf WHERE f1 < {F_CUT} AND f2 < {F_CUT}"""))
+def q_two_by_two_steps(spark, sf_dir):
+    """H9 on a two-by-two table, where every test has a closed form."""
+    d = build_design([("Treatment",), ("crop",), ("Treatment", "crop")], TWO_BY_TWO)
     fit = fit_ols(model_df(spark, sf_dir), "y", d)
-    parts = [anova(spark, _only(fit, (c,))).where(F.col("term") == c) for c in ("qty", "discount", "ln_qty")]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return out.select(F.col("term").alias("variable"), "df", "F")
+    return backward_eliminate(spark, fit, alpha=0.1)[1].select("step", "term", "df", "F", "action")
 
 
-def _only(fit, term):
-    """The fit's Gram with one term."""
-    return fit_from_gram(fit.design, fit.gram, [term])
+@register("mixed_covariate_screen")
+def q_mixed_covariate_screen(spark, sf_dir):
+    """H10 on the mixed model: for each covariate variances, fixed part, F row and
+    R - A contrast are estimated again."""
+    base, candidates = [("Treatment",), ("crop",)], ["qty", "discount", "ln_qty"]
+    d = build_design(base + [(c,) for c in candidates], FACTORS)
+    fit = fit_random_intercepts(model_df(spark, sf_dir), "y", d, RANDOM)
+    return screen_covariates(spark, None, "y", d, base, candidates, "Treatment", ("R", "A"), fit=fit)
+
+
+@register("adjusted_contrasts")
+def q_adjusted_contrasts(spark, sf_dir):
+    """H8 with simultaneous p-values: priorities compared in pairs on the mixed
+    model, plain, by the studentized range and step-down."""
+    fit = _mixed(spark, sf_dir)
+    parts = [marginal_means(spark, fit, "crop", adjust=a)[1].withColumn("adjust", F.lit(a or "none")) for a in (None, "tukey", "shaffer")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).drop("by")
 
 
 @register("one_way_effects", with_ctes(ONE_WAY_SQL, """SELECT 'g' AS factor, g AS "group", n,

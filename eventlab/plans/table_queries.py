@@ -45,7 +45,7 @@ from eventlab.operators.reshape import (
 )
 from eventlab.plans.registry import register, with_ctes
 from eventlab.plans.shapes import SQL_MODEL, model_table
-from eventlab.sources.files import read_delimited, read_quarantined, read_table, stage, write_table
+from eventlab.sources.files import read_delimited, read_quarantined, read_table, read_with_reasons, stage, write_table
 from eventlab.session import stage_path
 
 ORDERS_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
@@ -108,6 +108,42 @@ def q_quarantine_bad(spark, sf_dir):
     return _stacked_csv(spark, sf_dir)[1].agg(F.count(F.lit(1)).alias("bad_rows"))
 
 
+DEFECT_SQL = """CASE WHEN o_orderkey % 40 = 3 THEN 'field count' WHEN o_orderkey % 40 = 5 THEN 'type'
+  WHEN o_orderkey % 40 = 6 THEN 'merge marker' WHEN o_orderkey % 40 = 7 THEN 'repeated header' END"""
+
+
+def _damaged_csv(spark, sf_dir):
+    """Orders as text lines, some of them damaged by their key; every file has a header."""
+    o = read_table(spark, sf_dir, "orders")
+    head = ",".join(ORDERS_COLS)
+    cells = [F.coalesce(F.date_format(c, STAGE_TS_FORMAT) if c == "o_orderdate" else F.col(c).cast("string"), F.lit("NA")) for c in ORDERS_COLS]
+    worse = [F.concat(cells[0], F.lit("x")) if c == "o_orderkey" else x for c, x in zip(ORDERS_COLS, cells)]
+    key = F.col("o_orderkey") % 40
+    line = (F.when(key == 3, F.concat_ws(",", *cells, F.lit("more"))).when(key == 5, F.concat_ws(",", *worse))
+            .when(key == 6, F.lit("=======")).when(key == 7, F.lit(head)).otherwise(F.concat_ws(",", *cells)))
+    path = stage_path(spark, "damaged-csv")
+    # the text writer has no header: one is put before each file's first line
+    first = F.when(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0, F.array(F.lit(head), line)).otherwise(F.array(line))
+    o.select(F.explode(first).alias("value")).write.text(path)
+    return read_with_reasons(spark, path, o.select(*ORDERS_COLS).schema, timestamp_formats=(STAGE_TS_FORMAT, "yyyy-MM-dd HH:mm:ss"))
+
+
+@register("reasons_good", f"SELECT {', '.join(ORDERS_COLS)} FROM orders WHERE ({DEFECT_SQL}) IS NULL")
+def q_reasons_good(spark, sf_dir):
+    """A1 + A4: the rows that pass, typed."""
+    return _damaged_csv(spark, sf_dir)[0]
+
+
+@register("reasons_bad", f"""SELECT reason, CASE WHEN reason = 'type' THEN 'o_orderkey' END AS field,
+  CASE WHEN reason IN ('field count', 'type') THEN CAST(o_orderkey AS VARCHAR) || CASE WHEN reason = 'type' THEN 'x' ELSE '' END END AS first_cell,
+  count(*) AS n FROM (SELECT o_orderkey, {DEFECT_SQL} AS reason FROM orders) WHERE reason IS NOT NULL GROUP BY ALL""")
+def q_reasons_bad(spark, sf_dir):
+    """A4: every quarantined line with its reason, the field and its first cell."""
+    bad = _damaged_csv(spark, sf_dir)[1]
+    cell = F.when(F.col("reason").isin("field count", "type"), F.split("line", ",")[0])
+    return bad.groupBy("reason", "field", cell.alias("first_cell")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # --------------------------------------------------------- columns
 
 @register("project_columns", "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem")

@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType, TimestampNTZType, TimestampType
 
@@ -75,6 +75,66 @@ def read_quarantined(spark: SparkSession, path: str, schema: StructType, sep: st
     return good, bad
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line): the lines of delimited text files, numbered from 1 in
+    each file. Lines are numbered inside the file's blocks as they are read; the
+    blocks before give the offset, from a table with one row for each block."""
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    raw = stage(raw, "lines")
+    blocks = raw.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    return raw.join(blocks, ["file", "_block"]).select(
+        "file", (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("line_no"), "line")
+
+
+#: Why a line is quarantined, in the order in which the reasons are tried.
+REASONS = ("merge marker", "repeated header", "blank header", "field count", "type")
+
+
+def read_with_reasons(spark: SparkSession, path: str, schema: StructType, sep: str = ",", na_tokens: str = "NA",
+                      timestamp_formats: Sequence[str] = TIMESTAMP_FORMATS) -> tuple[DataFrame, DataFrame]:
+    """A1 + A4: delimited text with a header line in every file, as (good, bad).
+    ``good`` has the declared columns; ``bad`` is (file, line_no, reason, field, line)
+    with the first reason of ``REASONS`` that holds and, for "type", the first field
+    whose text is neither empty, an NA token nor a value of its type. The header
+    itself is bad where a cell is blank, or else it is no row. Quoted fields may
+    hold the separator, not a line break. Empty lines are no rows."""
+    text = StructType([StructField(f.name, StringType(), True) for f in schema.fields] + [StructField(CORRUPT, StringType(), True)])
+    options = {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "nullValue": na_tokens, "emptyValue": ""}
+    lines = numbered_lines(spark, path).where(F.length(F.trim("line")) > 0)
+    rows = lines.withColumn("_c", F.from_csv("line", _ddl(text), options))
+    cells = {f.name: F.col("_c")[f.name] for f in schema.fields}
+
+    def value(f: StructField):
+        raw = F.nullif(cells[f.name], F.lit(""))
+        if isinstance(f.dataType, (TimestampType, TimestampNTZType)):
+            return parse_timestamp(raw, timestamp_formats).cast(f.dataType)
+        return raw if isinstance(f.dataType, StringType) else raw.try_cast(f.dataType)
+
+    values = {f.name: value(f) for f in schema.fields}
+    wrong = F.coalesce(*[F.when(F.nullif(cells[n], F.lit("")).isNotNull() & v.isNull(), F.lit(n)) for n, v in values.items()])
+    header = F.col("line_no") == 1
+    names = sep.join(schema.names)
+    same = F.trim("line") == F.lit(names)
+    blank = F.exists(F.split("line", F.lit("\\Q" + sep + "\\E")), lambda x: F.trim(F.regexp_replace(x, '"', "")) == "")
+    reason = (F.when(F.col("line").rlike(MERGE_MARKER), REASONS[0]).when(~header & same, REASONS[1])
+              .when(header & blank, REASONS[2]).when(header, None).when(F.col("_c")[CORRUPT].isNotNull(), REASONS[3])
+              .when(wrong.isNotNull(), REASONS[4]))
+    judged = rows.select("file", "line_no", "line", reason.alias("reason"), wrong.alias("field"), header.alias("_header"),
+                         *[v.alias(n) for n, v in values.items()])
+    good = judged.where("reason is null and not _header").select(*schema.names)
+    bad = judged.where("reason is not null").select("file", "line_no", "reason", F.when(F.col("reason") == REASONS[4], F.col("field"))
+                                                    .alias("field"), "line")
+    return good, bad
+
+
+def _ddl(schema: StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet",
                 partition_by: Sequence[str] = (), na_token: str = "NA") -> None:
     """A2: materialise a result table (overwrite). CSV gets a header, ``NA``

@@ -203,3 +203,32 @@ def test_overlap_totals_match_pairs(spark):
     for _, i, s0, s1 in a:
         hit = [v for _, v, b0, b1 in b if b0 <= s1 and s0 <= b1]
         assert got[i] == (len(hit), pytest.approx(sum(hit)) if hit else None)
+
+
+def test_quantiles_of_extreme_values_and_null_groups(spark):
+    import numpy as np
+    from eventlab.operators.reshape import box_stats, exact_quantiles, order_key
+    rng = random.Random(17)
+    pool = [0.0, -0.0, 5e-324, -5e-324, 2.0**-1022, 1e-310, -1e-310, 1.0, 2.0, 4.0, np.nextafter(2.0, 0), np.nextafter(2.0, 3),
+            1.7976931348623157e308, -1.7976931348623157e308, 1e300, -3.5, -1.0, 0.1, 1024.0, np.nextafter(1024.0, 0)]
+    every = [float(v) for v in pool] + [rng.gauss(0, 10 ** rng.randint(-300, 300)) for _ in range(300)] + [float("inf"), float("-inf"), float("nan")]
+    keyed = spark.createDataFrame([(v,) for v in every], "x double").select("x", order_key(F.col("x")).alias("k")).collect()
+    for a, b in zip(sorted(keyed, key=lambda r: r["k"]), sorted(keyed, key=lambda r: r["k"])[1:]):
+        assert (a["x"] < b["x"]) == (a["k"] < b["k"]) or b["x"] != b["x"] or a["x"] == b["x"]
+    rows = [(g, rng.choice([rng.gauss(0, 1), 2.5, -1e9])) for g in ("a", None) for _ in range(400)] + [("one", 3.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    out = {r["g"]: r for r in exact_quantiles(df, ["g"], "x", [0.0, 0.25, 0.5, 1.0]).collect()}
+    assert set(out) == {"a", None, "one"}
+    for g in ("a", None):
+        xs = np.array([v for h, v in rows if h == g])
+        for i, p in enumerate([0.0, 0.25, 0.5, 1.0]):
+            assert out[g][f"q{i}"] == pytest.approx(float(np.quantile(xs, p)), rel=1e-12)
+    box = {r["g"]: r for r in box_stats(df, ["g"], "x").collect()}
+    assert set(box) == {"a", None, "one"} and box["one"]["min"] == box["one"]["q3"] == 3.0 and box["one"]["n_outliers"] == 0
+
+
+def test_complete_cells_keep_null_levels(spark):
+    from eventlab.operators.reshape import complete_cells
+    df = spark.createDataFrame([(None, 1, 7), ("a", 2, 8)], "g string, y int, n long")
+    got = {(r["g"], r["y"]): r["n"] for r in complete_cells(df, {"g": None, "y": None}, fill={"n": 0}).collect()}
+    assert got == {(None, 1): 7, (None, 2): 0, ("a", 1): 0, ("a", 2): 8}
