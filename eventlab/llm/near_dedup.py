@@ -3,9 +3,8 @@
 A document is its set of distinct word shingles; equal sets are one member. A
 member carries minwise tokens: for each of several hash functions the token of
 its set that hashes lowest. Every tree starts with one function and puts
-members with the same chosen token into a node. Nodes of at most ``SMALL``
-members are compared exhaustively, those of at most ``MEDIUM`` after their true
-copies are joined (below); a larger node chooses ``BRANCHES`` pairs of
+members with the same chosen token into a node. Nodes of at most ``MEDIUM``
+members are compared exhaustively; a larger node chooses ``BRANCHES`` pairs of
 functions by its own hash and branches its members by their tokens, level by
 level; members of similarity s meet in about ``BRANCHES`` * s^2 children, so
 nodes of less similar members die out. ``TREES`` independent trees raise the recall: a pair of similarity 0.8
@@ -15,13 +14,16 @@ Large nodes of true copies would not shrink, so each level first compares every
 member of a large node with ``LEADERS`` central members of it, which is linear,
 and joins what is linked into components. A node whose members are all in one
 component is done; one with at most ``CROSS`` pairs of different components a
-member is compared in full over those pairs. Only the others branch. If no
-branching makes a node smaller (``LEVELS``), its members of different components
-are compared in full.
+member has few members outside its largest component, which meet all others.
+Only the rest branch. If no branching makes a node smaller (``LEVELS``), its
+members are compared in full.
 
-Pairs are weighed by their signatures first (cut at four standard deviations
-below the threshold) and confirmed on the full sets. Links only need to connect
-components, so a group of n copies costs about n comparisons, not n^2.
+Where members meet, each is there once, with its set: a node's members are dealt
+to a task (a large node's in blocks, or pairs of blocks, of at most ``MEDIUM``),
+pairs whose signatures agree (cut at four standard deviations below the
+threshold) and that no link of the same task joins yet are confirmed on the full
+sets, and only links leave the task. So neither pairs nor copies of sets travel,
+and a group of n copies costs about n comparisons.
 
 Defined cases: null and empty texts have no set and are linked with nothing;
 texts with fewer words than a shingle have their whole sequence as one; rows
@@ -31,12 +33,11 @@ an id get the component of their own text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlab.llm.common import mix64, null_safe, shingle_hashes, small_side, text_key, text_slices, word_hashes
@@ -44,8 +45,9 @@ from eventlab.llm.components import components
 from eventlab.sources.files import stage
 
 TREES = 8
+#: Members of a node above which central members are compared first, and above which it branches.
 SMALL = 64
-MEDIUM = 4096
+MEDIUM = 1024
 BRANCHES = 2
 LEADERS = 4
 CROSS = 64
@@ -55,8 +57,9 @@ TOKENS = TREES
 BYTES = 256
 #: Tokens that vote for the central members of a large node.
 VOTERS = 24
-#: Bytes of a shingle's hash in a full set.
+#: Bytes of a shingle's hash in a full set, and of the sets that meet in a task.
 WIDTH = 6
+SET_BYTES = 32 << 20
 
 _RNG = np.random.default_rng(3)
 _XOR = _RNG.integers(0, 2**63, TOKENS + BYTES, dtype=np.uint64)
@@ -128,96 +131,163 @@ def sketch_documents(docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, tkey long, n long, sid long, tokens binary, sig binary")
 
 
-@contextmanager
-def _short_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Rows that hold whole sets go to Python few at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    was = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, was)
-
-
 def _least_agreement(threshold: float) -> int:
     """Signature bytes that a pair at the threshold shares but for four
     standard deviations."""
     return int(np.floor(BYTES * threshold - 4 * np.sqrt(BYTES * threshold * (1 - threshold))))
 
 
-def _pairs_of_nodes(members: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs of members (node, sid, label, n, sig) of small nodes with
-    different labels, sizes that allow the threshold and agreeing signatures."""
-    least = _least_agreement(threshold)
+def _groups(batches: Iterator[pa.RecordBatch], read: Callable[[pa.RecordBatch], list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted batches, cut where a key ends; the first column is the key."""
+    held = None
+    for b in batches:
+        part = read(b) if held is None else [np.concatenate(p) for p in zip(held, read(b))]
+        if not len(part[0]):
+            continue
+        cut = int(np.searchsorted(part[0], part[0][-1]))  # the last group may go on in the next batch
+        if cut:
+            yield [p[:cut] for p in part]
+        held = [p[cut:] for p in part]
+    if held is not None and len(held[0]):
+        yield held
 
-    def compare(node, sid, label, n, sig) -> list[pa.RecordBatch]:
-        first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
-        size = np.diff(np.append(first, len(node)))
-        out = []
-        for s in np.unique(size[size > 1]):
-            rows = first[size == s][:, None] + np.arange(s)
-            for block in np.array_split(rows, max(1, len(rows) * s // 20_000)):
-                for i in range(s - 1):
-                    a, b = block[:, i:i + 1], block[:, i + 1:]
-                    fits = (label[a] != label[b]) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9)
-                    r, c = np.nonzero(fits)
-                    x, y = block[r, i], b[r, c]
-                    ok = (sig[x] == sig[y]).sum(1) >= least
-                    if ok.any():
-                        x, y = sid[x[ok]], sid[y[ok]]
-                        out.append(pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"]))
-        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in batches:
-            new = [b.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
-            raw = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(-1, BYTES)
-            part = [*new, raw] if held is None else [np.concatenate(p) for p in zip(held, [*new, raw])]
-            if not len(part[0]):
-                continue
-            cut = int(np.searchsorted(part[0], part[0][-1]))  # the last node may go on in the next batch
-            yield from compare(*(p[:cut] for p in part))
-            held = [p[cut:] for p in part]
-        if held is not None and len(held[0]):
-            yield from compare(*held)
-
-    rows = members.select("node", "sid", "label", "n", "sig").repartition("node").sortWithinPartitions("node")
-    return rows.mapInArrow(run, "a long, b long")
-
-
-def _weighed(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (a, b, na, nb, sa, sb), those whose signatures agree."""
+MEMBER = "key long, lead boolean, sid long, label long, n long, sig binary"
+
+
+def _read_members(b: pa.RecordBatch) -> list[np.ndarray]:
+    new = [b.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+    return [*new, np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(-1, BYTES)]
+
+
+def _agree(x: np.ndarray, y: np.ndarray, label: np.ndarray, n: np.ndarray, sig: np.ndarray, threshold: float, least: int
+           ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows x against rows y (which broadcast), the pairs of different labels
+    whose sizes allow the threshold and whose signatures agree, and by how much."""
+    fits = (label[x] != label[y]) & (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9)
+    x, y = (np.broadcast_to(v, fits.shape)[fits] for v in (x, y))
+    shared = (sig[x] == sig[y]).sum(1)
+    ok = shared >= least
+    return x[ok], y[ok], shared[ok]
+
+
+def _meeting(members: DataFrame, threshold: float) -> DataFrame:
+    """Of members (key, lead, sid, label, n, sig), those whose signature agrees with
+    one of another label under the same key (where there are leads, with a lead),
+    and those they agree with; a key's rows come in one piece."""
     least = _least_agreement(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            x, y = (np.frombuffer(b"".join(t.column(k).to_pylist()), np.uint8).reshape(-1, BYTES) for k in (2, 3))
-            ok = pa.array((x == y).sum(1) >= least)
-            yield pa.record_batch([t.column(0).filter(ok), t.column(1).filter(ok)], names=["a", "b"])
+        for key, lead, sid, label, n, sig in _groups(batches, _read_members):
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(first, len(key)))
+            led = np.logical_or.reduceat(lead, first)
+            keep = np.zeros(len(key), bool)
+            for at, m in zip(first[led], size[led]):
+                heads = at + np.flatnonzero(lead[at:at + m])
+                for h in heads:
+                    x, y, _ = _agree(np.array([h]), np.arange(at, at + m), label, n, sig, threshold, least)
+                    keep[x] = keep[y] = True
+            for m in np.unique(size[~led & (size > 1)]):
+                rows = first[~led & (size == m)][:, None] + np.arange(m)
+                for block in np.array_split(rows, max(1, len(rows) * m // 20_000)):
+                    for i in range(m - 1):
+                        x, y, _ = _agree(block[:, i:i + 1], block[:, i + 1:], label, n, sig, threshold, least)
+                        keep[x] = keep[y] = True
+            at = np.flatnonzero(keep)
+            if len(at):
+                yield pa.record_batch([pa.array(key[at]), pa.array(lead[at]), pa.array(sid[at]), pa.array(label[at]), pa.array(n[at]),
+                                       _fixed(sig[at])], names=["key", "lead", "sid", "label", "n", "sig"])
+
+    rows = members.select("key", "lead", "sid", "label", "n", "sig").repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(run, MEMBER)
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.sort(np.concatenate([x, y]))
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _linked(members: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """(a, b): links among members (as of ``_meeting``) with their full sets. Pairs
+    are tried in order of agreement, and only while their components differ, so
+    the links of a key join what all its links would."""
+    least = _least_agreement(threshold)
 
-    fits = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9
-    return pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sa", "sb"
-                                    ).mapInArrow(run, "a long, b long")
+    def read(b: pa.RecordBatch) -> list[np.ndarray]:
+        sets = np.empty(b.num_rows, object)
+        for k, v in enumerate(b.column(6)):
+            raw = np.zeros((len(v.as_buffer()) // WIDTH, 8), np.uint8)
+            raw[:, :WIDTH] = np.frombuffer(v.as_buffer(), np.uint8).reshape(-1, WIDTH)
+            sets[k] = raw.view(np.uint64).ravel()
+        return [*_read_members(b), sets]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, lead, sid, label, n, sig, sets in _groups(batches, read):
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            a, b = [], []
+            for at, end in zip(first, np.append(first[1:], len(key))):
+                rows = np.arange(at, end)
+                heads = rows[lead[rows]] if lead[rows].any() else rows[:-1]
+                found = [_agree(np.array([h]), rows if lead[rows].any() else rows[rows > h], label, n, sig, threshold, least) for h in heads]
+                if not found:
+                    continue
+                x, y, shared = (np.concatenate(v) for v in zip(*found))
+                parent = {v: v for v in label[rows].tolist()}
+
+                def root(v: int) -> int:
+                    while parent[v] != v:
+                        parent[v] = v = parent[parent[v]]
+                    return v
+
+                for k in np.argsort(-shared, kind="stable"):
+                    i, j = x[k], y[k]
+                    p, q = root(label[i]), root(label[j])
+                    if p != q:
+                        both = _shared(sets[i], sets[j])
+                        if 100 * both >= percent * (n[i] + n[j] - both):
+                            parent[max(p, q)] = min(p, q)
+                            a.append(min(sid[i], sid[j]))
+                            b.append(max(sid[i], sid[j]))
+            if a:
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    cols = ["key", "lead", "sid", "label", "n", "sig", "set"]
+    return members.select(*cols).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
+def _in_full(nodes: DataFrame) -> DataFrame:
+    """Keys under which all members of a node meet: the node itself, or the pairs of
+    its blocks where members or sets are too many for one task."""
+    blocks = F.greatest(F.ceil(F.col("size") / MEDIUM), F.ceil(F.col("total") * WIDTH / SET_BYTES)).cast("int")
+    own = F.pmod(F.xxhash64("sid"), F.col("_blocks")).cast("int")
+    keys = F.when(F.col("_blocks") == 1, F.array("node")).otherwise(F.transform(
+        F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.xxhash64("node", F.least(j, F.col("_own")), F.greatest(j, F.col("_own")))))
+    rows = nodes.withColumn("_blocks", blocks).withColumn("_own", own)
+    return rows.select(F.explode(keys).alias("key"), F.lit(False).alias("lead"), "sid", "label", "n", "sig")
+
+
+def _around(nodes: DataFrame, leads: DataFrame) -> DataFrame:
+    """Keys under which all members of a node meet its leads (node, sid): blocks of
+    the node, each with all leads."""
+    blocks = F.greatest(F.ceil(F.col("size") / MEDIUM), F.ceil(F.col("total") * WIDTH / SET_BYTES)).cast("int")
+    rows = nodes.withColumn("_blocks", blocks)
+    heads = rows.join(leads.select("node", "sid"), ["node", "sid"]).withColumn("_own", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    others = rows.join(leads.select("node", "sid"), ["node", "sid"], "left_anti").withColumn("_own", F.pmod(F.xxhash64("sid"), F.col("_blocks")).cast("int"))
+    both = heads.withColumn("lead", F.lit(True)).unionByName(others.withColumn("lead", F.lit(False)))
+    return both.select(F.xxhash64("node", "_own").alias("key"), "lead", "sid", "label", "n", "sig")
 
 
 def _leaders(large: DataFrame) -> DataFrame:
-    """(node, leader): per node, the members that agree best with the most
-    frequent token of each voter, one from each of ``LEADERS`` hashed parts."""
-    votes = (large.select("node", F.posexplode(F.array(*[F.substring("sig", k + 1, 1) for k in range(VOTERS)]))
-                          .alias("voter", "token"))
-             .groupBy("node", "voter", "token").agg(F.count(F.lit(1)).alias("votes"))
-             .groupBy("node", "voter").agg(F.max(F.struct("votes", "token"))["token"].alias("token")))
-    modes = votes.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("voter", "token"))).alias("modes"))
-    score = sum((F.coalesce(F.substring("sig", k + 1, 1) == F.element_at("modes", F.lit(k)), F.lit(False)).cast("int")
-                 for k in range(VOTERS)), F.lit(0))
+    """(node, sid): per node, the members that agree best with the most
+    frequent token of each voter, one from each of ``LEADERS`` hashed parts. The
+    tokens are counted inside every task first."""
+    voter = lambda k: F.substring("sig", k + 1, 1)
+    modes = large.groupBy("node").agg(*[F.mode(voter(k)).alias(f"mode_{k}") for k in range(VOTERS)])
+    score = sum(((voter(k) == F.col(f"mode_{k}")).cast("int") for k in range(VOTERS)), F.lit(0))
     part = F.pmod(F.xxhash64("sid"), F.lit(LEADERS))
-    return (large.join(modes, "node").groupBy("node", part.alias("part"))
-            .agg(F.max(F.struct(score.alias("score"), F.col("sid").alias("sid"), F.col("n").alias("n"), F.col("sig").alias("sig"),
-                                F.col("label").alias("label"))).alias("m"))
-            .select("node", F.col("m.sid").alias("a"), F.col("m.n").alias("na"), F.col("m.sig").alias("sa"),
-                    F.col("m.label").alias("la")))
+    return (large.select("node", "sid", "sig").join(modes, "node").groupBy("node", part.alias("part"))
+            .agg(F.max(F.struct(score.alias("score"), F.col("sid")))["sid"].alias("sid")).select("node", "sid"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -240,97 +310,63 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return found.join(small_side(wanted.select("sid")), "sid", "left_semi").dropDuplicates(["sid"])
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union of the full sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            keep = []
-            for x, y in zip(t.column(2), t.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint8).reshape(-1, WIDTH) for v in (x, y))
-                wide = np.zeros((len(x) + len(y), 8), np.uint8)
-                wide[:len(x), :WIDTH], wide[len(x):, :WIDTH] = x, y
-                both = np.sort(wide.view(np.uint64).ravel())
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(both) - shared))
-            ok = pa.array(keep, pa.bool_())
-            yield pa.record_batch([t.column(0).filter(ok), t.column(1).filter(ok)], names=["a", "b"])
-
-    left = sets.select(F.col("sid").alias("a"), F.col("set").alias("sa"))
-    right = sets.select(F.col("sid").alias("b"), F.col("set").alias("sb"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    return rows.mapInArrow(run, "a long, b long")
-
-
-def _cross_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
-    """All pairs of different components: the members outside a node's largest
-    component meet every other member."""
-    a = nodes.where("label <> top").select("node", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"),
-                                           F.col("label").alias("la"))
-    b = nodes.select("node", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("label").alias("lb"))
-    return _weighed(a.join(b, "node").where("la <> lb"), threshold)
-
-
 def _open_nodes(rows: DataFrame, labels: DataFrame | None, members: DataFrame) -> DataFrame:
-    """(sid, node) of nodes with several components, with label, n, sig, the
-    node's size, pairs of different components and largest component."""
+    """(sid, node) of nodes with several components, with label, n, sig, the node's
+    size, total of n, pairs of different components and largest component."""
     labelled = rows.withColumn("label", F.col("sid")) if labels is None else (
         rows.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid")))
-    per = labelled.groupBy("node", "label").agg(F.count(F.lit(1)).alias("k"))
-    size = per.groupBy("node").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("sq"),
+    per = labelled.groupBy("node", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
+    size = per.groupBy("node").agg(F.sum("k").alias("size"), F.sum("w").alias("total"), F.sum(F.col("k") * F.col("k")).alias("sq"),
                                    F.max(F.struct("k", "label"))["label"].alias("top"))
-    several = size.where("size * size > sq").select("node", "size", "top", ((F.col("size") * F.col("size") - F.col("sq")) / 2)
+    several = size.where("size * size > sq").select("node", "size", "total", "top", ((F.col("size") * F.col("size") - F.col("sq")) / 2)
                                                     .alias("cross"))
     nodes = stage(labelled.join(several, "node"), "near-nodes")
-    return stage(nodes.join(members.select("sid", "n", "sig"), "sid"), "near-open")
+    return stage(nodes.join(members.select("sid", "sig"), "sid"), "near-open")
 
 
 def link_components(docs: DataFrame, sketches: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """((sid, label) of linked sets, confirmed (a, b) links)."""
     threshold = percent / 100
-    spark = docs.sparkSession
     members = stage(sketches.where("sid is not null and doc_id is not null").groupBy("sid").agg(
         F.min(F.struct("doc_id", "n", "tokens", "sig")).alias("m")).select("sid", "m.*"), "near-members")
     token = lambda k: F.substring("tokens", 4 * k + 1, 4)
-    rows = members.select("sid", F.explode(F.array(*[F.xxhash64(F.lit(k), token(k)) for k in range(TREES)])).alias("node"))
+    rows = members.select("sid", "n", F.explode(F.array(*[F.xxhash64(F.lit(k), token(k)) for k in range(TREES)])).alias("node"))
     labels = links = sets = None
 
-    def confirm(pairs: DataFrame, also: DataFrame | None = None) -> None:
-        """Confirm pairs on their full sets and join what is linked. The sets are
-        made once, for the first pairs and all members of large nodes (``also``):
-        later pairs are among those."""
+    def confirm(keyed: DataFrame, also: DataFrame | None = None) -> None:
+        """Confirm what meets on full sets and join what is linked. The sets are
+        made once, for those that meet first and all members of large nodes
+        (``also``): later ones are among those."""
         nonlocal labels, links, sets
-        pairs = stage(pairs.distinct(), "near-pairs")
+        met = stage(_meeting(keyed, threshold), "near-met")
         if sets is None:
-            wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid")))
-            wanted = wanted.unionByName(also) if also is not None else wanted
+            wanted = met.select("sid") if also is None else met.select("sid").unionByName(also.select("sid"))
             wanted = stage(wanted.distinct().join(members.select("sid", "doc_id"), "sid"), "near-wanted")
             sets = stage(_sets(docs, wanted, width), "near-sets")
-        with _short_batches(spark, 256):
-            new = stage(_confirmed(pairs, sets, percent), "near-links")
+        new = stage(_linked(met.join(sets, "sid"), threshold, percent).distinct(), "near-links")
         links = new if links is None else links.unionByName(new)
-        if labels is None or new.limit(1).count():
+        if labels is None or not new.isEmpty():
             labels = components(links).withColumnRenamed("id", "sid")
 
+    few = F.col("cross") <= CROSS * F.col("size")
     for level in range(LEVELS + 1):
         nodes = _open_nodes(rows, labels, members)
-        is_large = (F.col("size") > SMALL) & (F.col("cross") > CROSS * F.col("size"))
-        branches = (F.col("size") > MEDIUM) & (F.col("cross") > CROSS * F.col("size"))
-        large = nodes.where(is_large)
-        pairs = _pairs_of_nodes(nodes.where(F.col("size") <= SMALL), threshold).unionByName(
-            _cross_pairs(nodes.where(~is_large & (F.col("size") > SMALL)), threshold))
-        if not large.limit(1).count():
-            confirm(pairs)
+        large = nodes.where((F.col("size") > SMALL) & ~few)
+        rest = nodes.where((F.col("size") <= SMALL) | few)
+        several = not large.isEmpty()
+        keyed = _in_full(rest.where(F.col("size") <= MEDIUM)).unionByName(
+            _around(rest.where(F.col("size") > MEDIUM), rest.where((F.col("size") > MEDIUM) & (F.col("label") != F.col("top")))))
+        if not several:
+            confirm(keyed)
             break
-        star = large.select("node", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"),
-                            F.col("label").alias("lb")).join(_leaders(large), "node")
-        confirm(pairs.unionByName(_weighed(star.where("a <> b and la <> lb"), threshold)), large.select("sid"))
+        confirm(keyed.unionByName(_around(large, stage(_leaders(large), "near-leaders"))), large)
         # the same nodes again, now that their true copies are joined
-        again = _open_nodes(large.select("sid", "node"), labels, members)
-        rest = again.where(branches)
-        last = level == LEVELS or not rest.limit(1).count()
-        done = again.where(F.col("size") > MEDIUM) if last else again.where((F.col("size") > MEDIUM) & ~branches)
-        confirm(_pairs_of_nodes(again.where(F.col("size") <= MEDIUM), threshold).unionByName(_cross_pairs(done, threshold)))
+        again = _open_nodes(large.select("sid", "n", "node"), labels, members)
+        branching = again.where((F.col("size") > MEDIUM) & ~few)
+        last = level == LEVELS or branching.isEmpty()
+        spread = (F.col("size") > MEDIUM) & few
+        full = again.where(~spread) if last else again.where(F.col("size") <= MEDIUM)
+        confirm(_in_full(full).unionByName(_around(again.where(spread), again.where(spread & (F.col("label") != F.col("top"))))))
         if last:
             break
         # every level has functions of its own, so no choice repeats on a path
@@ -339,7 +375,7 @@ def link_components(docs: DataFrame, sketches: DataFrame, width: int, percent: i
                   for j in range(BRANCHES)]
         pick = lambda k: F.substring(F.col("sig"), k.cast("int"), F.lit(1))
         children = F.array(*[F.xxhash64("node", F.lit(j), pick(x), pick(y)) for j, (x, y) in enumerate(chosen)])
-        rows = rest.select("sid", F.explode(children).alias("node"))
+        rows = branching.select("sid", "n", F.explode(children).alias("node"))
     return labels, links
 
 
