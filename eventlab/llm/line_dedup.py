@@ -25,7 +25,7 @@ different texts are ordered by a hash of the text; null ids come first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlab.llm.common import null_safe, small_side, text_key
@@ -36,17 +36,22 @@ MIN_WORDS = 6
 #: A character that makes a line more than blank.
 INK = r"[^\x20\x09-\x0D]"
 GAP = r"[\x20\x09-\x0D]+"
-#: White space other than single spaces between words.
-UNEVEN = r"[\x09-\x0D]|\x20\x20|^\x20|\x20$"
+#: White space that doesn't stand singly between words; a line holds no line feed.
+UNEVEN = ("  ", "\t", "\x0b", "\x0c", "\r")
+#: Words from which a line's variants are made word by word instead of from its text.
+LONG = 512
 
 
 def _even(line: Column) -> Column:
     """The words of a line with one space between them."""
-    return F.when(line.rlike(UNEVEN), F.trim(F.regexp_replace(line, GAP, " "))).otherwise(line)
+    uneven = line.startswith(" ") | line.endswith(" ")
+    for gap in UNEVEN:
+        uneven = uneven | line.contains(gap)
+    return F.when(uneven, F.trim(F.regexp_replace(line, GAP, " "))).otherwise(line)
 
 
 def _n_words(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def _first(line: Column, n: Column) -> Column:
@@ -85,16 +90,18 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
-    """Whether two arrays of words differ by at most one word."""
+    """Whether two arrays of words differ by at most one word: the words that both
+    begin with and those that both end with leave at most one."""
+    same = lambda x, y: F.zip_with(x, y, lambda u, v: u.eqNullSafe(v))
 
-    def drops_to(x: Column, y: Column) -> Column:
-        return F.exists(F.sequence(F.lit(1), F.size(x)),
-                        lambda i: F.concat(F.slice(x, F.lit(1), i - 1), F.slice(x, i + 1, F.size(x))) == y)
+    def alike(flags: Column) -> Column:
+        """Leading true flags; one array may be a word longer."""
+        first = F.array_position(flags, False)
+        return F.when(first == 0, F.size(flags)).otherwise(first - 1)
 
-    differs = F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda d: d))
-    return (F.when(F.size(a) == F.size(b), differs <= 1)
-            .when(F.size(a) == F.size(b) + 1, drops_to(a, b))
-            .when(F.size(b) == F.size(a) + 1, drops_to(b, a)).otherwise(False))
+    longer = F.greatest(F.size(a), F.size(b))
+    ends = alike(same(a, b)) + alike(same(F.reverse(a), F.reverse(b)))
+    return (F.abs(F.size(a) - F.size(b)) <= 1) & (ends >= longer - 1)
 
 
 def _deleted(line: Column, n: Column, i: Column) -> Column:
@@ -103,6 +110,22 @@ def _deleted(line: Column, n: Column, i: Column) -> Column:
             .otherwise(F.concat(_first(line, i - 1), F.lit(" "), _last(line, n - i))))
 
 
+def _variants_by_word(found: DataFrame) -> DataFrame:
+    """(lid, gone, key) as the text's variants, in time linear in a line's words:
+    hashes of (place, word) before the missing word, and after it of the place
+    one less, joined by exclusive or. Lines of about ``LONG`` words have keys of both
+    kinds, so lines of neighbouring lengths always share a kind."""
+    words = found.select("lid", F.posexplode(F.split("line", " ")).alias("at", "word"))
+    words = words.withColumns({"here": F.xxhash64("at", "word"), "moved": F.xxhash64(F.col("at") - 1, "word")})
+    line = Window.partitionBy("lid")
+    upto = line.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.bit_xor("here").over(upto).bitwiseXOR(F.col("here"))
+    after = F.bit_xor("moved").over(line).bitwiseXOR(F.bit_xor("moved").over(upto))
+    gone = words.select("lid", (F.col("at") + 1).cast("int").alias("gone"), before.bitwiseXOR(after).alias("key"))
+    whole = words.groupBy("lid").agg(F.bit_xor("here").alias("key")).select("lid", F.lit(0).alias("gone"), "key")
+    return whole.unionByName(gone)
+
+
 def near_lines(lines: DataFrame, first: DataFrame) -> DataFrame:
     """(h1, h2) of the distinct lines that have an earlier line within one edit."""
     keyed = first.select("h1", F.explode("ends").alias("end"))
@@ -122,7 +145,8 @@ def near_lines(lines: DataFrame, first: DataFrame) -> DataFrame:
     # place 0 is the whole line
     keys = F.concat(F.array(F.xxhash64("line")), F.transform(
         F.sequence(F.lit(1), F.col("n")), lambda i: F.xxhash64(_deleted(F.col("line"), F.col("n"), i))))
-    variants = stage(found.select("lid", F.posexplode(keys).alias("gone", "key")), "line-variants")
+    short = found.where(F.col("n") <= LONG + 1).select("lid", F.posexplode(keys).alias("gone", "key"))
+    variants = stage(short.unionByName(_variants_by_word(found.where(F.col("n") >= LONG))), "line-variants")
     by_place = variants.groupBy("key", "gone").agg(F.min("lid").alias("lead"), F.count(F.lit(1)).alias("members"))
     by_key = stage(by_place.groupBy("key").agg(
         F.min(F.when(F.col("gone") == 0, F.col("lead"))).alias("whole"),
@@ -158,8 +182,10 @@ def _cut(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumns({"_tkey": F.when(F.col("text").isNotNull(), text_key("text")),
                               "_all_lines": F.split("text", "\n")})
     joined = null_safe(keyed, kept, ["doc_id", "_tkey"], "left")
-    stays = F.filter("_all_lines", lambda x, i: F.array_contains(F.coalesce("_kept", F.array().cast("array<int>")), i)
-                     | ~x.rlike(INK))
+    # kept lines have words, so the places of lines without are others
+    blank = F.filter(F.transform("_all_lines", lambda x, i: F.when(~x.rlike(INK), i)), lambda i: i.isNotNull())
+    places = F.sort_array(F.concat(F.coalesce("_kept", F.array().cast("array<int>")), blank))
+    stays = F.transform(places, lambda i: F.get("_all_lines", i))
     return joined.withColumn("_stays", stays).drop("_kept", "_tkey")
 
 
@@ -192,11 +218,12 @@ def unrepeated_documents(docs: DataFrame) -> DataFrame:
 
 OP2_SQL = f"""
 WITH l AS (
-  SELECT doc_id, i - 1 AS line_no, s[i] AS line, regexp_matches(s[i], '[^\\x20\\x09-\\x0D]') AS ink
+  SELECT doc_id, i - 1 AS line_no, s[i] AS line, regexp_extract_all(s[i], '[^\\x20\\x09-\\x0D]+') AS words,
+         regexp_matches(s[i], '[^\\x20\\x09-\\x0D]') AS ink
   FROM (SELECT doc_id, s, unnest(generate_series(1, len(s))) AS i
         FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL))
 ), d AS (
-  SELECT line, string_split(line, ' ') AS words, min((doc_id, line_no)) AS place FROM l WHERE ink GROUP BY line
+  SELECT words, min((doc_id, line_no)) AS place FROM l WHERE ink GROUP BY words
 ), o AS (
   SELECT words, len(words) AS n, row_number() OVER (ORDER BY place) AS lid FROM d
 ), v AS (

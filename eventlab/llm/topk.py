@@ -16,7 +16,7 @@ Defined cases: vectors that are null or hold null or non-finite components take
 no part, neither do vectors of a length other than the query's; equal scores go
 to the smaller vec_id; rows with a null vec_id are no queries and no
 candidates; rows that repeat a vec_id are candidates each, but never for a query
-of the same id. Scores beyond 64 bits are out of range.
+of the same id; empty vectors meet those of their length with score 0. Scores beyond 64 bits are out of range.
 """
 
 from __future__ import annotations
@@ -51,7 +51,9 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
 def _stats(x: np.ndarray, length: int) -> np.ndarray:
     """Means and deviations of segments, scaled so that a dot product of two
-    rows is the bound."""
+    rows is the bound (0 for vectors without components)."""
+    if not x.shape[1]:
+        return np.zeros((len(x), 1))
     parts = [x[:, k:k + length] for k in range(0, x.shape[1], length)]
     cols = [f * np.sqrt(p.shape[1]) for p in parts for f in (p.mean(1), p.std(1))]
     return np.stack(cols, 1)

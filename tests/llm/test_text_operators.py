@@ -585,3 +585,45 @@ def test_fingerprint_lanes_of_long_repetitive_texts():
     assert np.abs(a[1].view(np.int32)).max() == 40_000
     text = fingerprints.encode(*a)[0]
     assert (fingerprints.decode(text)[1] == a[1][0]).all()
+
+
+def test_line_dedup_of_very_long_lines_and_texts(spark):
+    rng = random.Random(21)
+    words = [_prose(rng, 1) for _ in range(20_000)]
+    edited = words[:9_000] + ["new"] + words[9_001:]
+    shorter = words[:15_000] + words[15_001:]
+    other = words[:100] + ["two", "edits"] + words[102:]
+    mid = [_prose(rng, 1) for _ in range(513)]
+    lines = [" ".join(w) for w in (words, edited, shorter, other, mid, mid[:300] + mid[301:], mid[:-1] + ["last"], mid + ["more"])]
+    many = [_prose(rng, 3) for _ in range(5_000)]
+    docs = [(k, x) for k, x in enumerate(lines)] + [(100, "\n".join(many + many[:2500]))]
+    got = {r["doc_id"]: r for r in line_dedup.op2_line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [got[k]["n_kept"] for k in range(8)] == [1, 0, 0, 1, 1, 0, 0, 0]
+    assert got[100]["n_lines"] == 7_500 and got[100]["text"] == "\n".join(dict.fromkeys(many))
+
+
+def test_line_dedup_oracle_on_uneven_lines(spark, tmp_path):
+    import duckdb
+    rng = random.Random(6)
+    base = [_prose(rng, 8) for _ in range(12)]
+    rows = []
+    for k in range(60):
+        w = rng.choice(base).split()
+        if rng.random() < 0.5:
+            w[rng.randrange(len(w))] = "odd"
+        rows.append((k, "\n".join([rng.choice([" ", "  ", "\t", "\r"]).join(w) + rng.choice(["", "\r", " "]), "  \t", "a\tb", rng.choice(base)])))
+    rows += [(60, None), (61, ""), (62, "a  b\r")]
+    got = sorted(map(tuple, line_dedup.op2_line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = con.sql(line_dedup.OP2_SQL)
+    assert got == sorted(tuple(dict(zip(want.columns, r))[c] for c in ("doc_id", "n_lines", "n_kept", "text")) for r in want.fetchall())
+
+
+def test_topk_of_empty_vectors_and_clashing_names(spark):
+    rows = [(0, [], 1), (20, [], 1), (3, [], 1), (40, [1.0, 2.0], 1), (5, [1.0, 2.0], 2), (6, None, 1), (7, [float("nan"), 1.0], 1)]
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.op9_topk_search(
+        spark.createDataFrame([(*r, 9, 9, 9) for r in rows], "vec_id long, embedding array<float>, label int, score int, rank int, query_id int")).collect()}
+    assert got == {(0, 1, 3, 0), (0, 2, 20, 0), (20, 1, 0, 0), (20, 2, 3, 0), (40, 1, 5, 64 * 64 * 5)}
+    assert topk.op9_topk_search(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
