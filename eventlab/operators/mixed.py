@@ -79,6 +79,7 @@ class MixedFit:
     rows: DataFrame                       # the model's rows, all columns of the input
     y: str
     sums: GroupSums | LevelTables
+    cells: DataFrame                      # moments per factor cell and group combination, staged
 
     def refit(self, terms: Sequence[Term]) -> OLSFit:
         """The fixed part with only ``terms``, after the variances are estimated
@@ -109,9 +110,9 @@ def _solve_clipped(A: np.ndarray, u: np.ndarray) -> np.ndarray:
     return s
 
 
-def group_sums(rows: DataFrame, y: str, design: Design, groups: Sequence[str]) -> GroupSums | LevelTables:
+def group_sums(rows: DataFrame, y: str, design: Design, groups: Sequence[str]) -> tuple[GroupSums | LevelTables, DataFrame]:
     """ONE aggregate over the rows; the rest are sums of its cells, which are
-    staged. Only sums per factor cell, and with few levels per (level, factor
+    staged and come second. Only sums per factor cell, and with few levels per (level, factor
     cell) and per pair of levels, reach the driver."""
     factors = factors_of(design)
     keys = list(dict.fromkeys([*factors, *groups]))
@@ -122,7 +123,7 @@ def group_sums(rows: DataFrame, y: str, design: Design, groups: Sequence[str]) -
         by_factors = cells if not groups else merge_cells(cells.withColumn("_all", F.lit(1)), ["_all"], design)
     g = gram_from_cells(design, by_factors.collect())
     if found > MAX_GROUP_LEVELS:
-        return level_tables(cells, design, groups, g)
+        return level_tables(cells, design, groups, g), cells
     monos = monomials(design)
     mono_of = [monos.index(monomial_of(design, c)) for c in [None, *design.columns]]
     wanted = sorted(set(mono_of))
@@ -148,7 +149,7 @@ def group_sums(rows: DataFrame, y: str, design: Design, groups: Sequence[str]) -
             for r in cells.groupBy(a, b).agg(F.sum("_n").alias("_n")).collect():
                 count[at_a[r[a]], at_b[r[b]]] = r["_n"]
             out.pairs[a, b] = count
-    return out
+    return out, cells
 
 
 def centred_beta(fit: OLSFit) -> np.ndarray:
@@ -263,7 +264,7 @@ def fit_random_intercepts(df: DataFrame, y: str, design: Design, groups: Sequenc
     dropped."""
     groups = list(groups)
     rows = model_rows(df, design, [y, *groups])
-    sums = group_sums(rows, y, design, groups)
+    sums, cells = group_sums(rows, y, design, groups)
     var = estimate_variances(sums, fit_from_gram(design, sums.gram))
     fixed, found = weighted_fit(design, sums, var)
     effects = {}
@@ -275,7 +276,7 @@ def fit_random_intercepts(df: DataFrame, y: str, design: Design, groups: Sequenc
                              StructField("effect", DoubleType()), StructField("se", DoubleType())])
         data = [(v, int(n), float(e), float(s)) for v, n, e, s in zip(sums.levels[g], sums.n[g], *found[g])]
         effects[g] = df.sparkSession.createDataFrame(data, schema)
-    return MixedFit(design, fixed, groups, var, effects, rows, y, sums)
+    return MixedFit(design, fixed, groups, var, effects, rows, y, sums, cells)
 
 
 VC_SCHEMA = StructType([StructField("component", StringType()), StructField("variance", DoubleType()),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from eventlab.functions.columns import ln_offset
 from eventlab.functions.distributions import normal_quantile_sql, t_quantile_975, t_quantile_975_sql, t_quantile_udf
+from eventlab.operators.bootstrap import variance_intervals
 from eventlab.operators.design import Design, build_design, with_design
 from eventlab.operators.filters import keep_first
 from eventlab.operators.linear import (
@@ -616,6 +617,12 @@ def q_mixed_covariate_screen(spark, sf_dir):
     return screen_covariates(spark, None, "y", d, base, candidates, "Treatment", ("R", "A"), fit=fit)
 
 
+@register("variance_intervals")
+def q_variance_intervals(spark, sf_dir):
+    """H6/H7: intervals of the variances and the ICC by a bootstrap over groups."""
+    return variance_intervals(_mixed(spark, sf_dir), replicates=100)
+
+
 @register("adjusted_contrasts")
 def q_adjusted_contrasts(spark, sf_dir):
     """H8 with simultaneous p-values: priorities compared in pairs on the mixed

@@ -135,3 +135,41 @@ def test_adjusted_contrasts_of_a_fit(spark, data):
     plain, tukey, shaffer = (marginal_means(spark, fit, "T", adjust=a)[1].orderBy("contrast").collect() for a in (None, "tukey", "shaffer"))
     for p, t, s in zip(plain, tukey, shaffer):
         assert p["z"] == t["z"] and p["p_value"] <= s["p_value"] <= 1 and p["p_value"] <= t["p_value"] + 1e-12
+
+
+# intervals of variances
+
+def test_poisson_draws(spark):
+    from eventlab.operators.bootstrap import poisson_draw
+    rows = spark.range(20000).select(poisson_draw(1, F.lit(3), 0, F.col("id")).alias("w"), poisson_draw(2, F.lit(3), 0, F.col("id")).alias("v")).toPandas()
+    assert rows["w"].mean() == pytest.approx(1, abs=0.03) and rows["w"].var() == pytest.approx(1, abs=0.05)
+    assert (rows["w"] == 0).mean() == pytest.approx(np.exp(-1), abs=0.01) and abs(np.corrcoef(rows["w"], rows["v"])[0, 1]) < 0.03
+
+
+def test_variance_intervals_of_balanced_groups(spark):
+    from eventlab.operators.bootstrap import replicate_variances, variance_intervals
+    rng = random.Random(12)
+    groups, n, sa, se = 120, 8, 1.0, 2.0
+    rows = [(f"g{g}", a + rng.gauss(0, se)) for g, a in ((g, rng.gauss(0, sa)) for g in range(groups)) for _ in range(n)]
+    fit = mixed.fit_random_intercepts(spark.createDataFrame(rows, "g string, y double"), "y", build_design([], {}), ["g"])
+    got = {r["component"]: r for r in variance_intervals(fit, 300, seed=5).collect()}
+    again = {r["component"]: r for r in variance_intervals(fit, 300, seed=5).collect()}
+    assert got == again and set(got) == {"g", "Residual", "ICC"}
+    # standard errors of the balanced estimators
+    between = sa**2 + se**2 / n
+    want = {"g": np.sqrt(2 * between**2 / (groups - 1) + 2 * (se**2 / n) ** 2 / (groups * (n - 1))), "Residual": np.sqrt(2 * se**4 / (groups * (n - 1)))}
+    for c, truth in (("g", sa**2), ("Residual", se**2)):
+        assert got[c]["se"] == pytest.approx(want[c], rel=0.3)
+        assert got[c]["lower"] < truth < got[c]["upper"]
+    other = replicate_variances(fit, 20, seed=6)
+    assert not np.allclose(other["g"], replicate_variances(fit, 20, seed=5)["g"])
+
+
+def test_crossed_replicates_solve_the_same_equations(spark, data, monkeypatch):
+    """With every level drawn once a replicate is the estimate itself."""
+    from eventlab.operators import bootstrap
+    monkeypatch.setattr(bootstrap, "poisson_draw", lambda *a: F.lit(1))
+    fit = mixed.fit_random_intercepts(data, "y", DESIGN, ["g", "h", "gh"])
+    drawn = bootstrap.replicate_variances(fit, 2)
+    for c, v in fit.variances.items():
+        assert drawn[c] == pytest.approx([v, v], rel=1e-6)
