@@ -11,7 +11,7 @@ from eventlab.sources.files import stage
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    return both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+    return both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b")
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -24,15 +24,17 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(id, label) of every id in ``links`` (a, b): the smallest id reachable.
-    Each round is written and counted; the loop ends when a round changes
-    nothing, which takes about the logarithm of the longest path."""
-    now = stage(links.where("a <> b").distinct(), "links")
-    mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-    while mark[0]:
+    Each round is written; the loop ends when no id stands on both sides, so that
+    every component is one star, which takes about the logarithm of the longest
+    path."""
+    now = stage(links.where("a <> b"), "links")
+    while not now.select("a").join(now.select(F.col("b").alias("a")), "a", "left_semi").isEmpty() or _repeated(now):
         now = stage(_small_star(_large_star(now)), "links")
-        new = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if new == mark:
-            break
-        mark = new
     own = now.select("a").distinct().select(F.col("a").alias("id"), F.col("a").alias("label"))
-    return stage(own.unionByName(now.select(F.col("b").alias("id"), F.col("a").alias("label"))), "component-labels")
+    return stage(own.unionByName(now.select(F.col("b").alias("id"), F.col("a").alias("label"))).distinct(), "component-labels")
+
+
+def _repeated(links: DataFrame) -> bool:
+    """Whether an id hangs on two others, or on a larger one."""
+    per = links.groupBy("b").agg(F.min("a").alias("lo"), F.max("a").alias("hi"))
+    return not per.where("lo <> hi or lo > b").isEmpty()

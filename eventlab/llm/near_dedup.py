@@ -173,8 +173,10 @@ def _agree(x: np.ndarray, y: np.ndarray, label: np.ndarray, n: np.ndarray, sig:
 
 def _meeting(members: DataFrame, threshold: float) -> DataFrame:
     """Of members (key, lead, sid, label, n, sig), those whose signature agrees with
-    one of another label under the same key (where there are leads, with a lead),
-    and those they agree with; a key's rows come in one piece."""
+    one of another label under the same key (where there are leads, with a lead).
+    Without leads, members that agree directly or through others come under a key
+    of their own, a hash of their ids: most of them meet in several trees, and the
+    same company has the same key everywhere."""
     least = _least_agreement(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,21 +184,33 @@ def _meeting(members: DataFrame, threshold: float) -> DataFrame:
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             size = np.diff(np.append(first, len(key)))
             led = np.logical_or.reduceat(lead, first)
-            keep = np.zeros(len(key), bool)
+            keep, company = np.zeros(len(key), bool), key.copy()
             for at, m in zip(first[led], size[led]):
-                heads = at + np.flatnonzero(lead[at:at + m])
-                for h in heads:
+                for h in at + np.flatnonzero(lead[at:at + m]):
                     x, y, _ = _agree(np.array([h]), np.arange(at, at + m), label, n, sig, threshold, least)
                     keep[x] = keep[y] = True
+            pairs = [np.zeros((2, 0), np.int64)]
             for m in np.unique(size[~led & (size > 1)]):
                 rows = first[~led & (size == m)][:, None] + np.arange(m)
                 for block in np.array_split(rows, max(1, len(rows) * m // 20_000)):
-                    for i in range(m - 1):
-                        x, y, _ = _agree(block[:, i:i + 1], block[:, i + 1:], label, n, sig, threshold, least)
-                        keep[x] = keep[y] = True
+                    pairs += [np.stack(_agree(block[:, i:i + 1], block[:, i + 1:], label, n, sig, threshold, least)[:2]) for i in range(m - 1)]
+            x, y = np.concatenate(pairs, 1)
+            keep[x] = keep[y] = True
+            least_row = np.arange(len(key))
+            while len(x):
+                near = np.minimum(least_row[x], least_row[y])
+                if (near == least_row[x]).all() and (near == least_row[y]).all():
+                    break
+                np.minimum.at(least_row, x, near)
+                np.minimum.at(least_row, y, near)
+                least_row = least_row[least_row]
+            met = np.unique(np.concatenate([x, y]))
+            total = np.zeros(len(key), np.uint64)
+            np.add.at(total, least_row[met], mix64(sid[met].view(np.uint64)))
+            company[met] = mix64(total[least_row[met]]).view(np.int64)
             at = np.flatnonzero(keep)
             if len(at):
-                yield pa.record_batch([pa.array(key[at]), pa.array(lead[at]), pa.array(sid[at]), pa.array(label[at]), pa.array(n[at]),
+                yield pa.record_batch([pa.array(company[at]), pa.array(lead[at]), pa.array(sid[at]), pa.array(label[at]), pa.array(n[at]),
                                        _fixed(sig[at])], names=["key", "lead", "sid", "label", "n", "sig"])
 
     rows = members.select("key", "lead", "sid", "label", "n", "sig").repartition("key").sortWithinPartitions("key")
@@ -209,9 +223,10 @@ def _shared(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _linked(members: DataFrame, threshold: float, percent: int) -> DataFrame:
-    """(a, b): links among members (as of ``_meeting``) with their full sets. Pairs
-    are tried in order of agreement, and only while their components differ, so
-    the links of a key join what all its links would."""
+    """(a, b): labels that links among members (as of ``_meeting``) with their full
+    sets join, each with the least of its key. Pairs are tried in order of
+    agreement, and only while their components differ, so a key joins what all its
+    links would."""
     least = _least_agreement(threshold)
 
     def read(b: pa.RecordBatch) -> list[np.ndarray]:
@@ -247,8 +262,9 @@ def _linked(members: DataFrame, threshold: float, percent: int) -> DataFrame:
                         both = _shared(sets[i], sets[j])
                         if 100 * both >= percent * (n[i] + n[j] - both):
                             parent[max(p, q)] = min(p, q)
-                            a.append(min(sid[i], sid[j]))
-                            b.append(max(sid[i], sid[j]))
+                joined = [(root(v), v) for v in parent if root(v) != v]
+                a += [r for r, _ in joined]
+                b += [v for _, v in joined]
             if a:
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -320,33 +336,33 @@ def _open_nodes(rows: DataFrame, labels: DataFrame | None, members: DataFrame) -
                                    F.max(F.struct("k", "label"))["label"].alias("top"))
     several = size.where("size * size > sq").select("node", "size", "total", "top", ((F.col("size") * F.col("size") - F.col("sq")) / 2)
                                                     .alias("cross"))
-    nodes = stage(labelled.join(several, "node"), "near-nodes")
-    return stage(nodes.join(members.select("sid", "sig"), "sid"), "near-open")
+    nodes = labelled.join(several, "node")
+    return stage(nodes if "sig" in nodes.columns else nodes.join(members.select("sid", "sig"), "sid"), "near-open")
 
 
-def link_components(docs: DataFrame, sketches: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """((sid, label) of linked sets, confirmed (a, b) links)."""
+def link_components(docs: DataFrame, sketches: DataFrame, width: int, percent: int) -> DataFrame:
+    """(sid, label): the linked sets and the least sid of their component."""
     threshold = percent / 100
     members = stage(sketches.where("sid is not null and doc_id is not null").groupBy("sid").agg(
         F.min(F.struct("doc_id", "n", "tokens", "sig")).alias("m")).select("sid", "m.*"), "near-members")
     token = lambda k: F.substring("tokens", 4 * k + 1, 4)
     rows = members.select("sid", "n", F.explode(F.array(*[F.xxhash64(F.lit(k), token(k)) for k in range(TREES)])).alias("node"))
-    labels = links = sets = None
+    labels = sets = None
 
     def confirm(keyed: DataFrame, also: DataFrame | None = None) -> None:
         """Confirm what meets on full sets and join what is linked. The sets are
         made once, for those that meet first and all members of large nodes
         (``also``): later ones are among those."""
-        nonlocal labels, links, sets
-        met = stage(_meeting(keyed, threshold), "near-met")
+        nonlocal labels, sets
+        met = stage(_meeting(keyed, threshold).dropDuplicates(["key", "sid"]), "near-met")
         if sets is None:
             wanted = met.select("sid") if also is None else met.select("sid").unionByName(also.select("sid"))
             wanted = stage(wanted.distinct().join(members.select("sid", "doc_id"), "sid"), "near-wanted")
             sets = stage(_sets(docs, wanted, width), "near-sets")
-        new = stage(_linked(met.join(sets, "sid"), threshold, percent).distinct(), "near-links")
-        links = new if links is None else links.unionByName(new)
-        if labels is None or not new.isEmpty():
-            labels = components(links).withColumnRenamed("id", "sid")
+        new = _linked(met.join(sets, "sid"), threshold, percent)
+        if labels is not None:
+            new = new.unionByName(labels.select(F.col("label").alias("a"), F.col("sid").alias("b")))
+        labels = components(new).withColumnRenamed("id", "sid")
 
     few = F.col("cross") <= CROSS * F.col("size")
     for level in range(LEVELS + 1):
@@ -361,7 +377,7 @@ def link_components(docs: DataFrame, sketches: DataFrame, width: int, percent: i
             break
         confirm(keyed.unionByName(_around(large, stage(_leaders(large), "near-leaders"))), large)
         # the same nodes again, now that their true copies are joined
-        again = _open_nodes(large.select("sid", "n", "node"), labels, members)
+        again = _open_nodes(large.select("sid", "n", "sig", "node"), labels, members)
         branching = again.where((F.col("size") > MEDIUM) & ~few)
         last = level == LEVELS or branching.isEmpty()
         spread = (F.col("size") > MEDIUM) & few
@@ -375,14 +391,14 @@ def link_components(docs: DataFrame, sketches: DataFrame, width: int, percent: i
                   for j in range(BRANCHES)]
         pick = lambda k: F.substring(F.col("sig"), k.cast("int"), F.lit(1))
         children = F.array(*[F.xxhash64("node", F.lit(j), pick(x), pick(y)) for j, (x, y) in enumerate(chosen)])
-        rows = branching.select("sid", "n", F.explode(children).alias("node"))
-    return labels, links
+        rows = branching.select("sid", "n", "sig", F.explode(children).alias("node"))
+    return labels
 
 
 def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, tkey, n_shingles, group) of every row; no group without a set."""
     sketches = stage(sketch_documents(docs, width), "near-sketches")
-    labels, _ = link_components(docs, sketches, width, percent)
+    labels = link_components(docs, sketches, width, percent)
     slim = sketches.select("doc_id", "tkey", F.col("n").alias("n_shingles"), "sid")
     return slim.join(labels, "sid", "left").withColumn("group", F.coalesce("label", "sid"))
 

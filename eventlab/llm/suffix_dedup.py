@@ -12,6 +12,12 @@ A neighbour is the nearest suffix of another text, however many of its own text
 between. Those in other partitions are found through the partitions' edge rows, so a
 passage that a third of all texts hold is split over many tasks.
 
+The nearest suffix has the longest match to the right, but one further away may
+share more to the left. So where windows of L words have a shared position and are
+in no span yet, all windows around positions of that code are compared, by 128-bit
+hashes of their words: a window that another text has is a span. With them every
+repeated window is found.
+
 Repeats count across documents: texts that are equal are one text (all of it is
 a span if it has L words and two ids), repeats inside one text only are none.
 
@@ -28,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlab.llm.common import WORD, mix64, null_safe, text_key, text_slices, word_hashes
+from eventlab.llm.common import MAX_BROADCAST_ROWS, WORD, mix64, null_safe, small_side, text_key, text_slices, word_hashes
 from eventlab.sources.files import stage
 
 #: Words of a passage, and of the run that selects positions.
@@ -44,10 +50,7 @@ def anchors(words: np.ndarray, rows: np.ndarray, length: int = MIN_WORDS, run: i
     window = length - run + 1
     if n < window:
         return none
-    code = np.zeros(n, np.uint64)
-    for k in range(run):
-        code += mix64(words[k:n + k] * np.uint64((2 * k + 3) * 0xD1342543DE82EF95 % 2**64 | 1))
-    code = mix64(code)
+    code = _runs(words, run)
     # hash above, position below: the minimum of a window is its leftmost smallest run
     least = (code >> _BITS << _BITS) | np.arange(n, dtype=np.uint64)
     have = 1
@@ -62,6 +65,82 @@ def anchors(words: np.ndarray, rows: np.ndarray, length: int = MIN_WORDS, run: i
     return at, code[at]
 
 
+def _runs(words: np.ndarray, run: int) -> np.ndarray:
+    n = len(words) - run + 1
+    code = np.zeros(max(n, 0), np.uint64)
+    for k in range(run if n > 0 else 0):
+        code += mix64(words[k:n + k] * np.uint64((2 * k + 3) * 0xD1342543DE82EF95 % 2**64 | 1))
+    return mix64(code)
+
+
+def window_choices(words: np.ndarray, length: int, run: int) -> np.ndarray:
+    """The selected position of every window of ``length`` words of one text."""
+    n, window = len(words) - run + 1, length - run + 1
+    if n < window:
+        return np.zeros(0, np.int64)
+    least = (_runs(words, run) >> _BITS << _BITS) | np.arange(n, dtype=np.uint64)
+    have = 1
+    while have * 2 <= window:
+        least = np.minimum(least[:len(least) - have], least[have:])
+        have *= 2
+    if have < window:
+        least = np.minimum(least[:len(least) - (window - have)], least[window - have:])
+    return (least & ((np.uint64(1) << _BITS) - np.uint64(1))).astype(np.int64)
+
+
+def window_hashes(words: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the windows of ``length`` words at ``starts``."""
+    out = []
+    for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        total = np.zeros(len(starts), np.uint64)
+        each = mix64(words ^ np.uint64(salt))
+        for k in range(length):
+            total = total * np.uint64(0xD6E8FEB86659FD93) + each[starts + k]
+        out.append(mix64(total).view(np.int64))
+    return out[0], out[1]
+
+
+def _windows(texts: DataFrame, length: int, run: int) -> DataFrame:
+    """(w1, w2, tkey, start, code) of the windows of ``texts`` (tkey, text, positions,
+    and spans as starts and ends, sorted, or null) whose selected position is listed
+    and that lie in no span."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = [b.column(k).to_pylist() for k in (3, 4)]
+            for k, (key, text, positions) in enumerate(zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist())):
+                raw = np.frombuffer(text.as_buffer(), np.uint8) if text.as_buffer() else np.zeros(0, np.uint8)
+                words, _ = word_hashes(raw, np.array([0, len(raw)]))
+                codes, chosen = _runs(words, run), window_choices(words, length, run)
+                mine = np.isin(chosen, positions)
+                begin, end = (np.array(s[k] or [], np.int64) for s in spans)
+                at = np.searchsorted(begin, np.arange(len(chosen)), "right") - 1
+                inside = np.zeros(len(chosen), bool)
+                if len(begin):
+                    inside = (at >= 0) & (end[np.maximum(at, 0)] >= np.arange(len(chosen)) + length)
+                starts = np.flatnonzero(mine & ~inside)
+                for lo in range(0, len(starts), 100_000):
+                    part = starts[lo:lo + 100_000]
+                    w1, w2 = window_hashes(words, part, length)
+                    yield pa.record_batch([pa.array(w1), pa.array(w2), pa.array(np.full(len(part), key, np.int64)), pa.array(part.astype(np.int32)),
+                                           pa.array(codes[chosen[part]].view(np.int64))], names=["w1", "w2", "tkey", "start", "code"])
+
+    return texts.mapInArrow(go, "w1 long, w2 long, tkey long, start int, code long")
+
+
+def _joined_spans(matches: DataFrame) -> DataFrame:
+    """(tkey, start_word, end_word): spans of a text that touch as one."""
+    order = Window.partitionBy("tkey").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return (matches.withColumn("fresh", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))
+            .withColumn("part", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+            .groupBy("tkey", "part").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word")).drop("part"))
+
+
+#: Parts of a code that more texts share than a broadcast list of codes allows for.
+SALTS = 16
+
+
 def selected_positions(docs: DataFrame, length: int = MIN_WORDS, run: int = RUN) -> DataFrame:
     """(code, tkey, pos) of every text's selected positions."""
 
@@ -247,7 +326,14 @@ def repeated_spans(docs: DataFrame, length: int = MIN_WORDS, run: int = RUN) ->
     chosen = stage(selected_positions(docs, length, run), "suffix-positions")
     shared = (chosen.groupBy("code").agg(F.min("tkey").alias("lo"), F.max("tkey").alias("hi"))
               .where("lo <> hi").select("code"))
-    positions = chosen.join(shared, "code").groupBy("tkey").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
+    shared = stage(shared, "suffix-codes")
+    few = shared.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+    if few:
+        chosen = chosen.join(F.broadcast(shared), "code")
+    else:  # a code that most texts hold is met in parts
+        salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        chosen = chosen.withColumn("salt", F.pmod("tkey", F.lit(SALTS)).cast("int")).join(salted, ["code", "salt"])
+    positions = chosen.groupBy("tkey").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
     # one document stands for each text
     wanted = positions.join(copies.select("tkey", "doc_id"), "tkey")
     wanted = stage(wanted, "suffix-wanted")
@@ -262,12 +348,26 @@ def repeated_spans(docs: DataFrame, length: int = MIN_WORDS, run: int = RUN) ->
     whole = copies.where((F.col("ids") > 1) & (F.col("n_words") >= length)).select(
         "tkey", F.lit(0).alias("start"), F.col("n_words").alias("end"))
     matches = matches.select("tkey", "start", "end").unionByName(whole).distinct()
-    order = Window.partitionBy("tkey").orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    merged = (matches.withColumn("fresh", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))
-              .withColumn("part", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-              .groupBy("tkey", "part").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word")))
-    return slim.join(merged, "tkey").select("doc_id", "start_word", "end_word")
+    spans = stage(_joined_spans(matches), "suffix-joined")
+
+    held = spans.groupBy("tkey").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("spans"))
+
+    def windows_of(asked: DataFrame) -> DataFrame:
+        met = null_safe(keyed, asked, ["doc_id", "tkey"])
+        return _windows(met.select("tkey", "text", "positions", "starts", "ends"), length, run)
+
+    asked = wanted.join(held, "tkey", "left").select("doc_id", "tkey", "positions", F.col("spans.start_word").alias("starts"),
+                                                     F.col("spans.end_word").alias("ends"))
+    codes = stage(windows_of(asked).select("code").distinct(), "suffix-open")
+    around = (chosen.join(small_side(codes), "code").groupBy("tkey").agg(F.collect_set("pos").alias("positions"))
+              .join(copies.select("tkey", "doc_id"), "tkey"))
+    none = F.lit(None).cast("array<int>")
+    windows = stage(windows_of(around.withColumns({"starts": none, "ends": none})), "suffix-windows")
+    again = stage(windows.groupBy("w1", "w2").agg(F.min("tkey").alias("lo"), F.max("tkey").alias("hi")).where("lo <> hi")
+                  .select("w1", "w2"), "suffix-repeated")
+    more = windows.join(small_side(again), ["w1", "w2"]).select("tkey", "start", (F.col("start") + length).alias("end"))
+    every = spans.select("tkey", F.col("start_word").alias("start"), F.col("end_word").alias("end")).unionByName(more)
+    return slim.join(_joined_spans(every), "tkey").select("doc_id", "start_word", "end_word")
 
 
 def op5_suffix_dedup(docs: DataFrame) -> DataFrame:
