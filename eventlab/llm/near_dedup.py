@@ -47,7 +47,7 @@ from eventlab.sources.files import stage
 TREES = 8
 #: Members of a node above which central members are compared first, and above which it branches.
 SMALL = 64
-MEDIUM = 1024
+MEDIUM = 4096
 BRANCHES = 2
 LEADERS = 4
 CROSS = 64
