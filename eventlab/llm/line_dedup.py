@@ -38,8 +38,9 @@ INK = r"[^\x20\x09-\x0D]"
 GAP = r"[\x20\x09-\x0D]+"
 #: White space that doesn't stand singly between words; a line holds no line feed.
 UNEVEN = ("  ", "\t", "\x0b", "\x0c", "\r")
-#: Words from which a line's variants are made word by word instead of from its text.
-LONG = 512
+#: Words from which a line's variants are made word by word instead of from its text
+#: (which takes the square of the words, about 0.1 GB hashed for a line of so many).
+LONG = 4096
 
 
 def _even(line: Column) -> Column:
@@ -121,9 +122,11 @@ def _variants_by_word(found: DataFrame) -> DataFrame:
     upto = line.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = F.bit_xor("here").over(upto).bitwiseXOR(F.col("here"))
     after = F.bit_xor("moved").over(line).bitwiseXOR(F.bit_xor("moved").over(upto))
-    gone = words.select("lid", (F.col("at") + 1).cast("int").alias("gone"), before.bitwiseXOR(after).alias("key"))
-    whole = words.groupBy("lid").agg(F.bit_xor("here").alias("key")).select("lid", F.lit(0).alias("gone"), "key")
-    return whole.unionByName(gone)
+    gone = F.struct((F.col("at") + 1).cast("int").alias("gone"), before.bitwiseXOR(after).alias("key"))
+    whole = F.struct(F.lit(0).alias("gone"), F.bit_xor("here").over(line).alias("key"))
+    keyed = words.select("lid", "at", gone.alias("one"), whole.alias("all"))
+    both = F.when(F.col("at") == 0, F.array("all", "one")).otherwise(F.array("one"))
+    return keyed.select("lid", F.explode(both).alias("v")).select("lid", "v.gone", "v.key")
 
 
 def near_lines(lines: DataFrame, first: DataFrame) -> DataFrame:

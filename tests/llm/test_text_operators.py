@@ -593,7 +593,7 @@ def test_line_dedup_of_very_long_lines_and_texts(spark):
     edited = words[:9_000] + ["new"] + words[9_001:]
     shorter = words[:15_000] + words[15_001:]
     other = words[:100] + ["two", "edits"] + words[102:]
-    mid = [_prose(rng, 1) for _ in range(513)]
+    mid = [_prose(rng, 1) for _ in range(line_dedup.LONG + 1)]
     lines = [" ".join(w) for w in (words, edited, shorter, other, mid, mid[:300] + mid[301:], mid[:-1] + ["last"], mid + ["more"])]
     many = [_prose(rng, 3) for _ in range(5_000)]
     docs = [(k, x) for k, x in enumerate(lines)] + [(100, "\n".join(many + many[:2500]))]
