@@ -321,16 +321,68 @@ def test_lm_counts_and_base(spark):
     assert better > 0
 
 
-def test_lm_probabilities_sum_to_one():
-    w = language_model.Weights()
-    rng = np.random.default_rng(0)
-    w.parts = [rng.normal(size=p.shape).astype(np.float32) for p in w.parts]
-    assert np.allclose(np.exp(w.log_p(np.arange(0, language_model.CONTEXTS, 97))).sum(1), 1, atol=1e-5)
+def test_lm_score_equals_a_plain_model(spark):
+    """Every word's path walked choice by choice with the fitted weights."""
+    docs = read_table(spark, SF, "documents").select("doc_id", "text")
+    held = language_model.fold_remainder("doc_id", 10) == 0
+    got = {r["doc_id"]: r["score"] for r in language_model.op4_lm_score(docs).collect()}
+    classes, weights, counts, _, _ = language_model.fit(docs.where(~held))
+    count = {r["w"] % 2**64: r["c"] for r in counts.collect()}
+    leaf_of = dict(zip(classes.words.tolist(), classes.leaves.tolist()))
+    mix, bits, odd = language_model.mix64, len(weights).bit_length() - 1, 0xD6E8FEB86659FD93
+    one = lambda x: int(mix(np.array([x % 2**64], np.uint64))[0])
+    rows = docs.where(held).collect()
+    assert len(rows) > 10
+    for r in rows[:12]:
+        words = next(language_model.text_words(pa.array([r["text"]])))[2].tolist()
+        start, score = int(language_model.START_HASH), 0.0
+        for k, w in enumerate(words):
+            v, u = words[k - 1] if k else start, words[k - 2] if k > 1 else start
+            leaf = leaf_of.get(w, classes.own + (w >> 56))
+            lo = classes.first[leaf]
+            for at in range(lo, lo + classes.length[leaf]):
+                node = one((int(classes.nodes[at]) + 1) * 0x9E3779B97F4A7C15)
+                z = classes.bias[classes.nodes[at]].astype(float)
+                for f in (one(v + 1), one(u + 2)):
+                    z = z + weights[((f ^ node) * odd % 2**64) >> (64 - bits)]
+                z = np.clip(z, -40, 40)
+                score += (z[classes.members[at]] - math.log(np.exp(z).sum())) / math.log(10)
+            if leaf >= classes.own:
+                score += math.log10(count.get(w, 0) + 0.1) - classes.shared_totals[leaf - classes.own]
+        assert got[r["doc_id"]] == pytest.approx(score, rel=1e-4)
 
 
-def test_lm_learns_pairs_of_ordinary_words(spark, monkeypatch):
-    """Words of one ending class: only the words before tell which one follows.
-    The rows of a history sum to one, broadcast or joined."""
+def test_lm_probabilities_sum_to_one():
+    """Over all leaves after any history, and over the words of a shared leaf."""
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 16, 17, 500):
+        leaf_weights = rng.integers(1, 1000, n).astype(float)
+        first, length, nodes, members = language_model.code_paths(leaf_weights)
+        bias = language_model.class_bias(leaf_weights, first, length, nodes, members)
+        weights = rng.normal(size=(len(bias), 16))
+        z = np.where(bias > math.log(2e-13), bias + weights, -40)
+        log_p = z - np.log(np.exp(z).sum(1, keepdims=True))
+        total = sum(math.exp(sum(log_p[c, m] for c, m in zip(nodes[f:f + k], members[f:f + k]))) for f, k in zip(first, length))
+        assert total == pytest.approx(1, abs=1e-9)
+        plain = sum(math.exp(sum(bias[c, m] for c, m in zip(nodes[f:f + k], members[f:f + k]))) for f, k in zip(first, length))
+        assert plain == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_places_words_like_a_search():
+    rng = np.random.default_rng(3)
+    words = np.unique(np.concatenate([rng.integers(0, 2**63, 5000, dtype=np.uint64) << np.uint64(1), np.arange(40, dtype=np.uint64)]))
+    paths = language_model.code_paths(np.ones(300))
+    classes = language_model.Classes(words, np.ones(len(words)), np.arange(len(words)), 44, *paths, np.zeros((1, 16)), np.zeros(256))
+    asked = np.concatenate([words[::3], rng.integers(0, 2**63, 2000, dtype=np.uint64), words[:5] + np.uint64(1)])
+    leaf, at = classes.place(asked)
+    for w, one, k in zip(asked.tolist(), leaf.tolist(), at.tolist()):
+        where = int(np.searchsorted(words, np.uint64(w)))
+        known = where < len(words) and int(words[where]) == w
+        assert (k, one) == ((where, where) if known else (-1, 44 + (w >> 56)))
+
+
+def test_lm_learns_pairs_of_ordinary_words(spark):
+    """Only the words before tell which one follows."""
     rng = random.Random(8)
     heads = [f"q{k}x" for k in range(400)]
     tails = [f"{k}zz" for k in range(400)]
@@ -343,23 +395,24 @@ def test_lm_learns_pairs_of_ordinary_words(spark, monkeypatch):
     pair, other = f"{tails[5]} {heads[5]}{tails[5]}", f"{tails[5]} {heads[6]}{tails[6]}"
     rows = list(zip(ids, train)) + list(zip(held, (right, wrong, pair, other)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    both = []
-    for most in (400_000, 5):
-        monkeypatch.setattr(language_model, "KNOWN_TRIPLES", most)
-        score = {r["doc_id"]: r["score"] for r in language_model.op4_lm_score(docs).collect()}
-        assert score[held[0]] > score[held[1]] + 1  # a skip pair
-        assert score[held[2]] > score[held[3]] + 1  # a bigram
-        both.append(score)
-    assert both[0] == pytest.approx(both[1])
-
-
-def test_lm_pair_shares_grow_and_sum_to_one(spark):
-    triples = spark.createDataFrame([(1, 10, 100, 3), (1, 10, 101, 1), (2, 10, 100, 2), (2, 11, 102, 0)], "u long, v long, w long, n long")
-    got = language_model.pair_shares(triples, "v", "near").collect()
-    assert len(got) == 3
-    ten = [r for r in got if r["v"] == 10]
-    assert sum(r["near_share"] for r in ten) + ten[0]["near_rest"] == pytest.approx(1)
-    assert {(r["near_share"], r["near_rest"]) for r in got if r["v"] == 11} == {(0.0, 1.0)}
+    score = {r["doc_id"]: r["score"] for r in language_model.op4_lm_score(docs).collect()}
+    assert score[held[0]] > score[held[1]] + 1  # a skip pair
+    assert score[held[2]] > score[held[3]] + 1  # a bigram
+
+
+def test_lm_counts_of_joined_words(spark, monkeypatch):
+    """Counts and base are the same whether a word's count is broadcast or joined, and
+    a run gives the same scores again."""
+    docs = read_table(spark, SF, "documents")
+    columns = ("doc_id", "n_tokens", "n_known", "train_tokens")
+    every = []
+    for most in (400_000, 5, 5):
+        monkeypatch.setattr(language_model, "KNOWN_WORDS", most)
+        every.append({r["doc_id"]: r for r in language_model.op4_lm_score(docs).collect()})
+    for d, r in every[0].items():
+        assert [r[c] for c in columns] == [every[1][d][c] for c in columns]
+        assert r["base_score"] == pytest.approx(every[1][d]["base_score"], rel=1e-9)
+        assert every[2][d]["score"] == pytest.approx(every[1][d]["score"], rel=1e-9)
 
 
 # ---- byte-pair encoding
