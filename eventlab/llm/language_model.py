@@ -14,7 +14,7 @@ count and the number of training words there; the 0.1 left is that of unseen wor
 Features of a history, each joined with the class where the choice is made, are the
 word before (n-gram) and the word two back (skip): whole words, hashed into a table of
 16 weights a row. The table has one row for about ``TOKENS_A_ROW`` training tokens, up to
-2**``MAX_BITS`` rows (64 MB), the documented bound of what is broadcast. The bias
+2**``MAX_BITS`` rows (32 MB), the documented bound of what is broadcast. The bias
 of a class is the logarithm of its members' training counts and stays as it is.
 
 Training reads every training text once, in ``ROUNDS`` rounds of texts dealt by their
@@ -55,7 +55,7 @@ WAYS = 16
 OWN_LEAVES, SHARED_BITS = 32_768, 8
 SHARED_LEAVES = 1 << SHARED_BITS
 #: Size of the table of hashed features.
-TOKENS_A_ROW, MIN_BITS, MAX_BITS = 48, 16, 20
+TOKENS_A_ROW, MIN_BITS, MAX_BITS = 48, 16, 19
 #: Sums of weights are held between these bounds.
 Z_MAX = np.float32(40)
 #: Buckets of the index over known words (by the first bits of their hashes).
@@ -70,7 +70,7 @@ SLICE = 1 << 20
 #: Training: rounds, tokens of a step and of a task at least, and the step size.
 ROUNDS = 2
 STEP_BYTES = 1 << 16
-TASK_TOKENS = 4_000_000
+TASK_TOKENS = 8_000_000
 RATE = 0.25
 
 
