@@ -8,9 +8,12 @@ still open where its partition ends is carried to the later partitions that it
 reaches, which the partitions' first places tell. A hot key is split over time
 like any other stretch of rows.
 
-Inside a task marks are taken in blocks: the open intervals of a block meet its
-points in one comparison, so the work follows the pairs that are found and the
-intervals that begin or end within a block.
+Inside a task marks are taken in blocks. An interval that is open from a block's
+first point to its last meets every point of it, so the points and these intervals
+leave the task as two lists of one row; those that begin or end within the block are
+compared with its points, and each point leaves with its list. The pairs, which may
+be as many as points times intervals, are made by Spark from the lists and never pass
+through Python.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from eventlab.sources.files import stage
 
 #: Marks that are compared with the open intervals at once.
 BLOCK = 512
-#: Rows of one batch of results.
-OUT_ROWS = 1 << 16
+#: Intervals of one list at most, and pairs of one batch of compared intervals.
+LIST_ROWS, OUT_ROWS = 1 << 13, 1 << 16
 
 
 def _marks(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point_time: str, start: str, end: str) -> DataFrame:
@@ -73,7 +76,8 @@ def sweep_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str], poi
     carried = (ranged.where("_kind = 0").join(F.broadcast(first), ["_k1", "_k2"]).where("_to > _part and _from <= _e")
                .drop("_part", "_from").withColumnRenamed("_to", "_part"))
     every = ranged.unionByName(carried.select(*ranged.columns))
-    swept = every.repartition(parts, "_part").sortWithinPartitions("_part", *order)
+    # by range: hashes of as many numbers as partitions would meet in some and leave others empty
+    swept = every.repartitionByRange(parts, "_part").sortWithinPartitions("_part", *order)
 
     names = [*points.columns, *[c for c in intervals.columns if c not in keys]]
     left, n_points = how == "left", len(points.columns)
@@ -101,22 +105,40 @@ def sweep_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str], poi
                         starts = np.full(len(ends), np.iinfo(np.int64).min)
                     asked_at = np.flatnonzero(is_point[a:z]) + a
                     if len(asked_at):
-                        inside = (starts[None] <= t[asked_at][:, None]) & (t[asked_at][:, None] <= ends[None]) & timed[asked_at][:, None]
-                        which, row = np.nonzero(inside)
-                        alone = asked_at[~inside.any(1)] if left else asked_at[:0]
-                        yield from emit(batch, asked_at[which], open_rows, row, alone)
+                        yield from meet(batch, asked_at, timed[asked_at], t[asked_at], starts, ends, open_rows)
                     keep = ends >= t[z - 1]
                     if len(ends) and not keep.all():
                         open_rows, ends = open_rows.take(pa.array(np.flatnonzero(keep))), ends[keep]
 
-    def emit(batch: pa.RecordBatch, which: np.ndarray, open_rows, row: np.ndarray, alone: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for a in range(0, len(which), OUT_ROWS):
-            p = batch.column(5).take(pa.array(which[a:a + OUT_ROWS])).flatten()
-            yield pa.record_batch([*p, *open_rows.take(pa.array(row[a:a + OUT_ROWS])).flatten()], names=names)
-        if len(alone):
-            p = batch.column(5).take(pa.array(alone)).flatten()
-            yield pa.record_batch([*p, *[pa.nulls(len(alone), f.type) for f in batch.column(6).type]], names=names)
+    def meet(batch: pa.RecordBatch, asked_at: np.ndarray, timed: np.ndarray, t: np.ndarray, starts: np.ndarray, ends: np.ndarray,
+             open_rows) -> Iterator[pa.RecordBatch]:
+        points, met = batch.column(5).take(pa.array(asked_at)), np.zeros(len(asked_at), bool)
+        times = t[timed]
+        if len(times) and len(ends):
+            through = (starts <= times.min()) & (ends >= times.max())
+            whole, some = np.flatnonzero(through), np.flatnonzero(~through & (starts <= times.max()) & (ends >= times.min()))
+            with_time = points.filter(pa.array(timed))
+            for k in range(0, len(whole), LIST_ROWS):
+                yield lists(with_time, [0, len(times)], open_rows.take(pa.array(whole[k:k + LIST_ROWS])), [0, len(whole[k:k + LIST_ROWS])])
+            met |= timed & bool(len(whole))
+            step = max(1, OUT_ROWS // max(1, len(some)))
+            for k in range(0, len(t) if len(some) else 0, step):
+                inside = (starts[some][None] <= t[k:k + step, None]) & (t[k:k + step, None] <= ends[some][None]) & timed[k:k + step, None]
+                found = inside.sum(1)
+                which = np.flatnonzero(found)
+                met[k + which] = True
+                if len(which):
+                    rows = open_rows.take(pa.array(some[np.nonzero(inside)[1]]))
+                    yield lists(points.take(pa.array(k + which)), np.arange(len(which) + 1), rows, np.append(0, np.cumsum(found[which])))
+        if left and not met.all():
+            alone = points.filter(pa.array(~met))
+            yield lists(alone, [0, len(alone)], pa.nulls(1, batch.column(6).type), [0, 1])
+
+    def lists(points, point_offsets, intervals, interval_offsets) -> pa.RecordBatch:
+        columns = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), v) for o, v in ((point_offsets, points), (interval_offsets, intervals))]
+        return pa.record_batch(columns, names=["_p", "_i"])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in [*points.schema.fields, *[intervals.schema[c] for c in names[n_points:]]]]
     cols = ["_k1", "_k2", "_t", "_kind", "_e", "_p", "_i", "_part"]
-    return swept.select(*cols).mapInArrow(run, ", ".join(kinds))
+    kinds = f"_p array<{points.schema.simpleString()}>, _i array<{_struct(intervals, keys)}>"
+    pairs = swept.select(*cols).mapInArrow(run, kinds).select(F.explode("_p").alias("_p"), "_i").select("_p", F.explode("_i").alias("_i"))
+    return pairs.select(*[F.col("_p")[c].alias(c) for c in points.columns], *[F.col("_i")[c].alias(c) for c in names[n_points:]])

@@ -58,6 +58,27 @@ def test_sweep_equals_the_bucket_join(spark):
     assert sorted(map(tuple, a.select(*b.columns).collect())) == sorted(map(tuple, b.collect()))
 
 
+@pytest.mark.parametrize("list_rows, out_rows", [(8192, 65536), (7, 20)])
+def test_nested_spans_leave_python_as_lists(spark, monkeypatch, list_rows, out_rows):
+    from eventlab.operators import sweep
+    monkeypatch.setattr(sweep, "LIST_ROWS", list_rows)
+    monkeypatch.setattr(sweep, "OUT_ROWS", out_rows)
+    at = lambda minutes: T0 + timedelta(minutes=minutes)
+    points = [("k", i, at(i)) for i in range(0, 3000, 3)] + [("k", -1, None)]
+    spans = [("k", j, at(j % 40), at(2990 - j % 30)) for j in range(150)]
+    p = spark.createDataFrame(points, "k string, i int, t timestamp_ntz")
+    s = spark.createDataFrame(spans, "k string, j int, s timestamp_ntz, e timestamp_ntz")
+    want = sorted((i, j) for _, i, t in points for _, j, a, z in spans if t and a <= t <= z)
+    got, left = (sweep_join(p, s, ["k"], "t", "s", "e", how) for how in ("inner", "left"))
+    # 150,000 pairs: the worker's rows hold lists, from which Spark makes the pairs
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("explode(_i") < plan.index("explode(_p") < plan.index("MapInArrow")
+    assert sorted((r["i"], r["j"]) for r in got.select("i", "j").collect()) == want
+    met = {i for i, _ in want}
+    assert sorted((r["i"], -1 if r["j"] is None else r["j"]) for r in left.select("i", "j").collect()) == sorted(
+        want + [(i, -1) for _, i, _ in points if i not in met])
+
+
 def test_sweep_of_empty_tables(spark):
     _, _, p, s = _tables(spark, 1)
     assert sweep_join(p.limit(0), s, ["k"], "t", "s", "e").count() == 0
