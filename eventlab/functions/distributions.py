@@ -193,9 +193,10 @@ def _horner(coefs, x):
 def normal_quantile(p):
     """Normal quantile of a probability column, as a Catalyst expression."""
     q = p - F.lit(0.5)
-    near = F.lit(0.180625) - q * q
-    r = F.sqrt(-F.ln(F.least(p, F.lit(1.0) - p)))
+    return _quantile(q, F.lit(0.180625) - q * q, F.sqrt(-F.ln(F.least(p, F.lit(1.0) - p))))
 
+
+def _quantile(q, near, r):
     def ratio(part, x):
         top, bottom = NORMAL_QUANTILE[part]
         return _horner([F.lit(c) for c in top], x) / _horner([F.lit(c) for c in bottom], x)
@@ -204,6 +205,15 @@ def normal_quantile(p):
     return F.when(F.abs(q) <= 0.425, q * ratio("centre", near)).otherwise(F.signum(q) * tail)
 
 
+def with_normal_quantile(df, p, out: str):
+    """``df`` with the same quantile of ``p`` as the column ``out``. What the polynomials
+    are taken of are columns: as one expression, roots and logarithms stand in
+    every term and the code is too long for Java to compile."""
+    df = df.withColumn("_p", p).withColumn("_q", F.col("_p") - F.lit(0.5))
+    df = df.withColumns({"_near": F.lit(0.180625) - F.col("_q") * F.col("_q"), "_r": F.sqrt(-F.ln(F.least("_p", F.lit(1.0) - F.col("_p"))))})
+    return df.withColumn(out, _quantile(F.col("_q"), F.col("_near"), F.col("_r"))).drop("_p", "_q", "_near", "_r")
+
+
 def normal_quantile_sql(p: str) -> str:
     """DuckDB text of the same expression."""
     def poly(coefs, x):

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from eventlab.functions.distributions import normal_quantile
+from eventlab.functions.distributions import with_normal_quantile
 from eventlab.operators.design import Design, Term, model_rows
 from eventlab.operators.linear import (
     Gram,
@@ -257,13 +257,16 @@ def weighted_fit(design: Design, sums: GroupSums | LevelTables, var: dict[str, f
     return fit, effects
 
 
-def fit_random_intercepts(df: DataFrame, y: str, design: Design, groups: Sequence[str]) -> MixedFit:
+def fit_random_intercepts(df: DataFrame, y: str, design: Design, groups: Sequence[str], keep_rows: bool = False) -> MixedFit:
     """H6: fixed effects from ``design`` plus random intercepts for each
     column in ``groups`` (composite groups are plain concatenated columns).
     Rows with a NULL among them, or a factor at an undeclared level, are
-    dropped."""
+    dropped. With ``keep_rows`` the rows are staged, so that what reads them after
+    the fit does not make them again."""
     groups = list(groups)
     rows = model_rows(df, design, [y, *groups])
+    if keep_rows:
+        rows = stage(rows, "mixed-rows")
     sums, cells = group_sums(rows, y, design, groups)
     var = estimate_variances(sums, fit_from_gram(design, sums.gram))
     fixed, found = weighted_fit(design, sums, var)
@@ -330,11 +333,14 @@ def global_rank(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
 def normal_scores(df: DataFrame, col: str, out: str = "theoretical", tiebreak: Sequence[str] = ()) -> DataFrame:
     """QQ scores: z = qnorm(ppoints(n))[rank(x)], with an exact global rank;
     equal values are ranked by ``tiebreak``."""
-    ranked = global_rank(df.withColumn(col, F.col(col).cast("double")), [col, *tiebreak], "_rank")
-    n = F.lit(ranked.count())
-    a = F.when(n <= 10, 0.375).otherwise(0.5)
-    p = (F.col("_rank") - a) / (n + 1 - 2 * a)
-    return ranked.withColumn(out, normal_quantile(p)).drop("_rank")
+    return _scores(global_rank(df.withColumn(col, F.col(col).cast("double")), [col, *tiebreak], "_rank"), out)
+
+
+def _scores(ranked: DataFrame, out: str) -> DataFrame:
+    """The normal scores of the column ``_rank``, in its place."""
+    n = ranked.count()
+    a = 0.375 if n <= 10 else 0.5
+    return with_normal_quantile(ranked, (F.col("_rank") - F.lit(a)) / F.lit(n + 1 - 2 * a), out).drop("_rank")
 
 
 def diagnostics(fit: MixedFit, ids: Sequence[str] = ()) -> DataFrame:
@@ -349,9 +355,12 @@ def diagnostics(fit: MixedFit, ids: Sequence[str] = ()) -> DataFrame:
     out = (cur.withColumn("fitted", fit.fitted_expr())
            .withColumn("resid", F.col(fit.y) - F.col("fitted"))
            .withColumn("std_resid", F.col("resid") / F.lit(sd)))
-    scored = normal_scores(out.select(*dict.fromkeys([*ids, *fit.groups]), "fitted", "resid", "std_resid"), "resid",
-                           tiebreak=list(ids))
-    return global_rank(scored, list(ids), "index") if ids else scored
+    names = [*dict.fromkeys([*ids, *fit.groups]), "fitted", "resid", "std_resid"]
+    ranked = global_rank(out.select(*names), ["resid", *ids], "_rank")
+    if ids:
+        ranked = global_rank(ranked, list(ids), "index")
+    # scores come last: a range partition computes what it is given twice, to find its bounds and to deal the rows
+    return _scores(ranked, "theoretical").select(*names, "theoretical", *(["index"] if ids else []))
 
 
 RANEF_SCHEMA = StructType([StructField("factor", StringType()), StructField("group", StringType()),

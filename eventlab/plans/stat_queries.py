@@ -353,10 +353,10 @@ def q_marginal_contrasts(spark, sf_dir):
 ROW_IDS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
-def _mixed(spark, sf_dir):
+def _mixed(spark, sf_dir, keep_rows=False):
     d = design()
     return fit_random_intercepts(model_df(spark, sf_dir).select(
-        "y", "Treatment", "qty", "crop", *RANDOM, *ROW_IDS), "y", d, RANDOM)
+        "y", "Treatment", "qty", "crop", *RANDOM, *ROW_IDS), "y", d, RANDOM, keep_rows)
 
 
 @register("variance_components")
@@ -380,7 +380,7 @@ def q_random_effects(spark, sf_dir):
 @register("residual_diagnostics")
 def q_residual_diagnostics(spark, sf_dir):
     """Fitted, residual, standardised residual, QQ score and index per row."""
-    return diagnostics(_mixed(spark, sf_dir), ROW_IDS)
+    return diagnostics(_mixed(spark, sf_dir, keep_rows=True), ROW_IDS)
 
 
 @register("mixed_coefficients")
@@ -660,7 +660,7 @@ def q_one_way_mean(spark, sf_dir):
 def q_plain_diagnostics(spark, sf_dir):
     """H11 for a mean only: residual, its standardised form, QQ score, index."""
     m = model_df(spark, sf_dir).select("y", *ROW_IDS)
-    out = diagnostics(fit_random_intercepts(m, "y", build_design([], {}), []), ROW_IDS)
+    out = diagnostics(fit_random_intercepts(m, "y", build_design([], {}), [], keep_rows=True), ROW_IDS)
     return out.select(*ROW_IDS, "index", "resid", "std_resid", "theoretical")
 
 

@@ -263,6 +263,37 @@ def test_diagnostics_rank_ties_by_ids(spark):
     assert [out[i]["theoretical"] for i in order] == pytest.approx(want, abs=1e-9)
 
 
+def test_diagnostics_compute_scores_once_and_last(spark, monkeypatch):
+    from eventlab.operators import mixed
+    ranked, given = mixed.global_rank, []
+
+    def seen(df, order, out):
+        given.append((out, df.columns))
+        return ranked(df, order, out)
+
+    monkeypatch.setattr(mixed, "global_rank", seen)
+    left = spark.createDataFrame([(i, float(i * 7919 % 500)) for i in range(500)], "id long, y double")
+    right = spark.createDataFrame([(i, f"g{i % 3}") for i in range(500)], "id long, g string")
+    fit = fit_random_intercepts(left.join(right, "id"), "y", build_design([], {}), ["g"], keep_rows=True)
+    assert "Join" not in fit.rows._jdf.queryExecution().optimizedPlan().toString()
+    out = mixed.diagnostics(fit, ["id"])
+    # what is range-partitioned is computed twice: the scores are not part of it
+    assert [name for name, _ in given] == ["_rank", "index"] and not any("theoretical" in columns for _, columns in given)
+    assert out.columns == ["id", "g", "fitted", "resid", "std_resid", "theoretical", "index"]
+    rows = out.orderBy("resid", "id").collect()
+    assert [r["theoretical"] for r in rows] == pytest.approx(norm_ppf((np.arange(1, 501) - 0.5) / 500), abs=1e-9)
+    assert [r["index"] for r in out.orderBy("id").collect()] == list(range(1, 501))
+
+
+def test_quantile_columns_equal_the_expression(spark):
+    from pyspark.sql import functions as F
+    from eventlab.functions.distributions import normal_quantile, with_normal_quantile
+    p = [1e-300, 1e-20, 1e-9, 0.001, 0.02, 0.075, 0.3, 0.5, 0.77, 0.925, 0.999, 1 - 1e-9, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(p)], "i int, p double")
+    got = with_normal_quantile(df.withColumn("z", normal_quantile(F.col("p"))), F.col("p"), "y")
+    assert got.columns == ["i", "p", "z", "y"] and got.where("not (y <=> z)").count() == 0
+
+
 def test_screen_of_a_mixed_fit(spark):
     from eventlab.operators.linear import screen_covariates
     ia, ib, x, w, y = _crossed(n=400)
