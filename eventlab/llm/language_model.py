@@ -67,7 +67,8 @@ KNOWN_WORDS = 400_000
 #: Stand-ins for the end token and for places before a text; bytes handled at once.
 END_HASH, START_HASH = np.uint64(0xE17A1465F1A8D3B5), np.uint64(0x3C6EF372FE94F82B)
 SLICE = 1 << 20
-#: Training: rounds, tokens of a step and of a task at least, and the step size.
+#: Training: rounds, bytes of a step, tokens that a task reads in a round, and the step
+#: size. Every task hands on a table's changes, so their number sets what is shuffled.
 ROUNDS = 2
 STEP_BYTES = 1 << 16
 TASK_TOKENS = 8_000_000
@@ -241,6 +242,11 @@ def table_bits(tokens: int) -> int:
     return int(np.clip(round(np.log2(max(tokens, 1) / TOKENS_A_ROW)), MIN_BITS, MAX_BITS))
 
 
+def round_tasks(tokens: int) -> int:
+    """Tasks of a training round, which reads one part in ``ROUNDS`` of the tokens."""
+    return max(1, -(-tokens // (ROUNDS * TASK_TOKENS)))
+
+
 def train(texts: DataFrame, classes: Classes, tokens: int) -> np.ndarray:
     """Weights (table rows x 16) after all rounds."""
     spark = texts.sparkSession
@@ -278,7 +284,7 @@ def train(texts: DataFrame, classes: Classes, tokens: int) -> np.ndarray:
     schema = "block int, change binary, gain binary"
     for turn in range(ROUNDS):
         sent = spark.sparkContext.broadcast(pickle.dumps((classes, weights, square)))
-        mine = texts.where(F.pmod(text_key("text"), F.lit(ROUNDS)) == turn).select("text").coalesce(max(1, tokens // TASK_TOKENS))
+        mine = texts.where(F.pmod(text_key("text"), F.lit(ROUNDS)) == turn).select("text").coalesce(round_tasks(tokens))
         changes = mine.mapInArrow(learn(uuid.uuid4().hex, sent), "block int, part int, change binary, gain binary").groupBy("block").applyInArrow(average, schema)
         for r in changes.toArrow().to_pylist():
             lo = r["block"] * BLOCK

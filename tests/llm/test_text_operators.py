@@ -400,6 +400,21 @@ def test_lm_learns_pairs_of_ordinary_words(spark):
     assert score[held[2]] > score[held[3]] + 1  # a bigram
 
 
+def test_lm_training_tasks_follow_the_tokens_of_a_round(spark, monkeypatch):
+    """A task hands on a whole table's changes, so there is one for every TASK_TOKENS
+    that a round reads, and five times the tokens make no more than five times the tasks."""
+    a_task = language_model.TASK_TOKENS * language_model.ROUNDS
+    for tokens in (0, 1, a_task, a_task + 1, 23_900_000, 119_900_000, 7_000_000_000):
+        tasks = language_model.round_tasks(tokens)
+        assert tasks == max(1, math.ceil(tokens / a_task))
+        assert language_model.round_tasks(5 * tokens) <= 5 * tasks
+    asked, tasks_of = [], language_model.round_tasks
+    monkeypatch.setattr(language_model, "round_tasks", lambda tokens: asked.append(tokens) or tasks_of(tokens))
+    docs = spark.createDataFrame([(k, f"a b{k % 7} c") for k in range(60)], "doc_id long, text string").repartition(4)
+    rows = language_model.op4_lm_score(docs).collect()
+    assert len(rows) == 60 and set(asked) == {r["train_tokens"] for r in rows}
+
+
 def test_lm_counts_of_joined_words(spark, monkeypatch):
     """Counts and base are the same whether a word's count is broadcast or joined, and
     a run gives the same scores again."""
