@@ -9,11 +9,12 @@ reaches, which the partitions' first places tell. A hot key is split over time
 like any other stretch of rows.
 
 Inside a task marks are taken in blocks. An interval that is open from a block's
-first point to its last meets every point of it, so the points and these intervals
-leave the task as two lists of one row; those that begin or end within the block are
-compared with its points, and each point leaves with its list. The pairs, which may
-be as many as points times intervals, are made by Spark from the lists and never pass
-through Python.
+first point to its last meets every point of it, so some points and some of these
+intervals leave the task as two lists of one row; those that begin or end within the
+block are compared with its points, and each point leaves with its list. The pairs,
+which may be as many as points times intervals, are made by Spark from the lists and
+never pass through Python. Spark's generated code holds all pairs of a row before it
+hands on the first, so a row's lists are kept short.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ from eventlab.sources.files import stage
 
 #: Marks that are compared with the open intervals at once.
 BLOCK = 512
-#: Intervals of one list at most, and pairs of one batch of compared intervals.
-LIST_ROWS, OUT_ROWS = 1 << 13, 1 << 16
+#: Points or intervals of one list at most (a row makes at most the square in pairs), and
+#: intervals of one batch of lists or pairs of one batch of compared intervals.
+LIST_ROWS, OUT_ROWS = 1 << 6, 1 << 16
 
 
 def _marks(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point_time: str, start: str, end: str) -> DataFrame:
@@ -118,27 +120,37 @@ def sweep_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str], poi
             through = (starts <= times.min()) & (ends >= times.max())
             whole, some = np.flatnonzero(through), np.flatnonzero(~through & (starts <= times.max()) & (ends >= times.min()))
             with_time = points.filter(pa.array(timed))
-            for k in range(0, len(whole), LIST_ROWS):
-                yield lists(with_time, [0, len(times)], open_rows.take(pa.array(whole[k:k + LIST_ROWS])), [0, len(whole[k:k + LIST_ROWS])])
+            for j in range(0, len(whole), OUT_ROWS):
+                yield from tiles(with_time, open_rows.take(pa.array(whole[j:j + OUT_ROWS])))
             met |= timed & bool(len(whole))
-            step = max(1, OUT_ROWS // max(1, len(some)))
-            for k in range(0, len(t) if len(some) else 0, step):
-                inside = (starts[some][None] <= t[k:k + step, None]) & (t[k:k + step, None] <= ends[some][None]) & timed[k:k + step, None]
-                found = inside.sum(1)
-                which = np.flatnonzero(found)
-                met[k + which] = True
-                if len(which):
-                    rows = open_rows.take(pa.array(some[np.nonzero(inside)[1]]))
-                    yield lists(points.take(pa.array(k + which)), np.arange(len(which) + 1), rows, np.append(0, np.cumsum(found[which])))
+            for j in range(0, len(some), LIST_ROWS ** 2):
+                near = some[j:j + LIST_ROWS ** 2]
+                step = max(1, OUT_ROWS // len(near))
+                for k in range(0, len(t), step):
+                    inside = (starts[near][None] <= t[k:k + step, None]) & (t[k:k + step, None] <= ends[near][None]) & timed[k:k + step, None]
+                    found = inside.sum(1)
+                    which = np.flatnonzero(found)
+                    met[k + which] = True
+                    if len(which):
+                        rows = open_rows.take(pa.array(near[np.nonzero(inside)[1]]))
+                        yield lists(points.take(pa.array(k + which)), np.arange(len(which) + 1), rows, np.append(0, np.cumsum(found[which])))
         if left and not met.all():
             alone = points.filter(pa.array(~met))
             yield lists(alone, [0, len(alone)], pa.nulls(1, batch.column(6).type), [0, 1])
 
+    def tiles(points, intervals) -> Iterator[pa.RecordBatch]:
+        cuts = np.append(np.arange(0, len(intervals), LIST_ROWS), len(intervals))
+        for k in range(0, len(points), LIST_ROWS):
+            some = np.arange(k, min(k + LIST_ROWS, len(points)))
+            yield lists(points.take(pa.array(np.tile(some, len(cuts) - 1))), len(some) * np.arange(len(cuts)), intervals, cuts)
+
     def lists(points, point_offsets, intervals, interval_offsets) -> pa.RecordBatch:
         columns = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), v) for o, v in ((point_offsets, points), (interval_offsets, intervals))]
         return pa.record_batch(columns, names=["_p", "_i"])
 
     cols = ["_k1", "_k2", "_t", "_kind", "_e", "_p", "_i", "_part"]
     kinds = f"_p array<{points.schema.simpleString()}>, _i array<{_struct(intervals, keys)}>"
-    pairs = swept.select(*cols).mapInArrow(run, kinds).select(F.explode("_p").alias("_p"), "_i").select("_p", F.explode("_i").alias("_i"))
-    return pairs.select(*[F.col("_p")[c].alias(c) for c in points.columns], *[F.col("_i")[c].alias(c) for c in names[n_points:]])
+    pairs = swept.select(*cols).mapInArrow(run, kinds).select(F.explode("_p").alias("_p"), "_i")
+    # a point's fields are read once, not for each of its pairs
+    pairs = pairs.select(*[F.col("_p")[c].alias(f"_p{n}") for n, c in enumerate(points.columns)], "_i").select("*", F.explode("_i").alias("_j"))
+    return pairs.select(*[F.col(f"_p{n}").alias(c) for n, c in enumerate(points.columns)], *[F.col("_j")[c].alias(c) for c in names[n_points:]])

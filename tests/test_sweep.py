@@ -79,6 +79,29 @@ def test_nested_spans_leave_python_as_lists(spark, monkeypatch, list_rows, out_r
         want + [(i, -1) for _, i, _ in points if i not in met])
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_a_row_of_lists_makes_few_pairs(spark, monkeypatch, how):
+    at = lambda minutes: T0 + timedelta(minutes=minutes)
+    # 600 spans open over all points, 6,000 that end together in the middle
+    points = [("k", i, at(1000 + i % 500)) for i in range(700)] + [("k", -1, None)]
+    spans = [("k", j, at(j % 40), at(2000 + j)) for j in range(600)] + [("k", 600 + j, at(50), at(1250)) for j in range(6000)]
+    p = spark.createDataFrame(points, "k string, i int, t timestamp_ntz")
+    s = spark.createDataFrame(spans, "k string, j int, s timestamp_ntz, e timestamp_ntz")
+    plain, left_worker = type(p).mapInArrow, []
+    monkeypatch.setattr(type(p), "mapInArrow", lambda *a, **k: left_worker.append(plain(*a, **k)) or left_worker[-1])
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        got = sweep_join(p, s, ["k"], "t", "s", "e", how)
+        found = got.selectExpr("count(*)", "count(distinct i, j)").first()
+        most, pairs = left_worker[0].selectExpr("max(size(_p) * size(_i))", "sum(size(_p) * size(_i))").first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    want = sum(1 for _, i, t in points for _, j, a, z in spans if t and a <= t <= z)
+    assert tuple(found) == (want + (how == "left"), want) and pairs == found[0]
+    assert most <= 4096
+
+
 def test_sweep_of_empty_tables(spark):
     _, _, p, s = _tables(spark, 1)
     assert sweep_join(p.limit(0), s, ["k"], "t", "s", "e").count() == 0
